@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firnline.common import table
+from firnline.common import scratch, table
+from firnline.operators.drift import changes
 from firnline.operators.nearby import points_in_sites
 from firnline.operators.spikes import flag_readings
+from firnline.streaming.compaction import compact_files, fingerprinted, repeated, settled
 
 # fixed values: fills of the products, and what an instrument on Earth can report
 FILL = 3.4028235e38
@@ -45,8 +47,29 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return p6_flags(spark, sf).select("row_id", "field_name")
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return changes(table(spark, sf, "raw_records", ["file_id", "payload"]), table(spark, sf, "granule_files", ["file_id", "stream_id", "acquired_at"]))
+
+
+def _compacted(spark: SparkSession, sf: str) -> DataFrame:
+    schema = table(spark, sf, "raw_records").schema
+    work = scratch(spark, "compaction")
+    files = table(spark, sf, "granule_files", ["file_id", "stream_id"])
+    # a glob, so that a table of one file and a table of many are both taken
+    return compact_files(spark, f"{sf}/raw_records.parque[t]", schema, f"{work}/table", f"{work}/log", prepare=fingerprinted(files))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return repeated(_compacted(spark, sf))
+
+
+def p7_records(spark: SparkSession, sf: str) -> DataFrame:
+    """The consolidated records, each content of a stream once."""
+    return settled(_compacted(spark, sf)).select("rec_id", "file_id", "rec_no", "stream_id", "payload")
+
+
 def queries() -> dict:
-    return {"p2_found": p2_found, "p6_found": p6_found, "p6_flags": p6_flags}
+    return {"p3_found": p3_found, "p7_found": p7_found, "p7_records": p7_records, "p2_found": p2_found, "p6_found": p6_found, "p6_flags": p6_flags}
 
 
 def oracle_sql() -> dict[str, str]:
