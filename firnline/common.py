@@ -62,3 +62,11 @@ def finite(c: Column | str) -> Column:
 def hashed(*cols: Column | str) -> Column:
     """64-bit hash used to spread rows evenly over tasks."""
     return F.xxhash64(*cols)
+
+
+def broadcast_if_few(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """``df`` marked for broadcast if it is proven to have at most ``rows`` (narrow) rows, else unmarked.
+
+    Pass a staged or otherwise cheap ``df``: its rows are counted up to the bound.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

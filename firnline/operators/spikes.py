@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firnline.common import finite, staged
+from firnline.common import broadcast_if_few, finite, staged
 
 ORDER = 5  # neighbours on each side
 ROUNDS = 5  # most rounds of outlier removal
@@ -184,7 +184,7 @@ def flag_readings(
     scale = got.where("kind = 0").groupBy("src").agg((1.4826 * F.percentile_approx(F.abs("dev"), F.lit(0.5), F.lit(2000))).alias("s"))
     scale = scale.withColumn("s", F.greatest(F.col("s"), F.lit(1e-6)))
     clip = lambda c: F.least(F.greatest(F.col(c), -3 * F.col("s")), 3 * F.col("s"))
-    phi = got.where("kind = 0 and prev is not null").join(F.broadcast(scale) if _few(scale) else scale, "src")
+    phi = got.where("kind = 0 and prev is not null").join(broadcast_if_few(scale), "src")
     phi = phi.groupBy("src").agg((F.sum(clip("dev") * clip("prev")) / F.greatest(F.sum(clip("prev") * clip("prev")), F.lit(1e-12))).alias("phi"))
     model = scale.join(phi, "src", "left").select("src", "s", F.coalesce(F.least(F.greatest("phi", F.lit(-0.9)), F.lit(0.9)), F.lit(0.0)).alias("phi"))
     # what the previous reading explains is taken off, an outlying one explains nothing
@@ -194,7 +194,3 @@ def flag_readings(
     reason = F.when(F.col("kind") == 2, "limit").when(F.col("kind") == 1, "stuck").when(F.col("z") > threshold, "spike")
     return judged.select(F.col("rid").alias(row_id), reason.alias("reason")).where("reason is not null")
 
-
-def _few(df: DataFrame, rows: int = 50_000) -> bool:
-    """True if ``df`` is proven to have at most ``rows`` rows (about 1 MB here)."""
-    return df.limit(rows + 1).count() <= rows

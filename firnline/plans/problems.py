@@ -9,6 +9,7 @@ from firnline.common import scratch, table
 from firnline.operators.drift import changes
 from firnline.operators.nearby import points_in_sites
 from firnline.operators.spikes import flag_readings
+from firnline.operators.units import COMMON, normalise
 from firnline.streaming.compaction import compact_files, fingerprinted, repeated, settled
 
 # fixed values: fills of the products, and what an instrument on Earth can report
@@ -19,6 +20,17 @@ HEIGHT_M = (-500.0, 9000.0)
 PEAKINESS = (0.0, 1000.0)
 
 
+def p1_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Every value in its common unit, with the unit it came in and who stated it."""
+    cols = ["rec_id", "source_id", "abs_orbit", "Day", "Second", "days_J2k", "note", "Freeboard", "SSHA_interp", "Sig0_1"]
+    return normalise(table(spark, sf, "cs2_records", cols), table(spark, sf, "cs2_sources"))
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    common = F.create_map(*[F.lit(x) for kv in COMMON.items() for x in kv])
+    return p1_values(spark, sf).where(F.col("unit") != common[F.col("field_name")]).select("rec_id", "field_name", "unit")
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     points = table(spark, sf, "atl06_segments", ["point_id", "epsg", "x", "y", "latitude", "longitude"])
     return points_in_sites(points, table(spark, sf, "survey_sites"))
@@ -69,7 +81,7 @@ def p7_records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p3_found": p3_found, "p7_found": p7_found, "p7_records": p7_records, "p2_found": p2_found, "p6_found": p6_found, "p6_flags": p6_flags}
+    return {"p1_found": p1_found, "p1_values": p1_values, "p3_found": p3_found, "p7_found": p7_found, "p7_records": p7_records, "p2_found": p2_found, "p6_found": p6_found, "p6_flags": p6_flags}
 
 
 def oracle_sql() -> dict[str, str]:
