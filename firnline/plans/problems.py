@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from firnline.common import scratch, table
 from firnline.operators.drift import changes
+from firnline.operators.instants import resolve, within
 from firnline.operators.nearby import points_in_sites
 from firnline.operators.spikes import flag_readings
 from firnline.operators.units import COMMON, normalise
@@ -36,6 +37,17 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return points_in_sites(points, table(spark, sf, "survey_sites"))
 
 
+def p5_instants(spark: SparkSession, sf: str) -> DataFrame:
+    """One UTC instant per entry, how it was read and how sure that is."""
+    got = resolve(table(spark, sf, "time_log"), table(spark, sf, "stations"))
+    utc = F.timestamp_add("MICROSECOND", F.col("us"), F.lit("1970-01-01").cast("timestamp_ntz"))
+    return got.select("log_id", "instrument", utc.alias("instant_utc"), "us", "fmt", "grain_us", "posterior", "ambiguous")
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return within(resolve(table(spark, sf, "time_log"), table(spark, sf, "stations")))
+
+
 def p6_flags(spark: SparkSession, sf: str) -> DataFrame:
     """Every flagged reading with its reason."""
     atl = table(spark, sf, "atl06_segments", ["point_id", "rgt", "cycle_number", "beam", "delta_time", "segment_id", "h_li"])
@@ -81,7 +93,7 @@ def p7_records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_values": p1_values, "p3_found": p3_found, "p7_found": p7_found, "p7_records": p7_records, "p2_found": p2_found, "p6_found": p6_found, "p6_flags": p6_flags}
+    return {"p1_found": p1_found, "p1_values": p1_values, "p3_found": p3_found, "p7_found": p7_found, "p7_records": p7_records, "p2_found": p2_found, "p5_found": p5_found, "p5_instants": p5_instants, "p6_found": p6_found, "p6_flags": p6_flags}
 
 
 def oracle_sql() -> dict[str, str]:
