@@ -4,10 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from firnline.common import table
+from pyspark.sql import functions as F
+
+from firnline.common import staged, table
+from firnline.llm.containers import fill, filling
 from firnline.llm.leaks import find_leaks
+from firnline.llm.percentiles import merge, percentiles, sketch
 from firnline.llm.spam import find_spam
 
+PROBS = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
+
+
+def p4_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Percentiles of x, y, z per tile and day of acquired_at, and per tile (day null) joined from the days' sketches."""
+    pts = table(spark, sf, "tile_points", ["tile", "acquired_at", "x", "y", "z"])
+    long = pts.select("tile", F.to_date("acquired_at").cast("string").alias("day"), F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in "xyz"])).alias("v"))
+    long = long.select("tile", "day", "v.field", "v.value")
+    days = staged(merge(sketch(long, ["tile", "day", "field"], "value"), ["tile", "day", "field"]), "day_sketches")
+    tiles = merge(days, ["tile", "field"])
+    daily = percentiles(days, ["tile", "day", "field"], PROBS)
+    whole = percentiles(tiles, ["tile", "field"], PROBS).withColumn("day", F.lit(None).cast("string"))
+    return daily.unionByName(whole)
+
+
+def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
+    return fill(table(spark, sf, "documents", ["doc_id", "text"]))
+
+
+def p8_filling(spark: SparkSession, sf: str) -> DataFrame:
+    return filling(fill(table(spark, sf, "documents", ["doc_id", "text"])))
+
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return find_leaks(table(spark, sf, "documents", ["doc_id", "text"]), table(spark, sf, "eval_items", ["item_id", "text"]))
@@ -23,7 +49,7 @@ def p10_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p9_found": p9_found, "p10_found": p10_found, "p10_shares": p10_shares}
+    return {"p4_percentiles": p4_percentiles, "p8_containers": p8_containers, "p8_filling": p8_filling, "p9_found": p9_found, "p10_found": p10_found, "p10_shares": p10_shares}
 
 
 def oracle_sql() -> dict[str, str]:
