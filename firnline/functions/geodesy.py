@@ -57,3 +57,61 @@ def polar_inverse(x: Column, y: Column, epsg: int) -> tuple[Column, Column]:
     lon = F.degrees(F.atan2(x, -sign * y)) + lon0
     lon = F.when(lon > 180, lon - 360).when(lon < -180, lon + 360).otherwise(lon)
     return F.degrees(phi) * sign, lon
+
+
+# fixed values: published ratio at the latitude of true scale, north 70 and south 71 degrees (WGS84)
+MC_TC_NORTH = 1.9332273960882438
+MC_TC_SOUTH = 1.939029565915543
+
+
+def polar_scale(lat: Column, north: bool) -> Column:
+    """Length on the ellipsoid per length on the polar stereographic map, with the limit at the pole."""
+    e2 = 0.006694379990141
+    e = math.sqrt(e2)
+    mc_tc = MC_TC_NORTH if north else MC_TC_SOUTH
+    phi = F.abs(F.radians(lat))
+    s = F.sin(phi)
+    k = _t(phi, e) * F.sqrt(1 - e2 * s * s) / F.cos(phi) * mc_tc
+    kp = 0.5 * mc_tc * math.sqrt((1 + e) ** (1 + e) * (1 - e) ** (1 - e))
+    return F.when(F.abs(phi - math.pi / 2) < 1e-8, 1 / kp).otherwise(1 / k)
+
+
+def to_cartesian(lat: Column, lon: Column, h: Column) -> tuple[Column, Column, Column]:
+    p, q = F.radians(lat), F.radians(lon)
+    n = WGS84_A / F.sqrt(1 - WGS84_E**2 * F.sin(p) * F.sin(p))
+    return (n + h) * F.cos(p) * F.cos(q), (n + h) * F.cos(p) * F.sin(q), (n * (1 - WGS84_E**2) + h) * F.sin(p)
+
+
+def to_geodetic(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
+    """(latitude, longitude, height); closed form in the reduced latitude, accurate to well below a millimetre near the surface."""
+    a, e2 = WGS84_A, WGS84_E**2
+    b = a * (1 - WGS84_F)
+    p = F.sqrt(x * x + y * y)
+    beta = F.atan2(z * a, p * b)
+    sb, cb = F.sin(beta), F.cos(beta)
+    phi = F.atan2(z + e2 / (1 - e2) * b * sb * sb * sb, p - e2 * a * cb * cb * cb)
+    n = a / F.sqrt(1 - e2 * F.sin(phi) * F.sin(phi))
+    h = p * F.cos(phi) + z * F.sin(phi) - a * a / n
+    return F.degrees(phi), F.degrees(F.atan2(y, x)), h
+
+
+# fixed values: frame changes (from, to) -> shifts x, y, z (m), scale (ppm), their yearly rates, reference year
+HELMERT = {
+    (2014, 2020): (0.0014, 0.0009, -0.0014, 0.00042, 0.0, 0.0001, -0.0002, 0.0, 2015.0),
+    (2008, 2014): (-0.0016, -0.0019, -0.0024, 0.00002, 0.0, 0.0, 0.0001, -0.00003, 2015.0),
+    (2005, 2014): (-0.0026, -0.001, 0.0023, -0.00092, -0.0003, 0.0, 0.0001, -0.00003, 2010.0),
+    (2005, 2020): (-0.0027, -0.0001, 0.0014, -0.00065, -0.0003, 0.0001, -0.0001, -0.00003, 2000.0),
+    (2008, 2020): (-0.0002, -0.001, -0.0033, 0.00029, 0.0, -0.0001, -0.0001, -0.00003, 2015.0),
+}
+
+
+def change_frame(lat: Column, lon: Column, h: Column, year: Column, frames: tuple[int, int] = (2014, 2020), inverse: bool = False) -> tuple[Column, Column, Column]:
+    """Coordinates in another realisation of the terrestrial frame (no rotations)."""
+    tx, ty, tz, s, dx, dy, dz, ds, t0 = HELMERT[frames]
+    dt = year - t0
+    k = (F.lit(s) + ds * dt) * 1e-6
+    out = []
+    for v, t, d in zip(to_cartesian(lat, lon, h), (tx, ty, tz), (dx, dy, dz)):
+        shift = F.lit(t) + d * dt
+        out.append((v - shift) / (1 + k) if inverse else v * (1 + k) + shift)
+    return to_geodetic(*out)
