@@ -24,10 +24,10 @@ def raised_cosine(i: Column, n: int, d: float, pad: float, feather: float) -> Co
 
 
 def gaussian(i: Column, n: int, d: float, pad: float, feather: float) -> Column:
-    """1 inside, falling by a Gaussian of half the feather over ``feather``, 0 within ``pad``."""
+    """1 inside, the Gaussian of the distance from the centre over ``feather``, 0 within ``pad``."""
     half = (n - 1) * d / 2
     r = _dist(i, n, d)
-    return F.when(r >= half - pad, 0.0).when(r <= half - pad - feather, 1.0).otherwise(F.exp(-F.pow((r - (half - pad - feather)) / (feather / 2), 2)))
+    return F.when(r >= half - pad, 0.0).when(r <= half - pad - feather, 1.0).otherwise(F.exp(-F.pow(r / (feather / 2), 2)))
 
 
 def padded(i: Column, n: int, d: float, pad: float) -> Column:
