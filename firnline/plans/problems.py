@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firnline.common import scratch, table
+from firnline.functions import geodesy
 from firnline.operators.drift import changes
 from firnline.operators.instants import resolve, within
 from firnline.operators.nearby import points_in_sites
@@ -96,5 +97,26 @@ def queries() -> dict:
     return {"p1_found": p1_found, "p1_values": p1_values, "p3_found": p3_found, "p7_found": p7_found, "p7_records": p7_records, "p2_found": p2_found, "p5_found": p5_found, "p5_instants": p5_instants, "p6_found": p6_found, "p6_flags": p6_flags}
 
 
+def _projected(lat: str, lon: str) -> tuple[str, str]:
+    """x and y of the polar stereographic projection of column ``epsg`` in SQL."""
+    e = repr(geodesy.WGS84_E)
+    sign = "case epsg when 3413 then 1.0 when 3031 then -1.0 end"
+    p = f"radians({lat} * ({sign}))"
+    rho = f"(case epsg when 3413 then {geodesy._rho_scale(70.0)!r} when 3031 then {geodesy._rho_scale(71.0)!r} end) * tan(pi() / 4 - {p} / 2) / power((1 - {e} * sin({p})) / (1 + {e} * sin({p})), {e} / 2)"
+    d = f"radians({lon} - (case epsg when 3413 then -45.0 when 3031 then 0.0 end))"
+    return f"{rho} * sin({d})", f"-({sign}) * {rho} * cos({d})"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    px, py = _projected("latitude", "longitude")
+    placed = "case when x is not null and y is not null then {c} else {f} end"
+    xy = f"{placed.format(c='x', f=px)} as x, {placed.format(c='y', f=py)} as y"
+    return {
+        "p2_found": f"""with pt as (select point_id, epsg, {xy} from atl06_segments), st as (select site_id, kind, epsg, radius_m, ring, {xy} from survey_sites),
+edge as (select site_id, epsg, x as x0, y as y0, lead(x) over w as x1, lead(y) over w as y1 from (select site_id, epsg, i, split_part(v, ' ', 1)::double as x, split_part(v, ' ', 2)::double as y
+  from (select site_id, epsg, unnest(string_split(regexp_extract(ring, '\(\((.*)\)\)', 1), ', ')) as v, unnest(range(0, len(string_split(ring, ', ')))) as i from st where kind = 'polygon')) window w as (partition by site_id order by i))
+select point_id, site_id from pt join st using (epsg) where kind = 'circle' and (pt.x - st.x) * (pt.x - st.x) + (pt.y - st.y) * (pt.y - st.y) <= radius_m * radius_m
+union all select point_id, site_id from pt join edge on pt.epsg = edge.epsg and x1 is not null and (y0 > y) <> (y1 > y) and x < (x1 - x0) * (y - y0) / (y1 - y0) + x0 group by point_id, site_id having count(*) % 2 = 1""",
+        "p7_found": """with c as (select rec_id, stream_id, list_sort(list_transform(json_keys(payload), lambda k: k || '=' || json_extract(payload, '$."' || k || '"')::varchar))::varchar as body
+from raw_records join granule_files using (file_id)) select rec_id from (select rec_id, min(rec_id) over (partition by stream_id, body) as first_id from c) where rec_id > first_id""",
+    }
