@@ -53,4 +53,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    # exact percentiles: the sketches hold whole groups of fewer than 4,096 values exactly
+    quantiles = ", ".join(f"list_sort(list(v))[greatest(1, ceil({p} * count(*) - 1e-9))::bigint] as {n}" for n, p in PROBS.items())
+    one = " union all ".join(f"select tile, strftime(acquired_at, '%Y-%m-%d') as day, '{c}' as field, {c} as v from tile_points where {c} is not null and not isnan({c})" for c in "xyz")
+    select = f"count(*)::bigint as n, {quantiles}, 0::bigint as max_rank_error from p"
+    return {"p4_percentiles": f"with p as ({one}) select tile, day, field, {select} group by tile, day, field union all select tile, null, field, {select} group by tile, field"}
