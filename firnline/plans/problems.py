@@ -114,7 +114,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": f"""with pt as (select point_id, epsg, {xy} from atl06_segments), st as (select site_id, kind, epsg, radius_m, ring, {xy} from survey_sites),
 edge as (select site_id, epsg, x as x0, y as y0, lead(x) over w as x1, lead(y) over w as y1 from (select site_id, epsg, i, split_part(v, ' ', 1)::double as x, split_part(v, ' ', 2)::double as y
-  from (select site_id, epsg, unnest(string_split(regexp_extract(ring, '\(\((.*)\)\)', 1), ', ')) as v, unnest(range(0, len(string_split(ring, ', ')))) as i from st where kind = 'polygon')) window w as (partition by site_id order by i))
+  from (select site_id, epsg, unnest(string_split(regexp_extract(ring, '[(][(](.*)[)][)]', 1), ', ')) as v, unnest(range(0, len(string_split(ring, ', ')))) as i from st where kind = 'polygon')) window w as (partition by site_id order by i))
 select point_id, site_id from pt join st using (epsg) where kind = 'circle' and (pt.x - st.x) * (pt.x - st.x) + (pt.y - st.y) * (pt.y - st.y) <= radius_m * radius_m
 union all select point_id, site_id from pt join edge on pt.epsg = edge.epsg and x1 is not null and (y0 > y) <> (y1 > y) and x < (x1 - x0) * (y - y0) / (y1 - y0) + x0 group by point_id, site_id having count(*) % 2 = 1""",
         "p7_found": """with c as (select rec_id, stream_id, list_sort(list_transform(json_keys(payload), lambda k: k || '=' || json_extract(payload, '$."' || k || '"')::varchar))::varchar as body
