@@ -140,7 +140,7 @@ def resolve(log: DataFrame, stations: DataFrame, *, sure: float = 0.9, entries:
     as UTC and competes with nothing; a missing ``written_at`` tells nothing.
     Repeated rows of one ``log_id`` are read once per distinct reading.
     """
-    cand = staged(readings(log, stations).distinct().withColumn("dc", _delay_class(F.col("us"), F.col("written_us"))), entries)
+    cand = staged(readings(log, stations).distinct().withColumns({"dc": _delay_class(F.col("us"), F.col("written_us")), "part": F.regexp_replace("fmt", "_(early|late)$", "")}), entries)
     many = cand.groupBy("log_id").agg(F.count("*").alias("n")).where("n > 1")
     open_ = cand.join(many.select("log_id"), "log_id")
     single = cand.join(many, "log_id", "left_anti")
@@ -148,18 +148,19 @@ def resolve(log: DataFrame, stations: DataFrame, *, sure: float = 0.9, entries:
     if not many.limit(1).count():
         return certain
     open_ = staged(open_, "readings")
-    # entries with one reading show how the source writes and how long it waits
-    fixed_f = single.groupBy("instrument", "fmt").agg(F.count("*").cast("double").alias("k"))
+    # entries with one reading show how the source writes and how long it waits; ``part`` is the component
+    # of the mixture, the same for both sides of an autumn hour
+    fixed_f = single.groupBy("instrument", "part").agg(F.count("*").cast("double").alias("k"))
     fixed_d = single.groupBy("dc").agg(F.count("*").cast("double").alias("k"))
     n_any = max(1.0, float(single.count()))
     post = open_.withColumn("p", F.lit(1.0) / F.count("*").over(_by("log_id")))
     for _ in range(ROUNDS):
-        w = fixed_f.unionByName(post.groupBy("instrument", "fmt").agg(F.sum("p").alias("k"))).groupBy("instrument", "fmt").agg(F.sum("k").alias("wf"))
+        w = fixed_f.unionByName(post.groupBy("instrument", "part").agg(F.sum("p").alias("k"))).groupBy("instrument", "part").agg(F.sum("k").alias("wf"))
         d = fixed_d.unionByName(post.groupBy("dc").agg(F.sum("p").alias("k"))).groupBy("dc").agg(F.sum("k").alias("wd"))
         ends = (0, *DELAY_CLASSES, 1000 * 86400)
         width = F.coalesce(*[F.when(F.col("dc") == i, F.lit(float(ends[i + 1] - ends[i]))) for i in range(len(DELAY_CLASSES) + 1)], F.lit(1e9))
         like = F.when(F.col("dc") == -2, F.lit(1.0)).when(F.col("dc") == -1, F.lit(1e-12)).otherwise((F.coalesce("wd", F.lit(0.0)) + 0.01) / (n_any + 1) / width)
-        post = open_.join(w, ["instrument", "fmt"], "left").join(F.broadcast(d), "dc", "left").withColumn("q", (F.coalesce("wf", F.lit(0.0)) + 0.5) * like)
+        post = open_.join(w, ["instrument", "part"], "left").join(F.broadcast(d), "dc", "left").withColumn("q", (F.coalesce("wf", F.lit(0.0)) + 0.5) * like)
         post = post.withColumn("p", F.col("q") / F.sum("q").over(_by("log_id"))).select(*open_.columns, "p")
         post = staged(post, "posterior")
     best = post.groupBy("log_id").agg(F.max_by(F.struct("instrument", "us", "fmt", "grain_us", "p"), F.struct("p", -F.col("us"))).alias("b"))
