@@ -15,7 +15,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -189,6 +189,16 @@ def _per_field(st: DataFrame) -> DataFrame:
     return rows.join(best, ["text", "target", "rank"]).select("text", F.col("target").alias("field"), "unit", "first_day", "last_day")
 
 
+def _map(values: dict[str, float]) -> Column:
+    return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(v))])
+
+
+def _common(unit: str) -> Column:
+    """``number`` of the unit in column ``unit`` in metres or dB."""
+    ratio = F.when(F.col("number") > 0, 10 * F.log10("number"))
+    return F.when(F.col(unit) == "lin", ratio).otherwise(F.col("number") * F.try_element_at(_map(TO_COMMON), F.col(unit)))
+
+
 def normalise(records: DataFrame, sources: DataFrame) -> DataFrame:
     """One row per value of Freeboard, SSHA_interp and Sig0_1 that is not missing.
 
@@ -226,45 +236,42 @@ def normalise(records: DataFrame, sources: DataFrame) -> DataFrame:
     h = broadcast_if_few(staged(head, "headers")).alias("h")
     rows = rows.alias("r").join(h, (F.col("r.source_id") == F.col("h.source_id")) & (F.col("r.field") == F.col("h.field")) & F.col("r.day").between(F.col("h.d0"), F.col("h.d1")), "left")
     rows = rows.select("r.rec_id", "r.source_id", "r.abs_orbit", "r.field", "r.raw", "r.number", "u_value", "u_note", "u_source")
-    rows = rows.withColumn("stated", F.coalesce("u_value", "u_note", "u_source"))
+    rows = staged(rows.withColumn("stated", F.coalesce("u_value", "u_note", "u_source")), "stated")
 
-    unknown = _inferred(rows)
+    unknown = staged(_inferred(rows), "inferred")
     rows = rows.join(broadcast_if_few(unknown), ["source_id", "abs_orbit", "field"], "left")
     default = F.when(F.col("field").isin(*HEIGHTS), "m").otherwise("db")
     unit = F.coalesce("stated", "guess", default)
     by = F.when(F.col("u_value").isNotNull(), "value").when(F.col("u_note").isNotNull(), "note").when(F.col("u_source").isNotNull(), "source").otherwise("inferred")
-    factor = F.create_map(*[x for k, v in TO_COMMON.items() for x in (F.lit(k), F.lit(v))])
-    common = F.when(F.col("unit") == "lin", F.when(F.col("number") > 0, 10 * F.log10("number"))).otherwise(F.col("number") * F.try_element_at(factor, F.col("unit")))
-    rows = rows.withColumns({"unit": unit, "stated_by": by}).withColumn("common", common)
+    rows = rows.withColumns({"unit": unit, "stated_by": by}).withColumn("common", _common("unit"))
     return rows.select("rec_id", F.col("field").alias("field_name"), "raw", "number", "unit", "stated_by", "common")
 
 
 def _inferred(rows: DataFrame, least: int = 8) -> DataFrame:
     """``(source_id, abs_orbit, field, guess)`` for passes with values of no stated unit.
 
-    The reference distribution of each field and unit is the spread of all
-    stated values expressed in that unit.
+    The reference distribution of each field is that of all stated values in
+    the common unit; another unit only shifts its logarithms, and a power
+    ratio has a tenth of the decibels as logarithm.
     """
-    log = F.log10(F.when(F.abs("number") > 0, F.abs("number")))
-    stated = rows.where("stated is not null")
-    meters = F.create_map(*[x for k, v in TO_COMMON.items() for x in (F.lit(k), F.lit(v))])
-    common = F.when(F.col("stated") == "lin", F.when(F.col("number") > 0, 10 * F.log10("number"))).otherwise(F.col("number") * F.try_element_at(meters, F.col("stated")))
-    refs = stated.withColumn("c", common).where("c is not null")
-    ref = None
-    for f, units in CHOICES.items():
-        for u in units:
-            x = F.pow(F.lit(10.0), F.col("c") / 10) if u == "lin" else F.col("c") / TO_COMMON[u]
-            r = refs.where(F.col("field") == f).select(F.lit(f).alias("field"), F.lit(u).alias("u"), F.log10(F.when(F.abs(x) > 0, F.abs(x))).alias("l"))
-            ref = r if ref is None else ref.unionByName(r)
-    ref = ref.groupBy("field", "u").agg(F.avg("l").alias("rm"), F.stddev_pop("l").alias("rs"))
-    open_ = rows.where("stated is null").select("source_id", "abs_orbit", "field", log.alias("l"))
+    log = lambda c: F.log10(F.when(F.abs(c) > 0, F.abs(c)))
+    c = _common("stated")
+    ref = rows.where("stated is not null").withColumn("c", c).groupBy("field")
+    ref = ref.agg(F.avg(log(F.col("c"))).alias("lm"), F.stddev_pop(log(F.col("c"))).alias("ls"), F.avg("c").alias("cm"), F.stddev_pop("c").alias("cs"))
+    known = F.create_map(*[x for f, units in CHOICES.items() for x in (F.lit(f), F.array(*[F.lit(u) for u in units]))])
+    ref = ref.withColumn("u", F.explode(known[F.col("field")]))
+    lin = F.col("u") == "lin"
+    factor = F.try_element_at(_map(TO_COMMON), F.col("u"))
+    ref = ref.select("field", "u", F.when(lin, F.col("cm") / 10).otherwise(F.col("lm") - F.log10(factor)).alias("rm"), F.when(lin, F.col("cs") / 10).otherwise(F.col("ls")).alias("rs"))
+    open_ = rows.where("stated is null").select("source_id", "abs_orbit", "field", log(F.col("number")).alias("l"))
     sums = open_.groupBy("source_id", "abs_orbit", "field").agg(F.count("l").alias("n"), F.sum("l").alias("s"), F.sum(F.col("l") * F.col("l")).alias("q"))
+    sums = staged(sums, "passes")
     whole = sums.groupBy("source_id", "field").agg(F.sum("n").alias("wn"), F.sum("s").alias("ws"), F.sum("q").alias("wq"))
     own = sums.join(whole, ["source_id", "field"])
     few = F.col("n") < least
     n = F.greatest(F.when(few, F.col("wn")).otherwise(F.col("n")), F.lit(1))
     m = F.when(few, F.col("ws")).otherwise(F.col("s")) / n
     sd = F.sqrt(F.greatest(F.when(few, F.col("wq")).otherwise(F.col("q")) / n - m * m, F.lit(0.0)))
-    fit = own.withColumns({"m": m, "sd": sd}).join(F.broadcast(ref), "field")
+    fit = own.withColumns({"m": m, "sd": sd}).join(F.broadcast(ref), "field")  # one row per field and unit
     fit = fit.withColumn("miss", F.pow(F.col("m") - F.col("rm"), 2) + F.pow(F.col("sd") - F.col("rs"), 2))
     return fit.groupBy("source_id", "abs_orbit", "field").agg(F.min_by("u", F.struct("miss", "u")).alias("guess"))
