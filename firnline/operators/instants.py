@@ -11,9 +11,10 @@ reading reaches ``sure`` the entry is marked ambiguous.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from firnline.common import staged
+from firnline.common import broadcast_if_few, staged
 from firnline.functions.times import days_j2k_to_us, delta_time_to_us, tai2000_to_utc_us
 
 # fixed values: zone abbreviations and their offsets in minutes; several where the letters are shared
@@ -28,6 +29,7 @@ YEAR_FIRST = r"^(\d{4})([-/.]?)(\d{2})\2(\d{2})" + _TIME
 ORDINAL = r"^(\d{4})()-?(\d{3})()" + _TIME
 YEAR_LAST = r"^(\d{1,2})([-/.])(\d{1,2})\2(\d{4})" + _TIME
 NAMED = r"^(\d{1,2})([ -])([A-Za-z]{3})[a-z]*\2(\d{4})" + _TIME
+PATTERNS = {"ymd": YEAR_FIRST, "ordinal": ORDINAL, "year_last": YEAR_LAST, "named": NAMED}
 DELAY_CLASSES = (60, 600, 3600, 6 * 3600, 86400, 10 * 86400, 100 * 86400)  # upper ends in seconds
 ROUNDS = 5
 
@@ -41,118 +43,130 @@ def _delay_class(us: Column, written: Column) -> Column:
 
 
 def readings(log: DataFrame, stations: DataFrame) -> DataFrame:
-    """``(log_id, instrument, fmt, us, grain_us, written_us)``: every valid reading of every entry."""
+    """``(log_id, instrument, fmt, us, grain_us, written_us, n)``: every valid reading of every entry, ``n`` of them.
+
+    The entries are sorted by the form of their text once and each form is
+    then read once; all readings of an entry are made in the same pass.
+    """
     st = stations.select("station_id", "zone", F.lower("date_order").alias("date_order")).dropDuplicates(["station_id"])
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+    micros = lambda ts: F.timestamp_diff("MICROSECOND", epoch, ts)
     t = F.trim(F.regexp_replace("time_text", "[\\u00a0\\ufeff]", " "))
-    base = log.select("log_id", "instrument", "station_id", "delta_time", "days_J2k", "Day", "Second", "Micsec", F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("written_at").cast("timestamp_ntz")).alias("written_us"), t.alias("t"))
-    base = base.join(F.broadcast(st) if st.limit(50_001).count() <= 50_000 else st, "station_id", "left").where("log_id is not null")
-    out = lambda df, fmt, us, grain: df.select("log_id", "instrument", F.lit(fmt).alias("fmt") if isinstance(fmt, str) else fmt.alias("fmt"), us.alias("us"), grain.cast("bigint").alias("grain_us"), "written_us").where("us is not null")
+    base = log.where("log_id is not null").select("log_id", "instrument", "station_id", "delta_time", "days_J2k", "Day", "Second", "Micsec", micros(F.col("written_at").cast("timestamp_ntz")).alias("written_us"), t.alias("t"))
+    form = F.when(F.coalesce(F.col("t"), F.lit("")) == "", "number").when(F.col("t").rlike(r"^\d{9,19}(\.\d{1,9})?$"), "count")
+    for name, pattern in PATTERNS.items():
+        form = form.when(F.col("t").rlike(pattern), name)
+    base = base.join(broadcast_if_few(st), "station_id", "left").withColumn("form", form.otherwise("none"))
+    base = staged(base, "forms", ["form"])
+    keep = ["log_id", "instrument", "written_us"]
+    one = lambda fmt, us, grain: (F.array(F.struct(fmt.alias("fmt"), us.cast("bigint").alias("us"))), grain)
+
+    def out(df: DataFrame, readings: Column, grain: Column) -> DataFrame:
+        got = df.select(*keep, grain.cast("bigint").alias("grain_us"), F.filter(readings, lambda r: r["us"].isNotNull()).alias("r"))
+        return got.select(*keep, "grain_us", F.size("r").alias("n"), F.inline("r"))
 
     usable = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c)) & (F.abs(F.col(c)) < 1e12)
-    text = base.where("t is not null and t <> ''")
-    numeric = base.where("t is null or t = ''")
     kind = F.when(usable("delta_time"), "delta_time").when(usable("days_J2k"), "days_J2k").when(F.col("Day").isNotNull() & F.col("Second").isNotNull(), "tai")
     us = F.when(kind == "delta_time", delta_time_to_us(F.col("delta_time"))).when(kind == "days_J2k", days_j2k_to_us(F.col("days_J2k")))
     us = us.when(kind == "tai", tai2000_to_utc_us(F.col("Day"), F.col("Second"), F.coalesce("Micsec", F.lit(0))))
-    parts = [out(numeric, kind, us, F.when(kind == "days_J2k", 10).otherwise(1))]
+    parts = [out(base.where("form = 'number'"), *one(kind, us, F.when(kind == "days_J2k", 10).otherwise(1)))]
 
     # counts since 1970: seconds to nanoseconds, told apart by their digits
     digits = F.length(F.regexp_extract("t", r"^(\d+)", 1))
-    count = text.where(F.col("t").rlike(r"^\d{9,19}(\.\d{1,9})?$"))
     unit = F.when(digits <= 11, 0).when(digits <= 14, 3).when(digits <= 16, 6).otherwise(9)
     frac = F.length(F.regexp_extract("t", r"\.(\d+)$", 1))
     us = (F.col("t").cast("decimal(38,9)") * F.pow(F.lit(10.0), 6 - unit).cast("decimal(18,3)")).cast("decimal(38,6)").cast("bigint")
-    parts.append(out(count, F.concat(F.lit("count"), unit.cast("string")), us, F.greatest(F.pow(F.lit(10.0), 6 - unit - frac), F.lit(1.0))))
+    parts.append(out(base.where("form = 'count'"), *one(F.concat(F.lit("count"), unit.cast("string")), us, F.greatest(F.pow(F.lit(10.0), 6 - unit - frac), F.lit(1.0)))))
 
     # calendar forms: pieces are taken apart by one pattern each
-    forms = []
-    g = lambda p, i: F.regexp_extract("t", p, i)
-    for fmt, pat in (("ymd", YEAR_FIRST), ("ordinal", ORDINAL), ("year_last", YEAR_LAST), ("named", NAMED)):
-        f = text.where(F.col("t").rlike(pat)).select(
-            "log_id", "instrument", "written_us", "zone", "date_order", F.lit(fmt).alias("fmt"), *[g(pat, i).alias(n) for i, n in ((1, "a"), (3, "b"), (4, "c"), (5, "h"), (6, "mi"), (7, "s"), (8, "f"), (9, "ap"), (10, "z"))]
-        )
-        forms.append(f)
-    cal = forms[0].unionByName(forms[1]).unionByName(forms[2]).unionByName(forms[3])
-    n = lambda c: F.col(c).try_cast("int")
+    cal = None
+    for name, pattern in PATTERNS.items():
+        g = lambda i, p=pattern: F.regexp_extract("t", p, i)
+        f = base.where(F.col("form") == name).select(*keep, "zone", "date_order", F.lit(name).alias("form"), *[g(i).alias(c) for i, c in ((1, "a"), (3, "b"), (4, "c"), (5, "h"), (6, "mi"), (7, "s"), (8, "f"), (9, "ap"), (10, "z"))])
+        cal = f if cal is None else cal.unionByName(f)
+    num = lambda c: F.col(c).try_cast("int")
     month = sum((F.when(F.lower("b") == m, i + 1).otherwise(0) for i, m in enumerate(MONTHS)), F.lit(0))
     order = lambda name, y, m, d: F.struct(F.lit(name).alias("o"), y.alias("y"), m.alias("m"), d.alias("d"))
-    dmy, mdy = order("dmy", n("c"), n("b"), n("a")), order("mdy", n("c"), n("a"), n("b"))
-    possible = lambda first: n("b").between(1, 12) if first == "dmy" else n("a").between(1, 12)
+    dmy, mdy = order("dmy", num("c"), num("b"), num("a")), order("mdy", num("c"), num("a"), num("b"))
     # the station's order holds; the other is a reading only where that order is unknown or gives no date
     orders = (
-        F.when(F.col("fmt") == "ymd", F.array(order("ymd", n("a"), n("b"), n("c"))))
-        .when(F.col("fmt") == "ordinal", F.array(order("ordinal", n("a"), F.lit(1), n("b"))))
-        .when(F.col("fmt") == "named", F.array(order("named", n("c"), month, n("a"))))
-        .when((F.col("date_order") == "mdy") & possible("mdy"), F.array(mdy))
-        .when((F.col("date_order") == "dmy") & possible("dmy"), F.array(dmy))
+        F.when(F.col("form") == "ymd", F.array(order("ymd", num("a"), num("b"), num("c"))))
+        .when(F.col("form") == "ordinal", F.array(order("ordinal", num("a"), F.lit(1), num("b"))))
+        .when(F.col("form") == "named", F.array(order("named", num("c"), month, num("a"))))
+        .when((F.col("date_order") == "mdy") & num("a").between(1, 12), F.array(mdy))
+        .when((F.col("date_order") == "dmy") & num("b").between(1, 12), F.array(dmy))
         .otherwise(F.array(dmy, mdy))
     )
-    cal = cal.withColumn("o", F.explode(orders)).where("o.m between 1 and 12 and o.d between 1 and 366")
-    hour = F.when(F.lower("ap") == "pm", n("h") % 12 + 12).when(F.lower("ap") == "am", n("h") % 12).otherwise(n("h"))
-    first = F.expr("try_make_timestamp_ntz(o.y, if(fmt = 'ordinal', 1, o.m), if(fmt = 'ordinal', 1, o.d), 0, 0, 0)")
-    midnight = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), first) + F.when(F.col("fmt") == "ordinal", (F.col("o.d").cast("bigint") - 1) * 86_400_000_000).otherwise(0)
+    hour = F.when(F.lower("ap") == "pm", num("h") % 12 + 12).when(F.lower("ap") == "am", num("h") % 12).otherwise(num("h"))
     sub = F.rpad(F.col("f"), 6, "0").substr(1, 6).try_cast("bigint")
-    local = midnight + (hour.cast("bigint") * 3600 + n("mi").cast("bigint") * 60 + F.coalesce(n("s"), F.lit(0))) * 1_000_000 + F.coalesce(sub, F.lit(0))
+    clock = (hour.cast("bigint") * 3600 + num("mi").cast("bigint") * 60 + F.coalesce(num("s"), F.lit(0))) * 1_000_000 + F.coalesce(sub, F.lit(0))
+    clock = F.when((hour <= 24) & (num("mi") <= 59), clock)
     grain = F.when(F.col("s") == "", 60_000_000).when(F.length("f") == 0, 1_000_000).otherwise(F.greatest(F.pow(F.lit(10.0), 6 - F.length("f")), F.lit(1.0)))
-    cal = cal.select("log_id", "instrument", "written_us", "zone", F.upper("z").alias("z"), F.col("o.o").alias("ord"), F.inline(F.array(F.struct(local.alias("local"), grain.cast("bigint").alias("grain"))))).where("local is not null")
-
-    # offset written out
-    off = F.regexp_extract("z", r"^([-+])", 1)
-    mins = F.regexp_extract("z", r"^[-+](\d{2})", 1).try_cast("int") * 60 + F.coalesce(F.regexp_extract("z", r"^[-+]\d{2}:?(\d{2})", 1).try_cast("int"), F.lit(0))
-    signed = cal.where(off != "")
-    parts.append(out(signed, F.concat("ord", F.lit("+offset")), F.col("local") - F.when(off == "-", -mins).otherwise(mins).cast("bigint") * 60_000_000, F.col("grain")))
-
-    # wall clock of the station: both sides of an autumn hour
-    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
-    wall = F.timestamp_add("MICROSECOND", F.col("local"), epoch)
-    to_utc = lambda ts: F.convert_timezone(F.col("zone"), F.lit("UTC"), ts)
-    to_wall = lambda ts: F.convert_timezone(F.lit("UTC"), F.col("zone"), ts)
-    micros = lambda ts: F.timestamp_diff("MICROSECOND", epoch, ts)
+    midnight = lambda o: micros(F.call_function("try_make_timestamp_ntz", o["y"], o["m"], F.when(o["o"] == "ordinal", 1).otherwise(o["d"]), F.lit(0), F.lit(0), F.lit(0))) + F.when(o["o"] == "ordinal", (o["d"].cast("bigint") - 1) * 86_400_000_000).otherwise(0)
+    possible = F.filter(orders, lambda o: o["m"].between(1, 12) & o["d"].between(1, 366))
+    off = F.regexp_extract(F.col("z"), r"^([-+])", 1)
+    cal = cal.select(*keep, "zone", F.upper("z").alias("z"), off.alias("off"), grain.cast("bigint").alias("grain"), clock.alias("clock"), possible.alias("orders"))
+    cal = cal.withColumn("local", F.transform("orders", lambda o: F.struct(o["o"].alias("o"), (midnight(o) + F.col("clock")).alias("at"))))
+    cal = cal.withColumn("local", F.filter("local", lambda o: o["at"].isNotNull()))
+
+    # offset written out; abbreviation: the station's own meaning if it has one (at that time or in the other
+    # half of the year); else the wall clock of the station, on both sides of an autumn hour
+    to_utc = lambda us: micros(F.convert_timezone(F.col("zone"), F.lit("UTC"), F.timestamp_add("MICROSECOND", us, epoch)))
+    to_wall = lambda us: micros(F.convert_timezone(F.lit("UTC"), F.col("zone"), F.timestamp_add("MICROSECOND", us, epoch)))
     known = F.create_map(*[x for k, v in ABBREVIATIONS.items() for x in (F.lit(k), F.array(*[F.lit(i) for i in v]))])
-    rest = cal.where(off == "").withColumn("wall", wall)
-    rest = rest.select("*", F.inline(F.array(F.struct(F.when(F.col("zone").isNotNull(), micros(to_utc(F.col("wall")))).alias("u0")))))
-    rest = rest.withColumns({"offs": F.try_element_at(known, F.col("z")), "own": F.round((F.col("local") - F.col("u0")) / 60_000_000).cast("int")})
-    bare = rest.where("z = '' or offs is null")
-    alt = [F.col("u0") + h * 1_800_000_000 for h in (-2, -1, 1, 2)]
-    fold = F.filter(F.array(*alt), lambda u: micros(to_wall(F.timestamp_add("MICROSECOND", u, epoch))) == F.col("local"))
-    bare = bare.withColumn("us", F.explode(F.when(F.col("u0").isNull(), F.array(F.col("local"))).otherwise(F.array_distinct(F.concat(F.array("u0"), fold)))))
-    tag = F.when(F.col("u0").isNull(), "+unzoned").when(F.col("us") < F.col("u0"), "+wall_early").when(F.col("us") > F.col("u0"), "+wall_late").otherwise("+wall")
-    parts.append(out(bare, F.concat("ord", tag), F.col("us"), F.col("grain")))
-
-    # abbreviation: the station's own meaning if it has one (at that time or in the other half of the year)
-    abbr = rest.where("z <> '' and offs is not null")
-    mine = F.filter("offs", lambda o: (o == F.col("own")) | (F.abs(o - F.col("own")) == 60))
-    abbr = abbr.withColumn("o", F.explode(F.when(F.col("own").isNotNull() & F.array_contains("offs", F.col("own")), F.array("own")).when(F.size(mine) > 0, mine).otherwise(F.col("offs"))))
-    parts.append(out(abbr, F.concat("ord", F.lit("+"), "z", F.col("o").cast("string")), F.col("local") - F.col("o").cast("bigint") * 60_000_000, F.col("grain")))
-
+    mins = F.regexp_extract("z", r"^[-+](\d{2})", 1).try_cast("int") * 60 + F.coalesce(F.regexp_extract("z", r"^[-+]\d{2}:?(\d{2})", 1).try_cast("int"), F.lit(0))
+    cal = cal.withColumns({"offs": F.when(F.col("off") == "", F.try_element_at(known, F.col("z"))), "mins": F.when(F.col("off") == "-", -mins).otherwise(mins)})
+    cal = cal.withColumn("local", F.transform("local", lambda o: F.struct(o["o"].alias("o"), o["at"].alias("at"), F.when(F.col("zone").isNotNull() & (F.col("off") == ""), to_utc(o["at"])).alias("u0"))))
+    reading = lambda fmt, us: F.struct(fmt.alias("fmt"), us.alias("us"))
+    steps = F.array(*[F.lit(h * 1_800_000_000) for h in (-2, -1, 1, 2)])
+
+    def wall(o: Column) -> Column:
+        fold = F.filter(F.transform(steps, lambda h: o["u0"] + h), lambda u: to_wall(u) == o["at"])
+        tag = lambda u: F.when(o["u0"].isNull(), "+unzoned").when(u < o["u0"], "+wall_early").when(u > o["u0"], "+wall_late").otherwise("+wall")
+        return F.transform(F.when(o["u0"].isNull(), F.array(o["at"])).otherwise(F.concat(F.array(o["u0"]), fold)), lambda u: reading(F.concat(o["o"], tag(u)), u))
+
+    def lettered(o: Column) -> Column:
+        own = F.round((o["at"] - o["u0"]) / 60_000_000).cast("int")
+        near = F.filter("offs", lambda m: (m == own) | (F.abs(m - own) == 60))
+        use = F.when(F.array_contains("offs", own), F.array(own)).when(F.size(near) > 0, near).otherwise(F.col("offs"))
+        return F.transform(use, lambda m: reading(F.concat(o["o"], F.lit("+"), F.col("z"), m.cast("string")), o["at"] - m.cast("bigint") * 60_000_000))
+
+    def signed(o: Column) -> Column:
+        return F.array(reading(F.concat(o["o"], F.lit("+offset")), o["at"] - F.col("mins").cast("bigint") * 60_000_000))
+
+    every = F.flatten(F.transform("local", lambda o: F.when(F.col("off") != "", signed(o)).when(F.col("offs").isNotNull(), lettered(o)).otherwise(wall(o))))
+    parts.append(out(cal, F.array_distinct(every), F.col("grain")))
     res = parts[0]
     for p in parts[1:]:
         res = res.unionByName(p)
     return res
 
 
-def resolve(log: DataFrame, stations: DataFrame, *, sure: float = 0.9, entries: str = "entries") -> DataFrame:
+def resolve(log: DataFrame, stations: DataFrame, *, sure: float = 0.9) -> DataFrame:
     """One row per readable entry: ``log_id, instrument, us, fmt, grain_us, posterior, ambiguous``.
 
     ``us`` is microseconds since 1970 UTC, ``grain_us`` the precision it was
     written in.  Entries that give no instant (null, empty or unreadable text
     and no number) have no row.  An entry of an unknown station or zone is read
-    as UTC and competes with nothing; a missing ``written_at`` tells nothing.
-    Repeated rows of one ``log_id`` are read once per distinct reading.
+    as UTC; a missing ``written_at`` tells nothing.  Repeated rows give a row
+    each while they have one reading, and one row together otherwise.
+
+    Entries with a single reading pass without any shuffle; only the others
+    take part in the iterations.
     """
-    cand = staged(readings(log, stations).distinct().withColumns({"dc": _delay_class(F.col("us"), F.col("written_us")), "part": F.regexp_replace("fmt", "_(early|late)$", "")}), entries)
-    many = cand.groupBy("log_id").agg(F.count("*").alias("n")).where("n > 1")
-    open_ = cand.join(many.select("log_id"), "log_id")
-    single = cand.join(many, "log_id", "left_anti")
+    cand = readings(log, stations).withColumns({"dc": _delay_class(F.col("us"), F.col("written_us")), "part": F.regexp_replace("fmt", "_(early|late)$", "")})
+    cand = staged(cand, "entries")
+    single = cand.where("n = 1")
     certain = single.select("log_id", "instrument", "us", "fmt", "grain_us", F.lit(1.0).alias("posterior"), F.lit(False).alias("ambiguous"))
-    if not many.limit(1).count():
+    open_ = cand.where("n > 1")
+    if not open_.limit(1).count():
         return certain
     open_ = staged(open_, "readings")
     # entries with one reading show how the source writes and how long it waits; ``part`` is the component
     # of the mixture, the same for both sides of an autumn hour
-    fixed_f = single.groupBy("instrument", "part").agg(F.count("*").cast("double").alias("k"))
-    fixed_d = single.groupBy("dc").agg(F.count("*").cast("double").alias("k"))
-    n_any = max(1.0, float(single.count()))
+    fixed_f = staged(single.groupBy("instrument", "part").agg(F.count("*").cast("double").alias("k")), "formats")
+    fixed_d = staged(single.groupBy("dc").agg(F.count("*").cast("double").alias("k")), "delays")
+    n_any = max(1.0, float(fixed_d.agg(F.sum("k")).first()[0] or 0))
     post = open_.withColumn("p", F.lit(1.0) / F.count("*").over(_by("log_id")))
     for _ in range(ROUNDS):
         w = fixed_f.unionByName(post.groupBy("instrument", "part").agg(F.sum("p").alias("k"))).groupBy("instrument", "part").agg(F.sum("k").alias("wf"))
@@ -160,6 +174,7 @@ def resolve(log: DataFrame, stations: DataFrame, *, sure: float = 0.9, entries:
         ends = (0, *DELAY_CLASSES, 1000 * 86400)
         width = F.coalesce(*[F.when(F.col("dc") == i, F.lit(float(ends[i + 1] - ends[i]))) for i in range(len(DELAY_CLASSES) + 1)], F.lit(1e9))
         like = F.when(F.col("dc") == -2, F.lit(1.0)).when(F.col("dc") == -1, F.lit(1e-12)).otherwise((F.coalesce("wd", F.lit(0.0)) + 0.01) / (n_any + 1) / width)
+        # one row per delay class is broadcast
         post = open_.join(w, ["instrument", "part"], "left").join(F.broadcast(d), "dc", "left").withColumn("q", (F.coalesce("wf", F.lit(0.0)) + 0.5) * like)
         post = post.withColumn("p", F.col("q") / F.sum("q").over(_by("log_id"))).select(*open_.columns, "p")
         post = staged(post, "posterior")
@@ -169,9 +184,7 @@ def resolve(log: DataFrame, stations: DataFrame, *, sure: float = 0.9, entries:
 
 
 def _by(key: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key)
+    return W.partitionBy(key)
 
 
 def within(instants: DataFrame, seconds: float = 1.0) -> DataFrame:
