@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from firnline.common import scratch, table
 from firnline.functions import geodesy, times
 from firnline.operators import binning, crossover, index, mosaic, points, raster, register, sample, smooth, tiling, tracks
-from firnline.operators.ranks import global_index
+from firnline.operators.ranks import global_index, rank_within
+from firnline.sources import altimetry
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -952,6 +953,54 @@ def _(s, d):
     return glas.apply_filters(glas_input(s, d)).select("o1", "o2", "x", "y", "elev")
 
 
+# ---- altimetry tables -----------------------------------------------------------------------------------------
+
+_ATL = """a0 as (select * from (select *, row_number() over (partition by rgt, cycle_number, beam, segment_id order by ingested_at desc, point_id desc) as latest from atl06_segments) where latest = 1),
+a1 as (select * replace (case when h_li is not null and not isnan(h_li) and abs(h_li) < 3.4e38 then h_li end as h_li, case when h_li_sigma is not null and not isnan(h_li_sigma) and abs(h_li_sigma) < 3.4e38 then h_li_sigma end as h_li_sigma) from a0),
+a2 as (select *, abs(h_li - dh_fit_dx * (x_atc - lag(x_atc) over w) - lag(h_li) over w) as ra, abs(h_li - dh_fit_dx * (x_atc - lead(x_atc) over w) - lead(h_li) over w) as rb from a1 window w as (partition by rgt, cycle_number, beam order by segment_id))"""
+
+
+def latest_segments(s, d):
+    """Last delivered row of each segment; combined before the shuffle, no window over a key."""
+    a = table(s, d, "atl06_segments", ["point_id", "rgt", "cycle_number", "beam", "segment_id", "delta_time", "h_li", "h_li_sigma", "x_atc", "dh_fit_dx", "atl06_quality_summary", "ingested_at"])
+    key = ["rgt", "cycle_number", "beam", "segment_id"]
+    last = F.max_by(F.struct(*[c for c in a.columns if c not in key]), F.struct("ingested_at", "point_id"))
+    return a.groupBy(*key).agg(last.alias("r")).select(*key, "r.*")
+
+
+@query("segments_derived", "select point_id, case beam when 'l' then 0 when 'r' then 1 end as LR, coalesce(atl06_quality_summary = 0 and h_li is not null, false) as valid, round(737061 + delta_time / 86400, 6) as matlab_time, h_li, h_li_sigma from a1", _ATL)
+def _(s, d):
+    g = altimetry.derive_segments(latest_segments(s, d))
+    return g.select("point_id", "LR", "valid", r("matlab_time").alias("matlab_time"), "h_li", "h_li_sigma")
+
+
+@query("segments_residuals", "select point_id, round(least(ra, rb), 4) as min_dh, round(sqrt(coalesce(ra * ra, 0) + coalesce(rb * rb, 0)), 4) as rss_dh from a2", _ATL)
+def _(s, d):
+    g = altimetry.derive_segments(latest_segments(s, d))
+    return g.select("point_id", r("min_dh", 4).alias("min_dh"), r("rss_dh", 4).alias("rss_dh"))
+
+
+@query("segments_beams_wide", "select rgt, cycle_number, segment_id, max(case when beam = 'l' then h_li end) as h_li_l, max(case when beam = 'r' then h_li end) as h_li_r from a1 group by 1, 2, 3", _ATL)
+def _(s, d):
+    g = altimetry.mask_fills(latest_segments(s, d), ["h_li"])
+    return altimetry.beams_wide(g, ["rgt", "cycle_number", "segment_id"], ["h_li"])
+
+
+@query("segments_index", "select epsg, (round_even(x / 10000, 0) * 10000)::bigint as bin_x, (round_even(y / 10000, 0) * 10000)::bigint as bin_y, min(point_id) as offset_start, max(point_id) as offset_end, count(*)::bigint as n from atl06_segments where x is not null and y is not null group by 1, 2, 3")
+def _(s, d):
+    a = table(s, d, "atl06_segments", ["point_id", "epsg", "x", "y"]).where("x is not null and y is not null")
+    return index.build_index(a, 10_000.0, file="epsg", offset="point_id")
+
+
+@query("tile_points_median", """with k as (select tile, z, row_number() over (partition by tile order by z, tile_point_id) as rn, count(*) over (partition by tile) as n from tile_points where z is not null and not isnan(z))
+select tile, round(avg(z), 4) as z, max(n)::bigint as n from k where rn in ((n + 1) // 2, n // 2 + 1) group by tile""")
+def _(s, d):
+    p = table(s, d, "tile_points", ["tile_point_id", "tile", "z"]).where("z is not null and not isnan(z)")
+    g = rank_within(p, ["tile"], ["z", "tile_point_id"], "rn", "n")
+    g = g.where((F.col("rn") == F.floor((F.col("n") + 1) / 2)) | (F.col("rn") == F.floor(F.col("n") / 2) + 1))
+    return g.groupBy("tile").agg(F.round(F.avg("z"), 4).alias("z"), F.max("n").cast("bigint").alias("n"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_Q)
 
