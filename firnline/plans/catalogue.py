@@ -1001,6 +1001,61 @@ def _(s, d):
     return g.groupBy("tile").agg(F.round(F.avg("z"), 4).alias("z"), F.max("n").cast("bigint").alias("n"))
 
 
+# ---- packed formats: rows are packed into files by one stage and decoded by the next ---------------------------
+
+
+@query("packed_qi", "select o1 as record, round(y / 1000, 3) as latitude, round(x / 100, 6) as longitude, round(z, 3) as elevation, round(6129 - 17 / 86400.0, 9) as days_J2k, src as file from pts", PTS)
+def _(s, d):
+    from firnline.sources import packed, qi
+
+    p = pts(s, d).select("src", F.col("o1").cast("double").alias("gps_pdop"), "o2", (F.col("y") / 1000).alias("latitude"), (F.col("x") / 100).alias("longitude"), F.col("z").alias("elevation"))
+    files = packed.encode_binary(p, ["src"], ["gps_pdop", "o2"], qi.encode, lambda k: f"/{k[0]}/ILATM1B_20161012_000000.qi")
+    g = packed.decode_binary(files, qi.decode, qi.SCHEMA)
+    return g.select(F.rint("gps_pdop").cast("bigint").alias("record"), r("latitude", 3).alias("latitude"), r("longitude").alias("longitude"), r("elevation", 3).alias("elevation"), r("days_J2k", 9).alias("days_J2k"), F.split("source_file", "/")[1].alias("file"))
+
+
+@query("packed_l2", "select src, x, y, round(floor(z) / 1000, 3) as elev, round(sigma * 100, 2) as sig0, round(6300 + 43163 / 86400.0, 9) as days_j2k from pts where o2 < 8", PTS)
+def _(s, d):
+    from firnline.sources import cryosat, packed
+
+    p = pts(s, d).where("o2 < 8").select(
+        "src", "o1", "o2", F.lit(6300).alias("Day"), F.lit(43200).alias("Second"), F.lit(0).alias("Micsec"), F.col("x").cast("int").alias("m_Quality_1"), F.col("y").cast("int").alias("m_Quality_2"),
+        F.floor("z").cast("int").alias("m_Elev_1"), F.rint(F.col("sigma") * 10000).cast("int").alias("m_Sig0_1"),
+    )
+    files = packed.encode_binary(p, ["src"], ["o1", "o2"], lambda f: cryosat.encode_l2(f, "C"), lambda k: str(k[0]))
+    one, corr, many = cryosat.L2["C"]
+    fields = ", ".join([packed.schema(one, True), packed.schema(corr, True, "corr_"), packed.schema(many, True, "m_"), "`days_J2k` double", "`block` int", "`Abs_Orbit` bigint", "`Ascending_flag` boolean"])
+    g = packed.decode_binary(files, lambda q, c: cryosat.decode_l2(q, c, "C"), fields)
+    return g.select(F.col("source_file").alias("src"), F.col("m_Quality_1").cast("double").alias("x"), F.col("m_Quality_2").cast("double").alias("y"), r("m_Elev_1", 3).alias("elev"), r("m_Sig0_1", 2).alias("sig0"), r("days_J2k", 9).alias("days_j2k"))
+
+
+@query("geotiff_cells", 'select band, "row", col, 5.0::double + 10 * col as x, 2.5::double + 5 * "row" as y, z from cells', CELLS)
+def _(s, d):
+    import numpy as np
+
+    from firnline.sources import geotiff, packed
+
+    def encode(f):
+        z = np.full((int(f.row.max()) + 1, int(f.col.max()) + 1), np.nan)
+        z[f.row, f.col] = f.z
+        return geotiff.write_array(z, 5.0, 10.0, 2.5, 5.0, epsg=3031)
+
+    files = packed.encode_binary(cells(s, d).select("band", "row", "col", "z"), ["band"], ["row"], encode, lambda k: str(k[0]))
+    g = geotiff.decode_geotiff(files)
+    return g.select(F.col("source_file").cast("bigint").alias("band"), "row", "col", "x", "y", "z")
+
+
+@query("icessn_text", "select o1 as record, round(y / 1000, 3) as latitude, round(z, 2) as z, 0.07::double as sigma, (6129 + (o1 % 86400) / 86400.0)::double as days_J2k from pts", PTS)
+def _(s, d):
+    from firnline.sources import icessn
+
+    path = scratch(s, "ILATM2") + "/ILATM2_20161012_000000"
+    p = pts(s, d).select(F.concat_ws(", ", (F.col("o1") % 86400).cast("string"), (F.col("y") / 1000).cast("string"), (F.col("x") / 100).cast("string"), F.col("z").cast("decimal(12,2)").cast("string"), F.lit("0.0"), F.lit("0.0"), F.lit("0.07"), F.col("o1").cast("string"), F.lit("0, 0, 0")).alias("value"))
+    p.write.text(path)
+    g = icessn.read_icessn(s, path)
+    return g.select(F.col("number_of_atm_measurments_used").cast("bigint").alias("record"), r("latitude", 3).alias("latitude"), "z", "sigma", F.col("days_J2k"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_Q)
 

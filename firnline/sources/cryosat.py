@@ -124,6 +124,24 @@ def decode_l2(path: str, content: bytes, baseline: str, unpack: bool = True) ->
     return d
 
 
+def encode_l2(d: pd.DataFrame, baseline: str) -> bytes:
+    """Level-2 records without headers from rows with ``Day, Second, Micsec`` and ``m_``-fields in units of the packed layout.
+
+    Consecutive rows share a record of twenty; its time is that of the first.
+    """
+    one, corr, many = L2[baseline]
+    n = -(-len(d) // BLOCKS)
+    rec = np.zeros(n, np.dtype([("a", dtype(one)), ("c", dtype(corr)), ("m", dtype(many), (BLOCKS,))]))
+    for f in ("Day", "Second", "Micsec"):
+        rec["a"][f] = d[f].to_numpy()[::BLOCKS]
+    rec["a"]["N_valid"] = np.minimum(BLOCKS, len(d) - BLOCKS * np.arange(n))
+    r, b = np.divmod(np.arange(len(d)), BLOCKS)
+    for f in many:
+        if f"m_{f.name}" in d.columns:
+            rec["m"][f.name][r, b] = d[f"m_{f.name}"].to_numpy()
+    return rec.tobytes()
+
+
 def read_l2(spark: SparkSession, path: str, baseline: str, unpack: bool = True) -> DataFrame:
     one, corr, many = L2[baseline]
     cols = ", ".join([schema(one, unpack), schema(corr, unpack, "corr_"), schema(many, unpack, "m_"), "`days_J2k` double", "`block` int", "`Abs_Orbit` bigint", "`Ascending_flag` boolean"])

@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from firnline.sources.packed import read_binary
+from firnline.sources.packed import decode_binary
 
 # fixed values: TIFF field types (bytes, format) and tags
 _TYPES = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 11: (4, "f"), 12: (8, "d"), 16: (8, "Q")}
@@ -66,7 +66,12 @@ def read_array(b: bytes) -> tuple[np.ndarray, dict]:
 
 
 def read_geotiff(spark: SparkSession, path: str, *, bounds: tuple[float, float, float, float] | None = None, bands: list[int] | None = None, skip: int = 1, min_res: float | None = None, field: str = "z") -> DataFrame:
-    """Cells ``band, row, col, x, y, <field>`` of every raster below ``path``; nodata and NaN cells are absent.
+    """Cells of every raster below ``path``; see ``decode_geotiff``."""
+    return decode_geotiff(spark.read.format("binaryFile").load(path), bounds=bounds, bands=bands, skip=skip, min_res=min_res, field=field)
+
+
+def decode_geotiff(files: DataFrame, *, bounds: tuple[float, float, float, float] | None = None, bands: list[int] | None = None, skip: int = 1, min_res: float | None = None, field: str = "z") -> DataFrame:
+    """Cells ``band, row, col, x, y, <field>`` of rasters given as ``path, content``; nodata and NaN cells are absent.
 
     ``bounds`` (x0, x1, y0, y1, closed), ``bands`` and every ``skip``-th cell
     (or the step that reaches ``min_res``) are applied before rows are made.
@@ -86,7 +91,7 @@ def read_geotiff(spark: SparkSession, path: str, *, bounds: tuple[float, float,
         b, i, j = np.nonzero(~bad)
         return pd.DataFrame({"band": np.array(use, np.int64)[b], "row": r[i].astype(np.int64), "col": c[j].astype(np.int64), "x": x[j], "y": y[i], field: v[b, i, j]})
 
-    return read_binary(spark, path, decode, f"`band` bigint, `row` bigint, `col` bigint, `x` double, `y` double, `{field}` double")
+    return decode_binary(files, decode, f"`band` bigint, `row` bigint, `col` bigint, `x` double, `y` double, `{field}` double")
 
 
 def write_array(z: np.ndarray, x0: float, dx: float, y0: float, dy: float, *, epsg: int | None = None, nodata: float | None = None) -> bytes:

@@ -60,11 +60,12 @@ def columns(rec: np.ndarray, fields: list[Field], unpack: bool, prefix: str = ""
     return out
 
 
-def read_binary(spark: SparkSession, path: str, decode: Callable[[str, bytes], pd.DataFrame], fields: str) -> DataFrame:
-    """Rows of every file below ``path``; a file is decoded in the task that holds it.
+def decode_binary(files: DataFrame, decode: Callable[[str, bytes], pd.DataFrame], fields: str) -> DataFrame:
+    """Rows of files given as ``path, content``; a file is decoded in the task that holds it.
 
     ``decode(path, content)`` must return the columns of ``fields``; ``source_file`` is added.
     """
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
             for p, content in zip(d.path, d.content):
@@ -72,4 +73,18 @@ def read_binary(spark: SparkSession, path: str, decode: Callable[[str, bytes], p
                 out["source_file"] = p
                 yield out
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, f"{fields}, source_file string")
+    return files.select("path", "content").mapInPandas(run, f"{fields}, source_file string")
+
+
+def read_binary(spark: SparkSession, path: str, decode: Callable[[str, bytes], pd.DataFrame], fields: str) -> DataFrame:
+    """The same for every file below ``path``."""
+    return decode_binary(spark.read.format("binaryFile").load(path), decode, fields)
+
+
+def encode_binary(rows: DataFrame, file: list[str], order: list[str], encode: Callable[[pd.DataFrame], bytes], path: Callable[[tuple], str]) -> DataFrame:
+    """``path, content``: the rows of each file packed by ``encode`` (a file must fit a task)."""
+
+    def run(key: tuple, d: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"path": [path(key)], "content": [encode(d.sort_values(order))]})
+
+    return rows.groupBy(*file).applyInPandas(run, "path string, content binary")

@@ -60,5 +60,15 @@ def decode(path: str, content: bytes, rows: tuple[int, int] | None = None) -> pd
 SCHEMA = ", ".join(f"`{n}` double" for n in [*FIELDS, "days_J2k"]) + ", row_number bigint"
 
 
+def encode(d: pd.DataFrame, words: int = 12, order: str = ">") -> bytes:
+    """A file of the rows' fields; ``time_hhmmss`` and fields not given are zero."""
+    rec = np.zeros((len(d) + 1, words), order + "i4")
+    rec[0, 0] = 4 * words
+    for i, (n, s) in enumerate(WORDS[words]):
+        if n in d.columns:
+            rec[1:, i] = np.rint(d[n].to_numpy() * s)
+    return rec.tobytes()
+
+
 def read_qi(spark: SparkSession, path: str) -> DataFrame:
     return read_binary(spark, path, decode, SCHEMA)
