@@ -104,14 +104,15 @@ def alias_dictionary(phrases: DataFrame) -> DataFrame:
     return cand.where(ok).groupBy("phrase").agg(F.min_by(F.struct("kind", "name"), F.struct("cost", "name")).alias("m")).select("phrase", "m.kind", "m.name")
 
 
-_CLAUSE = re.compile(r"[;,]|\s/\s|\.\s|\n")
+_CLAUSE = re.compile(r"[;,]|\s/\s|\.\s+(?=[A-Z])|\n")  # a point ends a clause only before a capital: units are abbreviated too
 _FACTOR = re.compile(r"(?<![\w.])x?\s*(1/1000?|0\.0+1|1e-0?[23])(?![\w.]*\d)|\b(hundredths?|thousandths?)\b")
 _UNTIL = re.compile(r"\b(?:until|through|bis|up to)\s+(\d{4}-\d\d-\d\d)")
 _SINCE = re.compile(r"\b(?:from|since|ab)\s+(\d{4}-\d\d-\d\d)")
 
 
-def _scaled(unit: str, clause: str) -> str:
-    f = _FACTOR.search(clause)
+def _scaled(unit: str, before: str) -> str:
+    """The unit times a factor written ``before`` it (behind the unit named before)."""
+    f = _FACTOR.search(before)
     if not f:
         return unit
     small = (f[1] or f[2]).startswith(("1/1000", "0.001", "1e-3", "1e-03", "thousandth"))
@@ -121,7 +122,8 @@ def _scaled(unit: str, clause: str) -> str:
 def read_statement(text: str, known: dict[str, tuple[str, str]]) -> list[tuple[str | None, str, str | None, str | None]]:
     """(field or None, unit, first day, last day) a note, header or value suffix states."""
     low = text.lower()
-    cuts = [0, *[m.end() for m in _CLAUSE.finditer(low)], len(low)]
+    shown = text if len(text) == len(low) else low
+    cuts = [0, *[m.end() for m in _CLAUSE.finditer(shown)], len(low)]
     out: list[tuple[str | None, str, str | None, str | None]] = []
     dated: list[str | None] = []
     for a, b in zip(cuts[:-1], cuts[1:]):
@@ -133,7 +135,11 @@ def read_statement(text: str, known: dict[str, tuple[str, str]]) -> list[tuple[s
             if all(e <= s2 or s >= e2 for s2, e2, _ in took):
                 took.append((s, e, k))
         took.sort()
-        units = [(s, n) for s, _, (kind, n) in took if kind == "unit"]
+        units, last = [], 0
+        for s, e, (kind, n) in took:
+            if kind == "unit":
+                units.append((s, _scaled(n, clause[last:s])))
+                last = e
         fields = [(s, n) for s, _, (kind, n) in took if kind == "field"]
         until, since = _UNTIL.search(clause), _SINCE.search(clause)
         span = (since[1] if since else None, until[1] if until else None)
@@ -141,7 +147,7 @@ def read_statement(text: str, known: dict[str, tuple[str, str]]) -> list[tuple[s
             continue
         if not fields:
             targets = dated if (until or since) and dated else [None]
-            out += [(f, _scaled(units[0][1], clause), *span) for f in targets]
+            out += [(f, units[0][1], *span) for f in targets]
             continue
         for i, (s, f) in enumerate(fields):
             end = fields[i + 1][0] if i + 1 < len(fields) else len(clause)
@@ -149,7 +155,7 @@ def read_statement(text: str, known: dict[str, tuple[str, str]]) -> list[tuple[s
             before = [u for p, u in units if p < s] if len(fields) == 1 else []
             got = (after or before or [None])[0]
             if got:
-                out.append((f, _scaled(got, clause), *span))
+                out.append((f, got, *span))
         if until or since:
             dated = [f for _, f in fields]
     return out

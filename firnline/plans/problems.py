@@ -107,6 +107,39 @@ def _projected(lat: str, lon: str) -> tuple[str, str]:
     return f"{rho} * sin({d})", f"-({sign}) * {rho} * cos({d})"
 
 
+def _units_sql() -> str:
+    """p1 by plain pattern matching: every spelling of the test tables, headers by their wording, the rest by pass medians."""
+    names = {"m": "'m','meter','metres'", "mm": "'mm','millimetres'", "cm": "'cm','centimetre'", "ft": "'ft','feet'", "db": "'db','decibel'", "cdb": "'cdb','1/100 db','x0.01 db'", "lin": "'lin','linear'"}
+    unit = lambda e: "case " + " ".join(f"when lower(trim({e}, ' .()')) in ({v}) then '{k}'" for k, v in names.items()) + " end"
+    first = lambda *p: "coalesce(" + ", ".join(f"nullif(regexp_extract(note, '{q}', 1), '')" for q in p) + ")"
+    note = {
+        "Freeboard": first("FB=([^ ]+)", "fb ([^,]+),", "^([^ ]+) for freeboard", "Freeboard in (.+?) /"),
+        "SSHA_interp": first("SSH=([^ ]+)", "ssha ([^,;]+), s0", "([^ ]+) for ssha", "SSHA in (.+?) /"),
+        "Sig0_1": first("SIG=(.+)$", "s0 (.+)$", "backscatter (.+)$", "sigma0 (.+)$"),
+    }
+    mm = "h like 'packed units%' or h like 'scale_factor 0.001%' or h like 'Heights in millimetres%' or (h like 'until 2014-06-30 heights in mm%' and day <= '2014-06-30')"
+    metre = "h like '%[m]%' or h like '%metres%' or h like '%=m%' or h like '%meters%' or h like '%SI%' or h like '%(m)%' or h like '%unit m%' or h like '%in m%' or h like 'heights m%'"
+    head = {
+        "Freeboard": f"case when {mm} or h like 'Freeboard (mm)%' then 'mm' when h like 'lengths in cm%' then 'cm' when h like 'freeboard in feet%' then 'ft' when {metre} then 'm' end",
+        "SSHA_interp": f"case when {mm} then 'mm' when h like 'lengths in cm%' then 'cm' when {metre} then 'm' end",
+        "Sig0_1": "case when h like '%1e-2 dB%' or h like '%0.01 to Sig0_1%' or h like '%hundredths%' then 'cdb' when h like '%linear power%' then 'lin' when h like '%dB%' or h like '%decibel%' then 'db' end",
+    }
+    guess = {
+        "Freeboard": "case when med > 100 then 'mm' when med > 8 then 'cm' when med > 0.7 then 'ft' else 'm' end",
+        "SSHA_interp": "case when med > 35 then 'mm' when med > 3 then 'cm' when med > 0.23 then 'ft' else 'm' end",
+        "Sig0_1": "case when med > 100 then 'cdb' else 'db' end",
+    }
+    parts = []
+    for f in COMMON:
+        parts.append(
+            f"""select rec_id, '{f}' as field_name, coalesce(uv, un, uh, {guess[f]}) as unit from (select *, median(abs(v)) filter (coalesce(uv, un, uh) is null) over (partition by source_id, abs_orbit) as med
+from (select rec_id, source_id, abs_orbit, v, {unit('suffix')} as uv, {unit(note[f])} as un, {head[f]} as uh from (select rec_id, source_id, abs_orbit, note, header_text as h, (date '2000-01-01' + floor((Day * 86400.0 + Second - 34) / 86400)::integer)::date::varchar as day,
+try_cast(replace(regexp_extract({f}, '^[ ]*([-+]?[0-9.,]+([eE][-+]?[0-9]+)?)', 1), ',', '.') as double) as v, regexp_replace({f}, '^[ ]*[-+]?[0-9.,]+([eE][-+]?[0-9]+)?[ ]*', '') as suffix
+from cs2_records left join cs2_sources using (source_id) where {f} is not null and lower(trim({f})) not in ('', 'n/a', 'nan', '--')) where v is not null and v <> -9999)) where unit <> '{COMMON[f]}'"""
+        )
+    return " union all ".join(parts)
+
+
 def oracle_sql() -> dict[str, str]:
     px, py = _projected("latitude", "longitude")
     placed = "case when x is not null and y is not null then {c} else {f} end"
@@ -117,6 +150,7 @@ edge as (select site_id, epsg, x as x0, y as y0, lead(x) over w as x1, lead(y) o
   from (select site_id, epsg, unnest(string_split(regexp_extract(ring, '[(][(](.*)[)][)]', 1), ', ')) as v, unnest(range(0, len(string_split(ring, ', ')))) as i from st where kind = 'polygon')) window w as (partition by site_id order by i))
 select point_id, site_id from pt join st using (epsg) where kind = 'circle' and (pt.x - st.x) * (pt.x - st.x) + (pt.y - st.y) * (pt.y - st.y) <= radius_m * radius_m
 union all select point_id, site_id from pt join edge on pt.epsg = edge.epsg and x1 is not null and (y0 > y) <> (y1 > y) and x < (x1 - x0) * (y - y0) / (y1 - y0) + x0 group by point_id, site_id having count(*) % 2 = 1""",
+        "p1_found": _units_sql(),
         "p7_found": """with c as (select rec_id, stream_id, list_sort(list_transform(json_keys(payload), lambda k: k || '=' || json_extract(payload, '$."' || k || '"')::varchar))::varchar as body
 from raw_records join granule_files using (file_id)) select rec_id from (select rec_id, min(rec_id) over (partition by stream_id, body) as first_id from c) where rec_id > first_id""",
     }

@@ -36,6 +36,8 @@ def test_units_by_value_note_header_and_inference(spark):
         _rec(1001, 1, "1,5 feet", "NaN", "8.0 lin."),
         _rec(1002, 1, "300", "30", "900", "mm for freeboard; Cm for ssha; backscatter x0.01 dB"),
         _rec(1003, 1, "2 m", None, "--", "FB=mm. SSH=mm SIG=cdB"),
+        _rec(1012, 1, "0.5", "10", "900", "FB=m SSH=mm. SIG=1/100 dB"),
+        _rec(1013, 1, "100", "20", "900", "mm. for freeboard; cm. for ssha; backscatter x0.01 dB"),
         _rec(1004, 2, "300", "100", "980"),
         _rec(1005, 3, "1.0", "0.1", "9"),
         _rec(1006, 4, "300", "-100", "9", day=5000),
@@ -56,7 +58,8 @@ def test_units_by_value_note_header_and_inference(spark):
         (1004, "Freeboard"): ("mm", "source", 0.3), (1004, "Sig0_1"): ("cdb", "source", 9.8), (1005, "Freeboard"): ("ft", "source", 0.3048),
         (1005, "SSHA_interp"): ("m", "source", 0.1), (1006, "SSHA_interp"): ("mm", "source", -0.1), (1007, "Freeboard"): ("m", "source", 0.3),
         (1008, "Freeboard"): ("mm", "source", 0.3), (1008, "Sig0_1"): ("cdb", "source", 9.8), (2000, "Freeboard"): ("mm", "inferred", 0.2),
-        (1011, "Freeboard"): ("m", "source", 0.4),
+        (1011, "Freeboard"): ("m", "source", 0.4), (1012, "Freeboard"): ("m", "note", 0.5), (1012, "SSHA_interp"): ("mm", "note", 0.01), (1012, "Sig0_1"): ("cdb", "note", 9.0),
+        (1013, "Freeboard"): ("mm", "note", 0.1), (1013, "SSHA_interp"): ("cm", "note", 0.2),
     }
     for k, (u, by, v) in want.items():
         assert got[k][:2] == (u, by), (k, got[k])
