@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firnline.common import scratch, table
-from firnline.functions import geodesy
+from firnline.functions import geodesy, times
 from firnline.operators.drift import changes
 from firnline.operators.instants import resolve, within
 from firnline.operators.nearby import points_in_sites
@@ -140,6 +140,30 @@ from cs2_records left join cs2_sources using (source_id) where {f} is not null a
     return " union all ".join(parts)
 
 
+def _instants_sql() -> str:
+    """p5 with one pattern per form of the test tables and the zone tables of the SQL engine."""
+    tai = "(Day::bigint * 86400 + Second)"
+    leaps = " + ".join(f"(case when {tai} >= {d * 86400 + n} then 1 else 0 end)" for d, n in times.LEAPS_2000)
+    local = lambda f, e="t": f"epoch_us(timezone(zone, strptime({e}, '{f}')))"
+    slash = f"case date_order when 'mdy' then {local('%m/%d/%Y %I:%M:%S %p')} end"
+    return f"""with e as (select log_id, instrument, trim(time_text) as t, zone, date_order, delta_time, days_J2k, Day, Second, Micsec from time_log join stations using (station_id)),
+i as (select log_id, instrument, case
+when t is null and delta_time is not null then {times.US_2018} + round(delta_time * 1e6)::bigint
+when t is null and days_J2k is not null then {times.US_2000} + round(days_J2k * 86400e6)::bigint
+when t is null then {times.US_2000} + ({tai} - {times.TAI_UTC_2000} - ({leaps})) * 1000000 + Micsec
+when regexp_full_match(t, '[0-9]{{13}}') then t::bigint * 1000
+when regexp_full_match(t, '[0-9]{{10}}[.][0-9]{{2}}') then (t::decimal(38, 6) * 1000000)::bigint
+when regexp_full_match(t, '[0-9]{{8}}T[0-9]{{6}}Z') then epoch_us(strptime(t, '%Y%m%dT%H%M%SZ'))
+when regexp_full_match(t, '[0-9]{{4}}-[0-9]{{3}}T.*Z') then epoch_us(strptime(t[:17], '%Y-%jT%H:%M:%S')) + t[19:21]::bigint * 1000
+when regexp_full_match(t, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[T ].*(Z|[-+][0-9]{{2}}:?[0-9]{{2}})') then epoch_us(regexp_replace(replace(t, ' ', 'T'), '([-+][0-9]{{2}})([0-9]{{2}})$', '\\1:\\2')::timestamptz)
+when regexp_full_match(t, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}} [0-9:.]*') then {local('%Y-%m-%d %H:%M:%S', 't[:19]')} + t[21:23]::bigint * 1000
+when regexp_full_match(t, '[0-9]{{4}}/.*') then {local('%Y/%m/%d %H:%M:%S')}
+when regexp_full_match(t, '.*[AP]M') then {slash}
+when regexp_full_match(t, '[0-9]{{2}}/.*') then {local('%d/%m/%Y %H:%M:%S')}
+else {local('%d %b %Y %H:%M:%S', 't[:20]')} end as us from e)
+select a.log_id as log_id_a, b.log_id as log_id_b from i a join i b on a.instrument = b.instrument and a.log_id < b.log_id and abs(a.us - b.us) <= 1000000"""
+
+
 def oracle_sql() -> dict[str, str]:
     px, py = _projected("latitude", "longitude")
     placed = "case when x is not null and y is not null then {c} else {f} end"
@@ -151,6 +175,7 @@ edge as (select site_id, epsg, x as x0, y as y0, lead(x) over w as x1, lead(y) o
 select point_id, site_id from pt join st using (epsg) where kind = 'circle' and (pt.x - st.x) * (pt.x - st.x) + (pt.y - st.y) * (pt.y - st.y) <= radius_m * radius_m
 union all select point_id, site_id from pt join edge on pt.epsg = edge.epsg and x1 is not null and (y0 > y) <> (y1 > y) and x < (x1 - x0) * (y - y0) / (y1 - y0) + x0 group by point_id, site_id having count(*) % 2 = 1""",
         "p1_found": _units_sql(),
+        "p5_found": _instants_sql(),
         "p7_found": """with c as (select rec_id, stream_id, list_sort(list_transform(json_keys(payload), lambda k: k || '=' || json_extract(payload, '$."' || k || '"')::varchar))::varchar as body
 from raw_records join granule_files using (file_id)) select rec_id from (select rec_id, min(rec_id) over (partition by stream_id, body) as first_id from c) where rec_id > first_id""",
     }
