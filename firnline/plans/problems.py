@@ -164,6 +164,33 @@ else {local('%d %b %Y %H:%M:%S', 't[:20]')} end as us from e)
 select a.log_id as log_id_a, b.log_id as log_id_b from i a join i b on a.instrument = b.instrument and a.log_id < b.log_id and abs(a.us - b.us) <= 1000000"""
 
 
+def _drift_sql() -> str:
+    """p3 with the known families of names in place of the evidence the operator gathers."""
+    families = {
+        "wf": "'Waveform','waveform','pwr_waveform_20_ku','Wfm'",
+        "cf": "'Corrections_flag','corrections_flag','Corr_status_flag','Corr_flag','flag_cor_applied_20_ku'",
+        "sg": "'sigma_geo_r','SIGMA_GEO_R','geo_sigma_r','sigma_geo_range'",
+        "np": "'n_fit_photons','n_photons_fit'",
+        "pk": "'Peakiness','peakiness_20_ku'",
+        "na": "'N_avg','n_avg_echoes'",
+        "lm": "'Linear_Wfm_Multiplier','echo_scale_factor'",
+    }
+    family = "case " + " ".join(f"when k in ({v}) then '{f}'" for f, v in families.items()) + " end"
+    kinds = "case json_type(payload, '$.\"' || k || '\"') when 'UBIGINT' then 'integer' when 'BIGINT' then 'integer' when 'HUGEINT' then 'integer' when 'DOUBLE' then 'number' when 'VARCHAR' then 'text' when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'list' when 'OBJECT' then 'object' end"
+    return f"""with r as (select file_id, payload, unnest(json_keys(payload)) as k from raw_records), t as (select file_id, k, {kinds} as kind from r),
+c as (select file_id, k, kind, count(*) as n from t where kind is not null group by all), m as (select *, sum(n) over (partition by file_id, k) as total from c),
+prof as (select file_id, k, max(kind) filter (n * 2 > total) as kind from (select distinct file_id, k from t) left join m using (file_id, k) group by 1, 2),
+f as (select file_id, lag(file_id) over (partition by stream_id order by acquired_at, file_id) as prev from granule_files where file_id in (select file_id from prof)),
+pair as (select coalesce(a.file_id, b.file_id) as file_id, coalesce(a.k, b.k) as k, a.k as now_k, b.k as old_k, a.kind as now_kind, b.kind as old_kind
+from (select prof.* from prof join f using (file_id) where prev is not null) a full join (select f.file_id, prof.k, prof.kind from f join prof on prof.file_id = f.prev) b on a.file_id = b.file_id and a.k = b.k),
+gone as (select file_id, k, {family} as fam from pair where now_k is null), come as (select file_id, k, {family} as fam from pair where old_k is null),
+ren as (select g.file_id, g.k as a, h.k as b from gone g join come h on g.file_id = h.file_id and g.fam = h.fam)
+select file_id, 'renamed' as change, a as field_before, b as field_after from ren
+union all select file_id, 'removed', k, '' from gone where (file_id, k) not in (select file_id, a from ren)
+union all select file_id, 'added', '', k from come where (file_id, k) not in (select file_id, b from ren)
+union all select file_id, 'retyped', k, k from pair where now_k is not null and old_k is not null and now_kind <> old_kind"""
+
+
 def oracle_sql() -> dict[str, str]:
     px, py = _projected("latitude", "longitude")
     placed = "case when x is not null and y is not null then {c} else {f} end"
@@ -175,6 +202,7 @@ edge as (select site_id, epsg, x as x0, y as y0, lead(x) over w as x1, lead(y) o
 select point_id, site_id from pt join st using (epsg) where kind = 'circle' and (pt.x - st.x) * (pt.x - st.x) + (pt.y - st.y) * (pt.y - st.y) <= radius_m * radius_m
 union all select point_id, site_id from pt join edge on pt.epsg = edge.epsg and x1 is not null and (y0 > y) <> (y1 > y) and x < (x1 - x0) * (y - y0) / (y1 - y0) + x0 group by point_id, site_id having count(*) % 2 = 1""",
         "p1_found": _units_sql(),
+        "p3_found": _drift_sql(),
         "p5_found": _instants_sql(),
         "p7_found": """with c as (select rec_id, stream_id, list_sort(list_transform(json_keys(payload), lambda k: k || '=' || json_extract(payload, '$."' || k || '"')::varchar))::varchar as body
 from raw_records join granule_files using (file_id)) select rec_id from (select rec_id, min(rec_id) over (partition by stream_id, body) as first_id from c) where rec_id > first_id""",
