@@ -32,7 +32,7 @@ FUNCTION_WORDS = frozenset(
     b"""a an the is are was were be been and or but of to in on at by for with from not no you i we he she it they me us my your our
     his her its their this that who what where when if as so do did don't can't won't never isn't there here between near under
     der die das ein eine ist sind war und oder aber nicht mit von zu auf fur ich du er sie wir ihr es wer wo warum hat habe haben hier
-    le la les un une des du de et ou est sont etait pas plus ne en au je tu il elle nous vous ce c'est qui que avec dans sur pour
+    le la les un une des du de et ou est sont etait ne en au je tu il elle nous vous ce c'est qui que avec dans sur pour
     el los las una y o es esta son era lo se del al con por para donde quien que he ha hemos hay
     og er en et ei den det som har jeg vi dere ikke til fra av hvem hvor noe deg""".split()
 )
@@ -117,7 +117,10 @@ def spam_share(text: str) -> float:
         if nc < 2:
             continue
         distinct = len(set(content))
-        near = sum(gap[i] <= LAGS for i in range(a, b) if words[i] not in FUNCTION_WORDS) / nc
+        # what stands before a colon is a label: only the words it introduces tell whether they recur
+        start = a + len(WORD.findall(line[: line.index(b":")])) if b":" in line else a
+        told = [i for i in range(start, b) if words[i] not in FUNCTION_WORDS]
+        near = sum(gap[i] <= LAGS for i in told) / max(1, len(told))
         if function * 8 <= size and not ended:
             # nouns without function words: recurring ones, or a long row of different ones
             listed = line.count(b",") + line.count(b";") + line.count(b"|")

@@ -93,12 +93,14 @@ SPAM = {
     "links": ["shoes sale http://shoes-sale1.example/shoes", "www.sale-shoes4.invalid/x?id=7", "cheap >> shoes-9.test", '<a href="http://a-b.example">sale</a>'],
     "articles": ["shoes | SKU-12345 | sale | 12.99 | cheap", "sale | SKU-54321 | shoes | 99.99 | shoes"],
     "lists": ["labels: shoes; cheap sale; bonus; shoes; bonus", "tags - bonus; shoes; cheap sale; cheap sale"],
+    "pas": ["rapide pas rapide near you rapide", "Buy pas with pas rapide and get pas rapide", "pas is the pas for rapide pas"],
     "nouns": ["shoes sale bonus cheap price order deal", "price deal shoes order bonus sale cheap"],
 }
 FAIR = {
     "shouts": ["Neja! Neja! Neja!", "No! No! No!", "Go, go, go!", "Neja, wait!"] * 3,
     "song": ["♪ No lo sé, Melja ♪", "♪ Hemos abierto un camino ayer ♪"] * 5,
     "credits": ["Sound: Melil Quosund", "Camera: Dasil Yrfell", "Script: Suja Marness", "Driver: Keven Vasrok"],
+    "units": ["Second unit: Bririt Brustad", "Second unit: Vinska Quosund", "Editing: Suven Yrvik", "Second unit: Orpo Tveness"] * 2,
     "advert": [*SPEECH, "Support us and become a member at www.subs.example", *SPEECH],
     "speech": SPEECH * 2,
 }
