@@ -100,7 +100,7 @@ FAIR = {
     "shouts": ["Neja! Neja! Neja!", "No! No! No!", "Go, go, go!", "Neja, wait!"] * 3,
     "song": ["♪ No lo sé, Melja ♪", "♪ Hemos abierto un camino ayer ♪"] * 5,
     "credits": ["Sound: Melil Quosund", "Camera: Dasil Yrfell", "Script: Suja Marness", "Driver: Keven Vasrok"],
-    "units": ["Second unit: Bririt Brustad", "Second unit: Vinska Quosund", "Editing: Suven Yrvik", "Second unit: Orpo Tveness"] * 2,
+    "units": ["Second unit: Bririt Brustad", "Second unit: Vinska Quosund", "Editing: Suven Yrvik", "Second unit: Orpo Tveness", "Second unit: Keven Vasdal", "Second unit: Loja Brurok", "Camera: Neven Vasfell"],
     "advert": [*SPEECH, "Support us and become a member at www.subs.example", *SPEECH],
     "speech": SPEECH * 2,
 }
