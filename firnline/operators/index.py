@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -63,6 +66,29 @@ def points_of(points: DataFrame, ranges: DataFrame, bins: DataFrame | None, delt
     return out if bins is None else out.join(broadcast_if_few(bins.select("bin_x", "bin_y").distinct()), ["bin_x", "bin_y"], "left_semi")
 
 
+def read_ranges(ranges: DataFrame, reader: Callable[[str, int, int], pd.DataFrame], schema: str, *, file: str = "file", error_action: str = "warn") -> DataFrame:
+    """Rows that ``reader(file, first, last)`` returns for each range of a query result, ends included.
+
+    Ranges are spread over the tasks by file.  A file that is missing gives no
+    rows; another error of a reader is logged and skipped with
+    ``error_action="warn"`` and raised with ``"raise"``.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            for f, a, b in zip(d[file], d.offset_start, d.offset_end):
+                try:
+                    yield reader(f, int(a), int(b))
+                except FileNotFoundError:
+                    continue
+                except Exception as problem:
+                    if error_action == "raise":
+                        raise
+                    logging.getLogger(__name__).warning("%s: %s", f, problem)
+
+    return ranges.select(file, "offset_start", "offset_end").repartition(file).mapInPandas(run, schema)
+
+
 def clean_path(path: Column) -> Column:
     """Repeated slashes as one."""
     return F.regexp_replace(path, "/+", "/")

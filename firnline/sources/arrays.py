@@ -92,3 +92,31 @@ def read_netcdf(spark: SparkSession, path: str, field: str, *, x: str = "x", y:
         return d[(d.x >= bounds[0]) & (d.x <= bounds[1]) & (d.y >= bounds[2]) & (d.y <= bounds[3])] if bounds else d
 
     return read_binary(spark, path, run, f"`band` bigint, `row` bigint, `col` bigint, `x` double, `y` double, `t` double, `{field}` double")
+
+
+def write_netcdf(z: np.ndarray, x: np.ndarray, y: np.ndarray, path: str, field: str = "z", t: np.ndarray | None = None, attributes: dict | None = None) -> None:
+    """One raster ``(bands, rows, columns)`` with its axes and the attributes of its grid mapping."""
+    ds = need("netCDF4").Dataset(path, "w")
+    axes = {"y": y, "x": x} if t is None else {"time": t, "y": y, "x": x}
+    for n, v in axes.items():
+        ds.createDimension(n, len(v))
+        ds.createVariable(n, "f8", (n,))[:] = v
+    v = ds.createVariable(field, "f8", tuple(axes), zlib=True, fill_value=np.nan)
+    v[:] = z if t is not None else np.asarray(z).reshape(len(y), len(x))
+    if attributes:
+        m = ds.createVariable(attributes["grid_mapping_name"], "S1", ())
+        m.setncatts(attributes)
+        v.grid_mapping = attributes["grid_mapping_name"]
+    ds.close()
+
+
+def write_hdf5(columns: dict[str, np.ndarray], path: str, group: str = "/", attributes: dict | None = None) -> None:
+    """One data set per column, gzip-packed and extensible."""
+    with need("h5py").File(path, "a") as f:
+        g = f.require_group(group)
+        for n, v in columns.items():
+            if n in g:
+                del g[n]
+            g.create_dataset(n, data=v, compression="gzip", chunks=True, maxshape=(None, *np.shape(v)[1:]))
+        for k, v in (attributes or {}).items():
+            g.attrs[k] = v

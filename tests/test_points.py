@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from firnline.operators import binning, points, raster, tiling
+from firnline.functions import crs
+from firnline.operators import binning, index, points, raster, tiling
 from firnline.operators.ranks import global_index, rank_within
 
 
@@ -71,6 +72,38 @@ def test_tiling_schema_and_pruning(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(tile_x" in plan and "PushedFilters: [IsNotNull(x)" in plan
 
 
+def test_crs():
+    assert crs.choose(None, None, 3031, "x") == 3031 and crs.choose(own_epsg=3413) == 3413
+    for c in (3413, 3031):
+        assert crs.epsg_of(crs.proj4_of(c)) == c == crs.attributes(f"EPSG:{c}")["spatial_epsg"]
+    assert crs.epsg_of("+proj=stere +lat_0=90 +lat_ts=70 +lon_0=-45 +datum=WGS84 +units=m") == 3413
+    with pytest.raises(ValueError):
+        crs.epsg_of(4326)
+
+
+def test_projection_round_trip(spark):
+    d = spark.createDataFrame([(-85.0, 10.0), (-60.0, -170.0)], "latitude double, longitude double")
+    b = crs.add_latlon(crs.add_xy(d, 3031).drop("latitude", "longitude"), 3031).collect()
+    assert [(r.latitude, r.longitude) for r in b] == [pytest.approx((-85.0, 10.0), abs=1e-9), pytest.approx((-60.0, -170.0), abs=1e-9)]
+
+
+def test_read_ranges(spark):
+    import pandas as pd
+
+    r = spark.createDataFrame([("a", 2, 4), ("gone", 0, 1), ("bad", 0, 1)], "file string, offset_start long, offset_end long")
+
+    def reader(f, a, b):
+        if f == "gone":
+            raise FileNotFoundError(f)
+        if f == "bad":
+            raise ValueError("broken")
+        return pd.DataFrame({"file": [f] * (b - a + 1), "row": range(a, b + 1)})
+
+    assert [x.row for x in index.read_ranges(r, reader, "file string, row long").orderBy("row").collect()] == [2, 3, 4]
+    with pytest.raises(Exception, match="broken"):
+        index.read_ranges(r, reader, "file string, row long", error_action="raise").count()
+
+
 def test_grid_meta():
     a, b = raster.GridMeta(0, 1, 5, 0, 1, 5), raster.GridMeta(3, 1, 5, -2, 1, 3)
     u = a.union(b)
