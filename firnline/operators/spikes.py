@@ -90,9 +90,9 @@ def _judge(d: pd.DataFrame, low: float, high: float) -> pd.DataFrame:
     first[1:] = (pos[1:] != pos[:-1]) | (v[1:] != v[:-1])
     reading = np.cumsum(first) - 1
     u = v[first]
-    start = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
-    length = np.diff(np.r_[start, n])
-    stuck = np.repeat(length >= STUCK, length)
+    start = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
+    length = np.diff(np.r_[start, len(u)])
+    stuck = np.repeat(length >= STUCK, length)[reading]
     limit = (v < low) | (v > high)
     use = ~(stuck | limit)[first]
     dev = np.zeros(len(u))
@@ -151,9 +151,10 @@ def flag_readings(
     beyond the limits.  Null keys form their own source or pass.  Empty input
     gives an empty result.
 
-    A pass longer than ``BLOCK`` readings is cut into blocks that overlap by
-    ``HALO`` readings on both sides, so no pass becomes one task; a stuck run
-    is recognised inside its block.
+    A pass of more than ``BLOCK`` rows first has its repeated rows joined into
+    one, and is then cut at quantiles of its order into blocks that overlap by
+    ``HALO`` readings on both sides, so neither a hot pass nor a hot reading
+    becomes one task; a stuck run is recognised inside its block.
     """
     v = finite(value)
     base = df.select(
@@ -164,15 +165,19 @@ def flag_readings(
         v.alias("v"),
     ).where(F.col("v").isNotNull() & F.col("rid").isNotNull() & ~F.col("v").isin([float(f) for f in fills]))
     o = [f"o{i}" for i in range(len(order))]
-    # passes too long for one block: bounded by rows / BLOCK, and normally none
-    long = base.groupBy("pas").agg(F.count("*").alias("n"), F.min("o0").alias("a"), F.max("o0").alias("b")).where((F.col("n") > BLOCK) & (F.col("b") > F.col("a")))
-    long = long.select("pas", "a", ((F.col("b") - F.col("a")) / F.ceil(F.col("n") / BLOCK) * (1 + 1e-12)).alias("w"))
+    # passes too long for one block: at most rows / BLOCK, and normally none
+    long = base.groupBy("pas").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("pas")
+    copies = None
     if long.limit(1).count():
-        base = base.join(long, "pas", "left")
-        at = (F.col("o0") - F.col("a")) / F.col("w")
-        share = HALO / BLOCK
-        blocks = F.when(F.col("w").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.floor(at - share), F.floor(at + share)))
-        base = base.withColumn("home", F.when(F.col("w").isNull(), F.lit(0).cast("bigint")).otherwise(F.floor(at))).withColumn("b", F.explode(blocks)).drop("a", "w")
+        long = broadcast_if_few(staged(long, "long_passes"))
+        # two hashes stand for a reading: pass, position and value
+        keyed = base.join(long, "pas", "left_semi").withColumns({"k1": F.xxhash64("src", "pas", *o, "v"), "k2": F.xxhash64(F.lit(1), "src", "pas", *o, "v")})
+        one = keyed.groupBy("k1", "k2", "src", "pas", *o, "v").agg(F.min("rid").alias("rid"))
+        one = staged(one, "readings")
+        copies = keyed.select("k1", "k2", F.col("rid").alias("copy")), one.select("k1", "k2", "rid")
+        cut = _blocks(one.drop("k1", "k2"))
+        rest = base.join(long, "pas", "left_anti").withColumns({"home": F.lit(0).cast("bigint"), "b": F.lit(0).cast("bigint")})
+        base = rest.unionByName(cut)
     else:
         base = base.withColumns({"home": F.lit(0).cast("bigint"), "b": F.lit(0).cast("bigint")})
     base = base.select("rid", "src", F.xxhash64("pas", "b").alias("blk"), F.xxhash64(*o).alias("pos"), *o, "v", (F.col("home") == F.col("b")).alias("own"))
@@ -192,5 +197,30 @@ def flag_readings(
     z = F.least(F.abs(F.col("dev")), F.abs(F.col("dev") - F.coalesce(explained, F.lit(0.0)))) / F.col("s")
     judged = got.join(model, "src", "left").withColumn("z", z)
     reason = F.when(F.col("kind") == 2, "limit").when(F.col("kind") == 1, "stuck").when(F.col("z") > threshold, "spike")
-    return judged.select(F.col("rid").alias(row_id), reason.alias("reason")).where("reason is not null")
+    found = judged.select("rid", reason.alias("reason")).where("reason is not null")
+    if copies is not None:
+        rows, first = copies
+        spread = first.join(found, "rid").drop("rid").join(rows, ["k1", "k2"]).select(F.col("copy").alias("rid"), "reason")
+        found = found.join(first.select("rid"), "rid", "left_anti").unionByName(spread)
+    return found.select(F.col("rid").alias(row_id), "reason")
+
+
+def _blocks(rows: DataFrame, most: int = 300) -> DataFrame:
+    """Rows with their block ``home`` and a copy in every block ``b`` whose halo holds them.
+
+    Blocks end at quantiles of ``o0`` of the pass, at most ``most`` of them.
+    """
+    size = rows.groupBy("pas").agg(F.count("*").alias("n"), F.percentile_approx("o0", F.array(*[F.lit(i / 3000) for i in range(3001)]), F.lit(100_000)).alias("q"))
+    k = F.greatest(F.lit(1), F.least(F.ceil(F.col("n") / BLOCK), F.lit(most))).cast("int")
+    halo = F.greatest(F.ceil(F.lit(3000.0 * HALO) / F.col("n")), F.lit(1)).cast("int")
+    at = lambda i: F.element_at("q", F.least(F.greatest(i, F.lit(0)), F.lit(3000)).cast("int") + 1)
+    starts = F.sequence(F.lit(1), F.col("k") - 1)
+    size = size.withColumns({"k": k, "halo": halo})
+    edge = lambda d: F.when(F.col("k") > 1, F.transform(starts, lambda i: at(F.round(i * 3000 / F.col("k")) + d))).otherwise(F.array().cast("array<double>"))
+    size = size.select("pas", edge(F.lit(0)).alias("mid"), edge(-F.col("halo")).alias("lo"), edge(F.col("halo")).alias("hi"))
+    j = rows.join(broadcast_if_few(staged(size, "blocks"), 500), "pas")
+    below = lambda c: F.size(F.filter(c, lambda e: e <= F.col("o0"))).cast("bigint")
+    # the halo before an edge belongs to the later block too, the one behind it to the earlier one
+    j = j.withColumns({"home": below("mid"), "first": below("hi"), "last": below("lo")}).drop("mid", "lo", "hi")
+    return j.withColumn("b", F.explode(F.sequence(F.least("first", "home"), F.greatest("last", "home")))).drop("first", "last")
 

@@ -288,6 +288,17 @@ def test_long_pass_is_cut(spark, monkeypatch):
     bad = set(range(17, 3000, 97))
     rows = [(i, 1, 1, float(i), float(v + (6 if i in bad else 0))) for i, v in enumerate(h)]
     assert set(_flags(spark, rows)) == bad
+    # unevenly spaced, and one reading a third of all rows
+    hot = [(100_000 + j, 1, 1, float(17**1.5), rows[17][4]) for j in range(1500)]
+    uneven = [(i, a, b, t**1.5, v) for i, a, b, t, v in rows] + hot + [(200_000 + i, 2, 5, float(i), float(h[i])) for i in range(150)]
+    assert set(_flags(spark, uneven)) == bad | {r[0] for r in hot}
+    flat = [(i, 1, 1, float(i), 5.0 if 700 <= i < 720 else float(h[i])) for i in range(3000)]
+    assert {i for i, why in _flags(spark, flat).items() if why == "stuck"} == set(range(700, 720))
+
+
+def test_copies_make_no_run(spark):
+    rows = [(i, 1, 1, float(i // 3), float(i // 3 % 2)) for i in range(60)] + [(100 + i, 1, 2, 1.0, 3.0) for i in range(8)]
+    assert _flags(spark, rows) == {}
 
 
 def test_no_readings(spark):
