@@ -225,8 +225,7 @@ def normalise(records: DataFrame, sources: DataFrame) -> DataFrame:
     long = long.withColumns({"number": num, "suffix": F.regexp_extract("raw", NUMBER, 2)}).where("number is not null and number <> -9999")
     long = staged(long, "values")
 
-    texts = long.where("suffix <> ''").select(F.col("suffix").alias("text"))
-    texts = texts.unionByName(long.select(F.col("note").alias("text"))).unionByName(sources.select(F.col("header_text").alias("text")))
+    texts = long.select(F.explode(F.array("suffix", "note")).alias("text")).unionByName(sources.select(F.col("header_text").alias("text")))
     st = staged(_per_field(statements(texts)), "units")
     dated = F.col("first_day").isNotNull() | F.col("last_day").isNotNull()
     plain = st.where(~dated).groupBy("text", "field").agg(F.min("unit").alias("unit"))
@@ -261,17 +260,21 @@ def _inferred(rows: DataFrame, least: int = 8) -> DataFrame:
     ratio has a tenth of the decibels as logarithm.
     """
     log = lambda c: F.log10(F.when(F.abs(c) > 0, F.abs(c)))
-    c = _common("stated")
-    ref = rows.where("stated is not null").withColumn("c", c).groupBy("field")
-    ref = ref.agg(F.avg(log(F.col("c"))).alias("lm"), F.stddev_pop(log(F.col("c"))).alias("ls"), F.avg("c").alias("cm"), F.stddev_pop("c").alias("cs"))
+    said = F.col("stated").isNotNull()
+    parts = {"l": F.when(~said, log(F.col("number"))), "c": F.when(said, _common("stated"))}
+    parts["k"] = log(parts["c"])
+    # one pass: counts, sums and sums of squares of what is open, stated, and the logarithm of what is stated
+    sums = rows.select("source_id", "abs_orbit", "field", *[v.alias(k) for k, v in parts.items()]).groupBy("source_id", "abs_orbit", "field")
+    sums = staged(sums.agg(*[f.alias(k + n) for k in parts for n, f in (("n", F.count(k)), ("s", F.sum(k)), ("q", F.sum(F.col(k) * F.col(k))))]), "passes")
+    mean = lambda k: F.sum(f"{k}s") / F.nullif(F.sum(f"{k}n"), F.lit(0))
+    dev = lambda k: F.sqrt(F.greatest(F.sum(f"{k}q") / F.nullif(F.sum(f"{k}n"), F.lit(0)) - mean(k) * mean(k), F.lit(0.0)))
+    ref = sums.groupBy("field").agg(mean("k").alias("lm"), dev("k").alias("ls"), mean("c").alias("cm"), dev("c").alias("cs")).where("lm is not null")
     known = F.create_map(*[x for f, units in CHOICES.items() for x in (F.lit(f), F.array(*[F.lit(u) for u in units]))])
     ref = ref.withColumn("u", F.explode(known[F.col("field")]))
     lin = F.col("u") == "lin"
     factor = F.try_element_at(_map(TO_COMMON), F.col("u"))
     ref = ref.select("field", "u", F.when(lin, F.col("cm") / 10).otherwise(F.col("lm") - F.log10(factor)).alias("rm"), F.when(lin, F.col("cs") / 10).otherwise(F.col("ls")).alias("rs"))
-    open_ = rows.where("stated is null").select("source_id", "abs_orbit", "field", log(F.col("number")).alias("l"))
-    sums = open_.groupBy("source_id", "abs_orbit", "field").agg(F.count("l").alias("n"), F.sum("l").alias("s"), F.sum(F.col("l") * F.col("l")).alias("q"))
-    sums = staged(sums, "passes")
+    sums = sums.where("ln > 0").select("source_id", "abs_orbit", "field", F.col("ln").alias("n"), F.col("ls").alias("s"), F.col("lq").alias("q"))
     whole = sums.groupBy("source_id", "field").agg(F.sum("n").alias("wn"), F.sum("s").alias("ws"), F.sum("q").alias("wq"))
     own = sums.join(whole, ["source_id", "field"])
     few = F.col("n") < least
