@@ -962,16 +962,16 @@ a2 as (select *, abs(h_li - dh_fit_dx * (x_atc - lag(x_atc) over w) - lag(h_li)
 
 def latest_segments(s, d):
     """Last delivered row of each segment; combined before the shuffle, no window over a key."""
-    a = table(s, d, "atl06_segments", ["point_id", "rgt", "cycle_number", "beam", "segment_id", "delta_time", "h_li", "h_li_sigma", "x_atc", "dh_fit_dx", "atl06_quality_summary", "ingested_at"])
+    a = table(s, d, "atl06_segments", ["point_id", "rgt", "cycle_number", "beam", "segment_id", "delta_time", "h_li", "h_li_sigma", "x_atc", "dh_fit_dx", "sigma_geo_r", "ingested_at"])
     key = ["rgt", "cycle_number", "beam", "segment_id"]
     last = F.max_by(F.struct(*[c for c in a.columns if c not in key]), F.struct("ingested_at", "point_id"))
     return a.groupBy(*key).agg(last.alias("r")).select(*key, "r.*")
 
 
-@query("segments_derived", "select point_id, case beam when 'l' then 0 when 'r' then 1 end as LR, coalesce(atl06_quality_summary = 0 and h_li is not null, false) as valid, round(737061 + delta_time / 86400, 6) as matlab_time, h_li, h_li_sigma from a1", _ATL)
+@query("segments_derived", "select point_id, case beam when 'l' then 0 when 'r' then 1 end as LR, true as valid, case beam when 'l' then 16 when 'r' then 4 end as n_pixels, coalesce(sigma_geo_r, 0.03) as sigma_geo_r, round(737061 + delta_time / 86400, 6) as matlab_time, h_li, h_li_sigma from a1", _ATL)
 def _(s, d):
     g = altimetry.derive_segments(latest_segments(s, d))
-    return g.select("point_id", "LR", "valid", r("matlab_time").alias("matlab_time"), "h_li", "h_li_sigma")
+    return g.select("point_id", "LR", "valid", "n_pixels", "sigma_geo_r", r("matlab_time").alias("matlab_time"), "h_li", "h_li_sigma")
 
 
 @query("segments_residuals", "select point_id, round(least(ra, rb), 4) as min_dh, round(sqrt(coalesce(ra * ra, 0) + coalesce(rb * rb, 0)), 4) as rss_dh from a2", _ATL)

@@ -12,14 +12,14 @@ from firnline.operators.tracks import along_track_residuals
 
 # fixed values: default fields of the segment product, by group
 SEGMENT_FIELDS = {
-    "land_ice_segments": ["atl06_quality_summary", "delta_time", "h_li", "h_li_sigma", "latitude", "longitude", "segment_id", "sigma_geo_h"],
+    "land_ice_segments": ["delta_time", "h_li", "h_li_sigma", "latitude", "longitude", "atl06_quality_summary", "segment_id", "sigma_geo_h"],
     "land_ice_segments/ground_track": ["x_atc", "y_atc", "seg_azimuth", "sigma_geo_at", "sigma_geo_xt"],
-    "land_ice_segments/fit_statistics": ["dh_fit_dx", "dh_fit_dx_sigma", "h_robust_sprd", "snr_significance", "w_surface_window_final"],
-    "land_ice_segments/dem": ["dem_h"],
-    "orbit_info": ["sc_orient", "rgt"],
+    "land_ice_segments/fit_statistics": ["dh_fit_dx", "dh_fit_dx_sigma", "h_mean", "dh_fit_dy", "h_rms_misfit", "h_robust_sprd", "n_fit_photons", "signal_selection_source", "snr_significance", "w_surface_window_final"],
+    "land_ice_segments/geophysical": ["bsnow_conf", "bsnow_h", "cloud_flg_asr", "cloud_flg_atm", "r_eff", "tide_ocean"],
+    "derived": ["valid", "BP", "LR", "cycle_number", "rgt"],
 }
 # fixed values: default fields of the repeat-track product, per point and per cycle
-POINT_FIELDS = ["ref_pt", "latitude", "longitude", "x_atc", "dem_h", "fit_quality"]
+POINT_FIELDS = ["ref_pt", "latitude", "longitude", "dem_h", "x_atc", "fit_quality"]
 CYCLE_FIELDS = ["h_corr", "h_corr_sigma", "h_corr_sigma_systematic", "delta_time", "quality_summary"]
 FILL_F32 = 3.4028234663852886e38
 SEGMENT_METRES = 20.0
@@ -37,10 +37,17 @@ def granule_numbers(name: Column) -> tuple[Column, Column]:
     return part(1, 4), part(2, 2)
 
 
-def derive_segments(df: DataFrame, *, beam: str = "beam") -> DataFrame:
-    """Fills to null, ``LR`` (0 left, 1 right), ``valid`` (quality 0 and a height), ``matlab_time``, residuals to the neighbours."""
-    out = mask_fills(df, [c for c in ("h_li", "h_li_sigma") if c in df.columns])
-    out = out.withColumns({"LR": F.when(F.col(beam) == "l", 0).when(F.col(beam) == "r", 1), "valid": F.coalesce((F.col("atl06_quality_summary") == 0) & F.col("h_li").isNotNull(), F.lit(False)), "matlab_time": delta_time_to_matlab(F.col("delta_time"))})
+def derive_segments(df: DataFrame, *, beam: str = "beam", strong: str = "l") -> DataFrame:
+    """Fills to null and the derived columns of a granule.
+
+    ``LR`` (0 left, 1 right), ``valid`` (true until a filter says otherwise),
+    ``n_pixels`` (16 for the strong beam, 4 for the weak one), ``sigma_geo_r``
+    (0.03 where a version has none), ``matlab_time``, and the residuals to the
+    neighbours ``min_dh`` and ``rss_dh``.
+    """
+    out = mask_fills(df, [c for c in ("h_li", "h_li_sigma", "sigma_geo_r") if c in df.columns])
+    geo = F.coalesce(F.col("sigma_geo_r"), F.lit(0.03)) if "sigma_geo_r" in df.columns else F.lit(0.03)
+    out = out.withColumns({"LR": F.when(F.col(beam) == "l", 0).when(F.col(beam) == "r", 1), "valid": F.lit(True), "n_pixels": F.when(F.col(beam) == strong, 16).when(F.col(beam).isin("l", "r"), 4), "sigma_geo_r": geo, "matlab_time": delta_time_to_matlab(F.col("delta_time"))})
     return along_track_residuals(out, ["rgt", "cycle_number", beam], "segment_id", "h_li", "dh_fit_dx", "x_atc")
 
 
