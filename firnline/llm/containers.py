@@ -3,8 +3,9 @@
 Lengths are counted with a public tokenizer; a text longer than a container is
 divided into whole containers and a rest, no other text is divided.  Dynamic
 programming over the global histogram of lengths chooses bucket boundaries of
-least padding.  Token-budget batches form inside each bucket, longest lengths
-first; what space a batch leaves is offered to the shorter buckets.  Because
+least padding, exactly over all distinct lengths.  A token-budget batch holds as
+many items of one bucket as fit at its upper end; what space it leaves is topped
+up from the shorter buckets.  Because
 items of one length are interchangeable, the batches are planned on the
 histogram alone (its size is bounded by the capacity, not by the data) and the
 items find their container from their rank among the items of their length.
@@ -31,7 +32,6 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CAPACITY = 8192
 BUCKETS = 32
-LEVELS = 512  # lengths the boundaries are chosen from
 _encoders: dict[int, object] = {}
 
 
@@ -60,67 +60,92 @@ def token_counts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     return base.mapInArrow(run, "doc_id bigint, n_tokens bigint").select(F.col("doc_id").alias(doc_id), "n_tokens")
 
 
-def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS, levels: int = LEVELS) -> np.ndarray:
-    """Upper ends of at most ``buckets`` buckets that minimise sum(count * (upper end - length))."""
-    if not len(lengths):
+def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
+    """Upper ends of at most ``buckets`` buckets that minimise sum(count * (upper end - length)).
+
+    Exact over all distinct lengths: the best start of the last bucket never
+    moves back as its end grows, so a step halves its ranges of starts instead
+    of trying all pairs.
+    """
+    n = len(lengths)
+    if not n:
         return np.empty(0, np.int64)
-    if len(lengths) > levels:
-        cum = np.cumsum(counts)
-        edge = np.unique(np.r_[np.searchsorted(cum, np.linspace(0, cum[-1], levels)[1:]).clip(0, len(lengths) - 1), len(lengths) - 1])
-    else:
-        edge = np.arange(len(lengths))
-    ends = lengths[edge].astype(np.float64)
-    c = np.r_[0, np.cumsum(counts)[edge]].astype(np.float64)
-    s = np.r_[0, np.cumsum(counts * lengths)[edge]].astype(np.float64)
-    n = len(ends)
-    cost = ends[None, :] * (c[None, 1:] - c[:-1, None]) - (s[None, 1:] - s[:-1, None])  # bucket of levels i..j
-    cost[np.tril_indices(n, -1)] = np.inf
-    best, back = cost[0].copy(), []
+    ends = lengths.astype(np.int64)
+    c = np.r_[0, np.cumsum(counts)].astype(np.int64)
+    s = np.r_[0, np.cumsum(counts * lengths)].astype(np.int64)
+    best, back = ends * c[1:] - s[1:], []
     for _ in range(min(buckets, n) - 1):
-        total = np.r_[np.inf, best[:-1]][:, None] + cost  # last bucket starts at level i
-        start = total.argmin(axis=0)
-        new = total[start, np.arange(n)]
-        keep = new < best
-        back.append(np.where(keep, start, -1))
-        best = np.where(keep, new, best)
+        start, new = _last_starts(np.r_[0, best[:-1]], ends, c, s)
+        back.append(start)
+        best = new
     out, j = [n - 1], n - 1
-    for step in reversed(back):
-        if step[j] > 0:
-            j = step[j] - 1
-            out.append(j)
-    return lengths[edge[sorted(set(out))]].astype(np.int64)
+    for start in reversed(back):
+        if start[j] == 0:
+            break
+        j = int(start[j]) - 1
+        out.append(j)
+    return ends[sorted(out)]
+
+
+def _last_starts(before: np.ndarray, ends: np.ndarray, c: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each end j the first start i of the last bucket of least ``before[i]`` plus padding of i..j, and that sum."""
+    n = len(ends)
+    start, new = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    lo, hi, a, b = np.array([0]), np.array([n - 1]), np.array([0]), np.array([n - 1])  # ends lo..hi have their starts in a..b
+    while len(lo):
+        mid = (lo + hi) // 2
+        size = np.minimum(b, mid) - a + 1
+        first = np.r_[0, np.cumsum(size)[:-1]]
+        i = np.arange(size.sum()) - np.repeat(first, size) + np.repeat(a, size)
+        j = np.repeat(mid, size)
+        total = before[i] + ends[j] * (c[j + 1] - c[i]) - (s[j + 1] - s[i])
+        least = np.minimum.reduceat(total, first)
+        at = np.flatnonzero(total == np.repeat(least, size))
+        at = at[np.searchsorted(at, first, "left")]
+        start[mid], new[mid] = i[at], least
+        lo, hi, a, b = np.r_[lo, mid + 1], np.r_[mid - 1, hi], np.r_[a, i[at]], np.r_[i[at], b]
+        some = lo <= hi
+        lo, hi, a, b = lo[some], hi[some], a[some], b[some]
+    return start, new
 
 
 def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int, ends: np.ndarray) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Runs ``(length, first rank, end rank, first container, items per container)`` and the number of containers.
 
-    Container patterns are made from the longest remaining length down; inside
-    its bucket first, then from shorter buckets.  A pattern is repeated as
+    From the longest bucket down, a batch is ``capacity // upper end`` items of
+    the bucket, its longest first, which fit whatever their lengths are.  The
+    space it leaves is topped up from the shorter buckets, longest first, and
+    only what these cannot fill from its own bucket.  A pattern is repeated as
     often as its lengths last.
     """
     left = {int(a): int(b) for a, b in zip(lengths, counts) if a > 0}
-    order = sorted(left, reverse=True)
-    bucket = {n: int(np.searchsorted(ends, n, "left")) for n in order}
-    used = dict.fromkeys(order, 0)
+    used = dict.fromkeys(left, 0)
     runs, containers = [], 0
-    live = np.array(order[::-1], dtype=np.int64)  # ascending lengths still there
+    live = np.array(sorted(left), dtype=np.int64)  # ascending lengths still there
     while len(live):
+        at = int(np.searchsorted(ends, live[-1], "left"))
+        home = int(np.searchsorted(live, ends[at - 1], "right")) if at else 0  # first length of the bucket
         room, pattern = capacity, {}
-        top = int(live[-1])
-        i = len(live) - 1
-        home = bucket[top]
-        while i >= 0 and room > 0:
-            i = min(i, int(np.searchsorted(live, room, "right")) - 1)
-            if i < 0:
-                break
+        batch, i = capacity // int(ends[at]), len(live) - 1
+        while i >= home and batch > 0:
             n = int(live[i])
-            k = min(room // n, left[n])
-            # a batch of the home bucket takes all that fit; shorter buckets fill up the rest
-            if n != top and bucket[n] == home and k > 1:
-                k = min(k, max(1, left[n]))
+            k = min(batch, left[n])
             pattern[n] = k
+            batch -= k
             room -= k * n
             i -= 1
+        for low, high in ((0, home), (home, len(live))):
+            i = high - 1
+            while i >= low and room > 0:
+                i = min(i, int(np.searchsorted(live, room, "right")) - 1)
+                if i < low:
+                    break
+                n = int(live[i])
+                k = min(room // n, left[n] - pattern.get(n, 0))
+                if k:
+                    pattern[n] = pattern.get(n, 0) + k
+                    room -= k * n
+                i -= 1
         times = min(left[n] // k for n, k in pattern.items())
         for n, k in pattern.items():
             runs.append((n, used[n], used[n] + k * times, containers, k))

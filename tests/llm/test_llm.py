@@ -215,6 +215,29 @@ def test_boundaries_are_optimal():
         assert padding(containers.boundaries(lengths, counts, k)) == best
 
 
+def test_boundaries_are_optimal_over_many_lengths():
+    rng = np.random.default_rng(11)
+    lengths = np.sort(rng.choice(np.arange(1, 4000), 700, replace=False))
+    counts = rng.integers(1, 50, 700)
+    counts[350] = 1_000_000  # one common length must not hide the others
+    c, s = np.r_[0, np.cumsum(counts)], np.r_[0, np.cumsum(counts * lengths)]
+    best = [int(lengths[j] * c[j + 1] - s[j + 1]) for j in range(700)]
+    for _ in range(4):  # all pairs, without any choice of levels
+        best = [min([best[j], *(best[i - 1] + int(lengths[j] * (c[j + 1] - c[i]) - (s[j + 1] - s[i])) for i in range(1, j + 1))]) for j in range(700)]
+    ends = containers.boundaries(lengths, counts, 5)
+    assert len(ends) <= 5 and (counts * (ends[np.searchsorted(ends, lengths, "left")] - lengths)).sum() == best[-1]
+
+
+def test_bucket_ends_shape_the_batches():
+    lengths, counts = np.array([3, 4, 9, 10]), np.array([10, 10, 2, 2])
+    first = lambda ends: sorted((n, k) for n, _, _, c, k in containers.plan(lengths, counts, 29, np.array(ends))[0] if c == 0)
+    # two items of the bucket (4, 10] are sure to fit; the rest is topped up from shorter buckets
+    assert first([4, 10]) == [(4, 2), (10, 2)]
+    assert first([9, 10]) == [(9, 1), (10, 2)]
+    # no shorter bucket is left: the space goes to the bucket itself
+    assert first([10]) == [(9, 1), (10, 2)]
+
+
 def test_fill_round_trip(spark):
     rng = random.Random(5)
     rows = [(i, " ".join(_text(rng, rng.randint(1, 120)))) for i in range(400)] + [(7, "twice sent"), (7, "twice sent"), (900, ""), (901, None), (None, "x"), (902, "word " * 5000)]
