@@ -4,11 +4,14 @@
 typed columns, everything else (unknown fields, uncastable values) is kept as
 JSON in ``rescued``.  ``promote`` replays rescued values of approved fields,
 also under other names, into typed columns.  ``changes`` compares each file of
-a stream with the one before it.
+a stream with the one before it.  ``consistent`` ingests all records into one
+table and replays the renamed fields that ``changes`` found.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -109,18 +112,19 @@ def field_profile(records: DataFrame, files: DataFrame) -> DataFrame:
     return per.join(order, "file_id")
 
 
-def changes(records: DataFrame, files: DataFrame) -> DataFrame:
+def changes(records: DataFrame, files: DataFrame, *, profile: DataFrame | None = None) -> DataFrame:
     """``(file_id, change, field_before, field_after)`` of each file against the one before it in its stream.
 
     Files without records are passed over.  A field without majority kind in
     either file is not retyped.  A removed and an added field of one file are a
     rename when they practically never occur together anywhere, hold the same
     kind of value, and agree in magnitude or vocabulary; names decide between
-    several partners.  Empty inputs give an empty result.
+    several partners.  Empty inputs give an empty result.  ``profile`` is the
+    staged ``field_profile`` of the same tables, if there is one already.
     """
     from firnline.common import staged
 
-    prof = staged(field_profile(records, files), "profile")
+    prof = profile if profile is not None else staged(field_profile(records, files), "profile")
     seq = prof.select("stream_id", "acquired_at", "file_id").distinct()
     w = W.partitionBy("stream_id").orderBy("acquired_at", "file_id")
     seq = seq.select("file_id", F.lag("file_id").over(w).alias("prev_id")).where("prev_id is not null")
@@ -164,3 +168,65 @@ def changes(records: DataFrame, files: DataFrame) -> DataFrame:
     out = out.unionByName(come.join(ren, ["file_id", "b"], "left_anti").select("file_id", F.lit("added").alias("change"), empty.alias("field_before"), F.col("b").alias("field_after")))
     same = both.where("here is not null and there is not null")
     return out.unionByName(same.select("file_id", F.lit("retyped").alias("change"), F.col("key").alias("field_before"), F.col("key").alias("field_after")))
+
+
+def families(counts: list[tuple[str, str | None, int]], renames: list[tuple[str, str]], taken: list[str]) -> dict[str, tuple[str, list[str]]]:
+    """Column -> (SQL type, names it went by), from ``(name, kind, values)`` and pairs of names of one quantity.
+
+    A column bears the name most values stand under and the type of its
+    commonest kind; integers with numbers beside them are doubles, and lists
+    and objects are JSON text.  Names Spark cannot tell apart, or that
+    ``taken`` holds, get a number.
+    """
+    root = {n: n for n, _, _ in counts}
+
+    def top(n: str) -> str:
+        while root.setdefault(n, n) != n:
+            n = root[n]
+        return n
+
+    for a, b in sorted(renames):
+        root[max(top(a), top(b))] = min(top(a), top(b))
+    per_name: dict[str, dict[str, int]] = {}
+    per_kind: dict[str, dict[str, int]] = {}
+    for name, kind, n in counts:
+        names = per_name.setdefault(top(name), {})
+        names[name] = names.get(name, 0) + n
+        if kind is not None:
+            kinds = per_kind.setdefault(top(name), {})
+            kinds[kind] = kinds.get(kind, 0) + n
+    out, used = {}, {t.lower() for t in taken}
+    for r in sorted(per_name, key=lambda r: (-sum(per_name[r].values()), r)):
+        names = sorted(per_name[r], key=lambda n: (-per_name[r][n], n))
+        kinds = per_kind.get(r, {})
+        kind = min(kinds, key=lambda k: (-kinds[k], k)) if kinds else "text"
+        if kind == "integer" and "number" in kinds:
+            kind = "number"
+        column = base = re.sub(r"\W", "_", names[0]) or "_"
+        i = 2
+        while column.lower() in used:
+            column, i = f"{base}_{i}", i + 1
+        used.add(column.lower())
+        out[column] = ({"integer": "bigint", "number": "double", "boolean": "boolean"}.get(kind, "string"), names)
+    return out
+
+
+def consistent(records: DataFrame, files: DataFrame, *, payload: str = "payload", rescued: str = "rescued", most: int = 500) -> DataFrame:
+    """Every record once, in one table: a typed column per quantity under whatever name it stood, and ``rescued``.
+
+    Ingests into the commonest name and kind of each quantity, then replays the
+    names that ``changes`` finds renamed.  Values that do not cast, second
+    values of one quantity in one record and payloads that are no JSON object
+    stay in ``rescued``, as do fields beyond the ``most`` commonest quantities.
+    Records of unknown files are kept.
+    """
+    from firnline.common import staged
+
+    prof = staged(field_profile(records, files), "profile")
+    renamed = changes(records, files, profile=prof).where("change = 'renamed'").select("field_before", "field_after").distinct().collect()  # pairs of names
+    counts = prof.groupBy("key", "kind").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n")).collect()
+    fields = families([(r.key, r.kind, r.n) for r in counts], [tuple(r) for r in renamed], [*records.columns, rescued])
+    fields = dict(list(fields.items())[:most])
+    # a column named like none of its fields is filled by the replay alone
+    table = ingest(records, {c: t for c, (t, names) in fields.items() if c in names}, payload=payload, rescued=rescued)
+    return promote(table, {c: (t, [n for n in names if n != c]) for c, (t, names) in fields.items()}, rescued=rescued)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from firnline.common import scratch, table
 from firnline.functions import geodesy, times
-from firnline.operators.drift import changes
+from firnline.operators.drift import changes, consistent
 from firnline.operators.instants import resolve, within
 from firnline.operators.nearby import points_in_sites
 from firnline.operators.spikes import flag_readings
@@ -76,6 +76,11 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return changes(table(spark, sf, "raw_records", ["file_id", "payload"]), table(spark, sf, "granule_files", ["file_id", "stream_id", "acquired_at"]))
 
 
+def p3_table(spark: SparkSession, sf: str) -> DataFrame:
+    """All raw records in one table, renamed fields under one name."""
+    return consistent(table(spark, sf, "raw_records"), table(spark, sf, "granule_files", ["file_id", "stream_id", "acquired_at"]))
+
+
 def _compacted(spark: SparkSession, sf: str) -> DataFrame:
     schema = table(spark, sf, "raw_records").schema
     work = scratch(spark, "compaction")
@@ -94,7 +99,7 @@ def p7_records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_values": p1_values, "p3_found": p3_found, "p7_found": p7_found, "p7_records": p7_records, "p2_found": p2_found, "p5_found": p5_found, "p5_instants": p5_instants, "p6_found": p6_found, "p6_flags": p6_flags}
+    return {"p1_found": p1_found, "p1_values": p1_values, "p3_found": p3_found, "p3_table": p3_table, "p7_found": p7_found, "p7_records": p7_records, "p2_found": p2_found, "p5_found": p5_found, "p5_instants": p5_instants, "p6_found": p6_found, "p6_flags": p6_flags}
 
 
 def _projected(lat: str, lon: str) -> tuple[str, str]:

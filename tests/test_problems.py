@@ -172,6 +172,38 @@ def test_ingest_and_replay(spark):
     assert p[1].new == 2.5 and json.loads(p[1].rescued) == {"b": "x"} and p[2].new == 3.0
 
 
+def test_consistent_table_holds_every_record(spark):
+    recs, files = _drift_input(spark)
+    t = drift.consistent(recs, files)
+    got = {r.rec_id: r.asDict() for r in t.collect()}
+    assert sorted(got) == sorted(r.rec_id for r in recs.collect())
+    # the name most values stand under; the other one is replayed into it
+    names = {"sigma", "geo_sigma"} & set(t.columns)
+    assert len(names) == 1
+    name = names.pop()
+    for r in recs.collect():
+        try:
+            d = json.loads(r.payload)
+        except (TypeError, ValueError):
+            d = None
+        if not isinstance(d, dict):
+            continue
+        want = d.get("sigma", d.get("geo_sigma"))
+        left = json.loads(got[r.rec_id]["rescued"] or "{}")
+        assert got[r.rec_id][name] == want or str(want) in (left.get("sigma"), left.get("geo_sigma"))
+        # nothing is lost: a value is in its column or rescued
+        for k, v in d.items():
+            if v is not None:
+                assert k in left or got[r.rec_id].get(name if k in ("sigma", "geo_sigma") else k) is not None, (k, v)
+    broken = [r for r in got.values() if r["rescued"] and "no json" in r["rescued"]]
+    assert len(broken) == 1
+
+
+def test_families_of_names():
+    f = drift.families([("Wfm", "list", 5), ("wfm", "list", 9), ("n", "integer", 9), ("n", "number", 2), ("N", "text", 1), ("rec_id", "integer", 3), ("a b", None, 0)], [("Wfm", "wfm")], ["rec_id"])
+    assert f == {"wfm": ("string", ["wfm", "Wfm"]), "n": ("double", ["n"]), "rec_id_2": ("bigint", ["rec_id"]), "N_2": ("string", ["N"]), "a_b": ("string", ["a b"])}
+
+
 # ---- 5 instants
 
 LOG = "log_id long, instrument string, station_id int, time_text string, delta_time double, days_J2k double, Day int, Second int, Micsec int, written_at timestamp_ntz"
