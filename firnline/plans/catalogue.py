@@ -2,7 +2,8 @@
 
 Each entry pairs a Spark plan built from the library with the SQL that states
 the same result.  Views: ``pts`` (lineitem as points of three files), ``trk``
-(events of ten users as tracks), ``cells`` (lineitem as a sparse raster with a
+(events of ten users as tracks, which the SQL can join by theta-joins) and
+``trk_all`` (events of all users; the queries named ``_all``, without SQL), ``cells`` (lineitem as a sparse raster with a
 band per year), ``emb`` (embeddings as a point set of 64 columns).
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,9 +38,13 @@ SEG = """seg as (select track, i, x as x0, y as y0, time as t0, lead(x) over w a
   from trk window w as (partition by track order by i))"""
 
 
-def query(name: str, sql: str | None, *views: str):
+def query(name: str, sql: str | None, *views: str, whole: Callable[[SparkSession, str], DataFrame] | None = None):
+    """Registers a plan; ``whole`` is the view of the whole table for its companion ``<name>_all``, which has no SQL."""
+
     def add(fn):
         _Q[name] = fn
+        if whole is not None:
+            _Q[f"{name}_all"] = partial(fn, view=whole)
         if sql is not None:
             _SQL[name] = ("with " + ",\n".join(views) + "\n" if views else "") + sql
         return fn
@@ -57,7 +63,11 @@ def pts(spark: SparkSession, sf: str, numbered: bool = False) -> DataFrame:
 
 
 def trk(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events", ["event_id", "ts", "user_id", "value"]).where("user_id < 10")
+    return trk_all(spark, sf, "user_id < 10")
+
+
+def trk_all(spark: SparkSession, sf: str, where: str = "user_id is not null") -> DataFrame:
+    e = table(spark, sf, "events", ["event_id", "ts", "user_id", "value"]).where(where)
     sec = F.floor(F.timestamp_diff("MICROSECOND", F.lit("2024-01-01").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz")) / 1e6)
     e = e.select(F.col("user_id").alias("track"), "event_id", sec.cast("bigint").alias("time"), F.col("value").alias("y"))
     e = tracks.number_rows(e, ["track"], ["event_id"])
@@ -421,43 +431,44 @@ def _(s, d):
 NEIGH = """nb as (select *, y - 0.1 * (x - lag(x) over w) - lag(y) over w as a, y - 0.1 * (x - lead(x) over w) - lead(y) over w as b from trk window w as (partition by track order by i))"""
 
 
-@query("track_split", "select track, i, time, y from trk", TRK)
-def _(s, d):
-    return trk(s, d).select("track", "i", "time", "y")
+@query("track_split", "select track, i, time, y from trk", TRK, whole=trk_all)
+def _(s, d, view=trk):
+    return view(s, d).select("track", "i", "time", "y")
 
 
-@query("constant_track_field", "select track, i, 42::bigint as rgt from trk", TRK)
-def _(s, d):
-    return points.assign(trk(s, d).select("track", "i"), rgt=F.lit(42).cast("bigint"))
+@query("constant_track_field", "select track, i, 42::bigint as rgt from trk", TRK, whole=trk_all)
+def _(s, d, view=trk):
+    return points.assign(view(s, d).select("track", "i"), rgt=F.lit(42).cast("bigint"))
 
 
-@query("segments", "select track, i, x0, x1, y0, y1 from seg where x1 is not null", TRK, SEG)
-def _(s, d):
-    return tracks.segments(trk(s, d), ["track"], "i", ["x", "y"])
+@query("segments", "select track, i, x0, x1, y0, y1 from seg where x1 is not null", TRK, SEG, whole=trk_all)
+def _(s, d, view=trk):
+    return tracks.segments(view(s, d), ["track"], "i", ["x", "y"])
 
 
 @query(
     "path_length",
     "select track, i, round(sum(d) over (partition by track order by i rows unbounded preceding), 4) as length from (select *, coalesce(sqrt((x - lag(x) over w) * (x - lag(x) over w) + (y - lag(y) over w) * (y - lag(y) over w)), 0) as d from trk window w as (partition by track order by i))",
     TRK,
+    whole=trk_all,
 )
-def _(s, d):
-    return tracks.path_length(trk(s, d), ["track"], "i").select("track", "i", r("length", 4).alias("length"))
+def _(s, d, view=trk):
+    return tracks.path_length(view(s, d), ["track"], "i").select("track", "i", r("length", 4).alias("length"))
 
 
-@query("along_track_min_dh", "select track, i, round(least(abs(a), abs(b)), 5) as min_dh from nb", TRK, NEIGH)
-def _(s, d):
-    return tracks.along_track_residuals(trk(s, d), ["track"], "i", "y", F.lit(0.1), "x").select("track", "i", r("min_dh", 5).alias("min_dh"))
+@query("along_track_min_dh", "select track, i, round(least(abs(a), abs(b)), 5) as min_dh from nb", TRK, NEIGH, whole=trk_all)
+def _(s, d, view=trk):
+    return tracks.along_track_residuals(view(s, d), ["track"], "i", "y", F.lit(0.1), "x").select("track", "i", r("min_dh", 5).alias("min_dh"))
 
 
-@query("along_track_rss", "select track, i, round(sqrt(coalesce(a * a, 0) + coalesce(b * b, 0)), 5) as rss_dh from nb", TRK, NEIGH)
-def _(s, d):
-    return tracks.along_track_residuals(trk(s, d), ["track"], "i", "y", F.lit(0.1), "x").select("track", "i", r("rss_dh", 5).alias("rss_dh"))
+@query("along_track_rss", "select track, i, round(sqrt(coalesce(a * a, 0) + coalesce(b * b, 0)), 5) as rss_dh from nb", TRK, NEIGH, whole=trk_all)
+def _(s, d, view=trk):
+    return tracks.along_track_residuals(view(s, d), ["track"], "i", "y", F.lit(0.1), "x").select("track", "i", r("rss_dh", 5).alias("rss_dh"))
 
 
-@query("along_track_flag", "select track, i, not sqrt(coalesce(a * a, 0) + coalesce(b * b, 0)) > 60 as valid, case when not sqrt(coalesce(a * a, 0) + coalesce(b * b, 0)) > 60 then y end as y from nb", TRK, NEIGH)
-def _(s, d):
-    e = tracks.along_track_residuals(trk(s, d), ["track"], "i", "y", F.lit(0.1), "x")
+@query("along_track_flag", "select track, i, not sqrt(coalesce(a * a, 0) + coalesce(b * b, 0)) > 60 as valid, case when not sqrt(coalesce(a * a, 0) + coalesce(b * b, 0)) > 60 then y end as y from nb", TRK, NEIGH, whole=trk_all)
+def _(s, d, view=trk):
+    e = tracks.along_track_residuals(view(s, d), ["track"], "i", "y", F.lit(0.1), "x")
     return tracks.flag_residuals(e, 60.0, null_field="y").select("track", "i", "valid", "y")
 
 
@@ -470,10 +481,10 @@ ps as (select *, lead(l) over w as l1, lead(x) over w as x1, lead(y) over w as y
     """select track, k, round(k * 50.0, 4) as length, round(x + (k * 50.0 - l) / (l1 - l) * (x1 - x), 4) as x, round(y + (k * 50.0 - l) / (l1 - l) * (y1 - y), 4) as y
     from (select *, unnest(range(ceil(l / 50.0)::bigint, ceil(l1 / 50.0)::bigint)) as k from ps where l1 > l)
     union all select track, -1, round(l, 4), round(x, 4), round(y, 4) from ps where l1 is null""",
-    TRK, PATHL,
+    TRK, PATHL, whole=trk_all,
 )
-def _(s, d):
-    p = tracks.resample_path(trk(s, d), ["track"], "i", 50.0)
+def _(s, d, view=trk):
+    p = tracks.resample_path(view(s, d), ["track"], "i", 50.0)
     return p.select("track", F.coalesce("k", F.lit(-1)).alias("k"), r("length", 4).alias("length"), r("x", 4).alias("x"), r("y", 4).alias("y"))
 
 
@@ -503,35 +514,35 @@ CROSS = """cr as (select *, (ey * bdx - ex * bdy) / det as la, (ey * adx - ex *
 xo as (select * from cr where la > 0 and la < 1 and lb > 0 and lb < 1)"""
 
 
-def xo(s, d, **kw):
-    return crossover.crossovers(trk(s, d), "track", "i", cell=24.0, time="time", **kw)
+def xo(s, d, view=trk, **kw):
+    return crossover.crossovers(view(s, d), "track", "i", cell=24.0, time="time", **kw)
 
 
-@query("crossovers", "select track_a, i_a, track_b, i_b, round(la, 6) as la, round(lb, 6) as lb, round(ax + la * adx, 5) as x, round(ay + la * ady, 5) as y from xo", TRK, SEG, CROSS)
-def _(s, d):
-    return xo(s, d).select("track_a", "i_a", "track_b", "i_b", r("la").alias("la"), r("lb").alias("lb"), r("x", 5).alias("x"), r("y", 5).alias("y"))
+@query("crossovers", "select track_a, i_a, track_b, i_b, round(la, 6) as la, round(lb, 6) as lb, round(ax + la * adx, 5) as x, round(ay + la * ady, 5) as y from xo", TRK, SEG, CROSS, whole=trk_all)
+def _(s, d, view=trk):
+    return xo(s, d, view).select("track_a", "i_a", "track_b", "i_b", r("la").alias("la"), r("lb").alias("lb"), r("x", 5).alias("x"), r("y", 5).alias("y"))
 
 
-@query("crossovers_first", "select track_a, min(i_a) as i_a, track_b, arg_min(i_b, (i_a, i_b)) as i_b from xo where abs(at0 - bt0) <= 400000 group by track_a, track_b", TRK, SEG, CROSS)
-def _(s, d):
-    return xo(s, d, max_dt=400000, first_only=True).select("track_a", "i_a", "track_b", "i_b")
+@query("crossovers_first", "select track_a, min(i_a) as i_a, track_b, arg_min(i_b, (i_a, i_b)) as i_b from xo where abs(at0 - bt0) <= 400000 group by track_a, track_b", TRK, SEG, CROSS, whole=trk_all)
+def _(s, d, view=trk):
+    return xo(s, d, view, max_dt=400000, first_only=True).select("track_a", "i_a", "track_b", "i_b")
 
 
-@query("crossover_values", "select track_a, i_a, track_b, i_b, round((1 - la) * at0 + la * at1, 3) as time_a, round((1 - lb) * bt0 + lb * bt1, 3) as time_b, round((1 - la) * ay + la * ay1, 5) as y_a, round((1 - lb) * by0 + lb * by1, 5) as y_b from xo", TRK, SEG, CROSS)
-def _(s, d):
-    v = crossover.crossover_values(xo(s, d), trk(s, d), "track", "i", ["time", "y"])
+@query("crossover_values", "select track_a, i_a, track_b, i_b, round((1 - la) * at0 + la * at1, 3) as time_a, round((1 - lb) * bt0 + lb * bt1, 3) as time_b, round((1 - la) * ay + la * ay1, 5) as y_a, round((1 - lb) * by0 + lb * by1, 5) as y_b from xo", TRK, SEG, CROSS, whole=trk_all)
+def _(s, d, view=trk):
+    v = crossover.crossover_values(xo(s, d, view), view(s, d), "track", "i", ["time", "y"])
     return v.select("track_a", "i_a", "track_b", "i_b", r("time_a", 3).alias("time_a"), r("time_b", 3).alias("time_b"), r("y_a", 5).alias("y_a"), r("y_b", 5).alias("y_b"))
 
 
 @query(
     "crossover_slope",
     "select track_a, i_a, track_b, i_b, round(((at1 - at0) * bdy - (bt1 - bt0) * ady) / det, 2) + 0.0 as slope_x, round((adx * (bt1 - bt0) - bdx * (at1 - at0)) / det, 2) + 0.0 as slope_y from xo where abs(det) > 0.01",
-    TRK, SEG, CROSS,
+    TRK, SEG, CROSS, whole=trk_all,
 )
-def _(s, d):
-    c = xo(s, d)
-    g = crossover.crossover_slopes(c, trk(s, d), "track", "i", "time")
-    t = trk(s, d)
+def _(s, d, view=trk):
+    c = xo(s, d, view)
+    g = crossover.crossover_slopes(c, view(s, d), "track", "i", "time")
+    t = view(s, d)
     sg = tracks.segments(t, ["track"], "i", ["x", "y"]).select("track", "i", (F.col("x1") - F.col("x0")).alias("dx"), (F.col("y1") - F.col("y0")).alias("dy"))
     for k in "ab":
         g = g.join(sg.select(F.col("track").alias(f"track_{k}"), F.col("i").alias(f"i_{k}"), F.col("dx").alias(f"{k}dx"), F.col("dy").alias(f"{k}dy")), [f"track_{k}", f"i_{k}"])
@@ -543,22 +554,22 @@ def _(s, d):
     "crossover_neighbors",
     """select track_a, i_a, track_b, i_b, side::integer as side, k, coalesce(t.time, -1) as time, t.y from (select track_a, i_a, track_b, i_b, side, k, case side when 0 then track_a else track_b end as tt, case side when 0 then i_a else i_b end + k as ii
     from xo, (values (0), (1)) s(side), (select unnest(range(-1, 3))::bigint as k)) c left join trk t on t.track = tt and t.i = ii""",
-    TRK, SEG, CROSS,
+    TRK, SEG, CROSS, whole=trk_all,
 )
-def _(s, d):
-    return crossover.crossover_neighbours(xo(s, d), trk(s, d), "track", "i", ["time", "y"], 1).withColumn("time", F.coalesce("time", F.lit(-1)))
+def _(s, d, view=trk):
+    return crossover.crossover_neighbours(xo(s, d, view), view(s, d), "track", "i", ["time", "y"], 1).withColumn("time", F.coalesce("time", F.lit(-1)))
 
 
-@query("crossover_cube_pivot", "select track_a, i_a, track_b, i_b, at0 as time_0, bt0 as time_1, ay as y_0, by0 as y_1 from xo", TRK, SEG, CROSS)
-def _(s, d):
-    n = crossover.crossover_neighbours(xo(s, d), trk(s, d), "track", "i", ["time", "y"], 0).where("k = 0")
+@query("crossover_cube_pivot", "select track_a, i_a, track_b, i_b, at0 as time_0, bt0 as time_1, ay as y_0, by0 as y_1 from xo", TRK, SEG, CROSS, whole=trk_all)
+def _(s, d, view=trk):
+    n = crossover.crossover_neighbours(xo(s, d, view), view(s, d), "track", "i", ["time", "y"], 0).where("k = 0")
     return crossover.cube(n, ["track_a", "i_a", "track_b", "i_b"], "side", ["time", "y"])
 
 
-@query("tile_fields", "select track, i, c as cycle, 10.0::double * c as t_cycle from trk, (values (1), (2), (3)) v(c)", TRK)
-def _(s, d):
+@query("tile_fields", "select track, i, c as cycle, 10.0::double * c as t_cycle from trk, (values (1), (2), (3)) v(c)", TRK, whole=trk_all)
+def _(s, d, view=trk):
     cyc = s.createDataFrame([(1, 10.0), (2, 20.0), (3, 30.0)], "cycle int, t_cycle double")
-    return crossover.tile_fields(trk(s, d).select("track", "i"), cyc, ["cycle", "t_cycle"])
+    return crossover.tile_fields(view(s, d).select("track", "i"), cyc, ["cycle", "t_cycle"])
 
 
 # ---- neighbourhoods -------------------------------------------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from firnline.operators import crossover, register, sample, smooth, tracks
 from firnline.operators.raster import GridMeta, lattice
+from firnline.plans import catalogue
 
 
 def _tracks(n=12, k=9, seed=3):
@@ -99,3 +100,16 @@ def test_trilinear(spark):
     p = spark.createDataFrame([(1, 1.5, 0.5, 2005.0), (2, 3.0, 3.0, 2010.0), (3, 9.0, 0.0, 2005.0)], "id int, x double, y double, t double")
     got = {r.id: r.value for r in sample.trilinear(p, ["id"], cells, m, "v", [2000.0, 2010.0]).collect()}
     assert got == {1: pytest.approx(65.5), 2: pytest.approx(133.0)}
+
+
+def test_all_tracks_are_taken(spark, sf):
+    users = {r.user_id for r in spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct().collect()}
+    known = catalogue.queries()
+    assert max(users) >= 10
+    for name in ("track_split", "path_length"):
+        rows = known[f"{name}_all"](spark, sf).collect()
+        assert {r.track for r in rows} == users
+        assert sorted(tuple(r) for r in rows if r.track < 10) == sorted(map(tuple, known[name](spark, sf).collect()))
+    rows = known["crossovers_all"](spark, sf).collect()
+    assert {r.track_a for r in rows} | {r.track_b for r in rows} == users
+    assert sorted(tuple(r) for r in rows if r.track_b < 10) == sorted(map(tuple, known["crossovers"](spark, sf).collect()))
