@@ -315,10 +315,10 @@ def _(s, d):
     """select src, min(offset_start)::bigint as offset_start, max(offset_end)::bigint as offset_end from (select *, sum(new) over (partition by src order by offset_start, offset_end rows unbounded preceding) as isle from
     (select *, case when offset_start > max(offset_end) over (partition by src order by offset_start, offset_end rows between unbounded preceding and 1 preceding) + 1 then 1 else 0 end as new
     from (select src, o1 // 100 as g, min(pt_id) as offset_start, max(pt_id) as offset_end from pts where o1 % 300 < 200 group by 1, 2))) group by src, isle""",
-    PTS,
-)
-def _(s, d):
-    p = pts(s, d, True).where("o1 % 300 < 200")
+    PTS, whole=lambda s, d: pts(s, d, True),
+)
+def _(s, d, view=lambda s, d: pts(s, d, True).where("o1 % 300 < 200")):
+    p = view(s, d)
     runs = p.groupBy("src", F.floor(F.col("o1") / 100).alias("g")).agg(F.min("pt_id").alias("offset_start"), F.max("pt_id").alias("offset_end"))
     return index.coalesce_ranges(runs)
 
@@ -497,11 +497,12 @@ _SUBP = "p as (select o1, o2, x as px, y as py, z from pts where x < 300 and o1
     (select *, l + least(greatest(a, 0), ds) as along, sqrt(c * c + power(greatest(a - ds, -a, 0), 2)) as dist from
     (select *, (rx * dx + ry * dy) / ds as a, (ry * dx - rx * dy) / ds as c from (select p.*, l, x1 - x as dx, y1 - y as dy, px - x as rx, py - y as ry, sqrt((x1 - x) * (x1 - x) + (y1 - y) * (y1 - y)) as ds
     from p, ps where track = 3 and l1 > l))) where dist <= 25 group by all)""",
-    TRK, PATHL, PTS, _SUBP,
+    TRK, PATHL, PTS, _SUBP, whole=lambda s, d: (pts(s, d), trk_all(s, d)),
 )
-def _(s, d):
-    p = pts(s, d).where("x < 300 and o1 < 3000").select(F.struct("o1", "o2", "x", "y", "z").alias("pid"), "x", "y")
-    a = tracks.along_track_coords(p, "pid", trk(s, d).where("track = 3"), ["track"], "i", 25.0)
+def _(s, d, view=lambda s, d: (pts(s, d).where("x < 300 and o1 < 3000"), trk(s, d).where("track = 3"))):
+    p, path = view(s, d)
+    p = p.select(F.struct("o1", "o2", "x", "y", "z").alias("pid"), "x", "y")
+    a = tracks.along_track_coords(p, "pid", path, ["track"], "i", 25.0)
     return a.select("pid.o1", "pid.o2", F.col("pid.x").alias("px"), F.col("pid.y").alias("py"), "pid.z", r("along", 4).alias("along"), r("across", 4).alias("across"), r("dist", 4).alias("dist"))
 
 
@@ -580,9 +581,13 @@ sums as (select ax, ay, count(*)::bigint as n, sum(u * u) + 1e-6 as a, sum(u * v
 _ZP = "zp as (select x, y, max(z) as z from pts where x < 200 group by x, y)"
 
 
-@query("radius_neighbors", "select a.x as ax, a.y as ay, b.x as bx, b.y as by, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 6) as dist from np a join np b on (a.x <> b.x or a.y <> b.y) and (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) <= 25", PTS, _NEAR)
-def _(s, d):
-    p = pts(s, d).where("x < 200").select("x", "y").distinct().withColumn("pid", F.struct("x", "y"))
+def near(s, d):
+    return pts(s, d).where("x < 200")
+
+
+@query("radius_neighbors", "select a.x as ax, a.y as ay, b.x as bx, b.y as by, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 6) as dist from np a join np b on (a.x <> b.x or a.y <> b.y) and (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) <= 25", PTS, _NEAR, whole=pts)
+def _(s, d, view=near):
+    p = view(s, d).select("x", "y").distinct().withColumn("pid", F.struct("x", "y"))
     n = register.neighbours(p, "pid", 5.0, [])
     return n.select(F.col("pid.x").alias("ax"), F.col("pid.y").alias("ay"), F.col("n_pid.x").alias("bx"), F.col("n_pid.y").alias("by"), r("dist").alias("dist"))
 
@@ -590,10 +595,10 @@ def _(s, d):
 @query(
     "radius_plane_first_pass",
     "select ax as x, ay as y, n, round(-(a * (e * sd - vd * sv) - b * (b * sd - vd * su) + ud * (b * sv - e * su)) / (a * (e * n - sv * sv) - b * (b * n - sv * su) + su * (b * sv - e * su)), 2) as bias from sums",
-    PTS, _ZP, _PLANE,
+    PTS, _ZP, _PLANE, whole=pts,
 )
-def _(s, d):
-    p = pts(s, d).where("x < 200").groupBy("x", "y").agg(F.max("z").alias("z")).withColumn("pid", F.struct("x", "y"))
+def _(s, d, view=near):
+    p = view(s, d).groupBy("x", "y").agg(F.max("z").alias("z")).withColumn("pid", F.struct("x", "y"))
     g = register.plane_sums(p, "pid", 20.0)
     return g.select("pid.x", "pid.y", "n", r("bias", 2).alias("bias"))
 

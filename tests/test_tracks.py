@@ -113,3 +113,46 @@ def test_all_tracks_are_taken(spark, sf):
     rows = known["crossovers_all"](spark, sf).collect()
     assert {r.track_a for r in rows} | {r.track_b for r in rows} == users
     assert sorted(tuple(r) for r in rows if r.track_b < 10) == sorted(map(tuple, known["crossovers"](spark, sf).collect()))
+
+
+def test_all_points_are_taken(spark, sf):
+    known = catalogue.queries()
+    pts = catalogue.pts(spark, sf).select("x", "y").distinct().toPandas()
+    x, y = pts.x.to_numpy(), pts.y.to_numpy()
+    d2 = (x[:, None] - x) ** 2 + (y[:, None] - y) ** 2
+    near = d2 <= 25
+    np.fill_diagonal(near, False)
+    got = known["radius_neighbors_all"](spark, sf)
+    assert sorted((r.ax, r.ay, r.bx, r.by) for r in got.collect()) == sorted((x[i], y[i], x[j], y[j]) for i, j in zip(*np.nonzero(near)))
+    n = {(a, b): k for a, b, k in zip(x, y, (d2 <= 400).sum(1) - 1) if k >= 6}
+    assert {(r.x, r.y): r.n for r in known["radius_plane_first_pass_all"](spark, sf).collect()} == n
+
+
+def test_all_ranges_are_taken(spark, sf):
+    known = catalogue.queries()
+    p = catalogue.pts(spark, sf, True).select("src", "o1", "pt_id").toPandas()
+    runs = p.assign(g=p.o1 // 100).groupby(["src", "g"]).pt_id.agg(["min", "max"]).reset_index().sort_values(["src", "min", "max"])
+    want = []
+    for src, lo, hi in runs[["src", "min", "max"]].itertuples(index=False):
+        if want and want[-1][0] == src and lo <= want[-1][2] + 1:
+            want[-1][2] = max(want[-1][2], hi)
+        else:
+            want.append([src, lo, hi])
+    got = known["coalesce_ranges_all"](spark, sf).select("src", "offset_start", "offset_end").collect()
+    assert sorted(map(list, got)) == sorted(want)
+
+
+def test_along_track_places_of_all_points(spark, sf):
+    known = catalogue.queries()
+    p = catalogue.pts(spark, sf).select("o1", "o2", "x", "y", "z").distinct().toPandas()
+    t = catalogue.trk_all(spark, sf).toPandas().sort_values(["track", "i"])
+    best = np.full(len(p), np.inf)
+    for _, k in t.groupby("track"):
+        a, b = k[["x", "y"]].to_numpy()[:-1], k[["x", "y"]].to_numpy()[1:]
+        for q, e in zip(a, b - a):
+            r = p[["x", "y"]].to_numpy() - q
+            f = np.clip(r @ e / max(e @ e, 1e-300), 0, 1)
+            best = np.minimum(best, np.hypot(*(r - f[:, None] * e).T))
+    want = sorted((a, b, round(c, 3)) for a, b, c in zip(p.o1, p.o2, best) if c <= 25)
+    got = sorted((r.o1, r.o2, r.dist) for r in known["along_track_coords_all"](spark, sf).collect())
+    assert [g[:2] for g in got] == [w[:2] for w in want] and all(abs(g[2] - w[2]) < 2e-3 for g, w in zip(got, want))
