@@ -20,7 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
     A cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (local tests) a temporary folder is made and set.
+    and everything runs on this machine a temporary folder is made and set.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -29,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     have = sc._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return have.get()
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     base = "file://" + os.path.join(tempfile.gettempdir(), f"firnline-{os.getpid()}")
     sc.setCheckpointDir(base)
     return base

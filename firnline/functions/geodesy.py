@@ -59,21 +59,18 @@ def polar_inverse(x: Column, y: Column, epsg: int) -> tuple[Column, Column]:
     return F.degrees(phi) * sign, lon
 
 
-# fixed values: published ratio at the latitude of true scale, north 70 and south 71 degrees (WGS84)
-MC_TC_NORTH = 1.9332273960882438
-MC_TC_SOUTH = 1.939029565915543
-
-
 def polar_scale(lat: Column, north: bool) -> Column:
-    """Length on the ellipsoid per length on the polar stereographic map, with the limit at the pole."""
-    e2 = 0.006694379990141
-    e = math.sqrt(e2)
-    mc_tc = MC_TC_NORTH if north else MC_TC_SOUTH
+    """Length on the ellipsoid per length on the polar stereographic map of that hemisphere.
+
+    A parallel of radius r is drawn as a circle of radius rho, so the ratio is
+    r / rho; both vanish at the pole, where their rates of change take over.
+    """
+    per_t = _rho_scale(POLAR[3413 if north else 3031][1])
     phi = F.abs(F.radians(lat))
-    s = F.sin(phi)
-    k = _t(phi, e) * F.sqrt(1 - e2 * s * s) / F.cos(phi) * mc_tc
-    kp = 0.5 * mc_tc * math.sqrt((1 + e) ** (1 + e) * (1 - e) ** (1 - e))
-    return F.when(F.abs(phi - math.pi / 2) < 1e-8, 1 / kp).otherwise(1 / k)
+    s = WGS84_E * F.sin(phi)
+    parallel = WGS84_A * F.cos(phi) / F.sqrt(1 - s * s)
+    at_pole = WGS84_A / math.sqrt(1 - WGS84_E**2) / (per_t / 2 * ((1 + WGS84_E) / (1 - WGS84_E)) ** (WGS84_E / 2))
+    return F.when(math.pi / 2 - phi < 1e-8, F.lit(at_pole)).otherwise(parallel / (per_t * _t(phi, WGS84_E)))
 
 
 def to_cartesian(lat: Column, lon: Column, h: Column) -> tuple[Column, Column, Column]:
@@ -105,13 +102,17 @@ HELMERT = {
 }
 
 
-def change_frame(lat: Column, lon: Column, h: Column, year: Column, frames: tuple[int, int] = (2014, 2020), inverse: bool = False) -> tuple[Column, Column, Column]:
-    """Coordinates in another realisation of the terrestrial frame (no rotations)."""
-    tx, ty, tz, s, dx, dy, dz, ds, t0 = HELMERT[frames]
+def change_frame(lat: Column, lon: Column, h: Column, year: Column, frames: tuple[int, int] | Column = (2014, 2020), inverse: bool | Column = False) -> tuple[Column, Column, Column]:
+    """Coordinates in another realisation of the terrestrial frame (no rotations).
+
+    ``frames`` is a pair of ``HELMERT``, or a column with the nine figures of one per row.
+    """
+    tx, ty, tz, s, dx, dy, dz, ds, t0 = (frames[i] for i in range(9)) if isinstance(frames, Column) else map(F.lit, HELMERT[frames])
+    back = inverse if isinstance(inverse, Column) else F.lit(inverse)
     dt = year - t0
-    k = (F.lit(s) + ds * dt) * 1e-6
+    k = (s + ds * dt) * 1e-6
     out = []
     for v, t, d in zip(to_cartesian(lat, lon, h), (tx, ty, tz), (dx, dy, dz)):
-        shift = F.lit(t) + d * dt
-        out.append((v - shift) / (1 + k) if inverse else v * (1 + k) + shift)
+        shift = t + d * dt
+        out.append(F.when(back, (v - shift) / (1 + k)).otherwise(v * (1 + k) + shift))
     return to_geodetic(*out)

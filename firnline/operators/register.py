@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,37 +14,62 @@ from firnline.operators.raster import GridMeta
 from firnline.operators.sample import bilinear, shift_misfit
 
 EDIT_ROUNDS = 6
+DAMPING = 1e-6  # added to the sums of squares of the slopes
+
+
+def _spreads(r: np.ndarray, use: np.ndarray, first: np.ndarray, seg: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Half the 16-84 percent width (Hazen positions) of the used residuals of every segment; nan below two."""
+    s = r[np.lexsort((np.where(use, r, np.inf), seg))]
+    at = lambda p: np.clip(p * n - 0.5, 0, np.maximum(n - 1, 0))
 
+    def value(p: float) -> np.ndarray:
+        k = at(p)
+        low = np.floor(k).astype(np.int64)
+        high = np.minimum(low + 1, np.maximum(n - 1, 0))
+        return s[first + low] + (k - low) * (s[first + high] - s[first + low])
 
-def spread(v: np.ndarray) -> float:
-    """Half the 16-84 percent width at Hazen positions; nan below two values."""
-    v = np.sort(v[np.isfinite(v)])
-    n = len(v)
-    if n < 2:
-        return float("nan")
-    lo, hi = np.interp(np.array([0.16, 0.84]) * n, np.arange(n) + 0.5, v)
-    return (hi - lo) / 2
+    return np.where(n >= 2, (value(0.84) - value(0.16)) / 2, np.nan)
 
 
-def edited_plane(dx: np.ndarray, dy: np.ndarray, dz: np.ndarray, min_sigma: float = 0.5) -> tuple[float, float, float, float, int] | None:
-    """(bias, noise, slope_x, slope_y, n) of an iteratively 3-sigma edited plane with slightly damped slopes."""
-    g = np.column_stack([dx / 1000, dy / 1000, np.ones_like(dx)])
-    damp = 0.001 * np.array([[1.0, 0, 0], [0, 1.0, 0]])
-    use, m, r = np.ones(len(dx), bool), None, None
+def edited_planes(dx: np.ndarray, dy: np.ndarray, dz: np.ndarray, first: np.ndarray, min_sigma: float = 0.5) -> dict[str, np.ndarray]:
+    """``bias, noise, slope_x, slope_y, n`` of one plane per segment of rows (segments start at ``first``).
+
+    Weighted normal equations of all segments are summed and solved together;
+    a row's weight is 1 or 0.  Slopes (per km) are damped by ``DAMPING``.
+    Residuals beyond three robust spreads lose their weight and the fit
+    repeats, until no weight changes or four rows or fewer are left.  nan
+    where a segment has at most four rows.
+    """
+    size = np.diff(np.r_[first, len(dx)])
+    seg = np.repeat(np.arange(len(first)), size)
+    g = np.stack([dx / 1000, dy / 1000, np.ones(len(dx))])
+    w = np.ones(len(dx), bool)
+    add = lambda v: np.add.reduceat(np.where(w, v, 0.0), first)
+    m = np.full((len(first), 3), np.nan)
+    r = np.zeros(len(dx))
+    open_ = np.ones(len(first), bool)
     for k in range(EDIT_ROUNDS):
-        if use.sum() <= 4:
+        open_ &= add(1.0) > 4
+        if not open_.any():
             break
-        m = np.linalg.lstsq(np.vstack([g[use], damp]), np.r_[dz[use], 0, 0], rcond=None)[0]
-        r = dz - g @ m
+        a = np.empty((len(first), 3, 3))
+        for i in range(3):
+            for j in range(3):
+                a[:, i, j] = add(g[i] * g[j]) + (DAMPING if i == j < 2 else 0.0)
+        b = np.stack([add(g[i] * dz) for i in range(3)], axis=1)
+        m[open_] = np.linalg.solve(a[open_], b[open_][:, :, None])[:, :, 0]
+        rows = open_[seg]
+        r = np.where(rows, dz - np.einsum("ij,ji->i", m[seg], g), r)
         if k == EDIT_ROUNDS - 1:
             break
-        new = np.abs(r) < 3 * max(spread(r[use]), min_sigma)
-        if (new == use).all():
-            break
-        use = new
-    if m is None:
-        return None
-    return -m[2], float(np.std(r[use])), m[0] / 1000, m[1] / 1000, int(use.sum())
+        limit = 3 * np.fmax(_spreads(r, w, first, seg, add(1.0).astype(np.int64)), min_sigma)
+        new = np.where(rows, np.abs(r) < limit[seg], w)
+        open_ &= np.logical_or.reduceat(new != w, first)
+        w = new
+    n = add(1.0)
+    mean = add(r) / np.maximum(n, 1)
+    noise = np.sqrt(np.maximum(add((r - mean[seg]) ** 2) / np.maximum(n, 1), 0))
+    return {"bias": -m[:, 2], "noise": noise, "slope_x": m[:, 0] / 1000, "slope_y": m[:, 1] / 1000, "n": n.astype(np.int64)}
 
 
 def neighbours(points: DataFrame, point_id: str, radius: float, fields: list[str]) -> DataFrame:
@@ -64,7 +91,7 @@ def neighbours(points: DataFrame, point_id: str, radius: float, fields: list[str
 
 
 def plane_sums(points: DataFrame, point_id: str, radius: float, z: str = "z", least: int = 6) -> DataFrame:
-    """First-pass plane of each point's neighbours from normal-equation sums (slopes damped as in ``edited_plane``)."""
+    """First-pass plane of each point's neighbours from normal-equation sums (slopes damped as in ``edited_planes``)."""
     nb = neighbours(points, point_id, radius, [z]).join(points.select(point_id, F.col(z).alias("_z0")), point_id)
     u, v, d = F.col("dx") / 1000, F.col("dy") / 1000, F.col(f"n_{z}") - F.col("_z0")
     s = nb.groupBy(point_id).agg(
@@ -78,17 +105,36 @@ def plane_sums(points: DataFrame, point_id: str, radius: float, z: str = "z", le
 
 
 def radius_stats(points: DataFrame, point_id: str, radius: float, *, z: str = "z", min_sigma: float = 0.5, least: int = 6) -> DataFrame:
-    """``point_id, bias, noise, slope_x, slope_y, n``: edited plane fit to the neighbours of each point with at least ``least``."""
-    nb = neighbours(points, point_id, radius, [z]).join(points.select(point_id, F.col(z).alias("_z0")), point_id)
-    nb = nb.select(point_id, "dx", "dy", (F.col(f"n_{z}") - F.col("_z0")).alias("dz"))
-    kind = dict(nb.dtypes)[point_id]
-
-    def fit(d: pd.DataFrame) -> pd.DataFrame:
-        got = edited_plane(d.dx.to_numpy(), d.dy.to_numpy(), d.dz.to_numpy(), min_sigma) if len(d) >= least else None
-        rows = [(d[point_id].iloc[0], *got)] if got else []
-        return pd.DataFrame(rows, columns=[point_id, "bias", "noise", "slope_x", "slope_y", "n"])
+    """``point_id, bias, noise, slope_x, slope_y, n``: edited plane fit to the neighbours of each point with at least ``least``.
 
-    return nb.groupBy(point_id).applyInPandas(fit, f"{point_id} {kind}, bias double, noise double, slope_x double, slope_y double, n bigint")
+    The neighbours of a task's points stream through in order of the point and
+    are fitted together, batch by batch.  Points or neighbours without z do not count.
+    """
+    nb = neighbours(points, point_id, radius, [z]).join(points.select(point_id, F.col(z).alias("_z0")), point_id)
+    nb = nb.select(F.col(point_id).alias("pid"), "dx", "dy", (F.col(f"n_{z}") - F.col("_z0")).alias("dz")).where("dz is not null")
+    names = ["bias", "noise", "slope_x", "slope_y", "n"]
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: pd.DataFrame | None = None
+
+        def done(d: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
+            got = pd.DataFrame(edited_planes(d.dx.to_numpy(), d.dy.to_numpy(), d.dz.to_numpy(), first, min_sigma))
+            got.insert(0, "pid", d.pid.to_numpy()[first])
+            return got[(np.diff(np.r_[first, len(d)]) >= least) & got.bias.notna().to_numpy()]
+
+        for d in batches:
+            d = d if rest is None else pd.concat([rest, d], ignore_index=True)
+            key = d.pid.to_numpy()
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(d) else np.empty(0, np.int64)
+            rest = d.iloc[first[-1] :] if len(first) else d  # the last point may go on in the next batch
+            if len(first) > 1:
+                yield done(d.iloc[: first[-1]], first[:-1])
+        if rest is not None and len(rest):
+            yield done(rest.reset_index(drop=True), np.zeros(1, np.int64))
+
+    kind = dict(nb.dtypes)["pid"]
+    rows = nb.repartition("pid").sortWithinPartitions("pid").mapInPandas(fit, f"pid {kind}, bias double, noise double, slope_x double, slope_y double, n bigint")
+    return rows.select(F.col("pid").alias(point_id), *names)
 
 
 def grid_shift(points: DataFrame, point_id: str, cells: DataFrame, meta: GridMeta, field: str, shift: tuple[float, float], *, z: str = "z", sigma: str = "sigma", sigma_min: float = 0.02, rounds: int = 1) -> dict[str, float]:

@@ -11,18 +11,33 @@ from firnline.operators.raster import GridMeta
 
 
 def bilinear(points: DataFrame, point_id: list[str], cells: DataFrame, meta: GridMeta, field: str, *, x: Column | None = None, y: Column | None = None, out: str = "value") -> DataFrame:
-    """``point_id, value`` by the four corner weights; null where a corner with weight is missing or outside."""
+    """``point_id, value`` by the four corner weights; null where a corner with weight is missing or outside.
+
+    One row per row of ``points``, whose ids should be unique; points outside the raster give none.
+    """
     px, py = x if x is not None else F.col("x"), y if y is not None else F.col("y")
     p = points.select(*point_id, ((px - meta.x0) / meta.dx).alias("_c"), ((py - meta.y0) / meta.dy).alias("_r"))
     p = p.where((F.col("_c") >= 0) & (F.col("_c") <= meta.nx - 1) & (F.col("_r") >= 0) & (F.col("_r") <= meta.ny - 1))
     p = p.withColumns({"c0": F.least(F.floor("_c"), F.lit(max(0, meta.nx - 2))).cast("bigint"), "r0": F.least(F.floor("_r"), F.lit(max(0, meta.ny - 2))).cast("bigint")})
+    p = p.withColumns({"_u": F.col("_c") - F.col("c0"), "_v": F.col("_r") - F.col("r0")})
+    g = cells.where(valid(field)).select("row", "col", F.col(field).alias("_z"))
+    few = broadcast_if_few(g, 500_000)
+    if few is not g:
+        # a small raster: one lookup per corner in the same broadcast table, points are neither copied nor shuffled
+        total, full = F.lit(0.0), F.lit(True)
+        for i, j in ((0, 0), (1, 0), (0, 1), (1, 1)):
+            corner = few.select((F.col("row") - j).alias("r0"), (F.col("col") - i).alias("c0"), F.col("_z").alias(f"_z{i}{j}"))
+            p = p.join(F.broadcast(corner), ["r0", "c0"], "left")
+            w = (F.col("_u") if i else 1 - F.col("_u")) * (F.col("_v") if j else 1 - F.col("_v"))
+            total = total + F.when(w > 0, w * F.col(f"_z{i}{j}")).otherwise(0.0)
+            full = full & ((w <= 0) | F.col(f"_z{i}{j}").isNotNull())
+        return p.select(*point_id, F.when(full, total).alias(out))
     corner = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
-    p = p.withColumn("k", corner).withColumns({"row": F.col("r0") + F.col("k.i"), "col": F.col("c0") + F.col("k.j")})
-    p = p.withColumn("w", (1 - F.abs(F.col("_r") - F.col("row"))) * (1 - F.abs(F.col("_c") - F.col("col")))).where("w > 0")
-    g = cells.where(valid(field)).select("row", "col", F.col(field).alias("_v"))
-    j = p.join(broadcast_if_few(g, 500_000), ["row", "col"], "left")
-    full = F.sum(F.when(F.col("_v").isNull(), F.col("w")).otherwise(0.0)) == 0
-    return j.groupBy(*point_id).agg(F.when(full, F.sum(F.col("w") * F.col("_v"))).alias(out))
+    p = p.withColumn("k", corner).withColumns({"row": F.col("r0") + F.col("k.j"), "col": F.col("c0") + F.col("k.i")})
+    u, v = (F.when(F.col(f"k.{k}") == 1, F.col(c)).otherwise(1 - F.col(c)) for k, c in (("i", "_u"), ("j", "_v")))
+    j = p.withColumn("w", u * v).where("w > 0").join(g, ["row", "col"], "left")
+    full = F.sum(F.when(F.col("_z").isNull(), F.col("w")).otherwise(0.0)) == 0
+    return j.groupBy(*point_id).agg(F.when(full, F.sum(F.col("w") * F.col("_z"))).alias(out))
 
 
 def trilinear(points: DataFrame, point_id: list[str], cells: DataFrame, meta: GridMeta, field: str, times: list[float], *, t: str = "t", out: str = "value") -> DataFrame:

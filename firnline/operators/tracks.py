@@ -70,24 +70,43 @@ def resample_path(df: DataFrame, track: list[str], order: str, spacing: float, x
     return inner.unionByName(last)
 
 
+def segment_cells(s: DataFrame, cell: float, reach: float = 0.0, x: str = "x", y: str = "y") -> DataFrame:
+    """Segments ``x0, y0, x1, y1`` with one row per square cell ``cx, cy`` that lies within ``reach`` of them along x and y.
+
+    A long slanted segment gets the cells along its line, not those of its
+    box; a billionth of a cell is added on all sides against rounding.
+    """
+    a, b, c, d = (F.col(n) for n in (f"{x}0", f"{x}1", f"{y}0", f"{y}1"))
+    s = s.withColumn("_eps", reach + 1e-9 * (cell + F.greatest(F.abs(a), F.abs(b), F.abs(c), F.abs(d))))
+    span = lambda lo, hi: F.sequence(F.floor((lo - F.col("_eps")) / cell).cast("bigint"), F.floor((hi + F.col("_eps")) / cell).cast("bigint"))
+    s = s.withColumn("cx", F.explode(span(F.least(a, b), F.greatest(a, b))))
+    # heights at which the segment enters and leaves the column of cells
+    low, high = F.least(a, b), F.greatest(a, b)
+    at = lambda v: c + (F.least(F.greatest(v, low), high) - a) / (b - a) * (d - c)
+    left = F.when(a == b, c).otherwise(at(F.col("cx") * cell - F.col("_eps")))
+    right = F.when(a == b, d).otherwise(at((F.col("cx") + 1) * cell + F.col("_eps")))
+    s = s.withColumns({"_l": left, "_r": right})
+    return s.withColumn("cy", F.explode(span(F.least("_l", "_r"), F.greatest("_l", "_r")))).drop("_eps", "_l", "_r")
+
+
 def along_track_coords(points: DataFrame, point_id: str, path: DataFrame, track: list[str], order: str, d_max: float) -> DataFrame:
     """``point_id, along, across, dist`` of the nearest path segment within ``d_max``.
 
     Segments and points meet in square bins of ``d_max``-sized cells through an
-    equi-join; ties go to the smaller along-track coordinate.
+    equi-join; ties go to the smaller along-track, then across-track coordinate.
     """
     seg = segments(path_length(path, track, order), track, order, ["x", "y", "length"])
     cell = lambda c: F.floor(c / d_max).cast("bigint")
-    lo = lambda a, b: cell(F.least(a, b) - d_max)
-    hi = lambda a, b: cell(F.greatest(a, b) + d_max)
-    s = seg.withColumn("cx", F.explode(F.sequence(lo("x0", "x1"), hi("x0", "x1")))).withColumn("cy", F.explode(F.sequence(lo("y0", "y1"), hi("y0", "y1"))))
+    s = segment_cells(seg, d_max, d_max)
     p = points.where(valid("x") & valid("y")).select(F.col(point_id), F.col("x").alias("px"), F.col("y").alias("py"), cell(F.col("x")).alias("cx"), cell(F.col("y")).alias("cy"))
-    j = p.join(broadcast_if_few(s), ["cx", "cy"])
+    few = broadcast_if_few(s, 200_000)
+    # beside a broadcast path the points are spread by their id, which also serves the aggregation
+    j = (p if few is s else p.repartition(point_id)).join(few, ["cx", "cy"])
     j = j.withColumns({"dx": F.col("x1") - F.col("x0"), "dy": F.col("y1") - F.col("y0"), "rx": F.col("px") - F.col("x0"), "ry": F.col("py") - F.col("y0")})
     j = j.withColumn("ds", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))).where("ds > 0")
     j = j.withColumns({"a": (F.col("rx") * F.col("dx") + F.col("ry") * F.col("dy")) / F.col("ds"), "c": (F.col("ry") * F.col("dx") - F.col("rx") * F.col("dy")) / F.col("ds")})
     over = F.greatest(F.col("a") - F.col("ds"), -F.col("a"), F.lit(0.0))
     j = j.withColumn("dist", F.sqrt(F.col("c") * F.col("c") + over * over)).where(F.col("dist") <= d_max)
     along = F.col("length0") + F.least(F.greatest(F.col("a"), F.lit(0.0)), F.col("ds"))
-    best = F.min_by(F.struct(along.alias("along"), F.col("c").alias("across"), "dist"), F.struct("dist", along.alias("l")))
+    best = F.min_by(F.struct(along.alias("along"), F.col("c").alias("across"), "dist"), F.struct("dist", along.alias("l"), F.col("c").alias("k")))
     return j.groupBy(point_id).agg(best.alias("b")).select(point_id, "b.along", "b.across", "b.dist")

@@ -2,16 +2,15 @@
 
 Each entry pairs a Spark plan built from the library with the SQL that states
 the same result.  Views: ``pts`` (lineitem as points of three files), ``trk``
-(events of ten users as tracks, which the SQL can join by theta-joins) and
-``trk_all`` (events of all users; the queries named ``_all``, without SQL), ``cells`` (lineitem as a sparse raster with a
-band per year), ``emb`` (embeddings as a point set of 64 columns).
+(events as one track per user), ``cells`` (lineitem as a sparse raster with a
+band per year), ``emb`` (embeddings as a point set of 64 columns).  Every query
+runs over its whole tables; where a raster or tile geometry is needed it is
+taken from the data.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,20 +30,18 @@ PTS = """pts as (select l_partkey::double as x, l_suppkey::double as y, l_extend
   row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 as pt_id from lineitem)"""
 TRK = """trk as (select user_id as track, row_number() over (partition by user_id order by event_id) - 1 as i,
   floor(epoch(ts) - epoch(timestamp '2024-01-01'))::bigint as time, floor(epoch(ts) - epoch(timestamp '2024-01-01')) / 3600.0 as x, value as y
-  from events where user_id < 10)"""
+  from events where user_id is not null)"""
 CELLS = """cells as (select l_suppkey as "row", floor(l_partkey / 100.0)::bigint as col, (year(l_shipdate) - 1995)::bigint as band,
   sum(round(l_extendedprice * 100)::bigint)::double / count(*) / 100 as z, count(*)::bigint as n from lineitem group by 1, 2, 3)"""
 SEG = """seg as (select track, i, x as x0, y as y0, time as t0, lead(x) over w as x1, lead(y) over w as y1, lead(time) over w as t1
   from trk window w as (partition by track order by i))"""
 
 
-def query(name: str, sql: str | None, *views: str, whole: Callable[[SparkSession, str], DataFrame] | None = None):
-    """Registers a plan; ``whole`` is the view of the whole table for its companion ``<name>_all``, which has no SQL."""
+def query(name: str, sql: str | None, *views: str):
+    """Registers a plan and the SQL that states the same result."""
 
     def add(fn):
         _Q[name] = fn
-        if whole is not None:
-            _Q[f"{name}_all"] = partial(fn, view=whole)
         if sql is not None:
             _SQL[name] = ("with " + ",\n".join(views) + "\n" if views else "") + sql
         return fn
@@ -63,11 +60,7 @@ def pts(spark: SparkSession, sf: str, numbered: bool = False) -> DataFrame:
 
 
 def trk(spark: SparkSession, sf: str) -> DataFrame:
-    return trk_all(spark, sf, "user_id < 10")
-
-
-def trk_all(spark: SparkSession, sf: str, where: str = "user_id is not null") -> DataFrame:
-    e = table(spark, sf, "events", ["event_id", "ts", "user_id", "value"]).where(where)
+    e = table(spark, sf, "events", ["event_id", "ts", "user_id", "value"]).where("user_id is not null")
     sec = F.floor(F.timestamp_diff("MICROSECOND", F.lit("2024-01-01").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz")) / 1e6)
     e = e.select(F.col("user_id").alias("track"), "event_id", sec.cast("bigint").alias("time"), F.col("value").alias("y"))
     e = tracks.number_rows(e, ["track"], ["event_id"])
@@ -314,11 +307,11 @@ def _(s, d):
     "coalesce_ranges",
     """select src, min(offset_start)::bigint as offset_start, max(offset_end)::bigint as offset_end from (select *, sum(new) over (partition by src order by offset_start, offset_end rows unbounded preceding) as isle from
     (select *, case when offset_start > max(offset_end) over (partition by src order by offset_start, offset_end rows between unbounded preceding and 1 preceding) + 1 then 1 else 0 end as new
-    from (select src, o1 // 100 as g, min(pt_id) as offset_start, max(pt_id) as offset_end from pts where o1 % 300 < 200 group by 1, 2))) group by src, isle""",
-    PTS, whole=lambda s, d: pts(s, d, True),
-)
-def _(s, d, view=lambda s, d: pts(s, d, True).where("o1 % 300 < 200")):
-    p = view(s, d)
+    from (select src, o1 // 100 as g, min(pt_id) as offset_start, max(pt_id) as offset_end from pts group by 1, 2))) group by src, isle""",
+    PTS,
+)
+def _(s, d):
+    p = pts(s, d, True)
     runs = p.groupBy("src", F.floor(F.col("o1") / 100).alias("g")).agg(F.min("pt_id").alias("offset_start"), F.max("pt_id").alias("offset_end"))
     return index.coalesce_ranges(runs)
 
@@ -431,44 +424,43 @@ def _(s, d):
 NEIGH = """nb as (select *, y - 0.1 * (x - lag(x) over w) - lag(y) over w as a, y - 0.1 * (x - lead(x) over w) - lead(y) over w as b from trk window w as (partition by track order by i))"""
 
 
-@query("track_split", "select track, i, time, y from trk", TRK, whole=trk_all)
-def _(s, d, view=trk):
-    return view(s, d).select("track", "i", "time", "y")
+@query("track_split", "select track, i, time, y from trk", TRK)
+def _(s, d):
+    return trk(s, d).select("track", "i", "time", "y")
 
 
-@query("constant_track_field", "select track, i, 42::bigint as rgt from trk", TRK, whole=trk_all)
-def _(s, d, view=trk):
-    return points.assign(view(s, d).select("track", "i"), rgt=F.lit(42).cast("bigint"))
+@query("constant_track_field", "select track, i, 42::bigint as rgt from trk", TRK)
+def _(s, d):
+    return points.assign(trk(s, d).select("track", "i"), rgt=F.lit(42).cast("bigint"))
 
 
-@query("segments", "select track, i, x0, x1, y0, y1 from seg where x1 is not null", TRK, SEG, whole=trk_all)
-def _(s, d, view=trk):
-    return tracks.segments(view(s, d), ["track"], "i", ["x", "y"])
+@query("segments", "select track, i, x0, x1, y0, y1 from seg where x1 is not null", TRK, SEG)
+def _(s, d):
+    return tracks.segments(trk(s, d), ["track"], "i", ["x", "y"])
 
 
 @query(
     "path_length",
     "select track, i, round(sum(d) over (partition by track order by i rows unbounded preceding), 4) as length from (select *, coalesce(sqrt((x - lag(x) over w) * (x - lag(x) over w) + (y - lag(y) over w) * (y - lag(y) over w)), 0) as d from trk window w as (partition by track order by i))",
     TRK,
-    whole=trk_all,
 )
-def _(s, d, view=trk):
-    return tracks.path_length(view(s, d), ["track"], "i").select("track", "i", r("length", 4).alias("length"))
+def _(s, d):
+    return tracks.path_length(trk(s, d), ["track"], "i").select("track", "i", r("length", 4).alias("length"))
 
 
-@query("along_track_min_dh", "select track, i, round(least(abs(a), abs(b)), 5) as min_dh from nb", TRK, NEIGH, whole=trk_all)
-def _(s, d, view=trk):
-    return tracks.along_track_residuals(view(s, d), ["track"], "i", "y", F.lit(0.1), "x").select("track", "i", r("min_dh", 5).alias("min_dh"))
+@query("along_track_min_dh", "select track, i, round(least(abs(a), abs(b)), 5) as min_dh from nb", TRK, NEIGH)
+def _(s, d):
+    return tracks.along_track_residuals(trk(s, d), ["track"], "i", "y", F.lit(0.1), "x").select("track", "i", r("min_dh", 5).alias("min_dh"))
 
 
-@query("along_track_rss", "select track, i, round(sqrt(coalesce(a * a, 0) + coalesce(b * b, 0)), 5) as rss_dh from nb", TRK, NEIGH, whole=trk_all)
-def _(s, d, view=trk):
-    return tracks.along_track_residuals(view(s, d), ["track"], "i", "y", F.lit(0.1), "x").select("track", "i", r("rss_dh", 5).alias("rss_dh"))
+@query("along_track_rss", "select track, i, round(sqrt(coalesce(a * a, 0) + coalesce(b * b, 0)), 5) as rss_dh from nb", TRK, NEIGH)
+def _(s, d):
+    return tracks.along_track_residuals(trk(s, d), ["track"], "i", "y", F.lit(0.1), "x").select("track", "i", r("rss_dh", 5).alias("rss_dh"))
 
 
-@query("along_track_flag", "select track, i, not sqrt(coalesce(a * a, 0) + coalesce(b * b, 0)) > 60 as valid, case when not sqrt(coalesce(a * a, 0) + coalesce(b * b, 0)) > 60 then y end as y from nb", TRK, NEIGH, whole=trk_all)
-def _(s, d, view=trk):
-    e = tracks.along_track_residuals(view(s, d), ["track"], "i", "y", F.lit(0.1), "x")
+@query("along_track_flag", "select track, i, not sqrt(coalesce(a * a, 0) + coalesce(b * b, 0)) > 60 as valid, case when not sqrt(coalesce(a * a, 0) + coalesce(b * b, 0)) > 60 then y end as y from nb", TRK, NEIGH)
+def _(s, d):
+    e = tracks.along_track_residuals(trk(s, d), ["track"], "i", "y", F.lit(0.1), "x")
     return tracks.flag_residuals(e, 60.0, null_field="y").select("track", "i", "valid", "y")
 
 
@@ -481,28 +473,25 @@ ps as (select *, lead(l) over w as l1, lead(x) over w as x1, lead(y) over w as y
     """select track, k, round(k * 50.0, 4) as length, round(x + (k * 50.0 - l) / (l1 - l) * (x1 - x), 4) as x, round(y + (k * 50.0 - l) / (l1 - l) * (y1 - y), 4) as y
     from (select *, unnest(range(ceil(l / 50.0)::bigint, ceil(l1 / 50.0)::bigint)) as k from ps where l1 > l)
     union all select track, -1, round(l, 4), round(x, 4), round(y, 4) from ps where l1 is null""",
-    TRK, PATHL, whole=trk_all,
+    TRK, PATHL,
 )
-def _(s, d, view=trk):
-    p = tracks.resample_path(view(s, d), ["track"], "i", 50.0)
+def _(s, d):
+    p = tracks.resample_path(trk(s, d), ["track"], "i", 50.0)
     return p.select("track", F.coalesce("k", F.lit(-1)).alias("k"), r("length", 4).alias("length"), r("x", 4).alias("x"), r("y", 4).alias("y"))
 
 
-_SUBP = "p as (select o1, o2, x as px, y as py, z from pts where x < 300 and o1 < 3000)"
-
-
 @query(
     "along_track_coords",
-    """select o1, o2, px, py, z, round(b.along, 4) as along, round(b.across, 4) as across, round(b.dist, 4) as dist from (select o1, o2, px, py, z, arg_min({'along': along, 'across': c, 'dist': dist}, (dist, along)) as b from
+    """select o1, o2, px, py, z, round(b.along, 4) as along, round(b.across, 4) as across, round(b.dist, 4) as dist from (select o1, o2, px, py, z, arg_min({'along': along, 'across': c, 'dist': dist}, (dist, along, c)) as b from
     (select *, l + least(greatest(a, 0), ds) as along, sqrt(c * c + power(greatest(a - ds, -a, 0), 2)) as dist from
-    (select *, (rx * dx + ry * dy) / ds as a, (ry * dx - rx * dy) / ds as c from (select p.*, l, x1 - x as dx, y1 - y as dy, px - x as rx, py - y as ry, sqrt((x1 - x) * (x1 - x) + (y1 - y) * (y1 - y)) as ds
-    from p, ps where track = 3 and l1 > l))) where dist <= 25 group by all)""",
-    TRK, PATHL, PTS, _SUBP, whole=lambda s, d: (pts(s, d), trk_all(s, d)),
+    (select *, (rx * dx + ry * dy) / ds as a, (ry * dx - rx * dy) / ds as c from (select p.*, l, x1 - ps.x as dx, y1 - ps.y as dy, px - ps.x as rx, py - ps.y as ry, sqrt((x1 - ps.x) * (x1 - ps.x) + (y1 - ps.y) * (y1 - ps.y)) as ds
+    from (select o1, o2, x as px, y as py, z from pts) p join ps on px >= ps.x - 25 and px <= x1 + 25 where l1 > l))) where dist <= 25 group by all)""",
+    TRK, PATHL, PTS,
 )
-def _(s, d, view=lambda s, d: (pts(s, d).where("x < 300 and o1 < 3000"), trk(s, d).where("track = 3"))):
-    p, path = view(s, d)
-    p = p.select(F.struct("o1", "o2", "x", "y", "z").alias("pid"), "x", "y")
-    a = tracks.along_track_coords(p, "pid", path, ["track"], "i", 25.0)
+def _(s, d):
+    """Every point against the tracks of all users; the nearest segment of any."""
+    p = pts(s, d).select(F.struct("o1", "o2", "x", "y", "z").alias("pid"), "x", "y")
+    a = tracks.along_track_coords(p, "pid", trk(s, d), ["track"], "i", 25.0)
     return a.select("pid.o1", "pid.o2", F.col("pid.x").alias("px"), F.col("pid.y").alias("py"), "pid.z", r("along", 4).alias("along"), r("across", 4).alias("across"), r("dist", 4).alias("dist"))
 
 
@@ -515,35 +504,35 @@ CROSS = """cr as (select *, (ey * bdx - ex * bdy) / det as la, (ey * adx - ex *
 xo as (select * from cr where la > 0 and la < 1 and lb > 0 and lb < 1)"""
 
 
-def xo(s, d, view=trk, **kw):
-    return crossover.crossovers(view(s, d), "track", "i", cell=24.0, time="time", **kw)
+def xo(s, d, **kw):
+    return crossover.crossovers(trk(s, d), "track", "i", cell=24.0, time="time", **kw)
 
 
-@query("crossovers", "select track_a, i_a, track_b, i_b, round(la, 6) as la, round(lb, 6) as lb, round(ax + la * adx, 5) as x, round(ay + la * ady, 5) as y from xo", TRK, SEG, CROSS, whole=trk_all)
-def _(s, d, view=trk):
-    return xo(s, d, view).select("track_a", "i_a", "track_b", "i_b", r("la").alias("la"), r("lb").alias("lb"), r("x", 5).alias("x"), r("y", 5).alias("y"))
+@query("crossovers", "select track_a, i_a, track_b, i_b, round(la, 6) as la, round(lb, 6) as lb, round(ax + la * adx, 5) as x, round(ay + la * ady, 5) as y from xo", TRK, SEG, CROSS)
+def _(s, d):
+    return xo(s, d).select("track_a", "i_a", "track_b", "i_b", r("la").alias("la"), r("lb").alias("lb"), r("x", 5).alias("x"), r("y", 5).alias("y"))
 
 
-@query("crossovers_first", "select track_a, min(i_a) as i_a, track_b, arg_min(i_b, (i_a, i_b)) as i_b from xo where abs(at0 - bt0) <= 400000 group by track_a, track_b", TRK, SEG, CROSS, whole=trk_all)
-def _(s, d, view=trk):
-    return xo(s, d, view, max_dt=400000, first_only=True).select("track_a", "i_a", "track_b", "i_b")
+@query("crossovers_first", "select track_a, min(i_a) as i_a, track_b, arg_min(i_b, (i_a, i_b)) as i_b from xo where abs(at0 - bt0) <= 400000 group by track_a, track_b", TRK, SEG, CROSS)
+def _(s, d):
+    return xo(s, d, max_dt=400000, first_only=True).select("track_a", "i_a", "track_b", "i_b")
 
 
-@query("crossover_values", "select track_a, i_a, track_b, i_b, round((1 - la) * at0 + la * at1, 3) as time_a, round((1 - lb) * bt0 + lb * bt1, 3) as time_b, round((1 - la) * ay + la * ay1, 5) as y_a, round((1 - lb) * by0 + lb * by1, 5) as y_b from xo", TRK, SEG, CROSS, whole=trk_all)
-def _(s, d, view=trk):
-    v = crossover.crossover_values(xo(s, d, view), view(s, d), "track", "i", ["time", "y"])
+@query("crossover_values", "select track_a, i_a, track_b, i_b, round((1 - la) * at0 + la * at1, 3) as time_a, round((1 - lb) * bt0 + lb * bt1, 3) as time_b, round((1 - la) * ay + la * ay1, 5) as y_a, round((1 - lb) * by0 + lb * by1, 5) as y_b from xo", TRK, SEG, CROSS)
+def _(s, d):
+    v = crossover.crossover_values(xo(s, d), trk(s, d), "track", "i", ["time", "y"])
     return v.select("track_a", "i_a", "track_b", "i_b", r("time_a", 3).alias("time_a"), r("time_b", 3).alias("time_b"), r("y_a", 5).alias("y_a"), r("y_b", 5).alias("y_b"))
 
 
 @query(
     "crossover_slope",
     "select track_a, i_a, track_b, i_b, round(((at1 - at0) * bdy - (bt1 - bt0) * ady) / det, 2) + 0.0 as slope_x, round((adx * (bt1 - bt0) - bdx * (at1 - at0)) / det, 2) + 0.0 as slope_y from xo where abs(det) > 0.01",
-    TRK, SEG, CROSS, whole=trk_all,
+    TRK, SEG, CROSS,
 )
-def _(s, d, view=trk):
-    c = xo(s, d, view)
-    g = crossover.crossover_slopes(c, view(s, d), "track", "i", "time")
-    t = view(s, d)
+def _(s, d):
+    c = xo(s, d)
+    g = crossover.crossover_slopes(c, trk(s, d), "track", "i", "time")
+    t = trk(s, d)
     sg = tracks.segments(t, ["track"], "i", ["x", "y"]).select("track", "i", (F.col("x1") - F.col("x0")).alias("dx"), (F.col("y1") - F.col("y0")).alias("dy"))
     for k in "ab":
         g = g.join(sg.select(F.col("track").alias(f"track_{k}"), F.col("i").alias(f"i_{k}"), F.col("dx").alias(f"{k}dx"), F.col("dy").alias(f"{k}dy")), [f"track_{k}", f"i_{k}"])
@@ -555,39 +544,35 @@ def _(s, d, view=trk):
     "crossover_neighbors",
     """select track_a, i_a, track_b, i_b, side::integer as side, k, coalesce(t.time, -1) as time, t.y from (select track_a, i_a, track_b, i_b, side, k, case side when 0 then track_a else track_b end as tt, case side when 0 then i_a else i_b end + k as ii
     from xo, (values (0), (1)) s(side), (select unnest(range(-1, 3))::bigint as k)) c left join trk t on t.track = tt and t.i = ii""",
-    TRK, SEG, CROSS, whole=trk_all,
+    TRK, SEG, CROSS,
 )
-def _(s, d, view=trk):
-    return crossover.crossover_neighbours(xo(s, d, view), view(s, d), "track", "i", ["time", "y"], 1).withColumn("time", F.coalesce("time", F.lit(-1)))
+def _(s, d):
+    return crossover.crossover_neighbours(xo(s, d), trk(s, d), "track", "i", ["time", "y"], 1).withColumn("time", F.coalesce("time", F.lit(-1)))
 
 
-@query("crossover_cube_pivot", "select track_a, i_a, track_b, i_b, at0 as time_0, bt0 as time_1, ay as y_0, by0 as y_1 from xo", TRK, SEG, CROSS, whole=trk_all)
-def _(s, d, view=trk):
-    n = crossover.crossover_neighbours(xo(s, d, view), view(s, d), "track", "i", ["time", "y"], 0).where("k = 0")
+@query("crossover_cube_pivot", "select track_a, i_a, track_b, i_b, at0 as time_0, bt0 as time_1, ay as y_0, by0 as y_1 from xo", TRK, SEG, CROSS)
+def _(s, d):
+    n = crossover.crossover_neighbours(xo(s, d), trk(s, d), "track", "i", ["time", "y"], 0).where("k = 0")
     return crossover.cube(n, ["track_a", "i_a", "track_b", "i_b"], "side", ["time", "y"])
 
 
-@query("tile_fields", "select track, i, c as cycle, 10.0::double * c as t_cycle from trk, (values (1), (2), (3)) v(c)", TRK, whole=trk_all)
-def _(s, d, view=trk):
+@query("tile_fields", "select track, i, c as cycle, 10.0::double * c as t_cycle from trk, (values (1), (2), (3)) v(c)", TRK)
+def _(s, d):
     cyc = s.createDataFrame([(1, 10.0), (2, 20.0), (3, 30.0)], "cycle int, t_cycle double")
-    return crossover.tile_fields(view(s, d).select("track", "i"), cyc, ["cycle", "t_cycle"])
+    return crossover.tile_fields(trk(s, d).select("track", "i"), cyc, ["cycle", "t_cycle"])
 
 
 # ---- neighbourhoods -------------------------------------------------------------------------------------------
 
-_NEAR = "np as (select distinct x, y from pts where x < 200)"
-_PLANE = """nbr as (select a.x as ax, a.y as ay, (b.x - a.x) / 1000 as u, (b.y - a.y) / 1000 as v, b.z - a.z as d from zp a join zp b on (a.x <> b.x or a.y <> b.y) and (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) <= 400),
+_NEAR = "np as (select distinct x, y from pts)"
+_PLANE = """nbr as (select a.x as ax, a.y as ay, (b.x - a.x) / 1000 as u, (b.y - a.y) / 1000 as v, b.z - a.z as d from zp a join zp b on (a.x <> b.x or a.y <> b.y) and b.x between a.x - 20 and a.x + 20 and (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) <= 400),
 sums as (select ax, ay, count(*)::bigint as n, sum(u * u) + 1e-6 as a, sum(u * v) as b, sum(v * v) + 1e-6 as e, sum(u) as su, sum(v) as sv, sum(u * d) as ud, sum(v * d) as vd, sum(d) as sd from nbr group by ax, ay having count(*) >= 6)"""
-_ZP = "zp as (select x, y, max(z) as z from pts where x < 200 group by x, y)"
-
-
-def near(s, d):
-    return pts(s, d).where("x < 200")
+_ZP = "zp as (select x, y, max(z) as z from pts group by x, y)"
 
 
-@query("radius_neighbors", "select a.x as ax, a.y as ay, b.x as bx, b.y as by, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 6) as dist from np a join np b on (a.x <> b.x or a.y <> b.y) and (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) <= 25", PTS, _NEAR, whole=pts)
-def _(s, d, view=near):
-    p = view(s, d).select("x", "y").distinct().withColumn("pid", F.struct("x", "y"))
+@query("radius_neighbors", "select a.x as ax, a.y as ay, b.x as bx, b.y as by, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 6) as dist from np a join np b on (a.x <> b.x or a.y <> b.y) and b.x between a.x - 5 and a.x + 5 and (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) <= 25", PTS, _NEAR)
+def _(s, d):
+    p = pts(s, d).select("x", "y").distinct().withColumn("pid", F.struct("x", "y"))
     n = register.neighbours(p, "pid", 5.0, [])
     return n.select(F.col("pid.x").alias("ax"), F.col("pid.y").alias("ay"), F.col("n_pid.x").alias("bx"), F.col("n_pid.y").alias("by"), r("dist").alias("dist"))
 
@@ -595,10 +580,10 @@ def _(s, d, view=near):
 @query(
     "radius_plane_first_pass",
     "select ax as x, ay as y, n, round(-(a * (e * sd - vd * sv) - b * (b * sd - vd * su) + ud * (b * sv - e * su)) / (a * (e * n - sv * sv) - b * (b * n - sv * su) + su * (b * sv - e * su)), 2) as bias from sums",
-    PTS, _ZP, _PLANE, whole=pts,
+    PTS, _ZP, _PLANE,
 )
-def _(s, d, view=near):
-    p = view(s, d).groupBy("x", "y").agg(F.max("z").alias("z")).withColumn("pid", F.struct("x", "y"))
+def _(s, d):
+    p = pts(s, d).groupBy("x", "y").agg(F.max("z").alias("z")).withColumn("pid", F.struct("x", "y"))
     g = register.plane_sums(p, "pid", 20.0)
     return g.select("pid.x", "pid.y", "n", r("bias", 2).alias("bias"))
 
@@ -617,17 +602,22 @@ def _(s, d):
 
 # ---- rasters --------------------------------------------------------------------------------------------------
 
-GM = raster.GridMeta(0.0, 100.0, 21, 0.0, 10.0, 11)
+
+def extent(s, d, dx, dy):
+    """Grid from the origin over all points, of that spacing."""
+    top = pts(s, d).agg(F.max("x"), F.max("y")).first()
+    return raster.GridMeta(0.0, dx, round((top[0] or 0) / dx) + 1, 0.0, dy, round((top[1] or 0) / dy) + 1)
+
 
 
 @query(
     "points_to_grid",
-    """select a.r as "row", b.c as col, coalesce(z, -1.0) as z from (select unnest(range(0, 11))::bigint as r) a cross join (select unnest(range(0, 21))::bigint as c) b
+    """select a.r as "row", b.c as col, coalesce(z, -1.0) as z from (select unnest(range(0, (select round_even(max(y) / 10, 0)::bigint + 1 from pts)))::bigint as r) a cross join (select unnest(range(0, (select round_even(max(x) / 100, 0)::bigint + 1 from pts)))::bigint as c) b
     left join (select round_even(y / 10, 0)::bigint as r, round_even(x / 100, 0)::bigint as c, arg_max(z, pt_id) as z from pts group by 1, 2) p on p.r = a.r and p.c = b.c""",
     PTS,
 )
 def _(s, d):
-    return raster.points_to_grid(pts(s, d, True), GM, "z", "pt_id", -1.0)
+    return raster.points_to_grid(pts(s, d, True), extent(s, d, 100.0, 10.0), "z", "pt_id", -1.0)
 
 
 @query("grid_as_points", 'select "row", col, band, z, 10.0::double + 2.0::double * col as x, 5.0::double + "row" as y from cells where z is not null', CELLS)
@@ -652,15 +642,14 @@ def _(s, d):
 
 @query(
     "grid_gradient",
-    """select "row", col, case when pc is null and nc is null then null when pc is null then (nc.z - z) / 2.0 when nc is null then (z - pc.z) / 2.0 else (nc.z - pc.z) / 4.0 end as z_x,
+    """select "row", col, band, case when pc is null and nc is null then null when pc is null then (nc.z - z) / 2.0 when nc is null then (z - pc.z) / 2.0 else (nc.z - pc.z) / 4.0 end as z_x,
     case when pr is null and nr is null then null when pr is null then (nr.z - z) / 3.0 when nr is null then (z - pr.z) / 3.0 else (nr.z - pr.z) / 6.0 end as z_y
-    from (select *, lag({'z': z}) over c as pc, lead({'z': z}) over c as nc, lag({'z': z}) over r as pr, lead({'z': z}) over r as nr from cells where band = 0
-    window c as (partition by "row" order by col), r as (partition by col order by "row"))""",
+    from (select *, lag({'z': z}) over c as pc, lead({'z': z}) over c as nc, lag({'z': z}) over r as pr, lead({'z': z}) over r as nr from cells
+    window c as (partition by band, "row" order by col), r as (partition by band, col order by "row"))""",
     CELLS,
 )
 def _(s, d):
-    g = raster.gradient(cells(s, d).where("band = 0"), "z", 2.0, 3.0)
-    return g.select("row", "col", "z_x", "z_y")
+    return raster.gradient(cells(s, d), "z", 2.0, 3.0, ["band"]).select("row", "col", "band", "z_x", "z_y")
 
 
 @query("grid_normalize", 'select "row", col, band, greatest(least((z - 10000) / 50000 * 255 + 0.0, 255), 0) as z from cells', CELLS)
@@ -727,44 +716,54 @@ def _(s, d):
     return raster.rasterize(g, raster.GridMeta(0.0, 50.0, 21, 0.0, 5.0, 20), _RING, "burn", 1.0)
 
 
-SM = raster.GridMeta(0.0, 100.0, 21, 0.0, 1.0, 101)
-_DENSE = 'g as (select "row", col, sqrt(sum(n) + "row" * col / 11.0::double) as v from cells where "row" <= 100 group by 1, 2)'
-_DPTS = "dp as (select distinct x, y from pts where y < 100 and x <= 2000)"
-_BIL = """select x, y, case when count(v) = count(*) then round(sum(w * v), 3) end as value from (select *, (1 - abs(y - rr)) * (1 - abs(x / 100 - cc)) as w from
-  (select x, y, least(floor(y), 99) + j as rr, least(floor(x / 100), 19) + i as cc from {src}, (values (0), (1)) a(i), (values (0), (1)) b(j))) left join g on g."row" = rr and g.col = cc where w > 0 group by x, y"""
+_DENSE = 'g as (select "row", col, sqrt(sum(n) + "row" * col / 11.0::double) as v from cells group by 1, 2), gm as (select max("row")::double as rmax, max(col)::double as cmax from g)'
+_DPTS = "dp as (select distinct x, y from pts)"
+_CORNER = "least(floor(y), greatest(rmax - 1, 0)) + j as rr, least(floor(x / 100), greatest(cmax - 1, 0)) + i as cc"
+_INSIDE = "x between 0 and cmax * 100 and y between 0 and rmax"
+_BIL = f"""select x, y, case when count(v) = count(*) then round(sum(w * v), 3) end as value from (select *, (1 - abs(y - rr)) * (1 - abs(x / 100 - cc)) as w from
+  (select x, y, {_CORNER} from {{src}}, gm, (values (0), (1)) a(i), (values (0), (1)) b(j) where {_INSIDE})) left join g on g."row" = rr and g.col = cc where w > 0 group by x, y"""
+
+
+def dense_meta(g):
+    """Grid of the dense raster: rows from 0 by 1, columns from 0 by 100, as far as it has cells."""
+    top = g.agg(F.max("row"), F.max("col")).first()
+    return raster.GridMeta(0.0, 100.0, (top[1] or 0) + 1, 0.0, 1.0, (top[0] or 0) + 1)
 
 
 def dense(s, d):
-    c = cells(s, d).where("row <= 100").groupBy("row", "col").agg(F.sum("n").cast("double").alias("k"))
+    c = cells(s, d).groupBy("row", "col").agg(F.sum("n").cast("double").alias("k"))
     return c.select("row", "col", F.sqrt(F.col("k") + F.col("row") * F.col("col") / 11.0).alias("v"))
 
 
-@query("bilinear_sample", _BIL.format(src="(select x + 0.25 as x, y + 0.5 as y from dp where y < 99.5 and x < 1999)"), CELLS, PTS, _DENSE, _DPTS)
+@query("bilinear_sample", _BIL.format(src="(select x + 0.25 as x, y + 0.5 as y from dp)"), CELLS, PTS, _DENSE, _DPTS)
 def _(s, d):
-    p = pts(s, d).where("y < 99.5 and x < 1999").select((F.col("x") + 0.25).alias("x"), (F.col("y") + 0.5).alias("y")).distinct()
-    return sample.bilinear(p.withColumn("pid", F.struct("x", "y")), ["pid"], dense(s, d), SM, "v").select("pid.x", "pid.y", r("value", 3).alias("value"))
+    g = dense(s, d)
+    p = pts(s, d).select((F.col("x") + 0.25).alias("x"), (F.col("y") + 0.5).alias("y")).distinct()
+    return sample.bilinear(p.withColumn("pid", F.struct("x", "y")), ["pid"], g, dense_meta(g), "v").select("pid.x", "pid.y", r("value", 3).alias("value"))
 
 
-_V9 = """s9 as (select x as ox, y as oy, x + i as x, y + j as y from (select x + 0.25 as x, y + 0.5 as y from dp), (values (-30), (0), (30)) a(i), (values (-30), (0), (30)) b(j)),
+_V9 = f"""s9 as (select x as ox, y as oy, x + i as x, y + j as y from (select x + 0.25 as x, y + 0.5 as y from dp), (values (-30), (0), (30)) a(i), (values (-30), (0), (30)) b(j)),
 b9 as (select ox, oy, x, y, count(v) = count(*) as ok from (select *, (1 - abs(y - rr)) * (1 - abs(x / 100 - cc)) as w from
-  (select *, least(floor(y), 99) + j as rr, least(floor(x / 100), 19) + i as cc from s9, (values (0), (1)) a(i), (values (0), (1)) b(j) where x between 0 and 2000 and y between 0 and 100)) left join g on g."row" = rr and g.col = cc where w > 0 group by ox, oy, x, y)"""
+  (select *, {_CORNER} from s9, gm, (values (0), (1)) a(i), (values (0), (1)) b(j) where {_INSIDE})) left join g on g."row" = rr and g.col = cc where w > 0 group by ox, oy, x, y)"""
 
 
 @query("bilinear_valid9", "select ox as x, oy as y from b9 where ok group by ox, oy having count(*) = 9", CELLS, PTS, _DENSE, _DPTS, _V9)
 def _(s, d):
-    p = pts(s, d).where("y < 100 and x <= 2000").select((F.col("x") + 0.25).alias("x"), (F.col("y") + 0.5).alias("y")).distinct()
-    return sample.valid_around(p.withColumn("pid", F.struct("x", "y")), ["pid"], dense(s, d), SM, "v", 30.0).select("pid.x", "pid.y")
+    g = dense(s, d)
+    p = pts(s, d).select((F.col("x") + 0.25).alias("x"), (F.col("y") + 0.5).alias("y")).distinct()
+    return sample.valid_around(p.withColumn("pid", F.struct("x", "y")), ["pid"], g, dense_meta(g), "v", 30.0).select("pid.x", "pid.y")
 
 
-_SHIFT = """sh as (select o1, o2, px, py, z, dx, dy, case when count(v) = count(*) then sum(w * v) end as value from (select *, (1 - abs(y - rr)) * (1 - abs(x / 100 - cc)) as w from
-  (select *, least(floor(y), 99) + j as rr, least(floor(x / 100), 19) + i as cc from (select o1, o2, x as px, y as py, z, dx * 2.0 as dx, dy * 2.0 as dy, x + dx * 2.0 as x, y + dy * 2.0 as y from (select distinct o1, o2, x, y, z from pts), (values (-1), (0), (1)) a(dx), (values (-1), (0), (1)) b(dy)), (values (0), (1)) a(i), (values (0), (1)) b(j)
-  where x between 0 and 2000 and y between 0 and 100)) left join g on g."row" = rr and g.col = cc where w > 0 group by o1, o2, px, py, z, dx, dy),
+_SHIFT = f"""sh as (select o1, o2, px, py, z, dx, dy, case when count(v) = count(*) then sum(w * v) end as value from (select *, (1 - abs(y - rr)) * (1 - abs(x / 100 - cc)) as w from
+  (select *, {_CORNER} from (select o1, o2, x as px, y as py, z, dx * 2.0 as dx, dy * 2.0 as dy, x + dx * 2.0 as x, y + dy * 2.0 as y from (select distinct o1, o2, x, y, z from pts), (values (-1), (0), (1)) a(dx), (values (-1), (0), (1)) b(dy)), gm, (values (0), (1)) a(i), (values (0), (1)) b(j)
+  where {_INSIDE})) left join g on g."row" = rr and g.col = cc where w > 0 group by o1, o2, px, py, z, dx, dy),
 mf as (select dx::double as dx, dy::double as dy, count(*)::bigint as n, round(stddev_pop(z - value), 3) as misfit from sh where value is not null group by 1, 2)"""
 
 
 def misfits(s, d):
     p = pts(s, d).select("o1", "o2", "x", "y", "z").distinct().withColumn("pid", F.struct("o1", "o2", "x", "y"))
-    m = sample.shift_misfit(p, ["pid"], dense(s, d), SM, "v", "z", 2.0)
+    g = dense(s, d)
+    m = sample.shift_misfit(p, ["pid"], g, dense_meta(g), "v", "z", 2.0)
     return m.select((F.col("dx") + 0.0).alias("dx"), (F.col("dy") + 0.0).alias("dy"), "n", r("misfit", 3).alias("misfit"))
 
 
@@ -782,30 +781,32 @@ def _(s, d):
 @query("search_offsets", None)
 def _(s, d):
     p = pts(s, d).select("o1", "o2", "x", "y", "z").distinct().withColumn("pid", F.struct("o1", "o2", "x", "y"))
-    (dx, dy), best = register.search_offsets(p, "pid", dense(s, d), SM, "v", first_step=4.0, tolerance=2.0, most=4)
+    c = dense(s, d)
+    (dx, dy), best = register.search_offsets(p, "pid", c, dense_meta(c), "v", first_step=4.0, tolerance=2.0, most=4)
     return s.createDataFrame([(dx, dy, best)], "dx double, dy double, misfit double")
 
 
 @query("grid_shift_fit", None)
 def _(s, d):
     p = pts(s, d).select("o1", "o2", "x", "y", "z", "sigma").distinct().withColumn("pid", F.struct("o1", "o2", "x", "y"))
-    g = register.grid_shift(p, "pid", dense(s, d), SM, "v", (1.0, 0.5), rounds=3)
+    c = dense(s, d)
+    g = register.grid_shift(p, "pid", c, dense_meta(c), "v", (1.0, 0.5), rounds=3)
     return s.createDataFrame([tuple(map(float, g.values()))], ", ".join(f"{k} double" for k in g))
 
 
 # ---- mosaics --------------------------------------------------------------------------------------------------
 
 TM = raster.GridMeta(0.0, 1.0, 13, 0.0, 1.0, 13)
-_TILES = """tl as (select r * 6 + (id * 7) % 5 * 0 + tr as "row", c * 6 + tc as col, r * 3 + c as seq, tr, tc, sin(r + 2.0 * c + 0.3 * tr) * 10 + tc as z
-  from (select unnest(range(0, 3)) as r), (select unnest(range(0, 3)) as c), (select unnest(range(0, 13)) as tr), (select unnest(range(0, 13)) as tc), (select 0 as id))"""
+_TILES = f"""tl as (select "row", col, band, r * 100003 + c as seq, "row" - 6 * r as tr, col - 6 * c as tc, z + 10 * sin(r + 2.0 * c) as z from (select *, unnest(range(ceil((col - 12) / 6.0)::bigint, col // 6 + 1)) as c
+  from (select *, unnest(range(ceil(("row" - 12) / 6.0)::bigint, "row" // 6 + 1)) as r from cells)))"""
 
 
-def tiles(s):
-    t = s.range(3 * 3 * 13 * 13)
-    n = {"tc": F.col("id") % 13, "tr": F.floor(F.col("id") / 13) % 13, "c": F.floor(F.col("id") / 169) % 3, "r": F.floor(F.col("id") / 507)}
-    t = t.withColumns(n)
-    z = F.sin(F.col("r") + 2.0 * F.col("c") + 0.3 * F.col("tr")) * 10 + F.col("tc")
-    return t.select((F.col("r") * 6 + F.col("tr")).alias("row"), (F.col("c") * 6 + F.col("tc")).alias("col"), (F.col("r") * 3 + F.col("c")).alias("seq"), "tr", "tc", z.alias("z"))
+def tiles(s, d):
+    """The cells raster cut into overlapping tiles of 13 x 13 cells, one every six, each with an offset of its own."""
+    spread = lambda a: F.explode(F.sequence(F.ceil((F.col(a) - 12) / 6.0), F.floor(F.col(a) / 6.0)))
+    t = cells(s, d).withColumn("r", spread("row")).withColumn("c", spread("col"))
+    z = F.col("z") + 10 * F.sin(F.col("r") + 2.0 * F.col("c"))
+    return t.select("row", "col", "band", (F.col("r") * 100003 + F.col("c")).alias("seq"), (F.col("row") - 6 * F.col("r")).alias("tr"), (F.col("col") - 6 * F.col("c")).alias("tc"), z.alias("z"))
 
 
 def _cos(v: str, pad: float = 1.0, feather: float = 3.0) -> str:
@@ -817,27 +818,27 @@ _W = f"({_cos('tr')}) * ({_cos('tc')}) * case when abs(tr - 6) >= 5 then 0 else
 _G = " * ".join(f"(case when abs({v} - 6) >= 5 then 0.0 when abs({v} - 6) <= 2 then 1.0 else exp(-power(abs({v} - 6) / 1.5, 2)) end)" for v in ("tr", "tc"))
 
 
-@query("mosaic_taper_weights", f'select tr, tc, round({_W}, 6) + 0.0 as cosine, round({_G} * case when abs(tr - 6) >= 5 then 0 else 1 end * case when abs(tc - 6) >= 5 then 0 else 1 end, 6) + 0.0 as gauss from (select distinct tr, tc from tl)', _TILES)
+@query("mosaic_taper_weights", f'select tr, tc, round({_W}, 6) + 0.0 as cosine, round({_G} * case when abs(tr - 6) >= 5 then 0 else 1 end * case when abs(tc - 6) >= 5 then 0 else 1 end, 6) + 0.0 as gauss from (select distinct tr, tc from tl)', CELLS, _TILES)
 def _(s, d):
-    t = raster.lattice(s, (0, 12), (0, 12)).select(F.col("row").alias("tr"), F.col("col").alias("tc"))
+    t = tiles(s, d).select("tr", "tc").distinct()
     w = lambda mode: r(mosaic.weights(TM, 1.0, 3.0, mode, "tr", "tc"))
     return t.select("tr", "tc", w("raised cosine").alias("cosine"), w("gaussian").alias("gauss"))
 
 
-@query("mosaic_weighted", f'select "row", col, round(case when sum(w) <> 0 then sum(w * z) / sum(w) end, 5) as z from (select *, {_W} as w from tl) group by 1, 2', _TILES)
+@query("mosaic_weighted", f'select "row", col, band, round(case when sum(w) <> 0 then sum(w * z) / sum(w) end, 4) as z from (select *, {_W} as w from tl) group by 1, 2, 3', CELLS, _TILES)
 def _(s, d):
-    return mosaic.mosaic(tiles(s), "z", TM, pad=1.0, feather=3.0, tile_row="tr", tile_col="tc").withColumn("z", r("z", 5))
+    return mosaic.mosaic(tiles(s, d), "z", TM, pad=1.0, feather=3.0, tile_row="tr", tile_col="tc", by_band=True).withColumn("z", r("z", 4))
 
 
-@query("mosaic_propagate", f'select "row", col, round(case when sum(w) <> 0 and count(*) filter (seq = 4 and tr = 6) = 0 then sum(w * z) / sum(w) end, 5) as z from (select *, {_W} as w from tl) group by 1, 2', _TILES)
+@query("mosaic_propagate", f'select "row", col, band, round(case when sum(w) <> 0 and count(*) filter (seq % 7 = 4 and tr = 6) = 0 then sum(w * z) / sum(w) end, 4) as z from (select *, {_W} as w from tl) group by 1, 2, 3', CELLS, _TILES)
 def _(s, d):
-    t = tiles(s).withColumn("z", F.when(~((F.col("seq") == 4) & (F.col("tr") == 6)), F.col("z"))).withColumn("w", mosaic.weights(TM, 1.0, 3.0, row="tr", col="tc"))
-    return mosaic.finish(mosaic.accumulate(t, "z", "w", ["row", "col"], skip_invalid=False), "z").select("row", "col", r("z", 5).alias("z"))
+    t = tiles(s, d).withColumn("z", F.when(~((F.col("seq") % 7 == 4) & (F.col("tr") == 6)), F.col("z"))).withColumn("w", mosaic.weights(TM, 1.0, 3.0, row="tr", col="tc"))
+    return mosaic.finish(mosaic.accumulate(t, "z", "w", ["row", "col", "band"], skip_invalid=False), "z").select("row", "col", "band", r("z", 4).alias("z"))
 
 
-@query("mosaic_replace", 'select "row", col, round(arg_max(z, seq), 6) as z from tl group by 1, 2', _TILES)
+@query("mosaic_replace", 'select "row", col, band, round(arg_max(z, seq), 6) as z from tl group by 1, 2, 3', CELLS, _TILES)
 def _(s, d):
-    return mosaic.replace(tiles(s), "z", "seq", ["row", "col"]).withColumn("z", r("z"))
+    return mosaic.replace(tiles(s, d), "z", "seq", ["row", "col", "band"]).withColumn("z", r("z"))
 
 
 _K = [(i, w) for i, w in smooth.kernel(1.0)]
@@ -862,12 +863,12 @@ def _(s, d):
 
 # ---- geodesy and time -----------------------------------------------------------------------------------------
 
-LL = "ll as (select distinct 60 + x / 100 as lat, y * 3.6 - 180 as lon from pts)"
+LL = "ll as (select distinct 90 - (x::bigint % 3000) / 100 as lat, y * 3.6 - 180 as lon from pts)"
 _T = lambda p, e="0.0818191908426215": f"tan(pi() / 4 - ({p}) / 2) / power((1 - {e} * sin({p})) / (1 + {e} * sin({p})), {e} / 2)"
 
 
 def ll(s, d):
-    return pts(s, d).select((60 + F.col("x") / 100).alias("lat"), (F.col("y") * 3.6 - 180).alias("lon")).distinct()
+    return pts(s, d).select((90 - (F.col("x").cast("bigint") % 3000) / 100).alias("lat"), (F.col("y") * 3.6 - 180).alias("lon")).distinct()
 
 
 _RHO = repr(geodesy._rho_scale(70.0))
@@ -879,34 +880,50 @@ def _(s, d):
     return ll(s, d).select("lat", "lon", r(x, 3).alias("px"), r(y, 3).alias("py"))
 
 
-@query("polar_stereo_inverse", "select round(lat, 7) as lat, round(case when lon >= 180 then lon - 360 else lon end, 7) + 0.0 as lon from ll where lat < 89", PTS, LL)
+@query("polar_stereo_inverse", "select round(lat, 7) as lat, case when lat < 90 then round(case when lon >= 180 then lon - 360 else lon end, 7) + 0.0 end as lon from ll", PTS, LL)
 def _(s, d):
-    p = ll(s, d).where("lat < 89")
+    """There and back; the pole itself has no longitude."""
+    p = ll(s, d)
     x, y = geodesy.polar_forward(F.col("lat"), F.col("lon"), 3413)
     lat, lon = geodesy.polar_inverse(F.col("px"), F.col("py"), 3413)
     back = p.select(F.inline(F.array(F.struct(x.alias("px"), y.alias("py"))))).select(lat.alias("lat"), lon.alias("lon"))
-    return back.select(r("lat", 7).alias("lat"), r(F.when(F.round("lon", 7) >= 180, F.col("lon") - 360).otherwise(F.col("lon")), 7).alias("lon"))
+    lon = r(F.when(F.round("lon", 7) >= 180, F.col("lon") - 360).otherwise(F.col("lon")), 7)
+    return back.select(r("lat", 7).alias("lat"), F.when(F.round("lat", 7) < 90, lon).alias("lon"))
 
 
-_E2 = "0.006694379990141"
-_EE = repr(math.sqrt(0.006694379990141))
+# constants of the SQL are typed from the definition of WGS84 (semi-major axis and inverse flattening), not taken from the library
+_F84 = "(1 / 298.257223563::double)"
+_E2 = f"({_F84} * (2 - {_F84}))"
+_EE = f"sqrt({_E2})"
+_MT = lambda p: f"(cos({p}) / sqrt(1 - {_E2} * sin({p}) * sin({p})) / ({_T(p, _EE)}))"
 
 
-@query("polar_scale_factor", f"select lat, lon, round(1 / ({_T('radians(lat)', _EE)} * sqrt(1 - {_E2} * sin(radians(lat)) * sin(radians(lat))) / cos(radians(lat)) * {geodesy.MC_TC_NORTH!r}), 8) as scale from ll where lat < 89.99", PTS, LL)
+@query(
+    "polar_scale_factor",
+    f"select lat, lon, round(case when lat < 90 then {_MT('radians(lat)')} / {_MT('radians(70.0::double)')} else 2 / ({_MT('radians(70.0::double)')} * sqrt(power(1 + {_EE}, 1 + {_EE}) * power(1 - {_EE}, 1 - {_EE}))) end, 8) as scale from ll",
+    PTS, LL,
+)
 def _(s, d):
-    return ll(s, d).where("lat < 89.99").select("lat", "lon", r(geodesy.polar_scale(F.col("lat"), True), 8).alias("scale"))
+    return ll(s, d).select("lat", "lon", r(geodesy.polar_scale(F.col("lat"), True), 8).alias("scale"))
 
 
-_HEL = f"""c0 as (select lat, lon, radians(lat) as p, radians(lon) as q, {geodesy.WGS84_A} / sqrt(1 - {geodesy.WGS84_E**2!r} * sin(radians(lat)) * sin(radians(lat))) as n, 100.0 as h from ll),
-c1 as (select lat, lon, (n + h) * cos(p) * cos(q) * (1 + 0.00042e-6) + 0.0014 as x, (n + h) * cos(p) * sin(q) * (1 + 0.00042e-6) + 0.0009 + 0.0001 * 5.0 as y, (n * (1 - {geodesy.WGS84_E**2!r}) + h) * sin(p) * (1 + 0.00042e-6) - 0.0014 - 0.0002 * 5.0 as z from c0),
-c2 as (select *, sqrt(x * x + y * y) as r, atan2(z * {geodesy.WGS84_A}, sqrt(x * x + y * y) * {geodesy.WGS84_A * (1 - geodesy.WGS84_F)!r}) as b from c1),
-c3 as (select *, atan2(z + {geodesy.WGS84_E**2 / (1 - geodesy.WGS84_E**2)!r} * {geodesy.WGS84_A * (1 - geodesy.WGS84_F)!r} * power(sin(b), 3), r - {geodesy.WGS84_E**2!r} * {geodesy.WGS84_A} * power(cos(b), 3)) as f from c2)"""
+_PAIRS = "(2014, 2020, 1.4, 0.9, -1.4, 0.42, 0.0, 0.1, -0.2, 0.0, 2015), (2008, 2014, -1.6, -1.9, -2.4, 0.02, 0.0, 0.0, 0.1, -0.03, 2015), (2005, 2014, -2.6, -1.0, 2.3, -0.92, -0.3, 0.0, 0.1, -0.03, 2010), (2005, 2020, -2.7, -0.1, 1.4, -0.65, -0.3, 0.1, -0.1, -0.03, 2000), (2008, 2020, -0.2, -1.0, -3.3, 0.29, 0.0, -0.1, -0.1, -0.03, 2015)"
+_HEL = f"""fr as (select *, 2012.5 - ty as dt from (values {_PAIRS}) f(f0, f1, px, py, pz, ps, vx, vy, vz, vs, ty), (values (false), (true)) b(back)),
+c0 as (select lat, lon, f0, f1, back, radians(lat) as p, radians(lon) as q, 6378137 / sqrt(1 - {_E2} * sin(radians(lat)) * sin(radians(lat))) as n, 100.0::double as h,
+  (px + vx * dt) / 1000 as sx, (py + vy * dt) / 1000 as sy, (pz + vz * dt) / 1000 as sz, 1 + (ps + vs * dt) * 1e-9 as k from ll, fr),
+cx as (select *, (n + h) * cos(p) * cos(q) as x0, (n + h) * cos(p) * sin(q) as y0, (n * (1 - {_E2}) + h) * sin(p) as z0 from c0),
+c1 as (select lat, lon, f0, f1, back, case when back then (x0 - sx) / k else x0 * k + sx end as x, case when back then (y0 - sy) / k else y0 * k + sy end as y, case when back then (z0 - sz) / k else z0 * k + sz end as z from cx),
+c2 as (select *, sqrt(x * x + y * y) as r, atan2(z * 6378137, sqrt(x * x + y * y) * 6378137 * (1 - {_F84})) as b from c1),
+c3 as (select *, atan2(z + {_E2} / (1 - {_E2}) * 6378137 * (1 - {_F84}) * power(sin(b), 3), r - {_E2} * 6378137 * power(cos(b), 3)) as f from c2)"""
 
 
-@query("helmert_itrf", f"select lat, lon, round(degrees(f), 6) as lat2, round(r * cos(f) + z * sin(f) - {geodesy.WGS84_A} * sqrt(1 - {geodesy.WGS84_E**2!r} * sin(f) * sin(f)), 3) as h2 from c3 where lat < 89.9", PTS, LL, _HEL)
+@query("helmert_itrf", f"select lat, lon, f0 as frame_from, f1 as frame_to, back, round(degrees(f), 6) as lat2, round(r * cos(f) + z * sin(f) - 6378137 * sqrt(1 - {_E2} * sin(f) * sin(f)), 3) as h2 from c3", PTS, LL, _HEL)
 def _(s, d):
-    lat, _lon, h = geodesy.change_frame(F.col("lat"), F.col("lon"), F.lit(100.0), F.lit(2020.0))
-    return ll(s, d).where("lat < 89.9").select("lat", "lon", r(lat, 6).alias("lat2"), r(h, 3).alias("h2"))
+    """All pairs of frames, there and back."""
+    pairs = [F.struct(F.lit(a).alias("frame_from"), F.lit(b).alias("frame_to"), F.lit(k).alias("back"), F.array(*map(F.lit, v)).alias("p")) for (a, b), v in geodesy.HELMERT.items() for k in (False, True)]
+    rows = ll(s, d).select("lat", "lon", F.inline(F.array(*pairs)))
+    lat, _lon, h = geodesy.change_frame(F.col("lat"), F.col("lon"), F.lit(100.0), F.lit(2012.5), F.col("p"), F.col("back"))
+    return rows.select("lat", "lon", "frame_from", "frame_to", "back", r(lat, 6).alias("lat2"), r(h, 3).alias("h2"))
 
 
 _EV = "ev as (select event_id, floor(epoch(ts) - epoch(timestamp '2018-01-01')) as dt, ts from events)"
@@ -1030,11 +1047,11 @@ def _(s, d):
     return g.select(F.rint("gps_pdop").cast("bigint").alias("record"), r("latitude", 3).alias("latitude"), r("longitude").alias("longitude"), r("elevation", 3).alias("elevation"), r("days_J2k", 9).alias("days_J2k"), F.split("source_file", "/")[1].alias("file"))
 
 
-@query("packed_l2", "select src, x, y, round(floor(z) / 1000, 3) as elev, round(sigma * 100, 2) as sig0, round(6300 + 43163 / 86400.0, 9) as days_j2k from pts where o2 < 8", PTS)
+@query("packed_l2", "select src, x, y, round(floor(z) / 1000, 3) as elev, round(sigma * 100, 2) as sig0, round(6300 + 43163 / 86400.0, 9) as days_j2k from pts", PTS)
 def _(s, d):
     from firnline.sources import cryosat, packed
 
-    p = pts(s, d).where("o2 < 8").select(
+    p = pts(s, d).select(
         "src", "o1", "o2", F.lit(6300).alias("Day"), F.lit(43200).alias("Second"), F.lit(0).alias("Micsec"), F.col("x").cast("int").alias("m_Quality_1"), F.col("y").cast("int").alias("m_Quality_2"),
         F.floor("z").cast("int").alias("m_Elev_1"), F.rint(F.col("sigma") * 10000).cast("int").alias("m_Sig0_1"),
     )

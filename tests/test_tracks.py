@@ -105,14 +105,10 @@ def test_trilinear(spark):
 def test_all_tracks_are_taken(spark, sf):
     users = {r.user_id for r in spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct().collect()}
     known = catalogue.queries()
-    assert max(users) >= 10
     for name in ("track_split", "path_length"):
-        rows = known[f"{name}_all"](spark, sf).collect()
-        assert {r.track for r in rows} == users
-        assert sorted(tuple(r) for r in rows if r.track < 10) == sorted(map(tuple, known[name](spark, sf).collect()))
-    rows = known["crossovers_all"](spark, sf).collect()
+        assert {r.track for r in known[name](spark, sf).collect()} == users
+    rows = known["crossovers"](spark, sf).collect()
     assert {r.track_a for r in rows} | {r.track_b for r in rows} == users
-    assert sorted(tuple(r) for r in rows if r.track_b < 10) == sorted(map(tuple, known["crossovers"](spark, sf).collect()))
 
 
 def test_all_points_are_taken(spark, sf):
@@ -122,10 +118,10 @@ def test_all_points_are_taken(spark, sf):
     d2 = (x[:, None] - x) ** 2 + (y[:, None] - y) ** 2
     near = d2 <= 25
     np.fill_diagonal(near, False)
-    got = known["radius_neighbors_all"](spark, sf)
+    got = known["radius_neighbors"](spark, sf)
     assert sorted((r.ax, r.ay, r.bx, r.by) for r in got.collect()) == sorted((x[i], y[i], x[j], y[j]) for i, j in zip(*np.nonzero(near)))
     n = {(a, b): k for a, b, k in zip(x, y, (d2 <= 400).sum(1) - 1) if k >= 6}
-    assert {(r.x, r.y): r.n for r in known["radius_plane_first_pass_all"](spark, sf).collect()} == n
+    assert {(r.x, r.y): r.n for r in known["radius_plane_first_pass"](spark, sf).collect()} == n
 
 
 def test_all_ranges_are_taken(spark, sf):
@@ -138,14 +134,14 @@ def test_all_ranges_are_taken(spark, sf):
             want[-1][2] = max(want[-1][2], hi)
         else:
             want.append([src, lo, hi])
-    got = known["coalesce_ranges_all"](spark, sf).select("src", "offset_start", "offset_end").collect()
+    got = known["coalesce_ranges"](spark, sf).select("src", "offset_start", "offset_end").collect()
     assert sorted(map(list, got)) == sorted(want)
 
 
 def test_along_track_places_of_all_points(spark, sf):
     known = catalogue.queries()
     p = catalogue.pts(spark, sf).select("o1", "o2", "x", "y", "z").distinct().toPandas()
-    t = catalogue.trk_all(spark, sf).toPandas().sort_values(["track", "i"])
+    t = catalogue.trk(spark, sf).toPandas().sort_values(["track", "i"])
     best = np.full(len(p), np.inf)
     for _, k in t.groupby("track"):
         a, b = k[["x", "y"]].to_numpy()[:-1], k[["x", "y"]].to_numpy()[1:]
@@ -154,5 +150,59 @@ def test_along_track_places_of_all_points(spark, sf):
             f = np.clip(r @ e / max(e @ e, 1e-300), 0, 1)
             best = np.minimum(best, np.hypot(*(r - f[:, None] * e).T))
     want = sorted((a, b, round(c, 3)) for a, b, c in zip(p.o1, p.o2, best) if c <= 25)
-    got = sorted((r.o1, r.o2, r.dist) for r in known["along_track_coords_all"](spark, sf).collect())
+    got = sorted((r.o1, r.o2, r.dist) for r in known["along_track_coords"](spark, sf).collect())
     assert [g[:2] for g in got] == [w[:2] for w in want] and all(abs(g[2] - w[2]) < 2e-3 for g, w in zip(got, want))
+
+
+def test_edited_planes_match_least_squares():
+    """Against a plain damped least-squares fit with the same edit, one segment at a time; short segments give none."""
+    rng = np.random.default_rng(4)
+    sizes = [3, 5, 12, 40, 7, 200]
+    parts = []
+    for n in sizes:
+        x, y = rng.uniform(-20, 20, n), rng.uniform(-20, 20, n)
+        z = 3 + 0.05 * x - 0.02 * y + rng.normal(0, 0.3, n)
+        z[rng.random(n) < 0.1] += 50
+        parts.append((x, y, z))
+    dx, dy, dz = (np.concatenate(v) for v in zip(*parts))
+    got = register.edited_planes(dx, dy, dz, np.r_[0, np.cumsum(sizes)[:-1]])
+    for k, (x, y, z) in enumerate(parts):
+        if len(x) <= 4:
+            assert np.isnan(got["bias"][k])
+            continue
+        keep = np.ones(len(x), bool)
+        for turn in range(register.EDIT_ROUNDS):
+            if keep.sum() <= 4:
+                break
+            g = np.c_[x / 1000, y / 1000, np.ones(len(x))]
+            lhs = g[keep].T @ g[keep] + register.DAMPING * np.diag([1, 1, 0])
+            m = np.linalg.solve(lhs, g[keep].T @ z[keep])
+            res = z - g @ m
+            lo, hi = np.quantile(res[keep], [0.16, 0.84], method="hazen")
+            after = np.abs(res) < 3 * max((hi - lo) / 2, 0.5)
+            if turn == register.EDIT_ROUNDS - 1 or (after == keep).all():
+                break
+            keep = after
+        assert got["bias"][k] == pytest.approx(-m[2]) and got["slope_x"][k] == pytest.approx(m[0] / 1000) and got["n"][k] == keep.sum()
+        assert got["noise"][k] == pytest.approx(res[keep].std())
+
+
+def test_crossings_with_keys_and_time(spark):
+    """``pair``, ``different`` and ``max_dt`` against all pairs; long slanted and upright segments."""
+    rng = np.random.default_rng(2)
+    rows = [(t, i, float(rng.uniform(-50, 50)), float(rng.uniform(-50, 50)), float(rng.uniform(0, 100)), t % 2, t % 3) for t in range(14) for i in range(5)]
+    rows += [(20, 0, 5.0, -60.0, 1.0, 0, 0), (20, 1, 5.0, 60.0, 2.0, 0, 0), (21, 0, -60.0, 10.0, 3.0, 0, 1), (21, 1, 60.0, 10.0, 4.0, 0, 1)]
+    df = spark.createDataFrame(rows, "track int, i int, x double, y double, time double, par int, grp int")
+    for kw in ({}, {"pair": "par"}, {"different": "grp"}, {"time": "time", "max_dt": 20.0}, {"pair": "par", "different": "grp", "time": "time", "max_dt": 30.0}):
+        want = set()
+        seg = [(a, b) for a, b in zip(rows[:-1], rows[1:]) if a[0] == b[0]]
+        for p, q in ((p, q) for p in seg for q in seg if p[0][0] < q[0][0]):
+            if ("pair" in kw and p[0][5] != q[0][5]) or ("different" in kw and p[0][6] == q[0][6]) or ("max_dt" in kw and abs(p[0][4] - q[0][4]) > kw["max_dt"]):
+                continue
+            m = np.array([[p[1][2] - p[0][2], q[0][2] - q[1][2]], [p[1][3] - p[0][3], q[0][3] - q[1][3]]])
+            if abs(np.linalg.det(m)) > 0:
+                la, lb = np.linalg.solve(m, [q[0][2] - p[0][2], q[0][3] - p[0][3]])
+                if 0 < la < 1 and 0 < lb < 1:
+                    want.add((p[0][0], p[0][1], q[0][0], q[0][1]))
+        got = [tuple(r) for r in crossover.crossovers(df, "track", "i", cell=7.0, **kw).select("track_a", "i_a", "track_b", "i_b").collect()]
+        assert len(got) == len(set(got)) and set(got) == want and want
