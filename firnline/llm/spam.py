@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firnline.llm.cues import FRAMES, SOUND, TAG, TIME_LINE
+from firnline.llm.cues import FRAMES, SOUND, TAG, TIME_LINE, closed, foreign, ideogram, plain
 
 LAGS = 24  # words
 
@@ -44,7 +44,7 @@ EDGE = b".,:;!?'-/"
 
 
 def _lines(text: str) -> list[bytes]:
-    s = text.lower().encode("ascii", "ignore")
+    s = plain(text)
     if b"\r" in s:
         s = s.replace(b"\r\n", b"\n").replace(b"\r", b"\n")
     if b":" in s:
@@ -54,7 +54,7 @@ def _lines(text: str) -> list[bytes]:
     if b"<" in s:
         s = TAG.sub(b" ", s.replace(b"<a href=", b" http://link/ <a href="))
     if b"[" in s or b"(" in s or b"*" in s:
-        s = SOUND.sub(b" ", s)
+        s = SOUND.sub(closed, s)
     return s.split(b"\n")
 
 
@@ -121,6 +121,13 @@ def spam_share(text: str) -> float:
         start = a + len(WORD.findall(line[: line.index(b":")])) if b":" in line else a
         told = [i for i in range(start, b) if words[i] not in FUNCTION_WORDS]
         near = sum(gap[i] <= LAGS for i in told) / max(1, len(told))
+        # no function words are known of other scripts: there the repetition alone decides, for ideograms a stricter one
+        other = sum(map(foreign, own)) * 2 > size
+        if other:
+            least = 0.5 if sum(map(ideogram, own)) * 2 > size else 0.25
+            if nc >= 4 and not ended and distinct * 5 <= nc * 3.2 and _autocorrelation(words, a, b) >= least:
+                bad += len(line)
+            continue
         if function * 8 <= size and not ended:
             # nouns without function words: recurring ones, or a long row of different ones
             listed = line.count(b",") + line.count(b";") + line.count(b"|")
@@ -138,7 +145,8 @@ def spam_share(text: str) -> float:
 def find_spam(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
     """``doc_id`` and ``spam_share`` of documents whose spam share exceeds ``threshold``.
 
-    One pass, no shuffle: each document is judged by its own words.  Null or
+    One pass, no shuffle: each document is judged by its own words, in any
+    script.  Null or
     empty texts and null ids are no cases; repeated documents count each; whole
     texts are read.
     """

@@ -44,7 +44,7 @@ def test_search_matches_brute_force():
             doc[at:at] = own[a : a + n]
         fold = lambda t: cues.skeleton(" ".join(t).encode())
         want = {i for i, t in items if _longest(fold(doc), fold(t.split())) >= 12}
-        assert pats.search(fold(doc)) == want
+        assert pats.search(" ".join(doc)) == want
 
 
 PASSAGE = "Having crossed Mendov at dusk, the warden of Zarnik refilled während sixty hours every weathered kiln until Briska objected"
@@ -78,10 +78,53 @@ def test_leaks_in_damaged_subtitles(spark):
 
 
 def test_instruction_is_no_passage(spark):
-    head = leaks.INSTRUCTIONS[0]
-    it = spark.createDataFrame([(1, head + " one two three four five")], "item_id long, text string")
-    d = spark.createDataFrame([(1, head + " one two three four five")], "doc_id long, text string")
-    assert leaks.find_leaks(d, it).count() == 0
+    """Leading sentences that many items share are found and cut off, in turn; one that few share stays."""
+    heads = ["Read the passage and answer all of the many questions that stand below it.", "Think well: ", "Only here and in no other item does this rather long sentence stand first."]
+    items = [(i, f"{heads[0]} {heads[1]}" + " ".join(f"w{i}x{k}" for k in range(15))) for i in range(20)] + [(99, heads[2] + " one two three")]
+    it = spark.createDataFrame(items, "item_id long, text string")
+    assert leaks.standing_instructions(it, "text") == (heads[0], heads[1].strip())
+    d = spark.createDataFrame([(1, heads[0]), (2, heads[2]), (3, "so " + " ".join(f"w4x{k}" for k in range(12)))], "doc_id long, text string")
+    assert sorted(map(tuple, leaks.find_leaks(d, it).collect())) == [(2, 99), (3, 4)]
+    assert sorted(map(tuple, leaks.find_leaks(d, it, instructions=(heads[2],)).collect()))[:2] == [(1, 0), (1, 1)]
+    assert leaks.standing_instructions(it.where("false"), "text") == ()
+
+
+SCRIPTS = {
+    "cyrillic": "в старом порту у самой воды стоял одинокий смотритель маяка и ждал корабль с далёкого севера",
+    "greek": "το παλιό καράβι έφυγε νωρίς από το λιμάνι και κανείς δεν είδε τον καπετάνιο ποτέ ξανά",
+    "chinese": "灯塔看守人在黎明前离开了港口",
+    "brackets": "the warden (who had waited) counted forty [iron] kettles near the *old* gate before the second bell rang twice again",
+    "accents": "à la fin du jour on ferma ô combien de portes à",
+}
+
+
+@pytest.mark.parametrize("script", list(SCRIPTS))
+def test_leaks_in_any_script(script):
+    """A copy is found, also in capitals, with an accent stripped or a letter misread; other words are not."""
+    text = SCRIPTS[script]
+    pats = leaks.Patterns([(1, text)])
+    assert pats.search("1\n00:00:01,000 --> 00:00:02,000\n" + text.upper()) == {1}
+    assert pats.search("foo " + text + " bar") == {1}
+    assert pats.search(" ".join(reversed(text.split())) if " " in text else text[::-1]) == set()
+    if script == "cyrillic":
+        assert pats.search(text.replace("о", "0").replace("ё", "е")) == {1}
+        assert pats.search(" ".join(text.split()[:11])) == set()
+
+
+def test_lone_letters_count_at_the_edges():
+    """Twelve words of which the first and last leave no trace; eleven are too few, however they are read."""
+    words = "à la fin du jour on ferma vite neuf portes de à".split()
+    pats = leaks.Patterns([(1, " ".join(words) + " bois brun")])
+    assert len(words) == 12
+    for text in (" ".join(words), " ".join(words).replace("à", "Ã"), "ou " + " ".join(words) + " non"):
+        assert pats.search(text) == {1}
+    assert pats.search(" ".join(words[1:])) == set() and pats.search(" ".join(words[1:-1])) == set()
+    assert pats.search("– " + " ".join(words[1:-1]) + " ...") == set()
+
+
+def test_unclosed_bracket_swallows_nothing():
+    text = "1\n00:00:01,000 --> 00:00:02,000\n(the door\n\n2\n00:00:03,000 --> 00:00:04,000\nopens) slowly [BELL\nRINGS] again\n"
+    assert cues.spoken(text).split() == b"(the door opens) slowly again".split()
 
 
 # ---- 10 spam
@@ -110,6 +153,17 @@ def _srt(lines):
     return "".join(f"{i + 1}\n00:00:{i % 60:02d},000 --> 00:00:{i % 60:02d},900\n{t}\n\n" for i, t in enumerate(lines))
 
 
+FOREIGN_SPAM = ["обувь купить обувь дешево обувь купить", "дешево обувь купить обувь дешево обувь"], ["鞋子促销鞋子促销鞋子", "便宜鞋子便宜鞋子"]
+FOREIGN_FAIR = ["Я не знаю, где она живёт.", "кто открыл эту старую дверь сегодня ночью", "Мы видели реку и мост"], ["我不知道她住在哪里。", "昨天晚上谁打开了那扇旧门", "我们看见了河和桥"]
+
+
+@pytest.mark.parametrize("k", [0, 1])
+def test_spam_in_other_scripts(k):
+    assert spam.spam_share(_srt(FOREIGN_SPAM[k] * 5)) > 0.5
+    assert spam.spam_share(_srt(FOREIGN_FAIR[k] * 5)) < 0.2
+    assert spam.spam_share(_srt(FOREIGN_SPAM[k] + FOREIGN_FAIR[k] * 3)) < 0.5
+
+
 @pytest.mark.parametrize("kind", list(SPAM))
 def test_spam_kinds(kind):
     lines = SPAM[kind] * 6
