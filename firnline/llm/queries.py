@@ -52,9 +52,43 @@ def queries() -> dict:
     return {"p4_percentiles": p4_percentiles, "p8_containers": p8_containers, "p8_filling": p8_filling, "p9_found": p9_found, "p10_found": p10_found, "p10_shares": p10_shares}
 
 
+def _said_sql(c: str) -> str:
+    """Words of a subtitle text folded in SQL, for texts in Latin script: furniture off, look-alikes to one letter, no other signs."""
+    s = f"replace(replace(regexp_replace(lower({c}), '[^\\x00-\\x7f]', '', 'g'), chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+    number = "[o0-9]{1,3}:[o0-9]{2}(?::[o0-9]{2})?[.,][o0-9]{2,3}"
+    for pattern, to in (
+        (f"(?m)^(?:[^\\S\\n]*\\d+\\.?[^\\S\\n]*(?:\\n[^\\S\\n]*)?)?{number}[^\\S\\n]*(?:,|\\W{{1,6}})[^\\S\\n]*[o0-9]{{1,3}}:[^\\n]*$", ""),
+        ("\\{\\d*\\}\\{\\d*\\}|\\{[^{}\\n]*\\}", " "),
+        ("</?[a-z0-9]+(?:\\s[^<>]*)?/?>", " "),
+        ("\\[[^\\[\\]\\n]*(?:\\n[^\\[\\]\\n]+){0,3}\\]|\\([^()\\n]*(?:\\n[^()\\n]+){0,3}\\)|\\*[^*\\n]+\\*", " "),
+    ):
+        s = f"regexp_replace({s}, '{pattern}', '{to}', 'g')"
+    return s
+
+
+def _folded_sql(said: str) -> str:
+    s = f"translate(regexp_replace({said}, '[^a-z0-9\\s|]', '', 'g'), 'l10et5|', 'iiocfs ')"
+    return f"replace(replace(replace(replace({s}, 'h', 'ii'), 'm', 'rn'), 'w', 'vv'), 'ss', '')"
+
+
+def _leaks_sql() -> str:
+    """p9 by an equi-join of word runs: every run of twelve words of an item against all runs of as many folded words of a document."""
+    heads = "Read the passage and answer the question below[.]|Choose the best continuation of the text[.]|True or false[?]"
+    words = lambda e: f"list_filter(regexp_split_to_array({e}, '\\s+'), lambda w: w <> '')"
+    fold = _folded_sql(_said_sql("raw"))
+    return f"""with item as (select item_id, {words(f"regexp_replace(text, '^\\s*({heads})', '')")} as raws from eval_items),
+word as (select item_id, i, {fold} as folded from (select item_id, unnest(list_filter(raws, lambda w: regexp_matches(w, '[\\p{{L}}\\p{{N}}]'))) as raw, generate_subscripts(list_filter(raws, lambda w: regexp_matches(w, '[\\p{{L}}\\p{{N}}]')), 1) as i from item)),
+run as (select item_id, string_agg(nullif(folded, ''), ' ') over w as run, count(nullif(folded, '')) over w as k, count(*) over w as n, folded, first_value(folded) over w as head from word window w as (partition by item_id order by i rows 11 preceding)),
+pattern as (select distinct item_id, run, k from run where n = 12 and folded <> '' and head <> ''),
+said as (select doc_id, {words(_folded_sql(_said_sql('text')))} as ws from documents where text is not null),
+gram as (select doc_id, k, unnest(list_transform(range(1, greatest(len(ws) - k + 2, 1)), lambda i: array_to_string(ws[i:i + k - 1], ' '))) as run from said, (select distinct k from pattern)),
+hit as (select distinct doc_id, item_id from gram join pattern using (k, run))
+select d.doc_id, h.item_id from (select doc_id from documents) d join hit h using (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     # exact percentiles: the sketches hold whole groups of fewer than 4,096 values exactly
     quantiles = ", ".join(f"list_sort(list(v))[greatest(1, ceil({p} * count(*) - 1e-9))::bigint] as {n}" for n, p in PROBS.items())
     one = " union all ".join(f"select tile, strftime(acquired_at, '%Y-%m-%d') as day, '{c}' as field, {c} as v from tile_points where {c} is not null and not isnan({c})" for c in "xyz")
     select = f"count(*)::bigint as n, {quantiles}, 0::bigint as max_rank_error from p"
-    return {"p4_percentiles": f"with p as ({one}) select tile, day, field, {select} group by tile, day, field union all select tile, null, field, {select} group by tile, field"}
+    return {"p9_found": _leaks_sql(), "p4_percentiles": f"with p as ({one}) select tile, day, field, {select} group by tile, day, field union all select tile, null, field, {select} group by tile, field"}
