@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 from zoneinfo import ZoneInfo
 
 import numpy as np
@@ -75,6 +76,50 @@ def test_units_empty_and_null(spark):
     assert [r.unit for r in units.normalise(odd, heads).collect()] == ["m", "m"]
 
 
+def test_one_unit_per_value(spark):
+    """Overlapping, dated and contradictory headers, grouped numbers and unknown units: one row per value always."""
+    heads = [
+        (1, "until 2014-06-30 heights in mm; heights in metres"), (2, "Freeboard in cm; Freeboard in m since 2010-01-01"), (3, "Freeboard in m; Freeboard in cm"),
+        (4, "Freeboard in m"), (4, "Freeboard in cm"),
+    ]
+    rows = [_rec(100 + i, 4, str(0.2 + 0.01 * (i % 30)), None, None) for i in range(60)]
+    rows += [_rec(1, 1, "1.5", None, None, day=5000), _rec(2, 1, "1.5", None, None, day=6000), _rec(3, 2, "1.5", None, None, day=3000), _rec(4, 2, "1.5", None, None, day=5000), _rec(5, 3, "1.5", None, None)]
+    texts = ["1,234.5 mm", "12 345 mm", "1.234,5 mm", "1,234,567 um", "1,234", "\u22125 cm", "1'234.5 cm", "0.002 km", "3 in", '3"', "5 parsec", "2 yd", "7 m or 7 ft", "1 234,5 mm", "-1,5e-1 m"]
+    rows += [_rec(10 + i, 4, t, None, None) for i, t in enumerate(texts)]
+    out = units.normalise(spark.createDataFrame(rows, REC), spark.createDataFrame(heads, "source_id int, header_text string")).collect()
+    assert len(out) == len(rows)
+    got = {r.rec_id: r for r in out}
+    assert [(got[i].unit, got[i].stated_by) for i in range(1, 6)] == [("mm", "source"), ("m", "source"), ("cm", "source"), ("m", "source"), (None, "unresolved")]
+    want = [1.2345, 12.345, 1.2345, 1.234567, 0.01234, -0.05, 12.345, 2.0, 0.0762, 0.0762, None, 1.8288, None, 1.2345, -0.15]
+    for i, v in enumerate(want):
+        assert got[10 + i].common == (None if v is None else pytest.approx(v)), texts[i]
+    assert got[20].stated_by == got[22].stated_by == "unresolved" and got[100].unit == "cm"
+
+
+def test_timeline_of_a_header():
+    assert units.timeline([]) == []
+    assert units.timeline([("m", None, None)]) == [("0001-01-01", "9999-12-31", "m")]
+    got = units.timeline([("m", None, None), ("mm", None, "2014-06-30"), ("cm", "2014-01-01", "2014-01-31")])
+    assert got == [("0001-01-01", "2014-01-01", "mm"), ("2014-01-01", "2014-02-01", "cm"), ("2014-02-01", "2014-07-01", "mm"), ("2014-07-01", "9999-12-31", "m")]
+    assert units.timeline([("m", "2014-01-01", "2014-01-31"), ("ft", "2014-01-01", "2014-01-31")]) == [("2014-01-01", "2014-02-01", None)]
+
+
+def test_rare_guess_yields_to_the_other_passes(spark):
+    """A pass whose figures are a little nearer to another unit takes the unit of its source's passes."""
+    rng = random.Random(5)
+    rows = []
+    for source in (1, 2):
+        for orbit in range(40):
+            level = 9.5 * (1 + 0.02 * rng.gauss(0, 1))
+            wild = source == 2 and orbit == 7
+            for k in range(30):
+                v = level * 10 ** (rng.gauss(0, 0.19 if wild else 0.115))
+                rows.append((source * 100000 + orbit * 100 + k, source, orbit, 5000, 100, None, None, None, None, f"{v:.3f}"))
+    rec = spark.createDataFrame(rows, "rec_id long, source_id int, abs_orbit int, Day int, Second int, days_J2k double, note string, Freeboard string, SSHA_interp string, Sig0_1 string")
+    heads = spark.createDataFrame([(1, "Sig0_1 in dB"), (2, None)], "source_id int, header_text string")
+    assert {r.unit for r in units.normalise(rec, heads).collect()} == {"db"}
+
+
 def test_edit_cost_prefers_near_spellings():
     assert units.edit_cost("meter", "metre") < units.edit_cost("meter", "feet")
     assert units.edit_cost("decibell", "decibel") <= 0.5
