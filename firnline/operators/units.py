@@ -271,6 +271,7 @@ def normalise(records: DataFrame, sources: DataFrame) -> DataFrame:
         "rec_id", "source_id", "abs_orbit", day.cast("string").alias("day"), "note", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), t.alias("raw")) for f, t in text.items()])).alias("v")
     ).select("rec_id", "source_id", "abs_orbit", "day", "note", "v.field", "v.raw")
     long = long.where(F.col("raw").isNotNull() & ~F.lower("raw").isin(*MISSING))
+    bare = F.col("raw").rlike(r"^[-+]?\d+(?:\.\d*)?(?:[eE][-+]?\d+)?$")  # most values
     digits = F.regexp_extract("raw", NUMBER, 1)
     grouped = digits.rlike(rf"^[-+\u2212]?(?:{_GROUPED})(?:[eE]|$)")
     # the last of several kinds of sign is the decimal one; one kind alone, repeated, only groups
@@ -278,10 +279,10 @@ def normalise(records: DataFrame, sources: DataFrame) -> DataFrame:
     lone = whole.rlike(r"^[^.,]*[.,]\d*(?:[eE].*)?$")
     grouped_text = F.when(lone, F.regexp_replace(whole, ",", ".")).when(whole.rlike(r",.*\."), F.regexp_replace(whole, ",", "")).when(whole.rlike(r"\..*,"), F.regexp_replace(F.regexp_replace(whole, r"\.", ""), ",", "."))
     grouped_text = grouped_text.otherwise(F.regexp_replace(whole, "[.,]", ""))
-    num = F.regexp_replace(F.when(grouped, grouped_text).otherwise(F.regexp_replace(digits, ",", ".")), "\u2212", "-").try_cast("double")
+    num = F.when(bare, F.col("raw")).otherwise(F.regexp_replace(F.when(grouped, grouped_text).otherwise(F.regexp_replace(digits, ",", ".")), "\u2212", "-")).try_cast("double")
     beside = _map_text(BESIDE_VALUE)
     suffix = F.regexp_extract("raw", NUMBER, 2)
-    suffix = F.coalesce(F.try_element_at(beside, F.lower(suffix)), suffix)
+    suffix = F.when(bare, "").otherwise(F.coalesce(F.try_element_at(beside, F.lower(suffix)), suffix))
     long = long.withColumns({"number": num, "suffix": suffix}).where("number is not null and number <> -9999")
     long = staged(long, "values")
 
@@ -366,7 +367,9 @@ def _inferred(rows: DataFrame, least: int = 8) -> DataFrame:
     m = F.when(few, F.col("ws")).otherwise(F.col("s")) / n
     sd = F.sqrt(F.greatest(F.when(few, F.col("wq")).otherwise(F.col("q")) / n - m * m, F.lit(0.0)))
     fit = own_.withColumns({"m": m, "sd": sd}).join(F.broadcast(ref), "field")  # one row per field and unit
-    fit = fit.withColumn("miss", F.pow((F.col("m") - F.col("rm")) / F.col("mw"), 2) + F.pow((F.col("sd") - F.col("rs")) / F.col("sw"), 2))
+    # twice the negative logarithm of a Student likelihood of three degrees of freedom: a few spikes do not decide
+    far = lambda v, r, w: 4 * F.log1p(F.pow((F.col(v) - F.col(r)) / F.col(w), 2) / 3)
+    fit = fit.withColumn("miss", far("m", "rm", "mw") + far("sd", "rs", "sw"))
     # the units of a source's passes are a mixture: a first reading of all passes gives its weights, which then count in each
     keys = ["source_id", "abs_orbit", "field"]
     fits = staged(fit.groupBy(*keys).agg(F.collect_list(F.struct("miss", "u")).alias("fits")).withColumn("first", F.array_min("fits")["u"]), "fits")
@@ -375,6 +378,8 @@ def _inferred(rows: DataFrame, least: int = 8) -> DataFrame:
     share = F.sum("k").over(W.partitionBy("field", "first")) / all_
     weight = weight.select("source_id", "field", F.struct("first", "k", share.alias("share")).alias("w")).groupBy("source_id", "field").agg(F.map_from_entries(F.collect_list(F.struct("w.first", F.col("w.k") + F.col("w.share")))).alias("w"))
     judged = fits.join(broadcast_if_few(weight), ["source_id", "field"])
-    total = lambda f: f["miss"] - 2 * F.log(F.coalesce(F.try_element_at(F.col("w"), f["u"]), F.lit(0.01)))
+    # a pass does not speak for itself
+    others = lambda u: F.coalesce(F.try_element_at(F.col("w"), u), F.lit(0.0)) - F.when(u == F.col("first"), 1.0).otherwise(0.0)
+    total = lambda f: f["miss"] - 2 * F.log(F.greatest(others(f["u"]), F.lit(0.02)))
     best = F.array_min(F.transform("fits", lambda f: F.struct(total(f).alias("miss"), f["u"].alias("u"))))
     return judged.select(*keys, best["u"].alias("guess"))
