@@ -10,7 +10,7 @@ from firnline.functions import geodesy, times
 from firnline.operators.drift import changes, consistent
 from firnline.operators.instants import resolve, within
 from firnline.operators.nearby import points_in_sites
-from firnline.operators.spikes import flag_readings
+from firnline.operators.spikes import flag_all, readings
 from firnline.operators.units import COMMON, normalise
 from firnline.streaming.compaction import compact_files, fingerprinted, repeated, settled
 
@@ -53,25 +53,23 @@ def p6_flags(spark: SparkSession, sf: str) -> DataFrame:
     """Every flagged reading with its reason."""
     atl = table(spark, sf, "atl06_segments", ["point_id", "rgt", "cycle_number", "beam", "delta_time", "segment_id", "h_li"])
     cs2 = table(spark, sf, "cs2_records", ["rec_id", "source_id", "abs_orbit", "rec_seq", "Elev_1", "Peakiness"])
-    parts = [
-        flag_readings(
-            atl, row_id="point_id", value="h_li", source=["rgt", "beam"], within=["rgt", "cycle_number", "beam"], order=["delta_time", "segment_id"],
-            low=HEIGHT_M[0], high=HEIGHT_M[1], fills=(FILL, FILL_F32, NO_DATA),
-        ).select(F.col("point_id").alias("row_id"), F.lit("h_li").alias("field_name"), "reason")
-    ]
-    for field, (low, high) in (("Elev_1", HEIGHT_M), ("Peakiness", PEAKINESS)):
-        got = flag_readings(
-            cs2, row_id="rec_id", value=field, source=["source_id"], within=["source_id", "abs_orbit"], order=["rec_seq"],
-            low=low, high=high, fills=(FILL, FILL_F32, NO_DATA),
-        )
-        parts.append(got.select(F.col("rec_id").alias("row_id"), F.lit(field).alias("field_name"), "reason"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    fills = (FILL, FILL_F32, NO_DATA)
+    base = readings(atl, row_id="point_id", value="h_li", source=["rgt", "beam"], within=["cycle_number"], order=["delta_time", "segment_id"], fills=fills)
+    for field in ("Elev_1", "Peakiness"):
+        base = base.unionByName(readings(cs2, row_id="rec_id", value=field, source=["source_id"], within=["abs_orbit"], order=["rec_seq"], fills=fills))
+    found = flag_all(base, {"h_li": HEIGHT_M, "Elev_1": HEIGHT_M, "Peakiness": PEAKINESS})
+    return found.select(F.col("rid").alias("row_id"), F.col("field").alias("field_name"), "reason")
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return p6_flags(spark, sf).select("row_id", "field_name")
 
 
+def p6_runs_and_limits(spark: SparkSession, sf: str) -> DataFrame:
+    """The cases that need no model: stuck runs and impossible readings."""
+    return p6_flags(spark, sf).where("reason <> 'spike'")
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return changes(table(spark, sf, "raw_records", ["file_id", "payload"]), table(spark, sf, "granule_files", ["file_id", "stream_id", "acquired_at"]))
 
@@ -99,7 +97,7 @@ def p7_records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_values": p1_values, "p3_found": p3_found, "p3_table": p3_table, "p7_found": p7_found, "p7_records": p7_records, "p2_found": p2_found, "p5_found": p5_found, "p5_instants": p5_instants, "p6_found": p6_found, "p6_flags": p6_flags}
+    return {"p1_found": p1_found, "p1_values": p1_values, "p3_found": p3_found, "p3_table": p3_table, "p7_found": p7_found, "p7_records": p7_records, "p2_found": p2_found, "p5_found": p5_found, "p5_instants": p5_instants, "p6_found": p6_found, "p6_flags": p6_flags, "p6_runs_and_limits": p6_runs_and_limits}
 
 
 def _projected(lat: str, lon: str) -> tuple[str, str]:
@@ -196,6 +194,17 @@ union all select file_id, 'added', '', k from come where (file_id, k) not in (se
 union all select file_id, 'retyped', k, k from pair where now_k is not null and old_k is not null and now_kind <> old_kind"""
 
 
+def _runs_sql() -> str:
+    """Runs of six equal readings as islands of the order within each value, and the limits."""
+    good = lambda c: f"{c} is not null and not isnan({c}) and abs({c}) < 3.4028234e38 and {c} <> -9999"
+    atl = f"select point_id as rid, 'h_li' as f, concat_ws('/', rgt, beam, cycle_number) as pas, delta_time as o0, segment_id as o1, h_li as v, -500 as low, 9000 as high from atl06_segments where {good('h_li')}"
+    cs2 = [f"select rec_id, '{c}', concat_ws('/', source_id, abs_orbit), rec_seq, 0, {c}, {low}, {high} from cs2_records where {good(c)}" for c, low, high in (("Elev_1", -500, 9000), ("Peakiness", 0, 1000))]
+    return f"""with r as ({atl} union all {cs2[0]} union all {cs2[1]}), u as (select distinct f, pas, o0, o1, v from r),
+w as (select *, row_number() over (partition by f, pas order by o0, o1, v) - row_number() over (partition by f, pas, v order by o0, o1) as isle from u),
+k as (select f, pas, o0, o1, v, count(*) over (partition by f, pas, v, isle) as n from w)
+select r.rid as row_id, r.f as field_name, case when r.v < low or r.v > high then 'limit' else 'stuck' end as reason from r join k using (f, pas, o0, o1, v) where r.v < low or r.v > high or n >= 6"""
+
+
 def oracle_sql() -> dict[str, str]:
     px, py = _projected("latitude", "longitude")
     placed = "case when x is not null and y is not null then {c} else {f} end"
@@ -207,6 +216,7 @@ edge as (select site_id, epsg, x as x0, y as y0, lead(x) over w as x1, lead(y) o
 select point_id, site_id from pt join st using (epsg) where kind = 'circle' and (pt.x - st.x) * (pt.x - st.x) + (pt.y - st.y) * (pt.y - st.y) <= radius_m * radius_m
 union all select point_id, site_id from pt join edge on pt.epsg = edge.epsg and x1 is not null and (y0 > y) <> (y1 > y) and x < (x1 - x0) * (y - y0) / (y1 - y0) + x0 group by point_id, site_id having count(*) % 2 = 1""",
         "p1_found": _units_sql(),
+        "p6_runs_and_limits": _runs_sql(),
         "p3_found": _drift_sql(),
         "p5_found": _instants_sql(),
         "p7_found": """with c as (select rec_id, stream_id, list_sort(list_transform(json_keys(payload), lambda k: k || '=' || json_extract(payload, '$."' || k || '"')::varchar))::varchar as body

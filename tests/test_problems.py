@@ -373,6 +373,59 @@ def test_long_pass_is_cut(spark, monkeypatch):
     assert {i for i, why in _flags(spark, flat).items() if why == "stuck"} == set(range(700, 720))
 
 
+def test_cuts_make_no_difference(spark, monkeypatch):
+    """A pass of 30,000 readings gives the same in blocks of 500 as in one, with outliers, steps and runs at the cuts."""
+    rng = np.random.default_rng(8)
+    n = 30_000
+    h = np.cumsum(rng.normal(0, 0.02, n)) + rng.normal(0, 0.2, n)
+    bad = {i + d for i in range(500, n, 500) for d in (0, -1, 3)} | set(range(40, n, 271))
+    for i in bad:
+        h[i] += 9
+    for i in range(0, n, 2777):
+        h[i:] += rng.normal(0, 8)
+    h[9997:10004] = h[9997]
+    rows = [(i, 1, 1, float(i), float(v)) for i, v in enumerate(h)]
+    got = []
+    for block in (500, 100_000):
+        monkeypatch.setattr(spikes, "BLOCK", block)
+        got.append(_flags(spark, rows))
+    assert got[0] == got[1] and {i for i, why in got[0].items() if why == "stuck"} == set(range(9997, 10004))
+    far = {i for i in bad if all(abs(i - k) > 6 for k in range(0, n, 2777)) and not 9990 < i < 10010}
+    assert far <= set(got[0]) and len(set(got[0]) - bad) < 20
+
+
+def test_the_autoregression_decides():
+    """With the coefficients of its source an outlier of a noisy pass is found, without them it is not; a lasting shift is none."""
+    rng = np.random.default_rng(1)
+    n = 400
+    v = 0.5 * np.arange(n) ** 0.5 + rng.normal(0, 1.0, n)
+    v[100] += 8.5
+    v[200:] += 25
+    v[300:303] -= 12
+    phi = np.array([[-(6 - k) / 6 for k in range(1, 6)]])
+    own = 1.08  # scatter of the residuals with them
+    y, size = spikes.clean(v, np.array([0]), phi, np.array([own]))
+    assert set(np.flatnonzero(np.abs(size) > spikes.SPIKE * own)) == {100, 300, 301, 302}
+    raw = 1.4826 * np.median(np.abs(np.diff(v)))
+    _, none = spikes.clean(v, np.array([0]), 0 * phi, np.array([raw]))
+    assert 100 not in np.flatnonzero(np.abs(none) > spikes.SPIKE * raw)
+    assert abs(y[300] - v[299] + 25) < 5 and abs(y[100] - y[99]) < 4
+
+
+def test_patches():
+    z = np.zeros(30)
+    assert not spikes.patches(z).any()
+    up = z.copy()
+    up[10], up[13] = 5, -4.8
+    assert np.flatnonzero(spikes.patches(up)).tolist() == [10, 11, 12]
+    lasting = z.copy()
+    lasting[10], lasting[20] = 5, -5
+    assert not spikes.patches(lasting).any()
+    ends = z.copy()
+    ends[2], ends[28] = 7, 7
+    assert np.flatnonzero(spikes.patches(ends)).tolist() == [0, 1, 28, 29]
+
+
 def test_copies_make_no_run(spark):
     rows = [(i, 1, 1, float(i // 3), float(i // 3 % 2)) for i in range(60)] + [(100 + i, 1, 2, 1.0, 3.0) for i in range(8)]
     assert _flags(spark, rows) == {}
