@@ -8,8 +8,10 @@ larger statistic decides; what was found is taken off the series and the tests
 repeat until nothing is left.  Coefficients and scatter of a source come from
 the cleaned series of all its passes by mergeable sums (lag products, and a
 histogram of the residuals for their median) and are fitted anew after each
-round of cleaning.  A lasting shift is no case; one that goes back within a few
-readings is a patch of outliers.  Stuck runs and limits are judged apart and
+round of cleaning.  A lasting shift is no case.  Readings found to be outliers,
+and those on a level that the pass leaves again at once, are then judged from
+both sides by the autoregression of the good readings around them: a case is
+far from both.  Stuck runs and limits are judged apart and
 take no part in the fit.
 """
 
@@ -28,8 +30,8 @@ from firnline.operators.ranks import rank_within
 ORDER = 5  # of the autoregression
 FITS = 2  # rounds of cleaning and fitting after the first fit
 ROUNDS = 12  # most rounds of tests in a pass
-TEST = 6.0  # least statistic that counts as an outlier or a shift
-SPIKE = 6.4  # least size of a case in scatters of its source
+TEST = 5.0  # least statistic that counts as an outlier or a shift
+SPIKE = 5.8  # least size of a case in scatters of its source
 LASTING = 6  # readings from which on a shift inside a pass lasts; at the ends of a pass EDGE
 EDGE = 3
 STUCK = 6
@@ -112,7 +114,7 @@ def _read_backwards(z, age, left, phi, s, wa, ta, wl, tl) -> None:
 
 
 def clean(v: np.ndarray, first: np.ndarray, phi: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(cleaned series, size of the outlier at each reading or 0) of passes that start at ``first``; ``phi`` and ``s`` per pass."""
+    """(cleaned series, deviation of each doubtful reading, else 0) of passes that start at ``first``; ``phi`` and ``s`` per pass."""
     size = np.diff(np.r_[first, len(v)])
     y, spike, shift = v.astype(float), np.zeros(len(v)), np.zeros(len(v))
     busy = np.arange(len(first))
@@ -141,31 +143,64 @@ def clean(v: np.ndarray, first: np.ndarray, phi: np.ndarray, s: np.ndarray) -> t
             up = np.cumsum(lift)
             y[at] -= up - (up - lift)[np.cumsum(n) - n][own]
         busy = busy[np.unique(own[peak])]
-    for f in np.unique(np.searchsorted(first, np.flatnonzero(shift), "right") - 1):
-        f, m = first[f], size[f]
-        short = patches(shift[f : f + m])
-        spike[f : f + m] = np.where(short != 0, short, spike[f : f + m])
-    return y, spike
-
-
-def patches(shift: np.ndarray) -> np.ndarray:
-    """Heights of readings on a level that the pass leaves again at once, 0 elsewhere; ``shift`` are the level shifts of one pass."""
-    n = len(shift)
-    out = np.zeros(n)
-    for t in np.flatnonzero(shift):
-        if out[t]:
-            continue
-        level = np.cumsum(shift[t : t + LASTING])
-        back = np.flatnonzero(np.abs(level) <= 0.35 * np.maximum.accumulate(np.abs(level)))
-        if len(back):
-            out[t : t + back[0]] = level[: back[0]]
-        elif n - t < EDGE:
-            out[t:] = level
-        elif t < EDGE:
-            out[:t] = -shift[t]
+    out = np.zeros(len(v))
+    for f in np.unique(np.searchsorted(first, np.flatnonzero((spike != 0) | (shift != 0)), "right") - 1):
+        here = slice(first[f], first[f] + size[f])
+        out[here] = both_sides(v[here], suspects(spike[here] != 0, shift[here] != 0), phi[f], s[f])
+    return y, out
+
+
+def suspects(spike: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """Readings of one pass that may be outliers: those found to be, and those on a level that does not last.
+
+    Findings fewer than ``LASTING`` readings apart belong together, and with
+    them all readings between; what follows the last shift is its level.
+    """
+    n = len(spike)
+    out = spike.copy()
+    hits = np.flatnonzero(spike | shift)
+    for a, b in zip(hits[:-1], hits[1:]):
+        if b - a < LASTING:
+            out[a:b] = True
+    at = np.flatnonzero(shift)
+    if len(at):
+        if at[0] < EDGE:
+            out[: at[0]] = True
+        if n - at[-1] < EDGE:
+            out[at[-1] :] = True
     return out
 
 
+def both_sides(v: np.ndarray, doubt: np.ndarray, phi: np.ndarray, s: float) -> np.ndarray:
+    """How far each doubtful reading is from what the good readings before and behind it let expect: the smaller of the two, else 0.
+
+    A side with fewer than ``EDGE`` good readings tells nothing.  Doubtful
+    readings that agree with one side are good from then on and the others are
+    judged again.
+    """
+    level = np.r_[1 + phi[0], np.diff(phi), -phi[-1]]  # weights of the last readings in the prediction
+    bad = doubt.copy()
+    dev = np.zeros(len(v))
+    for _ in range(4):
+        good, ask = np.flatnonzero(~bad), np.flatnonzero(bad)
+        dev = np.zeros(len(v))
+        if not len(ask) or len(good) < EDGE:
+            break
+        i = np.searchsorted(good, ask)
+        sides = []
+        for step, start, there in ((-1, i - 1, i), (1, i, len(good) - i)):
+            k = start[:, None] + step * np.minimum(np.arange(ORDER + 1)[None, :], np.maximum(there - 1, 0)[:, None])
+            expected = (v[good[np.clip(k, 0, len(good) - 1)]] * level).sum(1)
+            sides.append(np.where(there >= EDGE, v[ask] - expected, np.inf))
+        near = np.where(np.abs(sides[0]) <= np.abs(sides[1]), *sides)
+        dev[ask] = np.where(np.isfinite(near), near, 0.0)
+        again = np.abs(dev) > SPIKE * s
+        if (again == bad).all():
+            break
+        bad = again
+    return dev
+
+
 def _pack(limits: dict[str, tuple[float, float]]):
     """Rows of a block, in order, to one row of arrays; stuck runs and limit violations are settled here."""
 

@@ -308,6 +308,33 @@ def test_autumn_hour_unknown_order_and_ambiguity(spark):
     assert not {6, 7, 8} & got.keys()
 
 
+def test_the_mixture_decides(spark):
+    """A source without known order: its unambiguous entries show how it writes, though nothing is known of the delays."""
+    rows = [(i, "a", 5, f"{13 + i}/06/2021 10:00:00", None) for i in range(12)] + [(i + 20, "b", 5, f"06/{13 + i}/2021 10:00:00", None) for i in range(12)]
+    rows += [(50, "a", 5, "03/04/2021 10:00:00", None), (51, "b", 5, "03/04/2021 10:00:00", None), (52, "c", 5, "03/04/2021 10:00:00", None)]
+    # the sheet of station 1 says day first; that yields only where it gives an instant after the writing
+    rows += [(60, "d", 1, "03/04/2021 10:00:00", dt.datetime(2021, 4, 3, 8, 10)), (61, "d", 1, "03/04/2021 10:00:00", dt.datetime(2021, 3, 4, 9, 10)), (62, "d", 1, "03/04/2021 10:00:00", None)]
+    # letters shared by zones: the station's own meaning, another only where that is impossible
+    rows += [(70, "e", 3, "03 Apr 2021 10:00:00 IST", None), (71, "e", 4, "03 Apr 2021 10:00:00 IST", dt.datetime(2021, 4, 3, 4, 40))]
+    log, st = _log(spark, rows)
+    got = {r.log_id: r for r in instants.resolve(log, st).collect()}
+    utc = lambda *a: int(dt.datetime(*a, tzinfo=dt.timezone.utc).timestamp() * 1e6)
+    assert got[50].us == utc(2021, 4, 3, 10) and got[51].us == utc(2021, 3, 4, 10) and not got[50].ambiguous and not got[51].ambiguous
+    assert got[52].ambiguous
+    assert got[60].us == got[62].us == utc(2021, 4, 3, 8) and got[61].us == utc(2021, 3, 4, 9)
+    assert got[70].us == got[71].us == utc(2021, 4, 3, 4, 30)
+
+
+def test_mixture_weights():
+    """The same readings are judged by the company they keep; without company the prior decides."""
+    two = [("dmy", -2, 1.0), ("mdy", -2, 1.0)]
+    assert instants.mixture([(two, 1), ([("mdy", -2, 1.0)], 30)], {})[0][0] == 1
+    assert instants.mixture([(two, 1), ([("dmy", -2, 1.0)], 30)], {})[0] == (0, pytest.approx(1, abs=0.05))
+    assert instants.mixture([(two, 1)], {}) == [(0, pytest.approx(0.5))]
+    assert instants.mixture([([("dmy", -1, instants.TRUST), ("mdy", 3, 1.0)], 1)], {3: 1.0})[0][0] == 1
+    assert instants.mixture([], {}) == []
+
+
 def test_no_log(spark):
     log, st = _log(spark, [])
     assert instants.resolve(log, st).count() == 0 and instants.within(instants.resolve(log, st)).count() == 0
@@ -412,18 +439,27 @@ def test_the_autoregression_decides():
     assert abs(y[300] - v[299] + 25) < 5 and abs(y[100] - y[99]) < 4
 
 
-def test_patches():
-    z = np.zeros(30)
-    assert not spikes.patches(z).any()
-    up = z.copy()
-    up[10], up[13] = 5, -4.8
-    assert np.flatnonzero(spikes.patches(up)).tolist() == [10, 11, 12]
-    lasting = z.copy()
-    lasting[10], lasting[20] = 5, -5
-    assert not spikes.patches(lasting).any()
-    ends = z.copy()
-    ends[2], ends[28] = 7, 7
-    assert np.flatnonzero(spikes.patches(ends)).tolist() == [0, 1, 28, 29]
+def test_suspects():
+    """Short levels and their neighbourhood are doubtful, lasting ones are not."""
+    at = lambda *k: np.isin(np.arange(30), k)
+    got = lambda spike, shift: np.flatnonzero(spikes.suspects(spike, shift)).tolist()
+    assert got(at(), at()) == []
+    assert got(at(), at(10, 13)) == [10, 11, 12] and got(at(), at(10, 20)) == []
+    assert got(at(10, 12), at(14)) == [10, 11, 12, 13] and got(at(5), at(20)) == [5]
+    assert got(at(), at(2, 28)) == [0, 1, 28, 29]
+
+
+def test_both_sides():
+    """A burst of unlike outliers is found reading by reading; a good reading amid them and the edge of a lasting step are not."""
+    phi = np.array([-(6 - k) / 6 for k in range(1, 6)])
+    v = np.array([1374.98, 1375.24, 1375.03, 1374.73, 1370.63, 1371.9, 1367.47, 1365.83, 1374.34, 1374.42, 1379.74, 1374.08, 1373.85, 1373.58, 1373.33])
+    doubt = np.arange(15) > 3
+    doubt[11:] = False
+    assert np.flatnonzero(np.abs(spikes.both_sides(v, doubt, phi, 0.25)) > spikes.SPIKE * 0.25).tolist() == [4, 5, 6, 7, 10]
+    step = np.r_[np.full(8, 5.0), 9, 9, 40, np.full(8, 9.0)] + np.tile([0, 0.1], 10)[:19]
+    doubt = np.isin(np.arange(19), (8, 9, 10))
+    assert np.flatnonzero(np.abs(spikes.both_sides(step, doubt, phi, 0.1)) > 0.64).tolist() == [10]
+    assert not spikes.both_sides(v, np.ones(15, bool), phi, 0.25).any()
 
 
 def test_copies_make_no_run(spark):
