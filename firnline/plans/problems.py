@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firnline.common import scratch, table
+from firnline.common import scratch, staged, table
 from firnline.functions import geodesy, times
-from firnline.operators.drift import changes, consistent
+from firnline.operators.drift import changes, consistent, ingest
 from firnline.operators.instants import resolve, within
 from firnline.operators.nearby import points_in_sites
 from firnline.operators.spikes import flag_all, readings
@@ -70,13 +70,23 @@ def p6_runs_and_limits(spark: SparkSession, sf: str) -> DataFrame:
     return p6_flags(spark, sf).where("reason <> 'spike'")
 
 
+# fields of the products as their first files have them
+TARGET = {
+    "segment_id": "bigint", "delta_time": "double", "h_li": "double", "latitude": "double", "longitude": "double", "rgt": "bigint", "sigma_geo_r": "double", "n_fit_photons": "bigint",
+    "atl06_quality_summary": "bigint", "Day": "bigint", "Second": "bigint", "Micsec": "bigint", "Lat": "double", "Lon": "double", "Elev_1": "double", "Peakiness": "double", "N_avg": "bigint",
+    "Corrections_flag": "bigint", "Linear_Wfm_Multiplier": "bigint", "Waveform": "array<bigint>",
+}
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    return changes(table(spark, sf, "raw_records", ["file_id", "payload"]), table(spark, sf, "granule_files", ["file_id", "stream_id", "acquired_at"]))
+    """Changes of the fields, read from the table that rescue-column ingestion makes of all records."""
+    records = staged(ingest(table(spark, sf, "raw_records", ["file_id", "payload"]), TARGET), "ingested")
+    return changes(records, table(spark, sf, "granule_files", ["file_id", "stream_id", "acquired_at"]), TARGET)
 
 
 def p3_table(spark: SparkSession, sf: str) -> DataFrame:
-    """All raw records in one table, renamed fields under one name."""
-    return consistent(table(spark, sf, "raw_records"), table(spark, sf, "granule_files", ["file_id", "stream_id", "acquired_at"]))
+    """All raw records in one table, renamed and retyped fields under one name and type."""
+    return consistent(table(spark, sf, "raw_records"), table(spark, sf, "granule_files", ["file_id", "stream_id", "acquired_at"]), TARGET)
 
 
 def _compacted(spark: SparkSession, sf: str) -> DataFrame:

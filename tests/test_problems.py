@@ -198,28 +198,57 @@ def _drift_input(spark):
     return spark.createDataFrame(recs, "rec_id long, file_id long, payload string"), spark.createDataFrame(files, "file_id long, stream_id string, acquired_at timestamp").withColumn("key", F.lit("clash"))
 
 
+DRIFT_TARGET = {"id": "bigint", "h": "double", "flag": "bigint", "sigma": "double"}
+
+
+def _changes(recs, files, target=DRIFT_TARGET):
+    return drift.changes(drift.ingest(recs, target), files, target)
+
+
 def test_changes(spark):
     recs, files = _drift_input(spark)
-    got = sorted(tuple(r) for r in drift.changes(recs, files).collect() if r.file_id < 10)
-    assert got == [(2, "renamed", "sigma", "geo_sigma"), (4, "added", "", "note"), (4, "retyped", "h", "h"), (5, "removed", "flag", "")]
-    assert drift.changes(recs.where("false"), files).count() == 0
-    assert drift.changes(recs, files.where("false")).count() == 0
+    want = [(2, "renamed", "sigma", "geo_sigma"), (4, "added", "", "note"), (4, "retyped", "h", "h"), (5, "removed", "flag", "")]
+    # the report is the same whatever part of the fields the target schema knows
+    for target in (DRIFT_TARGET, {}, {"geo_sigma": "double", "note": "string", "h": "bigint"}):
+        assert sorted(tuple(r) for r in _changes(recs, files, target).collect() if r.file_id < 10) == want
+    assert _changes(recs.where("false"), files).count() == 0
+    assert _changes(recs, files.where("false")).count() == 0
+
+
+def test_the_report_reads_the_ingested_table(spark):
+    """What ingestion drops is in no report: without the rescued values only typed columns are left to compare."""
+    recs, files = _drift_input(spark)
+    blind = drift.ingest(recs, DRIFT_TARGET).withColumn("rescued", F.lit(None).cast("string"))
+    got = sorted(tuple(r) for r in drift.changes(blind, files, DRIFT_TARGET).collect() if r.file_id < 10)
+    assert got == [(2, "removed", "sigma", ""), (4, "removed", "h", ""), (5, "removed", "flag", "")]
+
+
+def test_contested_partners(spark):
+    """Two like fields change names in one file: each gets a partner, the nearer names first."""
+    recs = [(f, json.dumps({"time": 1.0 + i, **({"height_a": 5.5 + i, "height_b": 5.6 + i} if f < 2 else {"hgt_a": 5.5 + i, "q_height_a": 5.7 + i})})) for f in range(4) for i in range(6)]
+    files = spark.createDataFrame([(f, "s", dt.datetime(2020, 1, 1 + f)) for f in range(4)], "file_id long, stream_id string, acquired_at timestamp")
+    got = sorted(tuple(r) for r in _changes(spark.createDataFrame(recs, "file_id long, payload string"), files, {}).collect())
+    assert got == [(2, "renamed", "height_a", "q_height_a"), (2, "renamed", "height_b", "hgt_a")]
 
 
 def test_ingest_and_replay(spark):
-    d = spark.createDataFrame([(1, '{"a": 1, "b": "x", "old": 2.5}'), (2, '{"a": "no", "new": 3}'), (3, "broken"), (4, None)], "rec_id long, payload string").withColumn("a", F.lit("mine"))
-    t = drift.ingest(d, {"a": "int", "new": "double"})
+    d = spark.createDataFrame([(1, '{"a": 1, "b": "x", "old": 2.5}'), (2, '{"a": "no", "new": 3.5, "n": null}'), (3, "broken"), (4, None), (5, '{"a": 5, "a": 6}'), (6, '{"a": "7", "new": 8, "l": [1, 2]}'), (7, '{"a": 99999999999}')], "rec_id long, payload string").withColumn("a", F.lit("mine"))
+    t = drift.ingest(d, {"a": "int", "new": "double", "l": "array<bigint>"})
     rows = {r.rec_id: r for r in t.collect()}
-    assert rows[1].a == 1 and rows[1].record_a == "mine" and json.loads(rows[1].rescued) == {"b": "x", "old": "2.5"}
-    assert rows[2].a is None and json.loads(rows[2].rescued) == {"a": "no"} and rows[2].new == 3.0
-    assert json.loads(rows[3].rescued) == {"_text": "broken"} and rows[4].rescued is None
-    p = {r.rec_id: r for r in drift.promote(t, {"new": ("double", ["old"])}).collect()}
-    assert p[1].new == 2.5 and json.loads(p[1].rescued) == {"b": "x"} and p[2].new == 3.0
+    left = {k: json.loads(r.rescued) if r.rescued else None for k, r in rows.items()}
+    assert rows[1].a == 1 and rows[1].record_a == "mine" and left[1] == {"b": "x", "old": 2.5}
+    assert rows[2].a is None and left[2] == {"a": "no", "n": None} and rows[2].new == 3.5
+    assert left[3] == {"_text": "broken"} and rows[4].rescued is None
+    assert rows[5].a is None and rows[5].rescued == '{"a":5,"a":6}'  # a name twice: kept whole
+    assert left[6] == {"a": "7", "new": 8} and rows[6].l == [1, 2] and left[7] == {"a": 99999999999} and rows[7].a is None
+    p = {r.rec_id: r for r in drift.promote(t, {"new": ("double", ["old"]), "a": ("int", [])}).collect()}
+    assert p[1].new == 2.5 and json.loads(p[1].rescued) == {"b": "x"} and p[2].new == 3.5
+    assert p[6].a == 7 and p[6].new == 8.0 and p[6].rescued is None and json.loads(p[7].rescued) == {"a": 99999999999} and json.loads(p[2].rescued) == {"a": "no", "n": None}
 
 
 def test_consistent_table_holds_every_record(spark):
     recs, files = _drift_input(spark)
-    t = drift.consistent(recs, files)
+    t = drift.consistent(recs, files, DRIFT_TARGET)
     got = {r.rec_id: r.asDict() for r in t.collect()}
     assert sorted(got) == sorted(r.rec_id for r in recs.collect())
     # the name most values stand under; the other one is replayed into it
@@ -233,13 +262,14 @@ def test_consistent_table_holds_every_record(spark):
             d = None
         if not isinstance(d, dict):
             continue
-        want = d.get("sigma", d.get("geo_sigma"))
-        left = json.loads(got[r.rec_id]["rescued"] or "{}")
-        assert got[r.rec_id][name] == want or str(want) in (left.get("sigma"), left.get("geo_sigma"))
-        # nothing is lost: a value is in its column or rescued
+        row, left = got[r.rec_id], json.loads(got[r.rec_id]["rescued"] or "{}")
+        assert row[name] == d.get("sigma", d.get("geo_sigma"))
+        # nothing is lost: a value is in its column, replayed there from text too, or rescued as it was
         for k, v in d.items():
-            if v is not None:
-                assert k in left or got[r.rec_id].get(name if k in ("sigma", "geo_sigma") else k) is not None, (k, v)
+            c = name if k in ("sigma", "geo_sigma") else k
+            assert (k in left and left[k] == v) or (row.get(c) is not None and str(row[c]) == str(v)), (k, v)
+        if "h" in d:
+            assert row["h"] == float(d["h"])
     broken = [r for r in got.values() if r["rescued"] and "no json" in r["rescued"]]
     assert len(broken) == 1
 
