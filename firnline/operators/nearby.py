@@ -1,7 +1,8 @@
 """Points near other points or inside regions: strip sweep join.
 
 Both sides are cut into strips of the second axis (latitude, or y of a map
-projection).  A left row lives in exactly one strip, which therefore owns all
+projection), and the strips, in order, into ranges of about as many left rows,
+a partition each.  A left row lives in exactly one strip, which therefore owns all
 its pairs; a right row is copied into every strip its reach overlaps.  Inside
 a strip rows are sorted along the first axis and swept once: right rows form
 an active set while the sweep passes their extent, left rows are looked up by
@@ -14,47 +15,48 @@ becomes one task.  No pair is lost or repeated by either step.
 
 from __future__ import annotations
 
-import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from firnline.common import finite
+from firnline.common import finite, staged
 from firnline.functions.geodesy import polar_forward
 
 EARTH_M = 6371008.8  # mean radius
 STRIPS = 4096  # most strips per plane; bounds the driver-side strip histogram
+HISTOGRAM_ROWS = 100_000  # most strips whose counts are broadcast (about 4 MB)
 PREFILTER_ROWS = 200_000  # most occupied cells that are broadcast (about 5 MB)
 
 
-def _in_ring(px: np.ndarray, py: np.ndarray, ring: np.ndarray) -> np.ndarray:
-    """Even-odd rule; points on an edge fall on either side by rounding."""
-    x0, y0 = ring[:-1, 0], ring[:-1, 1]
-    x1, y1 = ring[1:, 0], ring[1:, 1]
-    inside = np.zeros(len(px), bool)
-    for a, b, c, d in zip(x0, y0, x1, y1):
-        if b == d:
-            continue
-        hit = ((b > py) != (d > py)) & (px < (c - a) * (py - b) / (d - b) + a)
-        inside ^= hit
-    return inside
-
-
-def parse_ring(text: str | None) -> np.ndarray | None:
-    """``POLYGON ((x y, ...))`` to a closed n x 2 array; None if unusable."""
-    if not text or "((" not in text:
-        return None
-    try:
-        body = text[text.index("((") + 2 : text.index("))")].split("), (")[0]
-        pts = np.array([[float(v) for v in p.split()[:2]] for p in body.split(",")])
-    except ValueError:
-        return None
-    if len(pts) < 3 or not np.isfinite(pts).all():
-        return None
-    return pts if (pts[0] == pts[-1]).all() else np.vstack([pts, pts[:1]])
+def edges(text: str | None) -> np.ndarray | None:
+    """Edges ``x0, y0, x1, y1`` of all rings of a ``POLYGON`` or ``MULTIPOLYGON``, whatever its spacing; None if a ring is unusable."""
+    out = []
+    for ring in re.findall(r"\(([^()]+)\)", text or ""):
+        try:
+            pts = np.array([[float(v) for v in p.split()[:2]] for p in ring.split(",")])
+        except ValueError:
+            return None
+        if pts.ndim != 2 or pts.shape[1] != 2 or len(pts) < 3 or not np.isfinite(pts).all():
+            return None
+        out.append(np.hstack([pts, np.roll(pts, -1, axis=0)]))
+    return np.vstack(out) if out else None
+
+
+def inside(px: np.ndarray, py: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Even-odd rule over all edges, so that holes and parts count; points on an edge fall on either side by rounding."""
+    e = e[e[:, 1] != e[:, 3]]
+    out = np.zeros(len(px), bool)
+    step = max(1, 4_000_000 // max(1, len(e)))
+    for i in range(0, len(px), step):
+        x, y = px[i : i + step, None], py[i : i + step, None]
+        hit = ((e[:, 1] > y) != (e[:, 3] > y)) & (x < (e[:, 2] - e[:, 0]) * (y - e[:, 1]) / (e[:, 3] - e[:, 1]) + e[:, 0])
+        out[i : i + step] = hit.sum(axis=1) % 2 == 1
+    return out
 
 
 class _Sweep:
@@ -64,6 +66,14 @@ class _Sweep:
         self.geo = geographic
         self.key = None
         self.active = None  # columns lo, hi, x, y, r, id, ring
+        self.parsed: dict[str, np.ndarray | None] = {}
+
+    def edges(self, ring: str) -> np.ndarray | None:
+        if ring not in self.parsed:
+            if len(self.parsed) > 1000:
+                self.parsed.clear()
+            self.parsed[ring] = edges(ring)
+        return self.parsed[ring]
 
     def strip(self, d: pd.DataFrame) -> Iterator[pd.DataFrame]:
         """Rows of one strip in sweep order; may be called again with its continuation."""
@@ -98,11 +108,11 @@ class _Sweep:
             else:
                 dx, dy = px - xs[rep], py - ys[rep]
                 ok = dx * dx + dy * dy <= rs[rep] * rs[rep]
-            for k in take:
+            at = np.r_[0, np.cumsum(cnt)]
+            for k, p, q in zip(take, at[:-1], at[1:]):
                 if rings[k] is not None:
-                    m = rep == k
-                    ring = parse_ring(rings[k])
-                    ok[m] = _in_ring(px[m], py[m], ring) if ring is not None else False
+                    e = self.edges(rings[k])
+                    ok[p:q] = inside(px[p:q], py[p:q], e) if e is not None else False
             if ok.any():
                 yield pd.DataFrame({"lid": lid[pos[ok]], "rid": ids[rep[ok]]})
 
@@ -145,7 +155,8 @@ def strip_sweep_join(
     ``geographic=True`` (metres on the sphere, longitudes taken round the
     globe, poles included).  Rows with null, NaN or infinite coordinates, null
     ids, null planes, or a null/negative radius without ring join nothing.
-    Repeated rows count each.  Empty inputs give an empty result.  Other
+    Rings are POLYGON or MULTIPOLYGON of any spacing, holes included; one that
+    cannot be read joins nothing.  Repeated rows count each.  Empty inputs give an empty result.  Other
     columns of the inputs are ignored, whatever their names.
     """
     spark = left.sparkSession
@@ -176,9 +187,11 @@ def strip_sweep_join(
             }
         ).where("hi >= 0 and lo <= 360").drop("turn", "w")
     else:
-        nums = F.expr("transform(regexp_extract_all(ring, '(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)', 1), v -> try_cast(v as double))")
-        rt = rt.withColumn("c", F.when(F.col("ring").isNotNull(), nums))
-        xs, ys = F.expr("filter(c, (v, i) -> i % 2 = 0)"), F.expr("filter(c, (v, i) -> i % 2 = 1)")
+        # first two numbers of every vertex of every ring
+        vertex = F.transform(F.regexp_extract_all("ring", F.lit(r"([^(),]+)"), F.lit(1)), lambda v: F.split(F.trim(v), r"\s+"))
+        number = lambda i: F.filter(F.transform("c", lambda v: F.get(v, F.lit(i)).try_cast("double")), lambda v: v.isNotNull())
+        rt = rt.withColumn("c", F.when(F.col("ring").isNotNull(), vertex))
+        xs, ys = number(0), number(1)
         pick = lambda a, b: F.when(F.col("ring").isNotNull(), a).otherwise(b)
         rt = rt.withColumns(
             {
@@ -189,11 +202,12 @@ def strip_sweep_join(
             }
         ).drop("c").where("lo is not null and ylo is not null")
 
-    ext = rt.agg(F.min("ylo").alias("a"), F.max("yhi").alias("b"), F.max(F.col("yhi") - F.col("ylo")).alias("h"), F.count("*").alias("n")).first()
+    ext = rt.agg(F.min("ylo").alias("a"), F.max("yhi").alias("b"), F.percentile_approx(F.col("yhi") - F.col("ylo"), 0.9, 1000).alias("h"), F.count("*").alias("n")).first()
     out = "lid bigint, rid bigint"
     names = [F.col("lid").alias(left_id), F.col("rid").alias(right_id)]
     if not ext["n"]:
         return spark.createDataFrame([], out).select(*names)
+    # as high as most right rows; the few taller ones are copied into more strips
     height = max(ext["h"], (ext["b"] - ext["a"]) / STRIPS, 1e-9)
     strip = lambda c: F.floor((c - ext["a"]) / height).cast("int")
     lt = lt.where(F.col("y").between(ext["a"], ext["b"])).withColumn("s", strip(F.col("y")))
@@ -207,19 +221,30 @@ def strip_sweep_join(
         cells = rt.select("pl", "s", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))).alias("c")).distinct()
         if cells.limit(PREFILTER_ROWS + 1).count() <= PREFILTER_ROWS:
             lt = lt.withColumn("c", cell(F.col("x"))).join(F.broadcast(cells), ["pl", "s", "c"], "left_semi").drop("c")
-
-    # strip histogram: at most STRIPS rows per plane; gives the salt of hot strips
-    hot = lt.groupBy("pl", "s").count().where(F.col("count") > rows_per_task)
-    hot = hot.select("pl", "s", F.ceil(F.col("count") / rows_per_task).cast("int").alias("k"))
-    lt = lt.join(F.broadcast(hot), ["pl", "s"], "left").withColumn("salt", F.pmod(F.xxhash64("lid"), F.coalesce("k", F.lit(1)).cast("bigint")).cast("int"))
-    rt = rt.join(F.broadcast(hot), ["pl", "s"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1)))
+    lt = staged(lt, "left")  # slim rows that may have a partner: the input is read once
+
+    # strip histogram: at most STRIPS rows per plane; hot strips get several salts, ranges of strips of even size a partition
+    hist = staged(lt.groupBy("pl", "s").agg(F.count("*").alias("n")), "strips")
+    k = F.ceil(F.col("n") / rows_per_task).cast("int")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = hist.agg(F.sum("n"), F.count("*")).first()
+    few = (total[1] or 0) <= HISTOGRAM_ROWS
+    if few:
+        upto = F.sum("n").over(W.orderBy("pl", "s").rowsBetween(W.unboundedPreceding, -1))  # over the histogram, of bounded size
+        first = F.floor(F.coalesce(upto, F.lit(0)) * parts / max(1, total[0] or 1)).cast("int")
+    else:
+        first = F.pmod(F.xxhash64("pl", "s"), F.lit(parts)).cast("int")
+    hist = staged(hist.select("pl", "s", k.alias("k"), first.alias("first")), "ranges")
+    hist = F.broadcast(hist) if few else hist
+    lt = lt.join(hist, ["pl", "s"]).withColumn("salt", F.pmod(F.xxhash64("lid"), F.col("k").cast("bigint")).cast("int"))
+    rt = rt.join(hist, ["pl", "s"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
 
     null = lambda t: F.lit(None).cast(t)
-    both = rt.select("pl", "s", "salt", F.lit(0).alias("side"), "lo", "hi", "x", "y", "r", "rid", null("bigint").alias("lid"), "ring").unionByName(
-        lt.select("pl", "s", "salt", F.lit(1).alias("side"), F.col("x").alias("lo"), F.col("x").alias("hi"), "x", "y", null("double").alias("r"), null("bigint").alias("rid"), "lid", null("string").alias("ring"))
+    both = rt.select("pl", "s", "salt", "first", F.lit(0).alias("side"), "lo", "hi", "x", "y", "r", "rid", null("bigint").alias("lid"), "ring").unionByName(
+        lt.select("pl", "s", "salt", "first", F.lit(1).alias("side"), F.col("x").alias("lo"), F.col("x").alias("hi"), "x", "y", null("double").alias("r"), null("bigint").alias("rid"), "lid", null("string").alias("ring"))
     )
     both = both.withColumn("part", F.concat_ws("/", "pl", "s", "salt"))
-    both = both.repartition("pl", "s", "salt").sortWithinPartitions("part", "lo", "side")
+    both = both.repartitionById(parts, F.pmod(F.col("first") + F.col("salt"), F.lit(parts))).sortWithinPartitions("part", "lo", "side")
     cols = ["part", "side", "lo", "hi", "x", "y", "r", "rid", "lid", "ring"]
     return both.select(*cols).mapInPandas(_sweeper(geographic), out).select(*names)
 
@@ -245,9 +270,3 @@ def points_in_sites(points: DataFrame, sites: DataFrame, **kw) -> DataFrame:
     st = st.withColumn("ring", F.when(F.col("kind") == "polygon", F.col("ring"))).where("kind <> 'polygon' or ring is not null")
     st = st.withColumn("radius_m", F.when(F.col("kind") == "circle", F.col("radius_m")))
     return strip_sweep_join(pts, st, "point_id", "site_id", plane="epsg", radius="radius_m", ring="ring", **kw)
-
-
-def km_rings(lat: float, km: float) -> float:
-    """Longitude reach in degrees of ``km`` at a latitude (helper for tests)."""
-    r = km * 1000 / EARTH_M
-    return math.degrees(math.asin(min(1, math.sin(r) / max(1e-12, math.cos(math.radians(lat))))))

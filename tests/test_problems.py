@@ -170,6 +170,22 @@ def test_rings_and_projection(spark):
     assert got == [(1, 1), (1, 1), (1, 2), (1, 2), (3, 1), (3, 2)]
 
 
+def test_holes_parts_and_tall_regions(spark):
+    """Holes and parts by the even-odd rule, any spacing and a third coordinate; one region as tall as all others together."""
+    hole = "POLYGON((0 0,10 0,10 10,0 10,0 0),(4 4, 6 4, 6 6, 4 6, 4 4))"
+    multi = "MULTIPOLYGON ( ( (20 0 1, 30 0 1, 30 10 1, 20 10 1) ) , ((40 0, 50 0, 50 10, 40 10, 40 0), (44 4, 46 4, 46 6, 44 6)) )"
+    tall = "POLYGON ((0 0, 1 0, 1 100, 0 100, 0 0))"
+    shapes = {1: [(0, 10, 0, 10, 1), (4, 6, 4, 6, -1)], 2: [(20, 30, 0, 10, 1), (40, 50, 0, 10, 1), (44, 46, 4, 6, -1)], 3: [(0, 1, 0, 100, 1)]}
+    rng = np.random.default_rng(6)
+    xy = [(i, float(a), float(b)) for i, (a, b) in enumerate(np.c_[rng.random(800) * 55 - 2, rng.random(800) * 12 - 1])] + [(900 + i, 0.5, float(i) + 0.25) for i in range(100)]
+    pts = spark.createDataFrame([(i, 1, a, b) for i, a, b in xy], "point_id long, plane int, x double, y double")
+    st = spark.createDataFrame([(1, 1, hole), (2, 1, multi), (3, 1, tall), (4, 1, "POLYGON ((1 1, 2 x, 3 3))"), (5, 1, "POLYGON EMPTY"), (6, 1, "")] + [(10 + i, 1, f"POLYGON ((60 {i}, 61 {i}, 61 {i + 1}))") for i in range(60)], "site_id long, plane int, ring string")
+    st = st.selectExpr("*", "cast(null as double) x", "cast(null as double) y", "cast(null as double) radius")
+    want = sorted((i, k) for i, a, b in xy for k, boxes in shapes.items() if sum(s for x0, x1, y0, y1, s in boxes if x0 < a < x1 and y0 < b < y1) > 0)
+    for kw in ({}, {"rows_per_task": 40}, {"prefilter": False}):
+        assert sorted(map(tuple, nearby.strip_sweep_join(pts, st, "point_id", "site_id", ring="ring", **kw).collect())) == want
+
+
 # ---- 3 drift
 
 
