@@ -5,9 +5,13 @@ weight, and one short buffer of weight 1.  As soon as ``FAN`` buffers of one
 weight exist they collapse into one buffer of ``FAN`` times that weight, which
 keeps the values at evenly spaced positions of the weighted merge.  Collapsing
 only equal weights makes the merge tree balanced, however the parts are
-joined.  Each sketch carries the sum of weights and the number of its
-collapses, which bound the rank error of any percentile: at most
-``(weights - collapses - 1) / 2 + heaviest weight`` ranks.  Sketches of
+joined.  Each sketch carries the sum W of weights and the number C of its
+collapses, which bound the rank error of any percentile.  A collapse into
+weight w keeps the ranks w/2 (or (w+1)/2 if w is odd) of every stretch of w
+ranks, so it shifts a rank by at most w/2, and the last position found may lie
+within one buffer element: at most ``(W + C - 1) / 2 + heaviest weight`` ranks,
+whatever the order and place of the collapses (the sharper figure with -C needs
+offsets that alternate over the whole tree, which parts built apart do not).  Sketches of
 partitions, days or runs join into one of the union without reading values
 again.
 """
@@ -89,7 +93,7 @@ class Sketch:
         n = int(upto[-1])
         rank = np.maximum(1, np.ceil(np.asarray(probs) * n - 1e-9)).astype(np.int64)
         got = v[order][np.searchsorted(upto, rank, "left")]
-        bound = 0 if not self.collapses else (self.weights - self.collapses - 1) // 2 + max(self.full, default=1)
+        bound = 0 if not self.collapses else (self.weights + self.collapses - 1) // 2 + max(self.full, default=1)
         return n, got.tolist(), bound
 
 
@@ -141,25 +145,50 @@ def sketch(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def _walk(ks: list[str], finish):
-    """Stream sketch rows sorted by key; ``finish`` turns each completed sketch into rows."""
+    """Stream sketch rows sorted by key; ``finish`` turns each completed sketch into rows.
+
+    Keys that end inside a batch and have fewer than ``K`` values in all, none
+    of them collapsed, are finished together without a sketch of their own.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, now, out = None, None, []
+        last, now = None, None
         for d in batches:
-            for r in d.itertuples(index=False, name=None):
-                k = tuple(None if x is None or x != x else x for x in r[: len(ks)])
-                if now is None or k != last:
+            if not len(d):
+                continue
+            keys = d[ks]
+            filled = keys.where(keys.notna(), None)
+            code = filled.apply(lambda c: pd.factorize(c, use_na_sentinel=False)[0]).to_numpy()
+            first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]).any(axis=1)])
+            held = d.vals.str.len().to_numpy()
+            size = np.add.reduceat(held, first)
+            plain = np.add.reduceat((d.weight.to_numpy() != 1) | (d.collapses.to_numpy() > 0), first) == 0
+            small = plain & (size < K)
+            small[-1] = False  # may go on in the next batch
+            names = list(filled.iloc[first].itertuples(index=False, name=None))
+            names = [tuple(None if x is None or x != x else x for x in n) for n in names]
+            if now is not None and names[0] == last:
+                small[0] = False
+            out = []
+            for g, start, end in zip(range(len(first)), first, np.r_[first[1:], len(d)]):
+                if small[g]:
+                    continue
+                if now is None or names[g] != last:
                     if now is not None:
                         out += finish(last, now)
-                    last, now = k, Sketch()
-                now.take(r[-4], np.asarray(r[-3], dtype=np.float64), r[-2], r[-1])
-            if len(out) > 20_000:
+                    last, now = names[g], Sketch()
+                for r in d.iloc[start:end, -4:].itertuples(index=False, name=None):
+                    now.take(r[0], np.asarray(r[1], dtype=np.float64), r[2], r[3])
+            if out:
                 yield pd.DataFrame(out, columns=finish.columns)
-                out = []
+            if small.any():
+                rows = np.repeat(small, np.diff(np.r_[first, len(d)]))
+                v = np.concatenate(list(d.vals[rows])) if size[small].sum() else np.empty(0)
+                yield finish.together([n for n, s in zip(names, small) if s], v, size[small])
         if now is not None:
-            out += finish(last, now)
-        if out:
-            yield pd.DataFrame(out, columns=finish.columns)
+            out = finish(last, now)
+            if out:
+                yield pd.DataFrame(out, columns=finish.columns)
 
     return run
 
@@ -171,6 +200,10 @@ class _Rows:
     def __call__(self, k, s):
         return [(*k, 0, *r) for r in s.rows()]
 
+    def together(self, names, v, size):
+        at = np.cumsum(size)[:-1]
+        return pd.DataFrame([(*k, 0, 1, x, 0, 0) for k, x in zip(names, np.split(v, at))], columns=self.columns)
+
 
 class _Quantiles:
     def __init__(self, ks, probs, names):
@@ -182,6 +215,17 @@ class _Quantiles:
         n, q, bound = s.quantiles(self.probs)
         return [(*k, n, *q, bound)]
 
+    def together(self, names, v, size):
+        some = size > 0
+        size, names = size[some], [n for n, s in zip(names, some) if s]
+        v = v[np.lexsort((v, np.repeat(np.arange(len(size)), size)))]
+        first = np.cumsum(size) - size
+        out = pd.DataFrame(names, columns=self.columns[: len(names[0])] if names else self.columns[: self.columns.index("n")])
+        out["n"] = size
+        for c, p in zip(self.columns[self.columns.index("n") + 1 : -1], self.probs):
+            out[c] = v[first + np.maximum(1, np.ceil(p * size - 1e-9)).astype(np.int64) - 1]
+        return out.assign(max_rank_error=0)[self.columns]
+
 
 def _sorted(sk: DataFrame, keys: list[str], ks: list[str], by: list) -> DataFrame:
     df = sk.select(*[F.col(k).alias(a) for k, a in zip(keys, ks)], "part", "weight", "vals", "weights", "collapses")
@@ -189,7 +233,7 @@ def _sorted(sk: DataFrame, keys: list[str], ks: list[str], by: list) -> DataFram
 
 
 def merge(sk: DataFrame, keys: list[str], *, rows_per_task: int = 512) -> DataFrame:
-    """Join sketches into one per ``keys``.
+    """Join sketches into one per ``keys``; ``sk`` should be a written table, it is read twice.
 
     Keys with more than ``rows_per_task`` buffers are first joined in salted
     pieces and then once more, so a hot key is never gathered from all

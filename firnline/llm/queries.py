@@ -20,13 +20,28 @@ def p4_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     pts = table(spark, sf, "tile_points", ["tile", "acquired_at", "x", "y", "z"])
     long = pts.select("tile", F.to_date("acquired_at").cast("string").alias("day"), F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in "xyz"])).alias("v"))
     long = long.select("tile", "day", "v.field", "v.value")
-    days = staged(merge(sketch(long, ["tile", "day", "field"], "value"), ["tile", "day", "field"]), "day_sketches")
+    parts = staged(sketch(long, ["tile", "day", "field"], "value"), "part_sketches")
+    days = staged(merge(parts, ["tile", "day", "field"]), "day_sketches")
     tiles = merge(days, ["tile", "field"])
     daily = percentiles(days, ["tile", "day", "field"], PROBS)
     whole = percentiles(tiles, ["tile", "field"], PROBS).withColumn("day", F.lit(None).cast("string"))
     return daily.unionByName(whole)
 
 
+def p4_overall(spark: SparkSession, sf: str) -> DataFrame:
+    """Percentiles of each column as a whole, and whether their exact rank lies within the bound of the sketch."""
+    pts = table(spark, sf, "tile_points", ["x", "y", "z"])
+    long = pts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in "xyz"])).alias("v")).select("v.field", "v.value")
+    long = long.where("value is not null and not isnan(value) and abs(value) < double('infinity')")
+    got = staged(percentiles(merge(staged(sketch(long, ["field"], "value"), "part_sketches"), ["field"]), ["field"], PROBS), "overall")
+    probs = F.array(*[F.struct(F.lit(k).alias("percentile"), F.lit(p).alias("p"), F.col(k).alias("q")) for k, p in PROBS.items()])
+    asked = got.select("field", "n", "max_rank_error", F.inline(probs))  # seven rows per column
+    ranks = long.join(F.broadcast(asked), "field").groupBy("field", "percentile").agg(F.count(F.when(F.col("value") < F.col("q"), 1)).alias("below"), F.count(F.when(F.col("value") <= F.col("q"), 1)).alias("upto"))
+    rank = F.ceil(F.col("p") * F.col("n") - 1e-9)
+    within = rank.between(F.col("below") + 1 - F.col("max_rank_error"), F.col("upto") + F.col("max_rank_error"))
+    return asked.join(ranks, ["field", "percentile"]).select("field", "percentile", "n", within.alias("within_bound"), (F.col("max_rank_error") <= 0.05 * F.col("n")).alias("bound_is_narrow"))
+
+
 def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
     return fill(table(spark, sf, "documents", ["doc_id", "text"]))
 
@@ -49,7 +64,7 @@ def p10_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p4_percentiles": p4_percentiles, "p8_containers": p8_containers, "p8_filling": p8_filling, "p9_found": p9_found, "p10_found": p10_found, "p10_shares": p10_shares}
+    return {"p4_percentiles": p4_percentiles, "p4_overall": p4_overall, "p8_containers": p8_containers, "p8_filling": p8_filling, "p9_found": p9_found, "p10_found": p10_found, "p10_shares": p10_shares}
 
 
 def _said_sql(c: str) -> str:
@@ -91,4 +106,6 @@ def oracle_sql() -> dict[str, str]:
     quantiles = ", ".join(f"list_sort(list(v))[greatest(1, ceil({p} * count(*) - 1e-9))::bigint] as {n}" for n, p in PROBS.items())
     one = " union all ".join(f"select tile, strftime(acquired_at, '%Y-%m-%d') as day, '{c}' as field, {c} as v from tile_points where {c} is not null and not isnan({c})" for c in "xyz")
     select = f"count(*)::bigint as n, {quantiles}, 0::bigint as max_rank_error from p"
-    return {"p9_found": _leaks_sql(), "p4_percentiles": f"with p as ({one}) select tile, day, field, {select} group by tile, day, field union all select tile, null, field, {select} group by tile, field"}
+    probs = ", ".join(f"('{k}')" for k in PROBS)
+    overall = f"select field, percentile, count(*)::bigint as n, true as within_bound, true as bound_is_narrow from ({one}), (values {probs}) k(percentile) group by field, percentile".replace("tile, strftime(acquired_at, '%Y-%m-%d') as day, ", "")
+    return {"p9_found": _leaks_sql(), "p4_overall": overall, "p4_percentiles": f"with p as ({one}) select tile, day, field, {select} group by tile, day, field union all select tile, null, field, {select} group by tile, field"}
