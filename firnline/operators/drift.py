@@ -62,19 +62,27 @@ def ingest(records: DataFrame, target: dict[str, str], *, payload: str = "payloa
     """
     keep = [F.col(c).alias(f"record_{c}" if c in target or c == rescued else c) for c in records.columns if c != payload]
     m = F.from_json(F.col(payload), "map<string,variant>")
-    base = records.select(*keep, F.inline(F.array(F.struct(m.alias("_m"), F.col(payload).alias("_raw")))))
+    base = records.select(*keep, m.alias("_m"), F.col(payload).alias("_raw"))
     want = _literal_map({f: _holds(t) for f, t in target.items()})
     once = F.size(F.array_distinct(F.map_keys("_m"))) == F.size("_m")
     # the kind is looked at only where the name is one of the target
     fits = F.when(once, F.map_filter("_m", lambda k, v: F.coalesce(F.try_element_at(want, k) == _kind(v), F.lit(False)))) if target else F.lit(None).cast("map<string,variant>")
-    base = base.select("*", F.inline(F.array(F.struct(fits.alias("_fits")))))
-    typed = base.withColumns({f: F.try_variant_get(F.try_element_at("_fits", F.lit(f)), "$", t) for f, t in target.items()})
-    # what did not cast after all (a number out of range) is rescued too
-    cast = F.filter(F.array(*[F.when(F.col(f"`{f}`").isNotNull(), F.lit(f)) for f in target]), lambda x: x.isNotNull()) if target else F.array().cast("array<string>")
-    left = F.map_filter("_m", lambda k, v: ~(F.array_contains("_cast", k) & F.col("_once")))
+    base = base.withColumn("_fits", fits)
+    if target:
+        # all fitting values are cast in one step, as the fields of one object
+        fields = ", ".join(f"`{f}`: {t}" for f, t in target.items())
+        base = base.withColumn("_t", F.try_variant_get(F.to_variant_object(F.coalesce("_fits", F.create_map().cast("map<string,variant>"))), "$", f"struct<{fields}>"))
+        base = base.select("*", "_t.*").drop("_t")
+        held = sum((F.col(f"`{f}`").isNotNull().cast("int") for f in target), F.lit(0))
+        # what did not cast after all (a number out of range) is rescued too
+        failed = F.filter(F.array(*[F.when(F.col(f"`{f}`").isNull(), F.lit(f)) for f in target]), lambda x: x.isNotNull())
+        odd = F.map_filter("_m", lambda k, v: ~F.map_contains_key("_fits", k) | F.array_contains(failed, k))
+        rest = F.when(F.col("_fits").isNull(), F.col("_m")).when(held == F.size("_fits"), F.map_filter("_m", lambda k, v: ~F.map_contains_key("_fits", k))).otherwise(odd)
+    else:
+        rest = F.col("_m")
+    typed = base.withColumn("_left", rest)
     whole = F.when(F.col("_m").isNull() & F.col("_raw").isNotNull(), F.to_json(F.create_map(F.lit("_text"), F.col("_raw"))))
-    typed = typed.withColumns({"_cast": cast, "_once": F.coalesce(once, F.lit(False))}).withColumn("_left", left)
-    return typed.withColumn(rescued, F.coalesce(whole, F.when(F.size("_left") > 0, F.to_json("_left")))).drop("_m", "_raw", "_fits", "_cast", "_once", "_left")
+    return typed.withColumn(rescued, F.coalesce(whole, F.when(F.size("_left") > 0, F.to_json("_left")))).drop("_m", "_raw", "_fits", "_left")
 
 
 def promote(df: DataFrame, approved: dict[str, tuple[str, list[str]]], *, rescued: str = "rescued") -> DataFrame:

@@ -20,7 +20,6 @@ from datetime import date, timedelta
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -374,12 +373,12 @@ def _inferred(rows: DataFrame, least: int = 8) -> DataFrame:
     keys = ["source_id", "abs_orbit", "field"]
     fits = staged(fit.groupBy(*keys).agg(F.collect_list(F.struct("miss", "u")).alias("fits")).withColumn("first", F.array_min("fits")["u"]), "fits")
     weight = fits.groupBy("source_id", "field", "first").agg(F.count("*").cast("double").alias("k"))
-    all_ = F.sum("k").over(W.partitionBy("field"))  # one row per source, field and unit
-    share = F.sum("k").over(W.partitionBy("field", "first")) / all_
-    weight = weight.select("source_id", "field", F.struct("first", "k", share.alias("share")).alias("w")).groupBy("source_id", "field").agg(F.map_from_entries(F.collect_list(F.struct("w.first", F.col("w.k") + F.col("w.share")))).alias("w"))
-    judged = fits.join(broadcast_if_few(weight), ["source_id", "field"])
-    # a pass does not speak for itself
-    others = lambda u: F.coalesce(F.try_element_at(F.col("w"), u), F.lit(0.0)) - F.when(u == F.col("first"), 1.0).otherwise(0.0)
-    total = lambda f: f["miss"] - 2 * F.log(F.greatest(others(f["u"]), F.lit(0.02)))
+    counted = lambda df, *by: df.groupBy(*by, "first").agg(F.sum("k").alias("k")).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("first", "k"))).alias("w"))
+    near, all_ = counted(weight, "source_id", "field"), counted(weight, "field").withColumnRenamed("w", "v")
+    judged = fits.join(broadcast_if_few(near), ["source_id", "field"]).join(F.broadcast(all_), "field")  # one row per field
+    # a pass does not speak for itself; where its source has few others, the passes of all sources count a little
+    count = lambda m, u: F.coalesce(F.try_element_at(F.col(m), u), F.lit(0.0)) - F.when(u == F.col("first"), 1.0).otherwise(0.0)
+    n_all = F.greatest(F.aggregate(F.map_values("v"), F.lit(0.0), lambda a, x: a + x) - 1, F.lit(1.0))
+    total = lambda f: f["miss"] - 2 * F.log(F.greatest(count("w", f["u"]) + count("v", f["u"]) / n_all, F.lit(0.02)))
     best = F.array_min(F.transform("fits", lambda f: F.struct(total(f).alias("miss"), f["u"].alias("u"))))
     return judged.select(*keys, best["u"].alias("guess"))

@@ -25,7 +25,8 @@ PEAKINESS = (0.0, 1000.0)
 def p1_values(spark: SparkSession, sf: str) -> DataFrame:
     """Every value in its common unit, with the unit it came in and who stated it."""
     cols = ["rec_id", "source_id", "abs_orbit", "Day", "Second", "days_J2k", "note", "Freeboard", "SSHA_interp", "Sig0_1"]
-    return normalise(table(spark, sf, "cs2_records", cols), table(spark, sf, "cs2_sources"))
+    got = normalise(table(spark, sf, "cs2_records", cols), table(spark, sf, "cs2_sources"))
+    return got.withColumn("common", F.round(F.col("common").cast("decimal(30,12)"), 6).cast("double") + 0.0)
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,7 +43,7 @@ def p5_instants(spark: SparkSession, sf: str) -> DataFrame:
     """One UTC instant per entry, how it was read and how sure that is."""
     got = resolve(table(spark, sf, "time_log"), table(spark, sf, "stations"))
     utc = F.timestamp_add("MICROSECOND", F.col("us"), F.lit("1970-01-01").cast("timestamp_ntz"))
-    return got.select("log_id", "instrument", utc.alias("instant_utc"), "us", "fmt", "grain_us", "posterior", "ambiguous")
+    return got.select("log_id", "instrument", utc.alias("instant_utc"), "us", "ambiguous")
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -89,21 +90,24 @@ def p3_table(spark: SparkSession, sf: str) -> DataFrame:
     return consistent(table(spark, sf, "raw_records"), table(spark, sf, "granule_files", ["file_id", "stream_id", "acquired_at"]), TARGET)
 
 
+def _files(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "granule_files", ["file_id", "stream_id"])
+
+
 def _compacted(spark: SparkSession, sf: str) -> DataFrame:
     schema = table(spark, sf, "raw_records").schema
     work = scratch(spark, "compaction")
-    files = table(spark, sf, "granule_files", ["file_id", "stream_id"])
     # a glob, so that a table of one file and a table of many are both taken
-    return compact_files(spark, f"{sf}/raw_records.parque[t]", schema, f"{work}/table", f"{work}/log", prepare=fingerprinted(files))
+    return compact_files(spark, f"{sf}/raw_records.parque[t]", schema, f"{work}/table", f"{work}/log", prepare=fingerprinted)
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    return repeated(_compacted(spark, sf))
+    return repeated(_compacted(spark, sf), _files(spark, sf))
 
 
 def p7_records(spark: SparkSession, sf: str) -> DataFrame:
     """The consolidated records, each content of a stream once."""
-    return settled(_compacted(spark, sf)).select("rec_id", "file_id", "rec_no", "stream_id", "payload")
+    return settled(_compacted(spark, sf), _files(spark, sf)).select("rec_id", "file_id", "rec_no", "stream_id", "payload")
 
 
 def queries() -> dict:
@@ -120,7 +124,7 @@ def _projected(lat: str, lon: str) -> tuple[str, str]:
     return f"{rho} * sin({d})", f"-({sign}) * {rho} * cos({d})"
 
 
-def _units_sql() -> str:
+def _units_sql(every: bool = False) -> str:
     """p1 by plain pattern matching: every spelling of the test tables, headers by their wording, the rest by pass medians."""
     names = {"m": "'m','meter','metres'", "mm": "'mm','millimetres'", "cm": "'cm','centimetre'", "ft": "'ft','feet'", "db": "'db','decibel'", "cdb": "'cdb','1/100 db','x0.01 db'", "lin": "'lin','linear'"}
     unit = lambda e: "case " + " ".join(f"when lower(trim({e}, ' .()')) in ({v}) then '{k}'" for k, v in names.items()) + " end"
@@ -145,15 +149,19 @@ def _units_sql() -> str:
     parts = []
     for f in COMMON:
         parts.append(
-            f"""select rec_id, '{f}' as field_name, coalesce(uv, un, uh, {guess[f]}) as unit from (select *, median(abs(v)) filter (coalesce(uv, un, uh) is null) over (partition by source_id, abs_orbit) as med
-from (select rec_id, source_id, abs_orbit, v, {unit('suffix')} as uv, {unit(note[f])} as un, {head[f]} as uh from (select rec_id, source_id, abs_orbit, note, header_text as h, (date '2000-01-01' + floor((Day * 86400.0 + Second - 34) / 86400)::integer)::date::varchar as day,
+            f"""select rec_id, '{f}' as field_name, coalesce(uv, un, uh, {guess[f]}) as unit, trim(regexp_replace({f}, '[\\s\\x{{00a0}}]+', ' ', 'g')) as raw, v as number, case when uv is not null then 'value' when un is not null then 'note' when uh is not null then 'source' else 'inferred' end as stated_by from (select *, median(abs(v)) filter (coalesce(uv, un, uh) is null) over (partition by source_id, abs_orbit) as med
+from (select rec_id, source_id, abs_orbit, {f}, v, {unit('suffix')} as uv, {unit(note[f])} as un, {head[f]} as uh from (select rec_id, source_id, abs_orbit, {f}, note, header_text as h, (date '2000-01-01' + floor((Day * 86400.0 + Second - 34) / 86400)::integer)::date::varchar as day,
 try_cast(replace(regexp_extract({f}, '^[ ]*([-+]?[0-9.,]+([eE][-+]?[0-9]+)?)', 1), ',', '.') as double) as v, regexp_replace({f}, '^[ ]*[-+]?[0-9.,]+([eE][-+]?[0-9]+)?[ ]*', '') as suffix
-from cs2_records left join cs2_sources using (source_id) where {f} is not null and lower(trim({f})) not in ('', 'n/a', 'nan', '--')) where v is not null and v <> -9999)) where unit <> '{COMMON[f]}'"""
+from cs2_records left join cs2_sources using (source_id) where {f} is not null and lower(trim({f})) not in ('', 'n/a', 'nan', '--')) where v is not null and v <> -9999))"""
         )
-    return " union all ".join(parts)
+    union = " union all ".join(parts)
+    if not every:
+        return f"select rec_id, field_name, unit from ({union}) where unit <> case field_name when 'Sig0_1' then 'db' else 'm' end"
+    factor = "case unit when 'mm' then 0.001::double when 'cm' then 0.01::double when 'ft' then 0.3048::double when 'cdb' then 0.01::double else 1.0::double end"
+    return f"select rec_id, field_name, raw, number, unit, stated_by, round(case when unit = 'lin' then case when number > 0 then 10 * log10(number) end else number * {factor} end::decimal(30,12), 6)::double + 0.0 as common from ({union})"
 
 
-def _instants_sql() -> str:
+def _instants_sql(every: bool = False) -> str:
     """p5 with one pattern per form of the test tables and the zone tables of the SQL engine."""
     tai = "(Day::bigint * 86400 + Second)"
     leaps = " + ".join(f"(case when {tai} >= {d * 86400 + n} then 1 else 0 end)" for d, n in times.LEAPS_2000)
@@ -174,7 +182,11 @@ when regexp_full_match(t, '[0-9]{{4}}/.*') then {local('%Y/%m/%d %H:%M:%S')}
 when regexp_full_match(t, '.*[AP]M') then {slash}
 when regexp_full_match(t, '[0-9]{{2}}/.*') then {local('%d/%m/%Y %H:%M:%S')}
 else {local('%d %b %Y %H:%M:%S', 't[:20]')} end as us from e)
-select a.log_id as log_id_a, b.log_id as log_id_b from i a join i b on a.instrument = b.instrument and a.log_id < b.log_id and abs(a.us - b.us) <= 1000000"""
+""" + (
+        "select log_id, instrument, make_timestamp(us) as instant_utc, us, false as ambiguous from i"
+        if every
+        else """select a.log_id as log_id_a, b.log_id as log_id_b from i a join i b on a.instrument = b.instrument and a.log_id < b.log_id and abs(a.us - b.us) <= 1000000"""
+    )
 
 
 def _drift_sql() -> str:
@@ -227,8 +239,12 @@ select point_id, site_id from pt join st using (epsg) where kind = 'circle' and
 union all select point_id, site_id from pt join edge on pt.epsg = edge.epsg and x1 is not null and (y0 > y) <> (y1 > y) and x < (x1 - x0) * (y - y0) / (y1 - y0) + x0 group by point_id, site_id having count(*) % 2 = 1""",
         "p1_found": _units_sql(),
         "p6_runs_and_limits": _runs_sql(),
+        "p1_values": _units_sql(every=True),
+        "p5_instants": _instants_sql(every=True),
         "p3_found": _drift_sql(),
         "p5_found": _instants_sql(),
+        "p7_records": """with c as (select r.*, stream_id, list_sort(list_transform(json_keys(payload), lambda k: k || '=' || json_extract(payload, '$."' || k || '"')::varchar))::varchar as body from raw_records r left join granule_files using (file_id))
+select rec_id, file_id, rec_no, stream_id, payload from (select *, min(rec_id) over (partition by stream_id, body) as first_id from c) where stream_id is null or rec_id = first_id""",
         "p7_found": """with c as (select rec_id, stream_id, list_sort(list_transform(json_keys(payload), lambda k: k || '=' || json_extract(payload, '$."' || k || '"')::varchar))::varchar as body
 from raw_records join granule_files using (file_id)) select rec_id from (select rec_id, min(rec_id) over (partition by stream_id, body) as first_id from c) where rec_id > first_id""",
     }

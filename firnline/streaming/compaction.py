@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from firnline.common import broadcast_if_few
 from firnline.functions.json_canon import canonical
 
 
@@ -53,33 +54,37 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def fingerprinted(files: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """``prepare`` step for raw records: the stream of a record and 128 bits of its canonical content."""
-    streams = files.select("file_id", "stream_id").dropDuplicates(["file_id"])
+def fingerprinted(records: DataFrame) -> DataFrame:
+    """``prepare`` step for raw records: 128 bits of their canonical content.  No shuffle."""
+    # the content is parsed once, before the hashes refer to it twice
+    with_canon = records.select("rec_id", "file_id", "rec_no", "payload", F.inline(F.array(F.struct(canonical(F.col("payload")).alias("canon")))))
+    marked = with_canon.withColumns({"fp_a": F.when(F.col("canon").isNotNull(), F.xxhash64("canon")), "fp_b": F.xxhash64(F.lit(17), F.col("canon"))})
+    return marked.select("rec_id", "file_id", "rec_no", "fp_a", "fp_b", "payload")
 
-    def prepare(records: DataFrame) -> DataFrame:
-        # the content is parsed once, before the hashes refer to it twice
-        with_canon = records.select("rec_id", "file_id", "rec_no", "payload", F.inline(F.array(F.struct(canonical(F.col("payload")).alias("canon")))))
-        marked = with_canon.withColumns({"fp_a": F.when(F.col("canon").isNotNull(), F.xxhash64("canon")), "fp_b": F.xxhash64(F.lit(17), F.col("canon"))}).drop("canon")
-        return marked.join(streams, "file_id", "left").select("rec_id", "file_id", "rec_no", "stream_id", "fp_a", "fp_b", "payload")
 
-    return prepare
+def with_streams(compacted: DataFrame, files: DataFrame) -> DataFrame:
+    """The compacted records with the ``stream_id`` of their file; null for unknown files."""
+    streams = files.where("file_id is not null").groupBy("file_id").agg(F.min("stream_id").alias("stream_id"))
+    return compacted.join(broadcast_if_few(streams, 200_000), "file_id", "left")
 
 
-def repeated(compacted: DataFrame) -> DataFrame:
+def repeated(compacted: DataFrame, files: DataFrame) -> DataFrame:
     """``rec_id`` of records whose stream holds the same content under a smaller ``rec_id``.
 
-    Counts are combined before the shuffle; only contents that occur more than
-    once take part in the join, whose hot keys the adaptive planner splits.
-    Records without payload or id are no cases; a record of an unknown file
-    has no stream and is compared with none.
+    The streams are joined to ids and fingerprints alone, payloads are not
+    moved.  Counts are combined before the shuffle; only contents that occur
+    more than once take part in the join, whose hot keys the adaptive planner
+    splits.  Records without payload or id are no cases; a record of an unknown
+    file has no stream and is compared with none; a file listed twice belongs
+    to the stream that sorts first.
     """
-    slim = compacted.where("stream_id is not null and rec_id is not null and fp_a is not null").select("stream_id", "fp_a", "fp_b", "rec_id")
+    slim = compacted.where("rec_id is not null and fp_a is not null").select("file_id", "fp_a", "fp_b", "rec_id")
+    slim = with_streams(slim, files).where("stream_id is not null").select("stream_id", "fp_a", "fp_b", "rec_id")
     keys = ["stream_id", "fp_a", "fp_b"]
     first = slim.groupBy(*keys).agg(F.min("rec_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     return slim.join(first, keys).where("rec_id > first_id").select("rec_id")
 
 
-def settled(compacted: DataFrame) -> DataFrame:
+def settled(compacted: DataFrame, files: DataFrame) -> DataFrame:
     """The compacted records with every content once per stream (the smallest ``rec_id``)."""
-    return compacted.join(repeated(compacted), "rec_id", "left_anti")
+    return with_streams(compacted.join(repeated(compacted, files), "rec_id", "left_anti"), files)

@@ -537,7 +537,7 @@ def test_repeated_records(spark, tmp_path):
     spark.createDataFrame(rows, "rec_id long, file_id long, rec_no int, payload string").repartition(7).write.parquet(str(tmp_path / "in"))
     files = spark.createDataFrame([(0, "x"), (1, "x"), (2, "y"), (3, "y")], "file_id long, stream_id string").withColumn("fp_a", F.lit(1))
     schema = spark.read.parquet(str(tmp_path / "in")).schema
-    table = compact_files(spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), str(tmp_path / "log"), prepare=fingerprinted(files), files_per_batch=3)
+    table = compact_files(spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), str(tmp_path / "log"), prepare=fingerprinted, files_per_batch=3)
     assert table.count() == len(rows)
-    assert sorted(r.rec_id for r in repeated(table).collect()) == [1, 3, 4, 5, 6, 7, 8]
-    assert settled(table).count() == len(rows) - 7
+    assert sorted(r.rec_id for r in repeated(table, files).collect()) == [1, 3, 4, 5, 6, 7, 8]
+    assert settled(table, files).count() == len(rows) - 7
