@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firnline.functions.geodesy import POLAR, WGS84_A, WGS84_F, polar_forward, polar_inverse
+from firnline.functions.geodesy import POLAR, WGS84_A, WGS84_F, mercator_forward, mercator_inverse, polar_forward, polar_inverse, utm_forward, utm_inverse
 
 
 def choose(explicit: str | int | None = None, proj4: str | None = None, epsg: int | None = None, own_proj4: str | None = None, own_epsg: int | None = None) -> str | int | None:
@@ -45,12 +45,42 @@ def attributes(crs: str | int) -> dict[str, str | float]:
     }
 
 
+def _code(crs: str | int) -> int:
+    if isinstance(crs, str) and "+proj=utm" in crs:
+        p = dict(re.findall(r"\+(\w+)(?:=(\S+))?", crs))
+        return (32700 if "south" in p else 32600) + int(p["zone"])
+    m = crs if isinstance(crs, int) else re.fullmatch(r"(?:EPSG:)?(\d+)", crs.strip(), re.I)
+    code = m if isinstance(m, int) else int(m[1]) if m else epsg_of(crs)
+    if code not in POLAR and code not in (3857, 4326) and not (32601 <= code <= 32660 or 32701 <= code <= 32760):
+        raise ValueError(f"projection {crs!r}: known are EPSG:3413, 3031, 3857, 4326 and the UTM zones 326xx, 327xx")
+    return code
+
+
+def forward(lat: Column, lon: Column, crs: str | int) -> tuple[Column, Column]:
+    """(x, y) of a place in a polar stereographic, UTM, web map or plain latitude/longitude system."""
+    code = _code(crs)
+    if code in POLAR:
+        return polar_forward(lat, lon, code)
+    if code == 3857:
+        return mercator_forward(lat, lon)
+    return (lon, lat) if code == 4326 else utm_forward(lat, lon, code % 100, code < 32700)
+
+
+def inverse(x: Column, y: Column, crs: str | int) -> tuple[Column, Column]:
+    """(latitude, longitude) of a place in such a system."""
+    code = _code(crs)
+    if code in POLAR:
+        return polar_inverse(x, y, code)
+    if code == 3857:
+        return mercator_inverse(x, y)
+    return (y, x) if code == 4326 else utm_inverse(x, y, code % 100, code < 32700)
+
+
 def add_xy(df: DataFrame, crs: str | int, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
-    x, y = polar_forward(F.col(lat).cast("double"), F.col(lon).cast("double"), epsg_of(crs))
+    x, y = forward(F.col(lat).cast("double"), F.col(lon).cast("double"), crs)
     return df.withColumns({"x": x, "y": y})
 
 
 def add_latlon(df: DataFrame, crs: str | int, x: str = "x", y: str = "y") -> DataFrame:
-    lat, lon = polar_inverse(F.col(x), F.col(y), epsg_of(crs))
+    lat, lon = inverse(F.col(x), F.col(y), crs)
     return df.withColumns({"latitude": lat, "longitude": lon})
-

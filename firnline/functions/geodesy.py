@@ -59,6 +59,56 @@ def polar_inverse(x: Column, y: Column, epsg: int) -> tuple[Column, Column]:
     return F.degrees(phi) * sign, lon
 
 
+def mercator_forward(lat: Column, lon: Column) -> tuple[Column, Column]:
+    """(x, y) of the web map projection (spherical, EPSG:3857); null at the poles and beyond."""
+    p = F.radians(F.when(F.abs(lat) < 90, lat))
+    return F.radians(lon) * WGS84_A, F.log(F.tan(F.lit(math.pi / 4) + p / 2)) * WGS84_A
+
+
+def mercator_inverse(x: Column, y: Column) -> tuple[Column, Column]:
+    return F.degrees(2 * F.atan(F.exp(y / WGS84_A)) - math.pi / 2), F.degrees(x / WGS84_A)
+
+
+# fixed values: series of the transverse Mercator projection in the third flattening n: [forward], [inverse], [latitude from conformal latitude]
+_N = WGS84_F / (2 - WGS84_F)
+_RECT = WGS84_A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+_TM_FORWARD = (
+    _N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16 + 41 * _N**4 / 180, 13 * _N**2 / 48 - 3 * _N**3 / 5 + 557 * _N**4 / 1440,
+    61 * _N**3 / 240 - 103 * _N**4 / 140, 49561 * _N**4 / 161280,
+)
+_TM_INVERSE = (
+    _N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96 - _N**4 / 360, _N**2 / 48 + _N**3 / 15 - 437 * _N**4 / 1440, 17 * _N**3 / 480 - 37 * _N**4 / 840, 4397 * _N**4 / 161280,
+)
+_TM_LATITUDE = (
+    2 * _N - 2 * _N**2 / 3 - 2 * _N**3 + 116 * _N**4 / 45, 7 * _N**2 / 3 - 8 * _N**3 / 5 - 227 * _N**4 / 45, 56 * _N**3 / 15 - 136 * _N**4 / 35, 4279 * _N**4 / 630,
+)
+UTM_SCALE, UTM_EAST, UTM_SOUTH = 0.9996, 500_000.0, 10_000_000.0
+
+
+def utm_forward(lat: Column, lon: Column, zone: int, north: bool = True) -> tuple[Column, Column]:
+    """(easting, northing) in a UTM zone; null beyond 84 degrees from its meridian or outside [-90, 90]."""
+    d = F.radians(F.pmod(lon - (6 * zone - 183) + 180, F.lit(360.0)) - 180)
+    p = F.radians(F.when((F.abs(lat) <= 90) & (F.abs(d) < math.radians(84)), lat))
+    s = F.sin(p)
+    t = F.sinh(F.atanh(s) - WGS84_E * F.atanh(WGS84_E * s))
+    xi, eta = F.atan2(t, F.cos(d)), F.asinh(F.sin(d) / F.sqrt(t * t + F.cos(d) * F.cos(d)))
+    north_ = xi + sum((a * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, a in enumerate(_TM_FORWARD, 1)), F.lit(0.0))
+    east = eta + sum((a * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, a in enumerate(_TM_FORWARD, 1)), F.lit(0.0))
+    k = UTM_SCALE * _RECT
+    return east * k + UTM_EAST, north_ * k + (0.0 if north else UTM_SOUTH)
+
+
+def utm_inverse(x: Column, y: Column, zone: int, north: bool = True) -> tuple[Column, Column]:
+    k = UTM_SCALE * _RECT
+    xi, eta = (y - (0.0 if north else UTM_SOUTH)) / k, (x - UTM_EAST) / k
+    xi1 = xi - sum((b * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, b in enumerate(_TM_INVERSE, 1)), F.lit(0.0))
+    eta1 = eta - sum((b * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, b in enumerate(_TM_INVERSE, 1)), F.lit(0.0))
+    chi = F.asin(F.sin(xi1) / F.cosh(eta1))
+    phi = chi + sum((c * F.sin(2 * j * chi) for j, c in enumerate(_TM_LATITUDE, 1)), F.lit(0.0))
+    lon = F.degrees(F.atan2(F.sinh(eta1), F.cos(xi1))) + (6 * zone - 183)
+    return F.degrees(phi), lon
+
+
 def polar_scale(lat: Column, north: bool) -> Column:
     """Length on the ellipsoid per length on the polar stereographic map of that hemisphere.
 

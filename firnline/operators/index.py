@@ -11,14 +11,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from firnline.common import broadcast_if_few
+from firnline.common import broadcast_if_few, staged
+from firnline.functions.crs import add_latlon, add_xy
 from firnline.functions.semantics import round_bin
 from firnline.operators.binning import pad_bins
 
 
+def _bin_type(delta: float, dy: float | None = None) -> str:
+    """Bin centres are whole numbers where the spacing is, else doubles."""
+    return "bigint" if float(delta).is_integer() and float(dy or delta).is_integer() else "double"
+
+
 def build_index(df: DataFrame, delta: float, *, file: str = "src", offset: str = "pt_id", dy: float | None = None) -> DataFrame:
     """``file, bin_x, bin_y`` (bin centres) with the first and last offset and the number of rows; one shuffle for all files."""
-    b = df.select(file, offset, (round_bin("x", delta) * delta).cast("bigint").alias("bin_x"), (round_bin("y", dy or delta) * (dy or delta)).cast("bigint").alias("bin_y"))
+    kind = _bin_type(delta, dy)
+    b = df.select(file, offset, (round_bin("x", delta) * delta).cast(kind).alias("bin_x"), (round_bin("y", dy or delta) * (dy or delta)).cast(kind).alias("bin_y"))
     return b.groupBy(file, "bin_x", "bin_y").agg(F.min(offset).cast("bigint").alias("offset_start"), F.max(offset).cast("bigint").alias("offset_end"), F.count("*").alias("n"))
 
 
@@ -35,11 +42,57 @@ def query_bins(index: DataFrame, bins: DataFrame, *, pad: int = 0, delta: float
     """Index rows whose bin is among ``bins`` (centres ``bin_x, bin_y``), widened by ``pad`` bins."""
     q = bins.select("bin_x", "bin_y").distinct()
     if pad:
-        k = q.select((F.col("bin_x") / delta).cast("bigint").alias("bx"), (F.col("bin_y") / (dy or delta)).cast("bigint").alias("by"))
-        q = pad_bins(k, pad).select((F.col("bx") * delta).cast("bigint").alias("bin_x"), (F.col("by") * (dy or delta)).cast("bigint").alias("bin_y"))
+        kind = _bin_type(delta, dy)
+        k = q.select(F.rint(F.col("bin_x") / delta).cast("bigint").alias("bx"), F.rint(F.col("bin_y") / (dy or delta)).cast("bigint").alias("by"))
+        q = pad_bins(k, pad).select((F.col("bx") * delta).cast(kind).alias("bin_x"), (F.col("by") * (dy or delta)).cast(kind).alias("bin_y"))
     return index.join(broadcast_if_few(q), ["bin_x", "bin_y"], "left_semi")
 
 
+def query_latlon(index: DataFrame, places: DataFrame, crs: str | int, delta: float, *, pad: int = 0, dy: float | None = None) -> DataFrame:
+    """Index rows of the bins that hold the ``latitude, longitude`` of ``places``, projected to the index's ``crs``."""
+    xy = add_xy(places.select("latitude", "longitude"), crs).where("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    kind = _bin_type(delta, dy)
+    bins = xy.select((round_bin("x", delta) * delta).cast(kind).alias("bin_x"), (round_bin("y", dy or delta) * (dy or delta)).cast(kind).alias("bin_y"))
+    return query_bins(index, bins, pad=pad, delta=delta, dy=dy)
+
+
+def bin_latlon(index: DataFrame, crs: str | int) -> DataFrame:
+    """Latitude and longitude of the bin centres of an index."""
+    return add_latlon(index.select("*", F.col("bin_x").cast("double").alias("x"), F.col("bin_y").cast("double").alias("y")), crs).drop("x", "y")
+
+
+def bin_key(x: Column, y: Column) -> Column:
+    """``x_y`` of a bin centre, without decimals."""
+    return F.concat_ws("_", F.format_string("%.0f", x.cast("double")), F.format_string("%.0f", y.cast("double")))
+
+
+def parse_bin_key(key: Column) -> tuple[Column, Column]:
+    """(x, y) of a key; null where the text is none."""
+    part = lambda i: F.nullif(F.regexp_extract(key, r"^(-?\d+)_(-?\d+)$", i), F.lit("")).try_cast("double")
+    return part(1), part(2)
+
+
+def resolve_index(index: DataFrame, children: DataFrame, *, file: str = "src", kind: str = "file_type", index_kind: str = "indexed_h5", most: int = 8) -> DataFrame:
+    """Rows of an index of indexes down to the files themselves.
+
+    A row whose ``kind`` is ``index_kind`` names an index of its own, whose rows
+    stand in ``children`` under ``parent`` and have the same bins; it is
+    replaced by them, level by level.  Rows of an index that ``children`` does
+    not have give nothing; a chain deeper than ``most`` levels is an error.
+    """
+    done, rest = index.where(~F.coalesce(F.col(kind) == index_kind, F.lit(False))), index.where(F.col(kind) == index_kind)
+    for _ in range(most):
+        if not rest.limit(1).count():
+            return done
+        keys = rest.select(F.col(file).alias("parent"), "bin_x", "bin_y").distinct()
+        below = staged(children.join(broadcast_if_few(keys), ["parent", "bin_x", "bin_y"], "left_semi").select(*index.columns), "level")
+        done = done.unionByName(below.where(~F.coalesce(F.col(kind) == index_kind, F.lit(False))))
+        rest = below.where(F.col(kind) == index_kind)
+    if rest.limit(1).count():
+        raise ValueError(f"indexes nested deeper than {most} levels")
+    return done
+
+
 def query_box(index: DataFrame, x: tuple[float, float], y: tuple[float, float]) -> DataFrame:
     return index.where(F.col("bin_x").between(*x) & F.col("bin_y").between(*y))
 
@@ -61,7 +114,8 @@ def coalesce_ranges(index: DataFrame, file: str = "src") -> DataFrame:
 
 def points_of(points: DataFrame, ranges: DataFrame, bins: DataFrame | None, delta: float, *, file: str = "src", offset: str = "pt_id", dy: float | None = None) -> DataFrame:
     """Points whose exact bin is among ``bins`` of the listed files (the strict reading of a query)."""
-    b = points.withColumns({"bin_x": (round_bin("x", delta) * delta).cast("bigint"), "bin_y": (round_bin("y", dy or delta) * (dy or delta)).cast("bigint")})
+    kind = _bin_type(delta, dy)
+    b = points.withColumns({"bin_x": (round_bin("x", delta) * delta).cast(kind), "bin_y": (round_bin("y", dy or delta) * (dy or delta)).cast(kind)})
     out = b.join(broadcast_if_few(ranges.select(file).distinct()), file, "left_semi")
     return out if bins is None else out.join(broadcast_if_few(bins.select("bin_x", "bin_y").distinct()), ["bin_x", "bin_y"], "left_semi")
 

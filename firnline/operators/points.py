@@ -125,3 +125,15 @@ def distinct_rows(df: DataFrame, cols: list[str], row_id: str | None = None) ->
     if row_id is None:
         return df.select(*cols).distinct()
     return df.groupBy(*cols).agg(F.min(row_id).cast("bigint").alias("first_row"), F.count("*").alias("n_rows"))
+
+
+def distinct_bins(df: DataFrame, dx: float, dy: float | None = None, x: str = "x", y: str = "y") -> DataFrame:
+    """Centres ``x, y`` of the bins that hold a point; halves go to the even bin, null and NaN to none."""
+    d = df.where(valid(x) & valid(y))
+    return d.select((F.rint(F.col(x) / dx) * dx + 0.0).alias(x), (F.rint(F.col(y) / (dy or dx)) * (dy or dx) + 0.0).alias(y)).distinct()
+
+
+def nearest(df: DataFrame, x0: float, y0: float, order: list[str], n: int = 1, x: str = "x", y: str = "y") -> DataFrame:
+    """The ``n`` points nearest to a place; ties by ``order``.  Only the best of each task reach the last one."""
+    dx, dy = F.col(x) - x0, F.col(y) - y0
+    return df.where(valid(x) & valid(y)).orderBy(dx * dx + dy * dy, *order).limit(n)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from firnline.common import broadcast_if_few
 from firnline.functions.semantics import valid
 
 LATTICE_LIMIT = 2_000_000_000  # most cells of a dense background
@@ -82,6 +83,13 @@ def take(cells: DataFrame, **picks: list[int]) -> DataFrame:
     return cells.where(reduce(lambda a, b: a & b, [F.col(k).isin(v) for k, v in picks.items()]))
 
 
+def time_range(cells: DataFrame, t0: float, t1: float, t: str = "t") -> DataFrame:
+    """Bands with times in the closed range, numbered anew from 0 in order of time; equal times stay separate bands."""
+    rows = cells.where(F.col(t).between(t0, t1))
+    number = rows.select(t, "band").distinct().withColumn("new_band", (F.row_number().over(W.orderBy(t, "band")) - 1).cast("bigint"))  # one row per band
+    return rows.join(broadcast_if_few(number), [t, "band"]).drop("band").withColumnRenamed("new_band", "band")
+
+
 def decimate(cells: DataFrame, skip: int) -> DataFrame:
     return cells.where((F.col("row") % skip == 0) & (F.col("col") % skip == 0)).withColumns({"row": (F.col("row") / skip).cast("bigint"), "col": (F.col("col") / skip).cast("bigint")})
 
@@ -142,7 +150,7 @@ def concat_time(grids: list[tuple[DataFrame, int]], time: str = "t") -> DataFram
     every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
     bands = every.select(time, "_seq", "band").distinct()  # one row per band
     number = bands.withColumn("new_band", (F.row_number().over(W.orderBy(time, "_seq", "band")) - 1).cast("bigint"))
-    return every.join(F.broadcast(number), [time, "_seq", "band"]).drop("_seq", "band").withColumnRenamed("new_band", "band")
+    return every.join(broadcast_if_few(number), [time, "_seq", "band"]).drop("_seq", "band").withColumnRenamed("new_band", "band")
 
 
 def overlaps(a: tuple[Column, Column, Column, Column], b: tuple[Column, Column, Column, Column], pad: float = 0.0) -> Column:

@@ -175,7 +175,7 @@ def _(s, d):
 
 @query("distinct_bins", "select distinct round_even(x / 50, 0) * 50 + 0.0 as x, round_even(y / 10, 0) * 10 + 0.0 as y from pts", PTS)
 def _(s, d):
-    return pts(s, d).select((F.rint(F.col("x") / 50) * 50 + 0.0).alias("x"), (F.rint(F.col("y") / 10) * 10 + 0.0).alias("y")).distinct()
+    return points.distinct_bins(pts(s, d), 50.0, 10.0)
 
 
 # ---- bins -----------------------------------------------------------------------------------------------------
@@ -340,6 +340,43 @@ def _(s, d):
     return p.select("name", "root", index.resolve_path(F.col("name"), F.col("root"), F.lit("/idx")).alias("path"), index.change_root(F.col("name"), "/old", "/new").alias("moved"))
 
 
+_ATLIDX = "ai as (select epsg, (round_even(x / 10000, 0) * 10000)::bigint as bin_x, (round_even(y / 10000, 0) * 10000)::bigint as bin_y, min(point_id)::bigint as offset_start, max(point_id)::bigint as offset_end, count(*)::bigint as n from atl06_segments where x is not null and y is not null group by 1, 2, 3)"
+
+
+def north(s, d):
+    """Index of the northern segments."""
+    a = table(s, d, "atl06_segments", ["point_id", "epsg", "x", "y"]).where("x is not null and y is not null")
+    return index.build_index(a, 10_000.0, file="epsg", offset="point_id").where("epsg = 3413")
+
+
+@query(
+    "index_query_latlon",
+    """select ai.* from ai where epsg = 3413 and (bin_x, bin_y) in (select (round_even(rho * sin(radians(longitude + 45)) / 10000, 0) * 10000)::bigint, (round_even(-rho * cos(radians(longitude + 45)) / 10000, 0) * 10000)::bigint
+    from (select longitude, 6378137 * t / tc * mc as rho from (select longitude, tan(pi() / 4 - p / 2) / power((1 - e * sin(p)) / (1 + e * sin(p)), e / 2) as t, tan(pi() / 4 - q / 2) / power((1 - e * sin(q)) / (1 + e * sin(q)), e / 2) as tc, cos(q) / sqrt(1 - e * e * sin(q) * sin(q)) as mc
+    from (select longitude, radians(latitude) as p, radians(70) as q, sqrt((1 / 298.257223563::double) * (2 - 1 / 298.257223563::double)) as e from atl06_segments where latitude is not null and longitude is not null and not isnan(latitude) and not isnan(longitude) and epsg = 3413))))""",
+    _ATLIDX,
+)
+def _(s, d):
+    """Bins of the places of all northern segments, by latitude and longitude."""
+    places = table(s, d, "atl06_segments", ["latitude", "longitude", "epsg"]).where("epsg = 3413")
+    return index.query_latlon(north(s, d), places, 3413, 10_000.0)
+
+
+@query("index_bin_latlon", "select bin_x, bin_y, bin_x::double as x, bin_y::double as y, bin_x || '_' || bin_y as key from ai where epsg = 3413", _ATLIDX)
+def _(s, d):
+    """Latitude and longitude of the bin centres, and back; the key of each bin, parsed again."""
+    b = index.bin_latlon(north(s, d), 3413)
+    x, y = geodesy.polar_forward(F.col("latitude"), F.col("longitude"), 3413)
+    px, py = index.parse_bin_key(index.bin_key(F.col("bin_x"), F.col("bin_y")))
+    same = F.round(x / 10, 0) * 10 == px
+    return b.select("bin_x", "bin_y", F.when(same, F.round(x / 10, 0) * 10 + 0.0).alias("x"), F.when(F.round(y / 10, 0) * 10 == py, py + 0.0).alias("y"), index.bin_key(F.col("bin_x"), F.col("bin_y")).alias("key"))
+
+
+@query("index_fractional", "select src, round_even(x / 2.5, 0) * 2.5::double as bin_x, round_even(y / 2.5, 0) * 2.5::double as bin_y, min(pt_id)::bigint as offset_start, max(pt_id)::bigint as offset_end, count(*)::bigint as n from pts group by 1, 2, 3", PTS)
+def _(s, d):
+    return index.build_index(pts(s, d, True), 2.5)
+
+
 # ---- tiles ----------------------------------------------------------------------------------------------------
 
 TS = tiling.TilingSchema(spacing=200.0, scale=1.0)
@@ -596,8 +633,7 @@ def _(s, d):
 
 @query("nearest_point", f"select {KEYED} from pts order by (x - 512.3) * (x - 512.3) + (y - 40.7) * (y - 40.7), o1, o2, x, y, z limit 1", PTS)
 def _(s, d):
-    dx, dy = F.col("x") - 512.3, F.col("y") - 40.7
-    return pts(s, d).select("o1", "o2", "x", "y", "z").orderBy(dx * dx + dy * dy, "o1", "o2", "x", "y", "z").limit(1)
+    return points.nearest(pts(s, d).select("o1", "o2", "x", "y", "z"), 512.3, 40.7, ["o1", "o2", "x", "y", "z"])
 
 
 # ---- rasters --------------------------------------------------------------------------------------------------
@@ -689,6 +725,12 @@ def _(s, d):
     return raster.concat_time([(a, 0), (b, 1)]).withColumn("band", F.col("band").cast("bigint"))
 
 
+@query("grid_time_range", 'select "row", col, z, n, t, dense_rank() over (order by t, band) - 1 as band from (select *, 1995.0::double + band as t from cells) where t between 1993 and 1996', CELLS)
+def _(s, d):
+    c = cells(s, d).withColumn("t", 1995.0 + F.col("band"))
+    return raster.time_range(c, 1993.0, 1996.0).select("row", "col", "z", "n", "t", F.col("band").cast("bigint").alias("band"))
+
+
 _EXT = 'ext as (select band, min(col) as x0, max(col) as x1, min("row") as y0, max("row") as y1 from cells where col % 8 >= band group by band)'
 
 
@@ -891,6 +933,24 @@ def _(s, d):
     return back.select(r("lat", 7).alias("lat"), F.when(F.round("lat", 7) < 90, lon).alias("lon"))
 
 
+@query("mercator", "select lat, lon, case when lat < 90 then round(6378137 * radians(lon), 3) + 0.0 end as x, case when lat < 90 then round(6378137 * ln((1 + sin(radians(lat))) / cos(radians(lat))), 3) + 0.0 end as y, case when lat < 90 then round(lat, 7) end as lat2 from ll", PTS, LL)
+def _(s, d):
+    """Web map coordinates and back; the pole has none."""
+    x, y = geodesy.mercator_forward(F.col("lat"), F.col("lon"))
+    g = ll(s, d).select("lat", "lon", F.inline(F.array(F.struct(x.alias("mx"), y.alias("my")))))
+    lat, _lon = geodesy.mercator_inverse(F.col("mx"), F.col("my"))
+    return g.select("lat", "lon", F.when(F.col("my").isNotNull(), r("mx", 3)).alias("x"), r("my", 3).alias("y"), r(lat, 7).alias("lat2"))
+
+
+@query("utm_round_trip", "select lat, lon, round(lat, 7) as lat2, case when lat < 90 then round(15 + lon / 30, 7) end as lon2 from ll", PTS, LL)
+def _(s, d):
+    """Zone 33 and back, up to six degrees on both sides of its meridian."""
+    x, y = geodesy.utm_forward(F.col("lat"), 15 + F.col("lon") / 30, 33)
+    g = ll(s, d).select("lat", "lon", F.inline(F.array(F.struct(x.alias("ux"), y.alias("uy")))))
+    lat, lon = geodesy.utm_inverse(F.col("ux"), F.col("uy"), 33)
+    return g.select("lat", "lon", r(lat, 7).alias("lat2"), F.when(F.col("lat") < 90, r(lon, 7)).alias("lon2"))
+
+
 # constants of the SQL are typed from the definition of WGS84 (semi-major axis and inverse flattening), not taken from the library
 _F84 = "(1 / 298.257223563::double)"
 _E2 = f"({_F84} * (2 - {_F84}))"
@@ -995,7 +1055,7 @@ a2 as (select *, abs(h_li - dh_fit_dx * (x_atc - lag(x_atc) over w) - lag(h_li)
 
 def latest_segments(s, d):
     """Last delivered row of each segment; combined before the shuffle, no window over a key."""
-    a = table(s, d, "atl06_segments", ["point_id", "rgt", "cycle_number", "beam", "segment_id", "delta_time", "h_li", "h_li_sigma", "x_atc", "dh_fit_dx", "sigma_geo_r", "ingested_at"])
+    a = table(s, d, "atl06_segments", ["point_id", "rgt", "cycle_number", "beam", "segment_id", "delta_time", "h_li", "h_li_sigma", "x_atc", "dh_fit_dx", "sigma_geo_r", "latitude", "ingested_at"])
     key = ["rgt", "cycle_number", "beam", "segment_id"]
     last = F.max_by(F.struct(*[c for c in a.columns if c not in key]), F.struct("ingested_at", "point_id"))
     return a.groupBy(*key).agg(last.alias("r")).select(*key, "r.*")
@@ -1007,6 +1067,38 @@ def _(s, d):
     return g.select("point_id", "LR", "valid", "n_pixels", "sigma_geo_r", r("matlab_time").alias("matlab_time"), "h_li", "h_li_sigma")
 
 
+@query("segments_from_granules", """select '/data/ATL06_20200101000000_' || lpad(rgt::varchar, 4, '0') || lpad(cycle_number::varchar, 2, '0') || '11_005_01.h5' as source_file, beam, segment_id, rgt, cycle_number, h_li, x_atc, latitude from a1""", _ATL)
+def _(s, d):
+    """The latest segments written as wide granules, a column per field path, and read back as long rows of beams."""
+    from firnline.sources import granules
+
+    a = altimetry.mask_fills(latest_segments(s, d), ["h_li"])
+    name = F.format_string("/data/ATL06_20200101000000_%04d%02d11_005_01.h5", F.col("rgt"), F.col("cycle_number"))
+    at = lambda f, b: F.max(F.when(F.col("beam") == b, F.col(f)))
+    groups = {"h_li": "land_ice_segments", "latitude": "land_ice_segments", "segment_id": "land_ice_segments", "x_atc": "land_ice_segments/ground_track"}
+    wide = a.groupBy(name.alias("source_file"), F.col("segment_id").alias("seg")).agg(*[at(f, b).alias(f"gt2{b}/{g}/{f}") for f, g in groups.items() for b in "lr"])
+    g = granules.beam_rows(wide, pairs=(2,))
+    return g.select("source_file", "beam", "segment_id", "rgt", "cycle_number", "h_li", "x_atc", "latitude")
+
+
+@query("ellipsoid_change", f"select o1, o2, x, y, z, round(degrees(f), 8) as lat, round(r * cos(f) + z1 * sin(f) - 6378137 * sqrt(1 - {_E2} * sin(f) * sin(f)), 3) as h from e2", PTS, f"""e0 as (select o1, o2, x, y, z, radians((y - 500) / 1000 * 170) as p, z / 100 as hh, (1 / 298.257::double) * (2 - 1 / 298.257::double) as ee from pts),
+e1 as (select *, (6378136.3 / sqrt(1 - ee * sin(p) * sin(p)) + hh) * cos(p) as r, (6378136.3 / sqrt(1 - ee * sin(p) * sin(p)) * (1 - ee) + hh) * sin(p) as z1 from e0),
+e2 as (select *, atan2(z1 + {_E2} / (1 - {_E2}) * 6378137 * (1 - {_F84}) * power(sin(atan2(z1 * 6378137, r * 6378137 * (1 - {_F84}))), 3), r - {_E2} * 6378137 * power(cos(atan2(z1 * 6378137, r * 6378137 * (1 - {_F84}))), 3)) as f from e1)""")
+def _(s, d):
+    """From the ellipsoid of the laser altimeter to WGS84, near both poles too."""
+    import pandas as pd
+
+    from firnline.sources import glas
+
+    def change(batches):
+        for b in batches:
+            lat, h = glas.change_ellipsoid(((b.y - 500) / 1000 * 170).to_numpy(), (b.z / 100).to_numpy())
+            yield pd.DataFrame({"o1": b.o1, "o2": b.o2, "x": b.x, "y": b.y, "z": b.z, "lat": lat, "h": h})
+
+    g = pts(s, d).select("o1", "o2", "x", "y", "z").mapInPandas(change, "o1 bigint, o2 int, x double, y double, z double, lat double, h double")
+    return g.select("o1", "o2", "x", "y", "z", r("lat", 8).alias("lat"), r("h", 3).alias("h"))
+
+
 @query("segments_residuals", "select point_id, round(least(ra, rb), 4) as min_dh, round(sqrt(coalesce(ra * ra, 0) + coalesce(rb * rb, 0)), 4) as rss_dh from a2", _ATL)
 def _(s, d):
     g = altimetry.derive_segments(latest_segments(s, d))

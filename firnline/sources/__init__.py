@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from firnline.sources import arrays, cryosat, geotiff, icessn, qi
+from firnline.sources import arrays, cryosat, geotiff, granules, icessn, qi
 
 READERS: dict[str, Callable[..., DataFrame]] = {
     "qi": qi.read_qi,
     "icessn": icessn.read_icessn,
     "cs2_l2": cryosat.read_l2,
     "cs2_l1b": cryosat.read_l1b,
+    "segments": granules.read_segments,
     "geotiff": geotiff.read_geotiff,
     "hdf5": arrays.read_hdf5,
     "netcdf": arrays.read_netcdf,

@@ -58,16 +58,21 @@ def l1b_waveforms(baseline: str, mode: str) -> tuple[list[Field], list[Field]]:
 _PAIR = re.compile(rb'^([A-Z0-9_]+)=(?:"([^"]*)"?|(.*))$')
 
 
-def headers(content: bytes, most: int = 20_000) -> tuple[dict[str, str], list[dict[str, str]]]:
+def headers(content: bytes) -> tuple[dict[str, str], list[dict[str, str]]]:
     """(product fields, data-set descriptors) of the ASCII part; empty for a file without headers."""
     if not content.startswith(b"PRODUCT="):
         return {}, []
     fields: dict[str, str] = {}
     sets: list[dict[str, str]] = []
-    for line in content[:most].split(b"\n"):
+    at = 0
+    while at < len(content):
+        # line by line, until the packed records begin
+        end = content.find(b"\n", at)
+        line = content[at : end if end >= 0 else len(content)]
+        at += len(line) + 1
         m = _PAIR.match(line.strip())
         if not m:
-            if any(c > 126 for c in line):
+            if any(c > 126 or c < 9 for c in line[:4096]):
                 break
             continue
         k = m[1].decode()

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from firnline.common import broadcast_if_few
 from firnline.functions.filenames import icessn_days
 
 # fixed value: the header of files that have none
@@ -23,18 +24,25 @@ def short_names(header: str) -> list[str]:
 
 
 def read_icessn(spark: SparkSession, path: str) -> DataFrame:
-    """Points with ``z``, ``sigma``, ``time`` (decimal year), ``days_J2k``, the reference frame named in a comment, and the file.
+    """Points with the fields of the standard header, ``z``, ``sigma``, ``time`` (decimal year), ``days_J2k``, the reference frame named in a comment, and the file.
 
-    Lines that are no numbers are left out.  All files of a call share one
-    header: the last comment line of the first file, or the standard one.
+    Every file is read by its own header, a comment line of at least nine
+    names (of several the one that sorts last), or the standard one; names the
+    standard header does not have are in the map ``other``.  Lines that are no
+    numbers, or fewer than the header has names, are left out.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("source_file"))
-    head = [r[0] for r in lines.where("value like '#%' and value like '%,%'").select("value").limit(200).collect()]
-    names = short_names(next((h for h in reversed(head) if h.count(",") >= 8), HEADER))
-    frame = lines.where("value like '#%'").groupBy("source_file").agg(F.max(F.nullif(F.regexp_extract("value", r"(ITRF\d\d)", 1), F.lit(""))).alias("frame"))
+    comment = F.col("value").startswith("#")
+    names = F.transform(F.split(F.ltrim(F.col("value"), F.lit("# ")), ","), lambda c: F.trim(F.lower(F.replace(F.regexp_replace(c, r"\(.*", ""), F.lit("-"), F.lit("_")))))
+    header = F.when(F.regexp_count("value", F.lit(",")) >= 8, names)
+    about = lines.where(comment).groupBy("source_file").agg(F.max(F.nullif(F.regexp_extract("value", r"(ITRF\d\d)", 1), F.lit(""))).alias("frame"), F.max(header).alias("names"))
     v = F.transform(F.split(F.trim("value"), r"\s*,\s*|\s+"), lambda s: s.try_cast("double"))
-    data = lines.where("not value like '#%' and length(trim(value)) > 0").withColumn("v", v)
-    data = data.where((F.size("v") >= len(names)) & ~F.exists("v", lambda x: x.isNull()))
-    out = data.select("source_file", *[F.element_at("v", i + 1).alias(n) for i, n in enumerate(names)]).join(F.broadcast(frame), "source_file", "left")  # one row per file
+    data = lines.where(~comment & (F.length(F.trim("value")) > 0)).select("source_file", v.alias("v"))
+    standard = short_names(HEADER)
+    data = data.join(broadcast_if_few(about), "source_file", "left").withColumn("names", F.coalesce("names", F.array(*map(F.lit, standard))))
+    data = data.where((F.size("v") >= F.size("names")) & ~F.exists("v", lambda x: x.isNull()))
+    by_name = F.map_from_arrays(F.array_distinct("names"), F.slice("v", 1, F.size(F.array_distinct("names"))))
+    data = data.where(F.size(F.array_distinct("names")) == F.size("names")).select("source_file", "frame", by_name.alias("m"))
+    out = data.select("source_file", *[F.try_element_at("m", F.lit(n)).alias(n) for n in standard], F.map_filter("m", lambda k, x: ~k.isin(standard)).alias("other"), "frame")
     days = icessn_days(F.col("source_file")) + F.col("utc_seconds_of_day") / 86400
     return out.withColumns({"days_J2k": days, "time": 2000 + days / 365.25, "z": F.col("wgs84_ellipsoid_height"), "sigma": F.col("rms_fit")})

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from firnline.functions import crs
+from firnline.functions import crs, filenames
 from firnline.operators import binning, index, points, raster, tiling
 from firnline.operators.ranks import global_index, rank_within
 
@@ -109,3 +109,50 @@ def test_grid_meta():
     u = a.union(b)
     assert (u.x0, u.nx, u.y0, u.ny) == (0, 8, -2, 7)
     assert len(a.ring()) == 5 and a.ring()[0] == a.ring()[-1]
+
+
+def test_projections(spark):
+    """Known places, round trips, and names of projections."""
+    place = spark.createDataFrame([(60.0, 15.0), (0.0, 15.0), (-33.9, 18.4), (84.0, 20.0), (90.0, 0.0), (None, 1.0)], "latitude double, longitude double")
+    x = [(r.x, r.y) for r in crs.add_xy(place, "EPSG:32633").collect()]
+    assert x[0] == (pytest.approx(500000), pytest.approx(6651411.190, abs=2e-3)) and x[1] == (pytest.approx(500000), pytest.approx(0, abs=1e-6)) and x[5] == (None, None)
+    for code in (32633, 32734, "+proj=utm +zone=33 +datum=WGS84", 3857, 4326, 3413):
+        back = crs.add_latlon(crs.add_xy(place, code).withColumnsRenamed({"latitude": "la", "longitude": "lo"}), code).collect()
+        for r in back[:4] if code not in (3413,) else [back[0], back[3]]:
+            assert r.latitude == pytest.approx(r.la, abs=1e-8) and r.longitude == pytest.approx(r.lo, abs=1e-8)
+    m = crs.add_xy(place, 3857).collect()
+    assert m[0].x == pytest.approx(1669792.362) and m[0].y == pytest.approx(8399737.890, abs=1e-2) and m[4].y is None
+    with pytest.raises(ValueError):
+        crs.add_xy(place, 2154)
+
+
+def test_indexes_of_indexes(spark):
+    top = spark.createDataFrame([("a.h5", "h5", 1, 2), ("i1", "indexed_h5", 1, 2), ("i1", "indexed_h5", 5, 5)], "src string, file_type string, bin_x int, bin_y int")
+    kids = spark.createDataFrame([("i1", "b.h5", "h5", 1, 2), ("i1", "c.h5", "h5", 9, 9), ("i1", "i2", "indexed_h5", 5, 5), ("i2", "d.h5", "h5", 5, 5)], "parent string, src string, file_type string, bin_x int, bin_y int")
+    assert sorted(r.src for r in index.resolve_index(top, kids).collect()) == ["a.h5", "b.h5", "d.h5"]
+    loop = kids.unionByName(spark.createDataFrame([("i2", "i2", "indexed_h5", 5, 5)], kids.schema))
+    with pytest.raises(ValueError):
+        index.resolve_index(top, loop, most=3)
+    assert index.resolve_index(top.where("false"), kids).count() == 0
+
+
+def test_bin_keys(spark):
+    k = spark.createDataFrame([(-100, 20.0), (0, -5.0)], "x int, y double").select(index.bin_key(F.col("x"), F.col("y")).alias("k")).union(spark.createDataFrame([("bad",)], "k string"))
+    x, y = index.parse_bin_key(F.col("k"))
+    assert [tuple(r) for r in k.select("k", x, y).collect()] == [("-100_20", -100.0, 20.0), ("0_-5", 0.0, -5.0), ("bad", None, None)]
+
+
+def test_bands_by_time(spark):
+    c = spark.createDataFrame([(0, 0, b, t, float(b)) for b, t in ((0, 2005.0), (1, 2001.0), (2, 2003.0), (3, 2003.0))], "row int, col int, band int, t double, z double")
+    assert sorted((r.band, r.t, r.z) for r in raster.time_range(c, 2001, 2003).collect()) == [(0, 2001.0, 1.0), (1, 2003.0, 2.0), (2, 2003.0, 3.0)]
+    assert raster.time_range(c, 1990, 1991).count() == 0
+
+
+def test_dates_in_names(spark):
+    names = ["ATM1B_20161012_123456.h5", "ILATM2_131119_000000_x", "WV01_1020_20110203_x_dem.tif", "x_20110203T010203_y", "x_20111399_010203_y", "nothing", None, "SETSM_s2s041_WV01_20200101_1020010090_10200100_2m_dem.tif"]
+    d = spark.createDataFrame([(n,) for n in names], "n string")
+    n = F.col("n")
+    got = [tuple(r) for r in d.select(filenames.granule_days(n), filenames.icessn_days(n), filenames.dem_days(n)).collect()]
+    day = lambda *a: float((np.datetime64("%04d-%02d-%02d" % a) - np.datetime64("2000-01-01")).astype(int))
+    assert got[0][0] == pytest.approx(day(2016, 10, 12) + (12 * 3600 + 34 * 60 + 56) / 86400) and got[1][1] == day(2013, 11, 19) and got[2][2] == day(2011, 2, 3)
+    assert got[3][2] == pytest.approx(day(2011, 2, 3) + 3723 / 86400) and got[4] == got[5] == got[6] == (None, None, None) and got[7][2] == day(2020, 1, 1)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from firnline import sources
 from firnline.functions import geodesy
-from firnline.sources import arrays, cryosat, geotiff, glas, packed, qi
+from firnline.sources import altimetry, arrays, cryosat, geotiff, glas, granules, packed, qi
 
 
 def test_polar_example(spark):
@@ -112,3 +112,47 @@ def test_guarded_formats(spark, tmp_path):
     assert arrays.decode(np.array([1.0, -9999.0]), -9999.0, 2.0, 1.0)[0] == 3.0
     d = spark.createDataFrame([(5.0,), (-9999.0,)], "v double").select(arrays.decoded(F.col("v"), -9999.0, 0.1, 1.0).alias("v"))
     assert [r.v for r in d.collect()] == [1.5, None]
+
+
+def test_icessn_files_of_two_headers(spark, tmp_path):
+    """Each file is read by its own header; one without header by the standard one; further names are kept aside."""
+    a = "# Latitude(deg), Longitude(deg), UTC_Seconds_Of_Day, WGS84_Ellipsoid_Height(m), South-to-North_Slope, West-to-East_Slope, RMS_Fit(cm), Number_Of_ATM_Measurments_Used, Number_Of_ATM_Measurements_Removed, Distance_Of_Block_To_The_Right_Of_Aircraft(m), Track_Identifier, Extra(m)\n-75.5, 120.5, 100.0, 11.5, 0, 0, 7.5, 100, 2, 50, 1, 42\n"
+    b = "# RMS_Fit(cm), UTC_Seconds_Of_Day, Latitude(deg), Longitude(deg), WGS84_Ellipsoid_Height(m), a, b, c, d\n8.5, 200.0, -76.5, 121.5, 12.5, 0, 0, 0, 0\n"
+    c = "300.0 -77.5 122.5 13.5 0 0 9.5 100 2 50 1\n"
+    for n, t in (("ILATM2_20131119_000000_a", a), ("ILATM2_20131120_000000_b", b), ("ILATM2_20131121_000000_c", c)):
+        (tmp_path / n).write_text(t)
+    rows = sorted(sources.read(spark, "icessn", str(tmp_path)).collect(), key=lambda r: r.z)
+    assert [(r.latitude, r.longitude, r.utc_seconds_of_day, r.z, r.sigma) for r in rows] == [(-75.5, 120.5, 100.0, 11.5, 7.5), (-76.5, 121.5, 200.0, 12.5, 8.5), (-77.5, 122.5, 300.0, 13.5, 9.5)]
+    assert rows[0].other == {"extra": 42.0} and rows[1].track_identifier is None and not rows[2].other
+
+
+def test_long_product_headers():
+    """Headers of any length are read to their end, and no further than the records."""
+    lines = [b'PRODUCT="CS_X"'] + [b"NOTE_%05d=" % i + b"x" * 40 for i in range(2000)] + [b"ABS_ORBIT=+01234", b'DS_NAME="L2"', b"NUM_DSR=+3"]
+    fields, sets = cryosat.headers(b"\n".join(lines) + b"\n" + bytes(range(128, 256)) * 100 + b"\nABS_ORBIT=+9\n")
+    assert fields["ABS_ORBIT"] == "+01234" and fields["NOTE_01999"] == "x" * 40 and sets == [{"DS_NAME": "L2", "NUM_DSR": "+3"}]
+
+
+def test_granules_by_field_path(spark):
+    name = "/a/ATL06_20200101000000_01230411_005_01.h5"
+    d = spark.createDataFrame([(name, 7.0, 1.5, 7.0, 100.0), (name, 8.0, 3.4028234663852886e38, None, None)], "source_file string, `gt1l/land_ice_segments/segment_id` double, `gt1l/land_ice_segments/h_li` double, `gt3r/land_ice_segments/segment_id` double, `gt3r/land_ice_segments/ground_track/x_atc` double")
+    rows = {(r.BP, r.beam, r.segment_id): r for r in granules.beam_rows(d).collect()}
+    assert sorted(rows) == [(1, "l", 7), (1, "l", 8), (3, "r", 7)]
+    assert rows[1, "l", 7].h_li == 1.5 and rows[3, "r", 7].x_atc == 100.0 and rows[3, "r", 7].h_li is None and {(r.rgt, r.cycle_number) for r in rows.values()} == {(123, 4)}
+    derived = {r.segment_id: r for r in altimetry.derive_segments(granules.beam_rows(d, pairs=(1,))).collect()}
+    assert derived[8].h_li is None and derived[7].LR == 0 and derived[7].sigma_geo_r == 0.03
+    assert granules.beam_rows(d, pairs=(2,)).count() == 0 and granules.beam_rows(d.where("false")).count() == 0
+
+
+def test_segments_from_parquet(spark, tmp_path):
+    d = spark.createDataFrame([(7.0, 1.5, 0.0), (8.0, 2.5, 20.0)], "`gt1l/land_ice_segments/segment_id` double, `gt1l/land_ice_segments/h_li` double, `gt1l/land_ice_segments/ground_track/x_atc` double")
+    d.write.parquet(str(tmp_path / "ATL06_20200101000000_01230411_005_01.parquet"))
+    rows = sorted(sources.read(spark, "segments", str(tmp_path / "*.parquet")).collect(), key=lambda r: r.segment_id)
+    assert [(r.segment_id, r.h_li, r.beam) for r in rows] == [(7, 1.5, "l"), (8, 2.5, "l")]
+
+
+def test_shots(spark):
+    d = spark.createDataFrame([(70.0, 10.0, 0.7, 0.2, 0.5, 0.01, 0.3, 1, 2), (71.0, 10.0, 0.7, None, 0.5, 0.01, 0.3, 1, 6), (72.0, 10.0, 0.7, 0.2, 0.5, 0.9, 0.3, 1, 6)], "`D/d_lat` double, `D/d_elev` double, `G/d_deltaEllip` double, `G/d_ocElv` double, `E/d_satElevCorr` double, `E/d_IceSVar` double, `R/d_reflctUC` double, `W/i_numPk` int, campaign int")
+    got = {r.latitude: r.z for r in granules.shots(d).collect()}
+    assert got == {70.0: pytest.approx(10 - 0.7 - 0.2 + 0.5 - 0.017), 71.0: pytest.approx(10 - 0.7 + 0.5 + 0.011)}
+    assert granules.shots(d, latitudes=(70.5, 80)).count() == 1
