@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from firnline.common import staged
+from firnline.common import broadcast_if_few, staged
 
 HOT_ROWS = 2_000_000  # groups above this are ranked across tasks
 
@@ -40,10 +40,10 @@ def rank_within(df: DataFrame, group: list[str], order: list[str], rank: str = "
     if not hot.limit(1).count():
         return df.withColumns(cols)
     hot = staged(hot, "hot")  # at most rows / hot_rows
-    cold = df.join(F.broadcast(hot.drop("_n")), group, "left_anti").withColumns(cols)
-    rows = _placed(df.join(F.broadcast(hot), group), [*group, *order])
+    cold = df.join(broadcast_if_few(hot.drop("_n")), group, "left_anti").withColumns(cols)
+    rows = _placed(df.join(broadcast_if_few(hot), group), [*group, *order])
     part = rows.groupBy("_part", *group).agg(F.count("*").alias("_k"), F.min("_at").alias("_first"))
     part = part.withColumn("_off", F.coalesce(F.sum("_k").over(W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    warm = rows.join(F.broadcast(part.drop("_k")), ["_part", *group]).withColumn(rank, (F.col("_at") - F.col("_first") + F.col("_off") + 1).cast("int"))
+    warm = rows.join(broadcast_if_few(staged(part.drop("_k"), "offsets")), ["_part", *group]).withColumn(rank, (F.col("_at") - F.col("_first") + F.col("_off") + 1).cast("int"))
     warm = warm.withColumnRenamed("_n", size) if size else warm.drop("_n")
     return cold.unionByName(warm.drop("_part", "_at", "_first", "_off"))

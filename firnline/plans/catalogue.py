@@ -897,10 +897,17 @@ def _(s, d):
     return smooth.fill_holes(c, "v", 1.0).select("row", "col", r("v", 4).alias("v"))
 
 
-@query("blend_rasters", None)
+@query(
+    "blend_rasters",
+    """select "row", col, round(sum(w * v) / sum(w), 4) as v from (select *, least(greatest((dist - 1) / 3.0, 0), 1) as w from (select a.k, a."row", a.col, a.v, least(4.0::double, coalesce(min(o.r) filter (b.k is null), 4.0)) as dist
+    from inp a cross join (select di, dj, sqrt(di * di + dj * dj) as r from (select unnest(range(-4, 5)) as di), (select unnest(range(-4, 5)) as dj) where di * di + dj * dj between 1 and 15) o
+    left join inp b on b.k = a.k and b."row" = a."row" + o.di and b.col = a.col + o.dj group by 1, 2, 3, 4)) where w > 0 group by 1, 2""",
+    CELLS, _DENSE, 'inp as (select 0 as k, "row", col, v from g where col <= 14 union all select 1, "row", col, v + 100 from g where col >= 6)',
+)
 def _(s, d):
     g = dense(s, d)
-    return smooth.blend([g.where("col <= 14"), g.where("col >= 6").withColumn("v", F.col("v") + 100)], "v", erode=1.0, feather=3.0)
+    b = smooth.blend([g.where("col <= 14"), g.where("col >= 6").withColumn("v", F.col("v") + 100)], "v", erode=1.0, feather=3.0)
+    return b.select("row", "col", r("v", 4).alias("v"))
 
 
 # ---- geodesy and time -----------------------------------------------------------------------------------------
