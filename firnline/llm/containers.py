@@ -25,13 +25,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from firnline.common import staged
+from firnline.common import broadcast_if_few, staged
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # fixed value: the splitting pattern that belongs to the vocabulary
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CAPACITY = 8192
 BUCKETS = 32
+PARTS = 16  # fewest parts in which items of one length are ranked
+ROWS_PER_PART = 2_000_000
 _encoders: dict[int, object] = {}
 
 
@@ -167,8 +169,11 @@ def fill(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", capacit
     gives no rows.  No container holds more than ``capacity`` tokens.
     """
     tokens = token_counts(docs, doc_id=doc_id, text=text, vocabulary=vocabulary)
-    # ``part`` fixes the split of the items, so that later ranks do not depend on how files are read
-    tokens = staged(tokens.select(F.col(doc_id).alias("doc_id"), "n_tokens", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row")), "tokens")
+    # ``row`` and ``part`` fix order and split of the items, so that later ranks do not depend on how files are read
+    tokens = staged(tokens.select(F.col(doc_id).alias("doc_id"), "n_tokens", F.spark_partition_id().alias("at"), F.monotonically_increasing_id().alias("row")), "tokens")
+    # few parts, so that the table of lengths per part stays small: capacity x parts rows at most
+    parts = max(PARTS, -(-tokens.count() // ROWS_PER_PART))
+    tokens = tokens.withColumn("part", F.pmod("at", F.lit(parts))).drop("at")
     size = F.least(F.lit(capacity), F.col("n_tokens") - F.col("piece") * capacity)
     last = F.greatest(F.ceil(F.col("n_tokens") / capacity) - 1, F.lit(0))
     items = tokens.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint")))).withColumn("length", size.cast("bigint"))
@@ -198,7 +203,7 @@ def fill(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", capacit
         return pd.Series(np.where(n > 0, ends[np.searchsorted(ends, n, "left").clip(0, max(0, len(ends) - 1))] if len(ends) else 0, 0))
 
     before = F.sum("n").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
-    offsets = by_part.select("length", "part", F.coalesce(before, F.lit(0)).alias("off"))
+    offsets = broadcast_if_few(staged(by_part.select("length", "part", F.coalesce(before, F.lit(0)).alias("off")), "offsets"), 200_000)
     own = F.row_number().over(W.partitionBy("length", "part").orderBy("row", "piece")) - 1
     ranked = items.withColumn("own", own).join(offsets, ["length", "part"]).withColumn("rank", F.col("off") + F.col("own"))
     where = F.pandas_udf(place, T.LongType())("length", "rank")
