@@ -150,7 +150,8 @@ def readings(log: DataFrame, stations: DataFrame) -> DataFrame:
         return F.array(reading(F.concat(o["o"], F.lit("+offset")), o["at"] - F.col("mins").cast("bigint") * 60_000_000, o["prior"]))
 
     every = F.flatten(F.transform("local", lambda o: F.when(F.col("mins").isNotNull(), signed(o)).when(F.col("offs").isNotNull(), lettered(o)).otherwise(wall(o))))
-    got = cal.select("log_id", "instrument", "written_us", "grain_us", F.filter(F.coalesce("plain", F.array_distinct(every)), lambda r: r["us"].isNotNull()).alias("r"))
+    # behind a barrier, or the condition would make all readings a second time
+    got = barrier(cal, ["log_id", "instrument", "written_us", "grain_us"], r=F.filter(F.coalesce("plain", F.array_distinct(every)), lambda r: r["us"].isNotNull()))
     return got.where(F.size("r") > 0)
 
 

@@ -90,6 +90,12 @@ def p3_table(spark: SparkSession, sf: str) -> DataFrame:
     return consistent(table(spark, sf, "raw_records"), table(spark, sf, "granule_files", ["file_id", "stream_id", "acquired_at"]), TARGET)
 
 
+def p3_quantities(spark: SparkSession, sf: str) -> DataFrame:
+    """Steady fields and two renamed and retyped quantities of the consistent table."""
+    t = p3_table(spark, sf)
+    return t.select("rec_id", "file_id", "rec_no", "Day", "Second", "Micsec", "segment_id", "rgt", F.col("Peakiness").alias("peakiness"), F.col("N_avg").alias("n_avg"))
+
+
 def _files(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "granule_files", ["file_id", "stream_id"])
 
@@ -111,7 +117,7 @@ def p7_records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_values": p1_values, "p3_found": p3_found, "p3_table": p3_table, "p7_found": p7_found, "p7_records": p7_records, "p2_found": p2_found, "p5_found": p5_found, "p5_instants": p5_instants, "p6_found": p6_found, "p6_flags": p6_flags, "p6_runs_and_limits": p6_runs_and_limits}
+    return {"p1_found": p1_found, "p1_values": p1_values, "p3_found": p3_found, "p3_table": p3_table, "p3_quantities": p3_quantities, "p7_found": p7_found, "p7_records": p7_records, "p2_found": p2_found, "p5_found": p5_found, "p5_instants": p5_instants, "p6_found": p6_found, "p6_flags": p6_flags, "p6_runs_and_limits": p6_runs_and_limits}
 
 
 def _projected(lat: str, lon: str) -> tuple[str, str]:
@@ -243,6 +249,9 @@ union all select point_id, site_id from pt join edge on pt.epsg = edge.epsg and
         "p5_instants": _instants_sql(every=True),
         "p3_found": _drift_sql(),
         "p5_found": _instants_sql(),
+        "p3_quantities": "select rec_id, file_id, rec_no, "
+        + ", ".join(f"try_cast(payload->>'$.{f}' as bigint) as \"{f}\"" for f in ("Day", "Second", "Micsec", "segment_id", "rgt"))
+        + ", try_cast(coalesce(payload->>'$.Peakiness', payload->>'$.peakiness_20_ku') as double) as peakiness, try_cast(coalesce(payload->>'$.N_avg', payload->>'$.n_avg_echoes') as double) as n_avg from raw_records",
         "p7_records": """with c as (select r.*, stream_id, list_sort(list_transform(json_keys(payload), lambda k: k || '=' || json_extract(payload, '$."' || k || '"')::varchar))::varchar as body from raw_records r left join granule_files using (file_id))
 select rec_id, file_id, rec_no, stream_id, payload from (select *, min(rec_id) over (partition by stream_id, body) as first_id from c) where stream_id is null or rec_id = first_id""",
         "p7_found": """with c as (select rec_id, stream_id, list_sort(list_transform(json_keys(payload), lambda k: k || '=' || json_extract(payload, '$."' || k || '"')::varchar))::varchar as body
