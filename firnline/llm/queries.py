@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firnline.common import staged, table
-from firnline.llm.containers import fill, filling
+from firnline.llm.containers import CAPACITY, fill, filling
 from firnline.llm.leaks import find_leaks
 from firnline.llm.percentiles import merge, percentiles, sketch
 from firnline.llm.spam import find_spam
@@ -50,6 +50,15 @@ def p8_filling(spark: SparkSession, sf: str) -> DataFrame:
     return filling(fill(table(spark, sf, "documents", ["doc_id", "text"])))
 
 
+def p8_layout(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of the containers: every document in them once, none too full, none divided without need, little space unused."""
+    placed = staged(fill(table(spark, sf, "documents", ["doc_id", "text"])), "placed")
+    docs = placed.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("tokens"), F.countDistinct("first_token").alias("starts"))
+    docs = docs.agg(F.count("*").alias("documents"), F.min((F.col("pieces") == F.greatest(F.ceil(F.col("tokens") / CAPACITY), F.lit(1))) & (F.col("starts") == F.col("pieces"))).alias("divided_only_if_longer"))
+    full = filling(placed).select((F.col("fullest") <= CAPACITY).alias("none_too_full"), (F.col("containers") <= F.ceil(F.col("tokens") / CAPACITY * 1.01) + 1).alias("little_unused"))
+    return docs.crossJoin(full)  # one row each
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return find_leaks(table(spark, sf, "documents", ["doc_id", "text"]), table(spark, sf, "eval_items", ["item_id", "text"]))
 
@@ -64,7 +73,7 @@ def p10_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p4_percentiles": p4_percentiles, "p4_overall": p4_overall, "p8_containers": p8_containers, "p8_filling": p8_filling, "p9_found": p9_found, "p10_found": p10_found, "p10_shares": p10_shares}
+    return {"p4_percentiles": p4_percentiles, "p4_overall": p4_overall, "p8_containers": p8_containers, "p8_filling": p8_filling, "p8_layout": p8_layout, "p9_found": p9_found, "p10_found": p10_found, "p10_shares": p10_shares}
 
 
 def _said_sql(c: str) -> str:
@@ -108,4 +117,5 @@ def oracle_sql() -> dict[str, str]:
     select = f"count(*)::bigint as n, {quantiles}, 0::bigint as max_rank_error from p"
     probs = ", ".join(f"('{k}')" for k in PROBS)
     overall = f"select field, percentile, count(*)::bigint as n, true as within_bound, true as bound_is_narrow from ({one}), (values {probs}) k(percentile) group by field, percentile".replace("tile, strftime(acquired_at, '%Y-%m-%d') as day, ", "")
-    return {"p9_found": _leaks_sql(), "p4_overall": overall, "p4_percentiles": f"with p as ({one}) select tile, day, field, {select} group by tile, day, field union all select tile, null, field, {select} group by tile, field"}
+    layout = "select count(*)::bigint as documents, true as divided_only_if_longer, true as none_too_full, true as little_unused from documents where doc_id is not null"
+    return {"p8_layout": layout, "p9_found": _leaks_sql(), "p4_overall": overall, "p4_percentiles": f"with p as ({one}) select tile, day, field, {select} group by tile, day, field union all select tile, null, field, {select} group by tile, field"}
