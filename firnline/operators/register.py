@@ -85,7 +85,7 @@ def neighbours(points: DataFrame, point_id: str, radius: float, fields: list[str
     b = p.select(F.col(point_id).alias(f"n_{point_id}"), F.col("x").alias("nx"), F.col("y").alias("ny"), *[F.col(f).alias(f"n_{f}") for f in fields], cell("x").alias("cx"), cell("y").alias("cy"))
     b = b.withColumn("_i", steps).withColumn("_j", steps).withColumns({"cx": F.col("cx") + F.col("_i"), "cy": F.col("cy") + F.col("_j")}).drop("_i", "_j")
     dx, dy = F.col("nx") - F.col("_x"), F.col("ny") - F.col("_y")
-    j = a.join(b, ["cx", "cy"]).where(F.col(point_id) != F.col(f"n_{point_id}")).withColumns({"dx": dx, "dy": dy})
+    j = a.hint("shuffle_hash").join(b, ["cx", "cy"]).where(F.col(point_id) != F.col(f"n_{point_id}")).withColumns({"dx": dx, "dy": dy})
     j = j.withColumn("dist", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))).where(F.col("dist") <= radius)
     return j.select(point_id, f"n_{point_id}", "dx", "dy", "dist", *[f"n_{f}" for f in fields])
 

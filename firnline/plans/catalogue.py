@@ -542,7 +542,7 @@ xo as (select * from cr where la > 0 and la < 1 and lb > 0 and lb < 1)"""
 
 
 def xo(s, d, **kw):
-    return crossover.crossovers(trk(s, d), "track", "i", cell=24.0, time="time", **kw)
+    return crossover.crossovers(trk(s, d), "track", "i", cell=6.0, time="time", **kw)
 
 
 @query("crossovers", "select track_a, i_a, track_b, i_b, round(la, 6) as la, round(lb, 6) as lb, round(ax + la * adx, 5) as x, round(ay + la * ady, 5) as y from xo", TRK, SEG, CROSS)
