@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from firnline.common import staged
 from firnline.functions.semantics import valid
+from firnline.operators.blocks import by_block
 from firnline.operators.raster import GridMeta
-from firnline.operators.sample import bilinear, shift_misfit
+from firnline.operators.sample import bilinear, misfits_of
 
 EDIT_ROUNDS = 6
 DAMPING = 1e-6  # added to the sums of squares of the slopes
@@ -137,14 +141,18 @@ def radius_stats(points: DataFrame, point_id: str, radius: float, *, z: str = "z
     return rows.select(F.col("pid").alias(point_id), *names)
 
 
-def grid_shift(points: DataFrame, point_id: str, cells: DataFrame, meta: GridMeta, field: str, shift: tuple[float, float], *, z: str = "z", sigma: str = "sigma", sigma_min: float = 0.02, rounds: int = 1) -> dict[str, float]:
+def grid_shift(points: DataFrame, point_id: str | list[str], cells: DataFrame, meta: GridMeta, field: str, shift: tuple[float, float], *, z: str = "z", sigma: str = "sigma", sigma_min: float = 0.02, rounds: int = 1, distinct: bool = False) -> dict[str, float]:
     """Misfit of one shift: weighted plane of z minus raster, edited at three robust spreads.
 
     Each round is one aggregation of normal-equation sums; the 3 x 3 solution
-    is the only thing done on the driver.
+    is the only thing done on the driver.  ``distinct`` takes points that agree
+    in id, place, z and sigma once.
     """
-    v = bilinear(points, [point_id], cells, meta, field, x=F.col("x") + shift[0], y=F.col("y") + shift[1]).where("value is not null")
-    p = points.select(point_id, "x", "y", z, sigma).join(v, point_id).select("x", "y", (F.col(z) - F.col("value")).alias("d"), F.greatest(F.lit(sigma_min), F.col(sigma)).alias("s"))
+    point_id = [point_id] if isinstance(point_id, str) else point_id
+    keep = list(dict.fromkeys([*point_id, "x", "y", z, sigma])) if distinct else list(dict.fromkeys(["x", "y", z, sigma]))
+    v = bilinear(points, keep, cells, meta, field, x=F.col("x") + shift[0], y=F.col("y") + shift[1], out="_value", distinct=distinct).where("_value is not null")
+    # every round reads this: the raster is sampled once
+    p = staged(v.select("x", "y", (F.col(z) - F.col("_value")).alias("d"), F.greatest(F.lit(sigma_min), F.col(sigma)).alias("s")), "shifted")
     mx, my, sx, sy = p.agg(F.avg("x"), F.avg("y"), F.stddev_pop("x"), F.stddev_pop("y")).first()
     if mx is None:
         return {"sigma": float("nan"), "sigma_scaled": float("nan"), "n": 0}
@@ -167,19 +175,40 @@ def grid_shift(points: DataFrame, point_id: str, cells: DataFrame, meta: GridMet
     return {"sigma": got[0], "sigma_scaled": got[1], "n": got[2], "dz": float(m[0]), "slope_x": float(m[1]) / (sx or 1.0), "slope_y": float(m[2]) / (sy or 1.0)} if got else {"sigma": float("nan"), "sigma_scaled": float("nan"), "n": 0}
 
 
-def search_offsets(points: DataFrame, point_id: str, cells: DataFrame, meta: GridMeta, field: str, *, z: str = "z", first_step: float = 10.0, tolerance: float = 1.0, most: int = 21) -> tuple[tuple[float, float], float]:
-    """Best shift by pattern search: all nine shifts of a round in one job, the step halved when the centre is best."""
-    centre, step, best = (0.0, 0.0), first_step, float("nan")
-    for _ in range(most):
-        rows = shift_misfit(points, [point_id], cells, meta, field, z, step, centre).where("misfit is not null").collect()  # nine rows
-        if not rows:
-            break
-        top = min(rows, key=lambda r: (r["misfit"], abs(r["dx"] - centre[0]) + abs(r["dy"] - centre[1])))
-        best = top["misfit"]
-        if (top["dx"], top["dy"]) == centre:
-            if step <= tolerance:
-                break
-            step /= 2
-        centre = (top["dx"], top["dy"])
-    return centre, best
+def search_offsets(points: DataFrame, point_id: str | list[str], cells: DataFrame, meta: GridMeta, field: str, *, z: str = "z", first_step: float = 10.0, tolerance: float = 1.0, most: int | None = None, distinct: bool = False) -> tuple[tuple[float, float], float]:
+    """Best shift by pattern search: the new ones of a round's nine shifts in one job, the step halved when the centre is best.
 
+    It goes on until the centre is best at the last step (of at most
+    ``tolerance``); a search not over in ``most`` rounds is an error.  Every
+    move lowers the misfit, so no place is taken twice.
+    The points are kept on disk once, beside all cells that the next shifts may
+    need, and anew with twice the reach where the search leaves these.
+    """
+    point_id = [point_id] if isinstance(point_id, str) else point_id
+    keep = list(dict.fromkeys([*(point_id if distinct else []), z]))
+    centre, step, reach = (0.0, 0.0), first_step, 2 * first_step
+    known: dict[tuple[float, float], float | None] = {}
+    rows, halo = None, (0, 0)
+    for round_ in count():
+        if round_ == most:
+            raise RuntimeError(f"no best shift in {most} rounds")
+        around = [(centre[0] + i * step, centre[1] + j * step) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+        if new := [s for s in around if s not in known]:
+            far = max(abs(v) for s in new for v in s)
+            if rows is None or far > reach:
+                while far > reach:
+                    reach *= 2
+                if rows is not None:
+                    rows.unpersist()
+                rows, halo = by_block(points, keep, cells, meta, field, [(reach, reach)], distinct=distinct)
+                rows = rows.persist(StorageLevel.DISK_ONLY)  # their order in a task counts, which files would not keep
+            got = {(r["dx"], r["dy"]): r["misfit"] for r in misfits_of(rows, halo, meta, z, new).collect()}  # nine rows at most
+            known |= {s: got.get(s) for s in new}
+        some = [s for s in around if known[s] is not None]
+        top = min(some, key=lambda s: (known[s], abs(s[0] - centre[0]) + abs(s[1] - centre[1]), s), default=None)
+        if top is None or top == centre and step <= tolerance:
+            rows.unpersist()
+            return centre, float("nan") if top is None else known[centre]
+        if top == centre:
+            step /= 2
+        centre = top

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from firnline.operators import crossover, register, sample, smooth, tracks
+from firnline.operators import blocks, crossover, register, sample, smooth, tracks
 from firnline.operators.raster import GridMeta, lattice
 from firnline.plans import catalogue
 
@@ -206,3 +206,69 @@ def test_crossings_with_keys_and_time(spark):
                     want.add((p[0][0], p[0][1], q[0][0], q[0][1]))
         got = [tuple(r) for r in crossover.crossovers(df, "track", "i", cell=7.0, **kw).select("track_a", "i_a", "track_b", "i_b").collect()]
         assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def _sloped(spark, n=60, hole=7):
+    cells = lattice(spark, (0, n - 1), (0, n - 1)).where(f"(row * 13 + col) % {hole} <> 0").withColumn("v", F.col("col") * 0.5 + F.col("row") * F.col("row") / 10.0)
+    p = spark.range(400).select(F.col("id"), (F.col("id") * 0.37 % (n + 4) - 2).alias("x"), (F.col("id") * 1.91 % (n + 4) - 2).alias("y"), (F.col("id") % 50).cast("double").alias("_z"))
+    return GridMeta(0.0, 1.0, n, 0.0, 1.0, n), cells, p
+
+
+def test_large_rasters_give_what_small_ones_do(spark, monkeypatch):
+    m, cells, p = _sloped(spark)
+    small = sample.bilinear(p, ["id", "_z"], cells, m, "v")
+    monkeypatch.setattr(sample, "broadcast_if_few", lambda g, n: g)
+    monkeypatch.setattr(blocks, "BLOCK", 16)
+    large = sample.bilinear(p.repartition(3), ["id", "_z"], cells, m, "v")
+    assert small.count() < 400 and small.where("value is null").count() > 0
+    assert sorted(map(tuple, large.collect()), key=str) == sorted(map(tuple, small.collect()), key=str)
+
+
+def _by_hand(spark, m, cells, p, dx, dy, monkeypatch):
+    v = sample.bilinear(p, ["id", "_z"], cells, m, "v", x=F.col("x") + dx, y=F.col("y") + dy).where("value is not null")
+    return v.agg(F.count("*"), F.stddev_pop(F.col("_z") - F.col("value"))).first()
+
+
+@pytest.mark.parametrize("z", ["_z", "z"])
+def test_misfits_beside_blocks(spark, monkeypatch, z):
+    m, cells, p = _sloped(spark)
+    by_hand = {(dx, dy): _by_hand(spark, m, cells, p, dx, dy, monkeypatch) for dx, dy in ((-2.0, 2.0), (0.0, 0.0), (2.0, 0.0))}
+    monkeypatch.setattr(blocks, "BLOCK", 16)
+    monkeypatch.setattr(sample, "broadcast_if_few", lambda g, n: g)
+    q = p.withColumnRenamed("_z", z)
+    got = {(r.dx, r.dy): r for r in sample.shift_misfit(q.unionByName(q), ["id"], cells, m, "v", z, 2.0, distinct=True).collect()}
+    assert len(got) == 9
+    for k, (n, s) in by_hand.items():
+        assert got[k].n == n and got[k].misfit == pytest.approx(s, rel=1e-12)
+
+
+def test_valid_around_beside_blocks(spark, monkeypatch):
+    m, cells, p = _sloped(spark, hole=601)
+    ok = None
+    for dx in (-3.0, 0.0, 3.0):
+        for dy in (-3.0, 0.0, 3.0):
+            v = sample.bilinear(p, ["id"], cells, m, "v", x=F.col("x") + dx, y=F.col("y") + dy).where("value is not null").select("id")
+            ok = v if ok is None else ok.intersect(v)
+    want = sorted(r.id for r in ok.collect())
+    monkeypatch.setattr(blocks, "BLOCK", 16)
+    got = sample.valid_around(p.unionByName(p), ["id"], cells, m, "v", 3.0, distinct=True)
+    assert "Window" not in got._jdf.queryExecution().toString() and 0 < len(want) < 400
+    assert sorted(r.id for r in got.collect()) == want
+
+
+def test_search_goes_on_to_the_best_shift(spark):
+    m = GridMeta(0.0, 1.0, 60, 0.0, 1.0, 20)
+    cells = lattice(spark, (0, 19), (0, 59)).withColumn("v", F.col("col") * F.col("col") * 1.0 + F.col("row"))
+    p = lattice(spark, (5, 9), (5, 14)).select("row", "col", F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"))
+    p = p.withColumn("z", (F.col("x") + 6) * (F.col("x") + 6) + F.col("y"))
+    best, misfit = register.search_offsets(p, ["row", "col"], cells, m, "v", first_step=1.0, tolerance=1.0)
+    assert best[0] == 6.0 and misfit == pytest.approx(0, abs=1e-9)
+    with pytest.raises(RuntimeError):
+        register.search_offsets(p, ["row", "col"], cells, m, "v", first_step=1.0, tolerance=1.0, most=4)
+
+
+def test_search_query_is_not_cut(spark, sf, monkeypatch):
+    given = {}
+    monkeypatch.setattr(catalogue.register, "search_offsets", lambda *a, **kw: given.update(kw) or ((0.0, 0.0), 1.0))
+    catalogue.queries()["search_offsets"](spark, sf)
+    assert "most" not in given
