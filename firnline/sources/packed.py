@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from firnline.common import broadcast_if_few
 
 SPARK = {"i1": "smallint", "u1": "smallint", "i2": "int", "u2": "int", "i4": "bigint", "u4": "bigint", "i8": "bigint", "u8": "decimal(20,0)"}
 
@@ -81,8 +85,20 @@ def read_binary(spark: SparkSession, path: str, decode: Callable[[str, bytes], p
     return decode_binary(spark.read.format("binaryFile").load(path), decode, fields)
 
 
+def parted(rows: DataFrame, file: list[str], order: list[str], most: int = 50_000, name: str = "part") -> DataFrame:
+    """``name``: number of the part of about ``most`` rows that a row's file is cut into, so that each part fits a task.
+
+    Rows are spread by a hash of ``order``; a file of few rows has part 0 only.
+    """
+    size = rows.groupBy(*file).agg(F.ceil(F.count("*") / most).cast("int").alias("_parts"))  # one row per file
+    same = [F.col(f).eqNullSafe(F.col(f"_of_{f}")) for f in file]
+    size = size.select(*[F.col(f).alias(f"_of_{f}") for f in file], "_parts")
+    cut = rows.join(broadcast_if_few(size), reduce(lambda a, b: a & b, same)).withColumn(name, F.pmod(F.xxhash64(*order), F.col("_parts")).cast("int"))
+    return cut.drop("_parts", *[f"_of_{f}" for f in file])
+
+
 def encode_binary(rows: DataFrame, file: list[str], order: list[str], encode: Callable[[pd.DataFrame], bytes], path: Callable[[tuple], str]) -> DataFrame:
-    """``path, content``: the rows of each file packed by ``encode`` (a file must fit a task)."""
+    """``path, content``: the rows of each file packed by ``encode`` (a file must fit a task, see ``parted``)."""
 
     def run(key: tuple, d: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"path": [path(key)], "content": [encode(d.sort_values(order))]})

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from firnline import sources
 from firnline.functions import geodesy
+from firnline.plans import catalogue
 from firnline.sources import altimetry, arrays, cryosat, geotiff, glas, granules, packed, qi
 
 
@@ -156,3 +157,23 @@ def test_shots(spark):
     got = {r.latitude: r.z for r in granules.shots(d).collect()}
     assert got == {70.0: pytest.approx(10 - 0.7 - 0.2 + 0.5 - 0.017), 71.0: pytest.approx(10 - 0.7 + 0.5 + 0.011)}
     assert granules.shots(d, latitudes=(70.5, 80)).count() == 1
+
+
+def test_large_files_are_packed_in_parts(spark, monkeypatch):
+    rows = spark.range(5000).select((F.col("id") % 2).alias("f"), "id").unionByName(spark.createDataFrame([(None, 9)], "f long, id long"))
+    cut = packed.parted(rows, ["f"], ["id"], most=500)
+    assert cut.columns == ["f", "id", "part"] and sorted(map(tuple, cut.select("f", "id").collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+    assert max(r["count"] for r in cut.groupBy("f", "part").count().collect()) < 750
+    sizes = []
+    encode = packed.encode_binary
+    monkeypatch.setattr(packed, "encode_binary", lambda rows, file, *a: sizes.append(file) or encode(rows, file, *a))
+    for name in ("packed_qi", "packed_l2"):
+        catalogue.queries()[name](spark, "/root/testdata/sf0.001")
+    assert all("part" in f for f in sizes)
+
+
+def test_rasters_are_packed_in_tiles(spark, monkeypatch):
+    far = spark.createDataFrame([(0, 0, 0, 1.5), (0, 3_000_000, 2_000_000, 2.5)], "band long, row long, col long, z double")
+    monkeypatch.setattr(catalogue, "cells", lambda s, d: far)
+    got = sorted(map(tuple, catalogue.queries()["geotiff_cells"](spark, "").collect()))
+    assert got == [(0, 0, 0, 5.0, 2.5, 1.5), (0, 3_000_000, 2_000_000, 20_000_005.0, 15_000_002.5, 2.5)]
