@@ -20,29 +20,68 @@ def kernel(width: float, truncate: float = 4.0) -> list[tuple[int, float]]:
     return [(i, w / total) for i, w in k]
 
 
-def smooth(cells: DataFrame, field: str, width: float, keys: list[str] | None = None) -> DataFrame:
+def _smoothed(row: np.ndarray, col: np.ndarray, z: np.ndarray, k: list[tuple[int, float]], block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of weighted value and of weight over a block, from cells numbered from the corner of its halo."""
+    r = k[-1][0]
+    n = block + 2 * r
+    at = row * n + col
+    s, m = np.bincount(at, z, n * n).reshape(n, n), np.bincount(at, minlength=n * n).reshape(n, n).astype(float)
+    along = lambda a: sum(w * a[:, r - i : r - i + block] for i, w in k)
+    return along(along(s).T).T, along(along(m).T).T
+
+
+def _in_blocks(cells: DataFrame, r: int, block: int) -> DataFrame:
+    """Cells with the blocks ``_i, _j`` they lie in or within ``r`` of; no block where row or column is null."""
+    span = lambda a: F.explode_outer(F.sequence(F.floor((F.col(a) - r) / block).cast("bigint"), F.floor((F.col(a) + r) / block).cast("bigint")))
+    return cells.withColumn("_i", span("row")).withColumn("_j", span("col"))
+
+
+def smooth(cells: DataFrame, field: str, width: float, keys: list[str] | None = None, block: int = 256) -> DataFrame:
     """Normalised convolution, zero outside the raster: ``row, col, value, weight`` wherever a valid cell reaches.
 
-    Separable: rows first, then columns; each pass is an explode over the
-    kernel and one aggregation.
+    Separable; blocks of ``block`` cells with a halo of the kernel are handled as arrays.
     """
-    keys = keys or []
-    k = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(w).alias("w")) for i, w in kernel(width)]))
-    v = cells.where(valid(field)).select(*keys, "row", "col", F.col(field).alias("s"), F.lit(1.0).alias("m"))
-    for axis in ("col", "row"):
-        other = "row" if axis == "col" else "col"
-        v = v.withColumn("k", k).withColumn(axis, F.col(axis) + F.col("k.i"))
-        v = v.groupBy(*keys, other, axis).agg(F.sum(F.col("s") * F.col("k.w")).alias("s"), F.sum(F.col("m") * F.col("k.w")).alias("m"))
-    return v.select(*keys, "row", "col", (F.col("s") / F.col("m")).alias("value"), F.col("m").alias("weight"))
-
-
-def fill_holes(cells: DataFrame, field: str, width: float, keys: list[str] | None = None, nodata: float = -9999.0) -> DataFrame:
-    """Invalid cells get the smoothed value of the valid ones around; those out of reach stay null."""
-    keys = keys or []
-    z = F.when(valid(field) & (F.col(field) != nodata), F.col(field))
-    c = cells.withColumn(field, z)
-    s = smooth(c, field, width, keys).select(*keys, "row", "col", F.col("value").alias("_s"))
-    return c.join(s, [*keys, "row", "col"], "left").withColumn(field, F.coalesce(field, "_s")).drop("_s")
+    keys, k = keys or [], kernel(width)
+    r = k[-1][0]
+    v = cells.where(valid(field) & F.col("row").isNotNull() & F.col("col").isNotNull()).select(*keys, "row", "col", F.col(field).cast("double").alias("_z"))
+
+    def run(key, d: pd.DataFrame) -> pd.DataFrame:
+        i0, j0 = int(key[-2]) * block, int(key[-1]) * block
+        s, m = _smoothed(d.row.to_numpy() - i0 + r, d.col.to_numpy() - j0 + r, d["_z"].to_numpy(), k, block)
+        i, j = np.nonzero(m > 0)
+        return pd.DataFrame({**{n: [key[a]] * len(i) for a, n in enumerate(keys)}, "row": i + i0, "col": j + j0, "value": s[i, j] / m[i, j], "weight": m[i, j]})
+
+    kinds = dict(cells.dtypes)
+    return _in_blocks(v, r, block).groupBy(*keys, "_i", "_j").applyInPandas(run, ", ".join([*[f"`{n}` {kinds[n]}" for n in keys], "row bigint, col bigint, value double, weight double"]))
+
+
+def fill_holes(cells: DataFrame, field: str, width: float, keys: list[str] | None = None, nodata: float = -9999.0, block: int = 256) -> DataFrame:
+    """Invalid cells get the smoothed value of the valid ones around; those out of reach stay null.
+
+    Cells go through one shuffle by block and come back filled; only rasters
+    with further columns are joined to their smoothed values.
+    """
+    keys, k = keys or [], kernel(width)
+    r = k[-1][0]
+    c = cells.withColumn(field, F.when(valid(field) & (F.col(field) != nodata), F.col(field)))
+    kinds, names = dict(c.dtypes), c.columns
+    if set(names) - {*keys, "row", "col", field} or {kinds[n] for n in ("row", "col")} != {"bigint"} or kinds[field] != "double":
+        s = smooth(c, field, width, keys, block).select(*keys, "row", "col", F.col("value").alias("_s"))
+        return c.join(s, [*keys, "row", "col"], "left").withColumn(field, F.coalesce(field, "_s")).drop("_s")
+
+    def run(key, d: pd.DataFrame) -> pd.DataFrame:
+        if pd.isna(key[-2]) or pd.isna(key[-1]):
+            return d[names]
+        i, j, z = d.row.to_numpy() - int(key[-2]) * block, d.col.to_numpy() - int(key[-1]) * block, d[field].to_numpy(float)
+        some = ~np.isnan(z)
+        s, m = _smoothed(i[some] + r, j[some] + r, z[some], k, block)
+        own = (i >= 0) & (i < block) & (j >= 0) & (j < block)
+        d, i, j, z = d[own], i[own], j[own], z[own]
+        with np.errstate(invalid="ignore"):
+            z = np.where(np.isnan(z) & (m[i, j] > 0), s[i, j] / m[i, j], z)
+        return d[names].assign(**{field: z})
+
+    return _in_blocks(c, r, block).groupBy(*keys, "_i", "_j").applyInPandas(run, c.schema)
 
 
 def edge_distance(cells: DataFrame, field: str, reach: int, block: int = 256) -> DataFrame:

@@ -272,3 +272,21 @@ def test_search_query_is_not_cut(spark, sf, monkeypatch):
     monkeypatch.setattr(catalogue.register, "search_offsets", lambda *a, **kw: given.update(kw) or ((0.0, 0.0), 1.0))
     catalogue.queries()["search_offsets"](spark, sf)
     assert "most" not in given
+
+
+def test_filling_by_blocks(spark):
+    g = lattice(spark, (-9, 25), (0, 40)).where("(row * 7 + col) % 5 <> 0").withColumn("v", F.when((F.col("row") * 3 + F.col("col")) % 4 != 0, F.sin(F.col("row") * 0.3) + F.col("col")))
+    g = g.unionByName(spark.createDataFrame([(900, 900, None), (None, 3, 1.0)], g.schema))
+    filled = smooth.fill_holes(g, "v", 1.0, block=8)
+    assert filled._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0  # cells are shuffled once
+    cells = {(r.row, r.col): r.v for r in g.collect()}
+    got = {(r.row, r.col): r.v for r in filled.collect()}
+    assert got.keys() == cells.keys() and got[900, 900] is None and got[None, 3] == 1.0
+    near = dict(smooth.kernel(1.0))
+    for (row, col), v in cells.items():
+        if row is not None and row < 900:
+            some = [(near[i] * near[j], cells[row + i, col + j]) for i in near for j in near if cells.get((row + i, col + j)) is not None]
+            want = v if v is not None else sum(w * z for w, z in some) / sum(w for w, _ in some)
+            assert got[row, col] == pytest.approx(want, rel=1e-12)
+    wide = smooth.fill_holes(g.where("row < 900").withColumn("k", F.lit(1)), "v", 1.0, block=8)
+    assert {(r.row, r.col): r.v for r in wide.collect()} == {k: pytest.approx(v, rel=1e-12) for k, v in got.items() if k not in ((900, 900), (None, 3))}
