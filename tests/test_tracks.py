@@ -290,3 +290,17 @@ def test_filling_by_blocks(spark):
             assert got[row, col] == pytest.approx(want, rel=1e-12)
     wide = smooth.fill_holes(g.where("row < 900").withColumn("k", F.lit(1)), "v", 1.0, block=8)
     assert {(r.row, r.col): r.v for r in wide.collect()} == {k: pytest.approx(v, rel=1e-12) for k, v in got.items() if k not in ((900, 900), (None, 3))}
+
+
+def test_carried_fields_are_those_of_joins(spark, sf):
+    d = spark.createDataFrame([(t, 3 * i if t == 2 else i, x, y, h) for t, i, x, y, h in _tracks(8, 7)], "track int, i long, x double, y double, h double")
+    same = lambda a, b: sorted(map(tuple, a.select(*b.columns).collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
+    plain = crossover.crossovers(d, "track", "i", cell=1.0)
+    full = crossover.crossovers(d, "track", "i", cell=1.0, carry=["x", "y", "h"])
+    assert same(crossover.crossover_values(full, d, "track", "i", ["h"]), crossover.crossover_values(plain, d, "track", "i", ["h"]))
+    assert same(crossover.crossover_slopes(full, d, "track", "i", "h"), crossover.crossover_slopes(plain, d, "track", "i", "h"))
+    kept = crossover.crossovers(crossover.with_near(d, "track", "i", ["h"], 1), "track", "i", cell=1.0, keep=["near"])
+    assert same(crossover.crossover_neighbours(kept, d, "track", "i", ["h"], 1), crossover.crossover_neighbours(plain, d, "track", "i", ["h"], 1))
+    for name in ("crossover_values", "crossover_slope", "crossover_neighbors", "crossover_cube_pivot"):
+        plan = catalogue.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join") == 1, name  # only segments meet
