@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from firnline.common import broadcast_if_few
 from firnline.functions.semantics import valid
 
+NEAR_CELLS = 4  # cells per side of the blocks in which points look for segments
+
 
 def _w(track: list[str], order: str):
     return W.partitionBy(*track).orderBy(order)
@@ -92,21 +97,92 @@ def segment_cells(s: DataFrame, cell: float, reach: float = 0.0, x: str = "x", y
 def along_track_coords(points: DataFrame, point_id: str, path: DataFrame, track: list[str], order: str, d_max: float) -> DataFrame:
     """``point_id, along, across, dist`` of the nearest path segment within ``d_max``.
 
-    Segments and points meet in square bins of ``d_max``-sized cells through an
-    equi-join; ties go to the smaller along-track, then across-track coordinate.
+    Segments and points go through one shuffle by square block of ``d_max``-sized
+    cells; in a task the segments of a block come before its points, which
+    stream.  Only the best segment of a point leaves the task, so candidates are
+    never sorted or shuffled.  Ties go to the smaller along-track, then
+    across-track coordinate.
     """
+    box = path.agg(*[f(c).cast("double").alias(f"{c}{n}") for c in "xy" for n, f in enumerate((F.min, F.max))]).first()
     seg = segments(path_length(path, track, order), track, order, ["x", "y", "length"])
-    cell = lambda c: F.floor(c / d_max).cast("bigint")
-    s = segment_cells(seg, d_max, d_max)
-    p = points.where(valid("x") & valid("y")).select(F.col(point_id), F.col("x").alias("px"), F.col("y").alias("py"), cell(F.col("x")).alias("cx"), cell(F.col("y")).alias("cy"))
-    few = broadcast_if_few(s, 200_000)
-    # beside a broadcast path the points are spread by their id, which also serves the aggregation
-    j = (p if few is s else p.repartition(point_id)).join(few, ["cx", "cy"])
-    j = j.withColumns({"dx": F.col("x1") - F.col("x0"), "dy": F.col("y1") - F.col("y0"), "rx": F.col("px") - F.col("x0"), "ry": F.col("py") - F.col("y0")})
-    j = j.withColumn("ds", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))).where("ds > 0")
-    j = j.withColumns({"a": (F.col("rx") * F.col("dx") + F.col("ry") * F.col("dy")) / F.col("ds"), "c": (F.col("ry") * F.col("dx") - F.col("rx") * F.col("dy")) / F.col("ds")})
-    over = F.greatest(F.col("a") - F.col("ds"), -F.col("a"), F.lit(0.0))
-    j = j.withColumn("dist", F.sqrt(F.col("c") * F.col("c") + over * over)).where(F.col("dist") <= d_max)
-    along = F.col("length0") + F.least(F.greatest(F.col("a"), F.lit(0.0)), F.col("ds"))
-    best = F.min_by(F.struct(along.alias("along"), F.col("c").alias("across"), "dist"), F.struct("dist", along.alias("l"), F.col("c").alias("k")))
-    return j.groupBy(point_id).agg(best.alias("b")).select(point_id, "b.along", "b.across", "b.dist")
+    side = NEAR_CELLS * d_max
+    block = lambda c: F.floor(c / side).cast("bigint")
+    place = ["x0", "y0", "x1", "y1", "length0"]
+    some = None not in tuple(box)
+    p = points.where(valid("x") & valid("y") & F.lit(some))
+    if some:
+        p = p.where(F.col("x").between(box.x0 - d_max, box.x1 + d_max) & F.col("y").between(box.y0 - d_max, box.y1 + d_max))
+    p = p.select(block(F.col("x")).alias("cx"), block(F.col("y")).alias("cy"), F.lit(1).alias("__k"), F.col("x").cast("double").alias("x0"), F.col("y").cast("double").alias("y0"), *[F.lit(None).cast("double").alias(n) for n in place[2:]], F.col(point_id).alias("__id"))
+    # a segment reaches a billionth of a block further than d_max, as points are put in cells by rounded quotients
+    s = segment_cells(seg, side, d_max).select("cx", "cy", F.lit(0).alias("__k"), *[F.col(n).cast("double").alias(n) for n in place], F.lit(None).cast(p.schema["__id"].dataType).alias("__id"))
+    rows = s.unionByName(p).repartition("cx", "cy").sortWithinPartitions("cx", "cy", "__k")
+    kind = p.schema["__id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, cells = None, [], {}
+        for batch in batches:
+            key = np.stack([batch.column(n).to_numpy() for n in ("cx", "cy", "__k")])
+            ends = np.r_[np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, key.shape[1]] if batch.num_rows else []
+            a = 0
+            for b in map(int, ends):
+                some, (cx, cy, points_now) = batch.slice(a, b - a), key[:, a].tolist()
+                a = b
+                if (cx, cy) != at:
+                    at, parts, cells = (cx, cy), [], {}
+                got = np.stack([some.column(n).to_numpy(zero_copy_only=False) for n in place[: 2 if points_now else 5]])
+                if not points_now:
+                    parts.append(got)
+                    continue
+                if not parts:
+                    continue
+                parts = [np.concatenate(parts, axis=1)] if len(parts) > 1 else parts
+                sub = np.floor(got / d_max)
+                names, group = np.unique(sub, axis=1, return_inverse=True)
+                best = np.full((3, got.shape[1]), np.nan)
+                for k, (i, j) in enumerate(names.T):
+                    if (i, j) not in cells:
+                        cells[i, j] = _reaching(parts[0], i, j, d_max)
+                    own = np.flatnonzero(group.ravel() == k)
+                    best[:, own] = _nearest(got[:, own], cells[i, j], d_max)
+                found = np.flatnonzero(~np.isnan(best[2]))
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([some.column("__id").take(pa.array(found)), *[pa.array(v[found]) for v in best]], ["id", "along", "across", "dist"])
+
+    j = rows.mapInArrow(run, f"id {kind}, along double, across double, dist double")
+    best = F.min_by(F.struct("along", "across", "dist"), F.struct("dist", "along", "across"))  # ids may repeat
+    return j.groupBy(F.col("id").alias(point_id)).agg(best.alias("b")).select(point_id, "b.along", "b.across", "b.dist")
+
+
+def _reaching(seg: np.ndarray, i: float, j: float, d_max: float) -> np.ndarray:
+    """Rows ``x0, y0, dx, dy, length0, ds`` of the segments whose box reaches a cell."""
+    x0, y0, x1, y1, length = seg
+    near = np.ones(len(x0), bool)
+    for lo, hi, c in ((np.minimum(x0, x1), np.maximum(x0, x1), i), (np.minimum(y0, y1), np.maximum(y0, y1), j)):
+        eps = 1e-9 * (d_max + np.maximum(np.abs(lo), np.abs(hi)))
+        near &= (hi + d_max + eps >= c * d_max) & (lo - d_max - eps <= (c + 1) * d_max)
+    x0, y0, x1, y1, length = seg[:, near]
+    dx, dy = x1 - x0, y1 - y0
+    out = np.stack([x0, y0, dx, dy, length, np.sqrt(dx * dx + dy * dy)])
+    return np.ascontiguousarray(out[:, out[5] > 0])
+
+
+def _nearest(p: np.ndarray, seg: np.ndarray, d_max: float, most: int = 250_000) -> np.ndarray:
+    """``along, across, dist`` of places ``p`` (x, y), NaN where nothing is near; ``most`` pairs are held at once."""
+    x0, y0, dx, dy, length, ds = seg
+    best = np.full((3, p.shape[1]), np.nan)
+    step = max(1, most // max(1, len(x0)))
+    for a in range(0, p.shape[1] if len(x0) else 0, step):
+        rx, ry = p[0, a : a + step, None] - x0, p[1, a : a + step, None] - y0
+        t = (rx * dx + ry * dy) / ds
+        c = (ry * dx - rx * dy) / ds
+        over = np.maximum(np.maximum(t - ds, -t), 0.0)
+        dist = np.sqrt(c * c + over * over)
+        dist[~(dist <= d_max)] = np.inf
+        low = dist.min(axis=1)
+        i, j = np.nonzero((dist == low[:, None]) & np.isfinite(low)[:, None])
+        along, across = length[j] + np.minimum(np.maximum(t[i, j], 0.0), ds[j]), c[i, j]
+        turn = np.lexsort((across, along, i))
+        i, along, across = i[turn], along[turn], across[turn]
+        first = np.r_[True, i[1:] != i[:-1]] if len(i) else np.zeros(0, bool)
+        best[:, a + i[first]] = along[first], across[first], low[i[first]]
+    return best

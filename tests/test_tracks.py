@@ -304,3 +304,35 @@ def test_carried_fields_are_those_of_joins(spark, sf):
     for name in ("crossover_values", "crossover_slope", "crossover_neighbors", "crossover_cube_pivot"):
         plan = catalogue.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Join") == 1, name  # only segments meet
+
+
+def test_nearest_segments_against_all_pairs(spark):
+    """Ties, segments without length, missing places and far points; no candidate goes through a sort or shuffle."""
+    rng = np.random.default_rng(11)
+    path = [(t, i, float(rng.integers(-60, 60)), float(rng.integers(-60, 60))) for t in range(12) for i in range(6)]
+    path += [(50, 0, 0.0, 0.0), (50, 1, 0.0, 0.0), (50, 2, 8.0, 0.0), (51, 0, -900.0, 5.0), (51, 1, 900.0, 7.0)]
+    pts = [(k, float(rng.integers(-80, 80)), float(rng.integers(-80, 80))) for k in range(300)] + [(300, 880.0, 9.0), (301, 5000.0, 0.0), (302, None, 1.0), (303, float("nan"), 1.0)]
+    t = spark.createDataFrame(path, "track int, i int, x double, y double")
+    p = spark.createDataFrame(pts, "id int, x double, y double")
+    got = tracks.along_track_coords(p, "id", t, ["track"], "i", 4.0)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "MapInArrow" in plan
+    want, length = {}, 0.0
+    for a, b in zip(path, path[1:]):
+        if a[0] != b[0]:
+            length = 0.0
+            continue
+        (dx, dy), at = (b[2] - a[2], b[3] - a[3]), length
+        ds = np.sqrt(dx * dx + dy * dy)
+        length += ds
+        for k, x, y in pts if ds else []:
+            if x is None:
+                continue
+            s, c = ((x - a[2]) * dx + (y - a[3]) * dy) / ds, ((y - a[3]) * dx - (x - a[2]) * dy) / ds
+            d = np.sqrt(c * c + max(s - ds, -s, 0.0) ** 2)
+            if d <= 4.0:
+                want[k] = min(want.get(k, (np.inf,)), (d, at + min(max(s, 0.0), ds), c))
+    assert {r.id: (r.dist, r.along, r.across) for r in got.collect()} == {k: pytest.approx(v, rel=1e-12, abs=1e-12) for k, v in want.items()}
+    assert len(want) > 100 and 300 in want
+    nothing = t.where("x > 1e9")
+    assert tracks.along_track_coords(p, "id", nothing, ["track"], "i", 4.0).count() == 0
