@@ -8,6 +8,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from firnline.common import broadcast_if_few
 from firnline.functions.semantics import round_bin
 from firnline.operators.points import new_rows
 
@@ -77,19 +78,25 @@ def tile_ring(tiles: DataFrame, schema: TilingSchema) -> DataFrame:
     return tiles.select("tile_x", "tile_y", F.posexplode(ring).alias("vertex", "p")).select("tile_x", "tile_y", "vertex", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
 
 
-def write_tiles(df: DataFrame, path: str, schema: TilingSchema, *, mode: str = "overwrite", bin_width: float | None = None, order: tuple[str, ...] = ("time",)) -> None:
-    """One partition per tile, rows ordered by bin and time inside, so that a box reads few row groups.
+def write_tiles(df: DataFrame, path: str, schema: TilingSchema, *, mode: str = "overwrite", bin_width: float | None = None, order: tuple[str, ...] = ("time",), by: tuple[str, ...] = ("tile_x",)) -> None:
+    """One partition per column of tiles, rows ordered by tile, bin and time inside, so that a box reads few pages.
 
-    Tiles are spread by bin, so a crowded tile is written by several tasks.
+    Tasks take ranges of tiles and bins with as many rows each: a crowded tile
+    is written by several tasks, and a partition of few rows is one file,
+    however many tiles there are.  ``by`` names the columns that are folders.
     """
     b = bin_width or schema.spacing / 10
-    t = assign_tiles(df, schema).withColumns({"_bx": round_bin("x", b), "_by": round_bin("y", b)})
+    tile = [schema.tile(F.col(c)) for c in "xy"]
+    # places, not their tiles and bins, go through the shuffle
+    t = df.repartitionByRange(*tile, round_bin("y", b), round_bin("x", b))
+    t = assign_tiles(t, schema).withColumns({"_bx": round_bin("x", b), "_by": round_bin("y", b)})
     keys = [c for c in order if c in df.columns]
-    t = t.repartition("tile_x", "tile_y", F.pmod(F.hash("_bx", "_by"), F.lit(8))).sortWithinPartitions("tile_x", "tile_y", "_by", "_bx", *keys)
-    t.drop("_bx", "_by").write.mode(mode).partitionBy("tile_x", "tile_y").parquet(path)
+    t.sortWithinPartitions("tile_x", "tile_y", "_by", "_bx", *keys).drop("_bx", "_by").write.mode(mode).partitionBy(*by).parquet(path)
 
 
 def append_tiles(df: DataFrame, path: str, schema: TilingSchema, keys: tuple[str, ...] = ("x", "y", "time"), **kw) -> None:
-    """Append only rows whose keys the store does not hold yet."""
+    """Append only rows whose keys the store does not hold yet; the folders are of the store's kind (of one column or of two)."""
     old = df.sparkSession.read.parquet(path)
-    write_tiles(new_rows(df, old, list(keys)), path, schema, mode="append", **kw)
+    some = old.select(F.input_file_name().alias("file")).first()
+    by = ("tile_x", "tile_y") if some and "/tile_y=" in some.file else ("tile_x",)
+    write_tiles(new_rows(df, broadcast_if_few(old.select(*keys)), list(keys)), path, schema, mode="append", **{"by": by, **kw})

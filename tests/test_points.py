@@ -156,3 +156,28 @@ def test_dates_in_names(spark):
     day = lambda *a: float((np.datetime64("%04d-%02d-%02d" % a) - np.datetime64("2000-01-01")).astype(int))
     assert got[0][0] == pytest.approx(day(2016, 10, 12) + (12 * 3600 + 34 * 60 + 56) / 86400) and got[1][1] == day(2013, 11, 19) and got[2][2] == day(2011, 2, 3)
     assert got[3][2] == pytest.approx(day(2011, 2, 3) + 3723 / 86400) and got[4] == got[5] == got[6] == (None, None, None) and got[7][2] == day(2020, 1, 1)
+
+
+def test_many_small_tiles_are_few_files(spark, tmp_path):
+    """3,000 tiles of three rows in six columns: files follow columns and tasks, not tiles; nothing is lost, nulls included."""
+    d = spark.range(9000).select((F.col("id") % 6 * 10.0).alias("x"), (F.col("id") % 500 * 10.0).alias("y"), F.col("id").cast("double").alias("time"))
+    d = d.unionByName(spark.createDataFrame([(None, 1.0, -1.0), (2.0, None, -2.0)], d.schema))
+    s, path = tiling.TilingSchema(spacing=10.0), str(tmp_path / "t")
+    tiling.write_tiles(d.where("time < 3000"), path, s)
+    tiling.append_tiles(d, path, s)
+    assert len(list((tmp_path / "t").rglob("*.parquet"))) <= 2 * (7 + 4 + 1)
+    got = spark.read.parquet(path)
+    assert sorted(r.time for r in got.select("time").collect()) == [-2.0, -1.0, *map(float, range(9000))]
+    assert got.where("tile_x <> rint(x / 10) * 10 or tile_y <> rint(y / 10) * 10").count() == 0
+    box = points.crop(got, (10.0, 20.0), (0.0, 40.0), tile=(10.0, "tile_x", "tile_y"))
+    assert box.count() == d.where("x between 10 and 20 and y between 0 and 40").count() > 0
+    assert "PartitionFilters: [isnotnull(tile_x" in box._jdf.queryExecution().executedPlan().toString()
+
+
+def test_append_keeps_the_folders_of_a_store(spark, tmp_path):
+    d = spark.range(60).select((F.col("id") % 6 * 10.0).alias("x"), (F.col("id") % 4 * 10.0).alias("y"), F.col("id").cast("double").alias("time"))
+    s, path = tiling.TilingSchema(spacing=10.0), str(tmp_path / "t")
+    tiling.assign_tiles(d.where("time < 20"), s).write.partitionBy("tile_x", "tile_y").parquet(path)  # as written by earlier versions
+    tiling.append_tiles(d, path, s)
+    got = spark.read.parquet(path)
+    assert sorted(r.time for r in got.collect()) == list(range(60)) and got.where("tile_x <> x or tile_y <> y").count() == 0
