@@ -336,3 +336,22 @@ def test_nearest_segments_against_all_pairs(spark):
     assert len(want) > 100 and 300 in want
     nothing = t.where("x > 1e9")
     assert tracks.along_track_coords(p, "id", nothing, ["track"], "i", 4.0).count() == 0
+
+
+def test_first_crossings_are_those_of_all(spark):
+    """Against all crossings, in tracks that turn back; crossings themselves are neither sorted nor shuffled."""
+    rng = np.random.default_rng(5)
+    rows = [(f"t{t}", 3 * i, float(rng.integers(-40, 40)), float(rng.integers(-40, 40)), float(rng.uniform(0, 90))) for t in range(25) for i in range(8)]
+    d = spark.createDataFrame([*rows, ("t3", 99, None, 1.0, 2.0)], "track string, i long, x double, y double, time double")
+    for kw in ({}, {"closed": True}, {"time": "time", "max_dt": 25.0}):
+        want = {}
+        for r in crossover.crossovers(d, "track", "i", cell=7.0, **kw).collect():
+            k = (r.track_a, r.track_b)
+            want[k] = min(want.get(k, (r.i_a, r.i_b, r.la, r.lb, r.x, r.y)), (r.i_a, r.i_b, r.la, r.lb, r.x, r.y))
+        got = crossover.crossovers(d, "track", "i", cell=7.0, first_only=True, **kw)
+        assert "Join" not in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and "Aggregate" not in plan
+        small = crossover.first_crossings(d, "track", "i", width=7.0, most_rows=30, most_tracks=4, **kw)
+        for some in (got, small):
+            some = some.collect()
+            assert {(r.track_a, r.track_b): (r.i_a, r.i_b, r.la, r.lb, r.x, r.y) for r in some} == want and len(some) == len(want) > 100
+    assert crossover.crossovers(d.where("x > 1e9"), "track", "i", cell=7.0, first_only=True).count() == 0
