@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from firnline.functions import crs, filenames
 from firnline.operators import binning, index, points, raster, tiling
 from firnline.operators.ranks import global_index, rank_within
+from firnline.plans import catalogue
 
 
 def test_tiny_points(spark):
@@ -181,3 +182,13 @@ def test_append_keeps_the_folders_of_a_store(spark, tmp_path):
     tiling.append_tiles(d, path, s)
     got = spark.read.parquet(path)
     assert sorted(r.time for r in got.collect()) == list(range(60)) and got.where("tile_x <> x or tile_y <> y").count() == 0
+
+
+def test_tile_query_writes_a_file_per_column(spark, tmp_path, monkeypatch):
+    """The store of ``tile_write_read`` has as many files as columns of tiles and tasks, and its rows are all read back."""
+    sf = "/root/testdata/sf0.1"  # tiles in more than one row
+    monkeypatch.setattr(catalogue, "scratch", lambda s, name: str(tmp_path / name))
+    catalogue.queries()["tile_write_read"](spark, sf).count()
+    got = spark.read.parquet(str(tmp_path / "tiles"))
+    assert got.count() == catalogue.pts(spark, sf).count()
+    assert len(list((tmp_path / "tiles").rglob("*.parquet"))) <= got.select("tile_x").distinct().count() + 4
