@@ -355,3 +355,13 @@ def test_first_crossings_are_those_of_all(spark):
             some = some.collect()
             assert {(r.track_a, r.track_b): (r.i_a, r.i_b, r.la, r.lb, r.x, r.y) for r in some} == want and len(some) == len(want) > 100
     assert crossover.crossovers(d.where("x > 1e9"), "track", "i", cell=7.0, first_only=True).count() == 0
+
+
+def test_rounding_of_crossings_is_that_of_sql(spark):
+    import duckdb
+
+    rng = np.random.default_rng(4)
+    v = [1.005, -1.005, 0.285, 2.675, 0.0, -0.001, 0.49999999999999994, 0.125, 1e300, -1e17, float("inf"), *map(float, rng.normal(0, 1000, 500)), *map(float, rng.integers(-9999, 9999, 500) / 1000)]
+    d = spark.createDataFrame([(x,) for x in v] + [(None,), (float("nan"),)], "v double")
+    got = [str(r[0]) for r in d.select(catalogue.near("v", 2)).collect()]
+    assert got == [str(r[0]) for r in duckdb.execute("select round(unnest(?::double[]), 2) + 0.0", [[*v, None, float("nan")]]).fetchall()]
