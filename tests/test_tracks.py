@@ -365,3 +365,8 @@ def test_rounding_of_crossings_is_that_of_sql(spark):
     d = spark.createDataFrame([(x,) for x in v] + [(None,), (float("nan"),)], "v double")
     got = [str(r[0]) for r in d.select(catalogue.near("v", 2)).collect()]
     assert got == [str(r[0]) for r in duckdb.execute("select round(unnest(?::double[]), 2) + 0.0", [[*v, None, float("nan")]]).fetchall()]
+
+
+def test_slopes_are_rounded_as_crossings_are(spark, sf, monkeypatch):
+    monkeypatch.setattr(catalogue, "near", lambda c, n: F.lit(float(n)))
+    assert tuple(catalogue.queries()["crossover_slope"](spark, sf).first())[4:] == (2.0, 2.0)
