@@ -12,6 +12,8 @@ from firnline.common import broadcast_if_few
 from firnline.functions.semantics import round_bin
 from firnline.operators.points import new_rows
 
+MOST_FOLDERS = 500  # columns of tiles up to which each has a folder; a writer, a file and a rename for each cost more than rows
+
 
 @dataclass(frozen=True)
 class TilingSchema:
@@ -78,13 +80,18 @@ def tile_ring(tiles: DataFrame, schema: TilingSchema) -> DataFrame:
     return tiles.select("tile_x", "tile_y", F.posexplode(ring).alias("vertex", "p")).select("tile_x", "tile_y", "vertex", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
 
 
-def write_tiles(df: DataFrame, path: str, schema: TilingSchema, *, mode: str = "overwrite", bin_width: float | None = None, order: tuple[str, ...] = ("time",), by: tuple[str, ...] = ("tile_x",)) -> None:
+def write_tiles(df: DataFrame, path: str, schema: TilingSchema, *, mode: str = "overwrite", bin_width: float | None = None, order: tuple[str, ...] = ("time",), by: tuple[str, ...] | None = None) -> None:
     """One partition per column of tiles, rows ordered by tile, bin and time inside, so that a box reads few pages.
 
     Tasks take ranges of tiles and bins with as many rows each: a crowded tile
     is written by several tasks, and a partition of few rows is one file,
-    however many tiles there are.  ``by`` names the columns that are folders.
+    however many tiles there are.  ``by`` names the columns that are folders;
+    if it is not given, a store of more than ``MOST_FOLDERS`` columns of tiles
+    has none: its files are the tasks' ranges, and a box is found by the least
+    and greatest ``tile_x`` of each file.  What is appended follows the store.
     """
+    if by is None:
+        by = _folders(df.sparkSession.read.parquet(path)) if mode == "append" else ("tile_x",) if df.agg(F.approx_count_distinct(schema.tile(F.col("x")))).first()[0] <= MOST_FOLDERS else ()
     b = bin_width or schema.spacing / 10
     tile = [schema.tile(F.col(c)) for c in "xy"]
     # places, not their tiles and bins, go through the shuffle
@@ -94,9 +101,14 @@ def write_tiles(df: DataFrame, path: str, schema: TilingSchema, *, mode: str = "
     t.sortWithinPartitions("tile_x", "tile_y", "_by", "_bx", *keys).drop("_bx", "_by").write.mode(mode).partitionBy(*by).parquet(path)
 
 
+def _folders(store: DataFrame) -> tuple[str, ...]:
+    """The columns that are folders of a store."""
+    some = store.select(F.input_file_name().alias("file")).first()
+    return tuple(c for c in ("tile_x", "tile_y") if f"/{c}=" in some.file) if some else ("tile_x",)
+
+
 def append_tiles(df: DataFrame, path: str, schema: TilingSchema, keys: tuple[str, ...] = ("x", "y", "time"), **kw) -> None:
-    """Append only rows whose keys the store does not hold yet; the folders are of the store's kind (of one column or of two)."""
+    """Append only rows whose keys the store does not hold yet; the folders are of the store's kind (of one column, of two or none)."""
     old = df.sparkSession.read.parquet(path)
-    some = old.select(F.input_file_name().alias("file")).first()
-    by = ("tile_x", "tile_y") if some and "/tile_y=" in some.file else ("tile_x",)
+    by = _folders(old)
     write_tiles(new_rows(df, broadcast_if_few(old.select(*keys)), list(keys)), path, schema, mode="append", **{"by": by, **kw})

@@ -192,3 +192,21 @@ def test_tile_query_writes_a_file_per_column(spark, tmp_path, monkeypatch):
     got = spark.read.parquet(str(tmp_path / "tiles"))
     assert got.count() == catalogue.pts(spark, sf).count()
     assert len(list((tmp_path / "tiles").rglob("*.parquet"))) <= got.select("tile_x").distinct().count() + 4
+
+
+def test_many_columns_of_tiles_are_few_files(spark, tmp_path):
+    """900 columns of tiles: files follow tasks, a box skips files by their statistics; appending keeps the kind of the store."""
+    d = spark.range(9000).select((F.col("id") % 900 * 10.0).alias("x"), (F.col("id") % 7 * 10.0).alias("y"), F.col("id").cast("double").alias("time"))
+    d = d.unionByName(spark.createDataFrame([(None, 1.0, -1.0), (2.0, None, -2.0)], d.schema))
+    s, path = tiling.TilingSchema(spacing=10.0), str(tmp_path / "t")
+    tiling.write_tiles(d.where("time < 3000"), path, s)
+    tiling.append_tiles(d, path, s)
+    assert 0 < len(list((tmp_path / "t").rglob("*.parquet"))) <= 2 * 4
+    tiling.write_tiles(d.where("time = 5"), path, s, mode="append")
+    assert not list((tmp_path / "t").glob("tile_x=*"))
+    got = spark.read.parquet(path)
+    assert sorted(r.time for r in got.select("time").collect()) == sorted([-2.0, -1.0, 5.0, *map(float, range(9000))])
+    assert got.where("tile_x <> rint(x / 10) * 10 or tile_y <> rint(y / 10) * 10").count() == 0
+    box = points.crop(got, (10.0, 20.0), (0.0, 40.0), tile=(10.0, "tile_x", "tile_y"))
+    assert box.where("time <> 5").count() == d.where("time <> 5 and x between 10 and 20 and y between 0 and 40").count() > 0
+    assert ">= 10.0" in (plan := box._jdf.queryExecution().executedPlan().toString()) and "IsNotNull(tile_x" in plan  # read by statistics
